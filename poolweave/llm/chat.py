@@ -72,6 +72,6 @@ c AS (SELECT conv_id, count(*) AS n, list(struct_pack(r := role, t := text) ORDE
 u AS (SELECT n, turns, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY n, turns),
 p AS (SELECT DISTINCT k AS n, list_slice(turns, 1, k) AS turns FROM (SELECT turns, unnest(range(1, n)) AS k FROM u))
 SELECT u.conv_id, CAST(u.n AS BIGINT) AS n_turns, CAST(u.copies AS BIGINT) AS copies,
-       array_to_string(list_transform(u.turns, x -> '<|' || x.r || '|>' || chr(10) || x.t || chr(10) || '<|end|>' || chr(10)), '') AS text
+       array_to_string(list_transform(u.turns, lambda x: '<|' || x.r || '|>' || chr(10) || x.t || chr(10) || '<|end|>' || chr(10)), '') AS text
 FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.n = u.n AND p.turns = u.turns)
 """

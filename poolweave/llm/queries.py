@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, token_files
+from . import chat, decontamination, html_text, language_model, ngram_join, packing, quality_rules, suffix_dedup, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_html_text": html_text.op2_html_text,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
+        "op5_language_model": language_model.op5_language_model,
         "op6_token_files": token_files.op6_token_files,
+        "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_packing": packing.op8_packing,
+        "op9_decontamination": decontamination.op9_decontamination,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat_formatting": chat.SQL}

@@ -4,7 +4,8 @@ A word is the mean of the vectors of its hashed character n-grams and of itself;
 words; a linear softmax on that mean gives the probability. Vectors and softmax are trained jointly in numpy on a
 bounded sample of labelled documents, so a misspelling never seen shares most of its n-grams with the word it bends.
 A document's label says that something in it is toxic, not where: training first takes whole documents, then for each
-document the window of WINDOW words that scores highest (multiple-instance learning). A document's score is that of
+document the window of WINDOW words that scores highest (multiple-instance learning). A text counts as its different
+words in the order of their first places, and n-grams of fewer than LEAST_DOCS training documents have no vector. A document's score is that of
 its highest window, over all windows of the whole text. As the softmax is linear, a word's part in it is one number;
 scoring is a lookup and a running mean.
 
@@ -27,17 +28,19 @@ from .shared import mix, read, utf8
 
 BUCKETS, DIM = 1 << 17, 8
 SIZES = (3, 4, 5)
-WINDOW = 24
+WINDOW = 8
+LEAST_DOCS = 3
 FOLDS = 5
 #: The sample to learn from: so many labelled documents of each kind at most, none longer than MAX_BYTES.
-SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_BYTES = 600, 1000, 16_000
-WHOLE_STEPS, WINDOW_STEPS, RATE, SEED = 40, 80, 0.08, 7
+SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_BYTES = 900, 1800, 12_000
+WHOLE_STEPS, WINDOW_STEPS, RATE, DECAY, SEED = 24, 96, 0.08, 1e-4, 7
 CACHE_WORDS = 500_000
 MARKS = "\"'`.,;:!?()[]{}<>*#%&$|-_=+/\\~^«»„“”‘’…–—"
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for x in (text or "").lower().split() if (w := x.strip(MARKS))]
+    """Different words of a text, in the order of their first places."""
+    return list(dict.fromkeys(w for x in dict.fromkeys((text or "").lower().split()) if (w := x.strip(MARKS))))
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +111,12 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     order = np.argsort(owners, kind="stable")
     buckets, owners = buckets[order], owners[order]
     per_word = np.bincount(owners, minlength=len(ids)).astype(float)
+    held_by = np.bincount(np.concatenate(docs_ids), minlength=len(ids))
+    common = np.bincount(buckets, held_by[owners], BUCKETS) >= LEAST_DOCS
+    live = common[buckets]
+    buckets, owners = buckets[live], owners[live]
     rng = np.random.default_rng(SEED)
-    vectors = rng.normal(0, 0.1, (BUCKETS, DIM))
+    vectors = np.where(common[:, None], rng.normal(0, 0.1, (BUCKETS, DIM)), 0.0)
     out = rng.normal(0, 0.1, (DIM, 2))
     bias = np.array([0.0, np.log(y.mean()) - np.log(1 - y.mean())])
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, out, bias)]
@@ -133,7 +140,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
             b, o = buckets[keep], owners[keep]
             # a sparse map bucket -> document: each (document, word) adds 1 / size / grams of the word to each of its buckets
             first = np.searchsorted(o, np.arange(len(ids)), "left")
-            n_grams = per_word[word_at].astype(np.int64)
+            n_grams = np.bincount(o, minlength=len(ids))[word_at]
             at = np.repeat(first[word_at], n_grams) + np.arange(n_grams.sum()) - np.repeat(np.cumsum(n_grams) - n_grams, n_grams)
             doc_long = np.repeat(doc_of, n_grams)
             weight = 1.0 / (size[doc_long] * np.repeat(per_word[word_at], n_grams))
@@ -152,6 +159,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
             m += 0.1 * g
             v *= 0.99
             v += 0.01 * g * g
+            value -= RATE * DECAY * value if value.ndim == 2 else 0
             value -= RATE * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-8)
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32).astype(float), float(bias[1] - bias[0]))
 
