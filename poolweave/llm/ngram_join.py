@@ -76,11 +76,14 @@ def count_keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([short(x) for x in each]), return_counts=True)
 
 
-DOCS = "doc_id long, n_shingles long, h1 long, h2 long, prefix array<long>, others binary, tokens binary"
+DOCS = "doc_id long, n_shingles long, h1 long, h2 long, weight double, skipped long, prefix array<long>, others binary, tokens binary"
 
 
 def documents(rows: pa.Table, found: pa.Table) -> pa.Table:
-    """A row per document. prefix, others and tokens are empty where the prefix holds no token of another document."""
+    """A row per document. prefix, others and tokens are empty where the prefix holds no token of another document.
+
+    skipped: tokens that order 1 puts before prefix; weight: how common the document's tokens are (mean log count).
+    """
     out: list[tuple] = []
     ids, each = rows.column("doc_id").to_pylist(), tokens(rows.column("text").to_pylist())
     if each:
@@ -88,21 +91,21 @@ def documents(rows: pa.Table, found: pa.Table) -> pa.Table:
     for doc, x in zip(ids, each, strict=True):
         n = len(x)
         if not n:
-            out.append((doc, 0, 0, 0, [], b"", b""))
+            out.append((doc, 0, 0, 0, 0.0, 0, [], b"", b""))
             continue
         h1, h2 = (int(np.add.reduce(mix(x ^ s)).astype(np.int64)) for s in (np.uint64(0), SALT))
         count = df[np.searchsorted(keys, short(x))]
         shared = x[count > 1]
         left = prefix_size(n) - (n - len(shared))  # places of the prefix that tokens of one document leave
         if left <= 0 or doc is None:
-            out.append((doc, n, h1, h2, [], b"", b""))
+            out.append((doc, n, h1, h2, 0.0, 0, [], b"", b""))
             continue
         first = shared[np.lexsort((shared, count[count > 1]))][:left]
         others = [np.sort(shared[np.argsort(mix(shared ^ np.uint64(k)), kind="stable")][:left]) for k in range(1, ORDERS)]
-        out.append((doc, n, h1, h2, first.astype(np.int64).tolist(), np.concatenate(others).astype("<u8").tobytes(), x.astype("<u8").tobytes()))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-    cols = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)]
-    return pa.table(dict(zip(("doc_id", "n_shingles", "h1", "h2", "prefix", "others", "tokens"), cols, strict=True)))
+        out.append((doc, n, h1, h2, float(np.log(count.astype(float)).mean()), n - len(shared), first.astype(np.int64).tolist(), np.concatenate(others).astype("<u8").tobytes(), x.astype("<u8").tobytes()))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+    cols = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)]
+    return pa.table(dict(zip(("doc_id", "n_shingles", "h1", "h2", "weight", "skipped", "prefix", "others", "tokens"), cols, strict=True)))
 
 
 def meet(a: np.ndarray, b: np.ndarray) -> int:
@@ -138,8 +141,11 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def lengths_fit(a: str, b: str) -> Column:
-    return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
+def may_link(n: str, place: str, other_n: str, other_place: str) -> Column:
+    """Whether two documents can link whose first common token under order 1 stands at these places: their lengths fit,
+    and even if all tokens behind it were common it would be enough. True for some token of every pair that links."""
+    a, b = F.col(n), F.col(other_n)
+    return (a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT) & (F.least(a - F.col(place), b - F.col(other_place)) * (100 + PERCENT) >= (a + b) * PERCENT)
 
 
 def labelled(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -159,7 +165,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def links(docs: DataFrame) -> DataFrame:
     """Links (a, b) between representatives, enough to give all components."""
-    lists = table(docs.where("size(prefix) > 0").select("doc_id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token")), "lists")
+    lists = docs.where("size(prefix) > 0").select("doc_id", F.col("n_shingles").alias("n"), "weight", "skipped", F.posexplode("prefix").alias("at", "token"))
+    lists = table(lists.select("doc_id", "n", "weight", (F.col("skipped") + F.col("at")).alias("place"), "token"), "lists")
     # a token on one list only (its other documents have it beyond their prefix, or are equal sets) makes no candidate
     several = table(lists.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("token"), "several")
     lists = table(lists.join(several, "token"), "lists")
@@ -168,18 +175,19 @@ def links(docs: DataFrame) -> DataFrame:
     for turn in range(HUB_ROUNDS + 1):
         rows = table(labelled(lists, comps), "labelled") if comps is not None else labelled(lists, None)
         if turn < HUB_ROUNDS:
-            # the hub of a token's list: one of its documents, another in each round
-            hub = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-            hubs = table(rows.groupBy("token").agg(F.min(hub).alias("x")).select("token", "x.hub", "x.hub_n", "x.hub_comp"), "hubs")
-            near = rows.join(hubs, "token").where((F.col("comp") != F.col("hub_comp")) & lengths_fit("n", "hub_n"))
-            counted = near.groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("shared"))
-            best = counted.groupBy("doc_id").agg(F.max(F.struct("shared", "hub")).alias("x"))
-            pairs = best.select(F.col("x.hub").alias("a"), F.col("doc_id").alias("b"))
+            # the hub of a token's list: first the document of the most common tokens (edits make rare ones), then others
+            order = -F.col("weight") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
+            hub = F.struct(order.alias("o"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"), F.col("comp").alias("hub_comp"))
+            hubs = table(rows.groupBy("token").agg(F.min(hub).alias("x")).select("token", F.col("x.o").cast("double").alias("o"), "x.hub", "x.hub_n", "x.hub_place", "x.hub_comp"), "hubs")
+            near = rows.join(hubs, "token").where((F.col("comp") != F.col("hub_comp")) & may_link("n", "place", "hub_n", "hub_place"))
+            counted = near.groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("shared"), F.min("o").alias("o"))
+            best = F.struct(-F.col("o"), "shared", "hub") if turn == 0 else F.struct("shared", "hub")
+            pairs = counted.groupBy("doc_id").agg(F.max_by("hub", best).alias("a")).select("a", F.col("doc_id").alias("b"))
         else:
             mixed = table(rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token"), "mixed")
             left = table(rows.join(mixed, "token"), "open")
-            other = left.select("token", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
-            met = left.join(other, "token").where((F.col("comp") < F.col("b_comp")) & lengths_fit("n", "b_n"))
+            other = left.select("token", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("place").alias("b_place"), F.col("comp").alias("b_comp"))
+            met = left.join(other, "token").where((F.col("comp") < F.col("b_comp")) & may_link("n", "place", "b_n", "b_place"))
             pairs = met.select(F.col("doc_id").alias("a"), "b").distinct()
         new = table(verify(table(pairs, "pairs"), docs), "links")
         found = new if found is None else found.unionAll(new)
