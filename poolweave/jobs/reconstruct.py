@@ -61,7 +61,7 @@ def pool_lasso(haps: DataFrame, calls: DataFrame, p: Parameters, pools: list[int
     spark = calls.sparkSession
     rows = kept(regression.design(haps, frequency.site_frequency(calls), linkage.pair_linkage(calls), regression.Weights(p.weight_one, p.weight_site, p.weight_pair)))
     names = [r["hap"] for r in haps.select("hap").distinct().orderBy("hap").collect()]  # a configuration's haplotypes
-    ladder = regression.Ladder(p.penalty, p.penalty_step, p.least_r2)
+    ladder = regression.Ladder(p.penalty, p.penalty_step, p.least_r2, least=p.local_freq_min)
     return haplotypes.pruned(regression.pool_frequencies(spark, rows, names, pools, ladder).select("pool", "hap", "freq"), p.local_freq_min, "pool")
 
 

@@ -23,6 +23,7 @@ class Ladder:
     step: float = 0.04
     least_r2: float = 0.0
     iterations: int = 10
+    least: float = 0.005  # a fit all of whose coefficients lie below says nothing either
 
 
 def design(haps: DataFrame, freq: DataFrame, linkage: DataFrame, weights: Weights = Weights()) -> DataFrame:
@@ -56,7 +57,7 @@ def fit_with_ladder(rows: DataFrame, ladder: Ladder = Ladder()) -> tuple[list[fl
         penalty = ladder.penalty
         while True:
             found, r2 = fit(rows, penalty, ladder.iterations)
-            if r2 != ladder.least_r2 or penalty <= 0:
+            if r2 != ladder.least_r2 and max(found, default=0.0) >= ladder.least or penalty <= 0:
                 return found, r2, penalty
             penalty = max(0.0, penalty - ladder.step)
     finally:
@@ -64,9 +65,14 @@ def fit_with_ladder(rows: DataFrame, ladder: Ladder = Ladder()) -> tuple[list[fl
 
 
 def pool_frequencies(spark, rows: DataFrame, haps: list[str], pools: list[int], ladder: Ladder = Ladder()) -> DataFrame:
-    """pool, hap, freq, r2: a fit for each pool. Only coefficients, one for each haplotype, come to the driver."""
+    """pool, hap, freq, r2: a fit for each pool. Only coefficients, one for each haplotype, come to the driver.
+
+    A pool of which even the fit without penalty says nothing has all haplotypes alike.
+    """
     out = []
     for p in pools:
         found, r2, _ = fit_with_ladder(rows.where(F.col("pool") == p), ladder)
+        if max(found, default=0.0) < ladder.least:
+            found = [1.0] * len(haps)
         out += [(p, h, c, r2) for h, c in zip(haps, found, strict=True)]
     return spark.createDataFrame(out, "pool long, hap string, freq double, r2 double")
