@@ -11,6 +11,7 @@ repeated rows are judged each for itself; other columns of the input are carried
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -110,15 +111,20 @@ def base_failed() -> Column:
     return F.expr(f"__m.n_words < {MIN_WORDS} OR 100 * __m.n_repeat_words > {MAX_REPEAT_PERCENT} * __m.n_words")
 
 
-def votes() -> Column:
-    """The vote pattern of a row, one base-3 digit for each rule, as one long."""
+def vote(k: int) -> Column:
+    """Rule k's vote on a row: 0 junk, 1 abstains, 2 good."""
+    sql, junk, good = list(RULES.values())[k]
+    for field in (x.split()[0] for x in f"{MEASURES}, {EXTRA}".split(", ")):
+        sql = re.sub(rf"(?<![\w.]){field}\b", f"__m.{field}", sql)
+    value = F.expr(f"CASE WHEN __m.n_words > 0 THEN {sql} ELSE 1e9 END")
+    return F.when(value >= junk, 0).when(value <= good, 2).otherwise(1)
+
+
+def pattern() -> Column:
+    """All votes of a row, one base-3 digit for each rule, as one long."""
     total: Column = F.lit(0).cast("long")
-    for k, (sql, junk, good) in enumerate(RULES.values()):
-        for field in (x.split()[0] for x in f"{MEASURES}, {EXTRA}".split(", ")):
-            sql = sql.replace(field, f"__m.{field}") if f"__m.{field}" not in sql else sql
-        value = F.expr(f"CASE WHEN __m.n_words > 0 THEN {sql} ELSE 1e9 END")
-        vote = F.when(value >= junk, 0).when(value <= good, 2).otherwise(1)
-        total = total + vote * F.lit(3**k)
+    for k in range(VOTES):
+        total = total + vote(k) * F.lit(3**k)
     return total
 
 
@@ -129,11 +135,10 @@ class VoteModel:
     prior: float
     weights: tuple[tuple[float, ...], ...]
 
-    def log_odds(self, pattern: Column) -> Column:
+    def log_odds(self) -> Column:
         total: Column = F.lit(self.prior)
         for k, w in enumerate(self.weights):
-            digit = F.pmod(F.floor(pattern / F.lit(3**k)), F.lit(3))
-            total = total + F.when(digit == 0, w[0]).when(digit == 2, w[2]).otherwise(w[1])
+            total = total + F.element_at(F.array(*map(F.lit, w)), vote(k) + 1)
         return total
 
 
@@ -158,13 +163,12 @@ def expectation_maximisation(patterns: list[tuple[int, int]], rounds: int = 50,
 
 def fit(rows: DataFrame) -> VoteModel:
     """rows: as measured() gives them. Counts of all rows that pass the base rules, by vote pattern, reach the driver: at most 3^rules of them."""
-    found = rows.where(~base_failed()).groupBy(votes().alias("pattern")).count().collect()
+    found = rows.where(~base_failed()).groupBy(pattern().alias("pattern")).count().collect()
     return expectation_maximisation(sorted((r["pattern"], r["count"]) for r in found))
 
 
 def judged(rows: DataFrame, model: VoteModel) -> DataFrame:
-    odds = model.log_odds(votes())
-    return rows.withColumn("__p", 1 / (1 + F.exp(-odds))).withColumn("__failed", base_failed())
+    return rows.withColumn("__p", 1 / (1 + F.exp(-model.log_odds()))).withColumn("__failed", base_failed())
 
 
 def quality_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
