@@ -31,7 +31,9 @@ N = 4
 MAX_EXPECTED, LEAST_SEEDS = 10.0, 3
 #: Words of the benchmark in one broadcast.
 BLOCK_WORDS = 2_000_000
-MATCH, MISMATCH, GAP = 2, -1, -1
+#: A match counts up to MATCH, by how rare the word is: words of a share of RARE or less count in full.
+MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
+RARE = 1e-3
 #: Of the best possible alignment score of the item.
 MIN_SCORE = 0.5
 MARKS = "\"'`.,;:!?()[]{}<>*#%&$|-_=+/\\~^«»„“”‘’…–—"
@@ -41,22 +43,24 @@ def words_of(text: str | None) -> list[str]:
     return [w for x in (text or "").lower().split() if (w := x.strip(MARKS))]
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
+def align(item: np.ndarray, passage: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, int, int, int]:
     """Best local alignment of two word-id arrays with linear gap costs: score, matched words, begin, end in passage.
+    weight: what a match of each of the item's words counts.
 
     Row by row; gaps along the passage come from a running maximum, since a gap of k costs k times GAP.
     """
     m, at = len(passage), np.arange(len(passage) + 1)
-    row = np.zeros(m + 1, np.int64)
+    weight = np.full(len(item), MATCH) if weight is None else weight
+    row = np.zeros(m + 1)
     start = at.copy()
     hits = np.zeros(m + 1, np.int64)
-    best = (0, 0, 0, 0)
-    for w in item:
+    best = (0.0, 0, 0, 0)
+    for w, gain in zip(item, weight, strict=True):
         same = passage == w
-        diagonal = row[:-1] + np.where(same, MATCH, MISMATCH)
+        diagonal = row[:-1] + np.where(same, gain, MISMATCH)
         up = row[1:] + GAP
         take = diagonal >= up
-        new = np.zeros(m + 1, np.int64)
+        new = np.zeros(m + 1)
         new[1:] = np.maximum(np.where(take, diagonal, up), 0)
         begin, got = at.copy(), np.zeros(m + 1, np.int64)
         begin[1:] = np.where(new[1:] > 0, np.where(take, start[:-1], start[1:]), at[1:])
@@ -68,15 +72,16 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
         use = side > new
         row = np.where(use, side, new)
         start, hits = np.where(use, begin[source], begin), np.where(use, got[source], got)
-        if row.max() > best[0]:
+        if row.max() > best[0] + 1e-9:
             k = int(row.argmax())
-            best = (int(row[k]), int(hits[k]), int(start[k]), k)
+            best = (float(row[k]), int(hits[k]), int(start[k]), k)
     return best
 
 
 @dataclass(frozen=True)
 class Seeds:
-    """ids: word to id; items: row of the benchmark to word ids; names: row to item_id; codes (sorted) of seeds, with the item and place of each."""
+    """ids: word to id; items: row of the benchmark to word ids; names: row to item_id; codes (sorted) of seeds, with the item and place of each;
+    weight: of each word id in an alignment."""
 
     ids: dict[str, int]
     items: dict[int, np.ndarray]
@@ -84,6 +89,7 @@ class Seeds:
     codes: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    weight: np.ndarray
 
 
 def codes_of(ids: np.ndarray, n: int) -> np.ndarray:
@@ -99,6 +105,7 @@ def seeds_of(items: list[tuple[int, str | None]], counts: dict[str, int], total:
     texts = {k: np.array([ids.setdefault(w, len(ids)) for w in words], np.int64) for k, (_, t) in enumerate(items) if (words := words_of(t))}
     names = {k: name for k, (name, _) in enumerate(items)}
     share = np.array([counts.get(w, 0) + 0.5 for w in ids]) / max(total, 1)
+    weight = MATCH * np.clip(np.log(np.minimum(share, 1.0)) / np.log(RARE), 0.05, 1.0)
     codes, item, place = [], [], []
     for k, x in texts.items():
         n = min(N, len(x))
@@ -109,10 +116,10 @@ def seeds_of(items: list[tuple[int, str | None]], counts: dict[str, int], total:
         item.append(np.full(len(found), k, np.int64))
         place.append(rare.astype(np.int64))
     if not codes:
-        return Seeds(ids, texts, names, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        return Seeds(ids, texts, names, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), weight)
     code = np.concatenate(codes)
     order = np.argsort(code, kind="stable")
-    return Seeds(ids, texts, names, code[order], np.concatenate(item)[order], np.concatenate(place)[order])
+    return Seeds(ids, texts, names, code[order], np.concatenate(item)[order], np.concatenate(place)[order], weight)
 
 
 def hits_of(ids: np.ndarray, seeds: Seeds, sizes: list[int]) -> list[tuple[int, int, int]]:
@@ -157,8 +164,8 @@ def judge(text: str | None, seeds: Seeds, sizes: list[int], min_score: float = M
             else:
                 clusters.append([low, high, 1])
         for low, high, n in clusters:
-            score, matched, begin, end = align(x, ids[low:high])
-            got = (score / (MATCH * len(x)), matched / len(x), n, low + begin, low + end)
+            score, matched, begin, end = align(x, ids[low:high], seeds.weight[x])
+            got = (score / seeds.weight[x].sum(), matched / len(x), n, low + begin, low + end)
             best = got if best is None or got[0] > best[0] else best
         if best[0] >= min_score:
             out.append((seeds.names[item], *best))
