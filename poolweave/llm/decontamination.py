@@ -35,7 +35,7 @@ BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 RARE = 1e-3
 #: Of the best possible alignment score of the item.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.35
 MARKS = "\"'`.,;:!?()[]{}<>*#%&$|-_=+/\\~^«»„“”‘’…–—"
 
 
