@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_FLAG = 163
@@ -69,12 +69,12 @@ def base_calls(sam: DataFrame, variants: DataFrame) -> DataFrame:
     sites = variants.agg(F.array_sort(F.collect_set("pos")).alias("all"))
     at = rows.crossJoin(F.broadcast(sites)).select("pool", "read_id", F.col("pos").alias("start"), "walk", "seq", F.explode(F.filter("all", lambda p: (p >= F.col("pos")) & (p <= F.col("last")))).alias("pos"))
     offset = F.col("pos") - F.col("start")
-    matched = F.filter("walk", lambda o: (o["op"] == "M") & (offset >= o["ref"]) & (offset < o["ref"] + o["len"]))[0]
+    matched = F.get(F.filter("walk", lambda o: (o["op"] == "M") & (offset >= o["ref"]) & (offset < o["ref"] + o["len"])), 0)
     # an insertion or deletion hangs on the base before it
     inserted = F.filter("walk", lambda o: (o["op"] == "I") & (o["ref"] == offset + 1))
     deleted = F.filter("walk", lambda o: (o["op"] == "D") & (o["ref"] == offset + 1))
     base = F.substring(F.col("seq"), (matched["query"] + offset - matched["ref"] + 1).cast("int"), F.lit(1))
-    extra = F.when(F.size(inserted) > 0, F.substring(F.col("seq"), (inserted[0]["query"] + 1).cast("int"), inserted[0]["len"].cast("int"))).otherwise("")
+    extra = F.when(F.size(inserted) > 0, F.substring(F.col("seq"), (F.get(inserted, 0)["query"] + 1).cast("int"), F.get(inserted, 0)["len"].cast("int"))).otherwise("")
     seen = at.select("pool", "read_id", "pos", F.when(matched.isNotNull(), F.concat(base, extra)).alias("seen"), (F.size(deleted) > 0).alias("gap"))
     codes = variants.select("pos", "alt", F.col("code").cast("long").alias("code"))
     hit = seen.join(F.broadcast(codes) if variants.count() <= MAX_SITES else codes, (seen["pos"] == codes["pos"]) & (seen["seen"] == codes["alt"]), "left").select("pool", "read_id", seen["pos"].alias("pos"), F.coalesce("code", F.lit(0).cast("long")).alias("allele"))
@@ -114,8 +114,3 @@ def first_variants(vcf: DataFrame) -> DataFrame:
     """pos, alt, code of the first alternative at each position; others count as the reference."""
     alt = F.get(F.split(F.regexp_replace("alt", '"', ""), ","), 0)
     return vcf.groupBy("pos").agg(F.min_by(alt, "pos").alias("alt")).withColumn("code", F.lit(1).cast("long"))
-
-
-def ordered(df: DataFrame, by: str) -> DataFrame:
-    """Numbered by `by` within the pool."""
-    return df.withColumn("ord", F.row_number().over(Window.partitionBy("pool").orderBy(by)))
