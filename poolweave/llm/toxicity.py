@@ -32,7 +32,7 @@ WINDOW = 8
 LEAST_DOCS = 3
 FOLDS = 5
 #: The sample to learn from: so many labelled documents of each kind at most, none longer than MAX_BYTES.
-SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_BYTES = 900, 1800, 12_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_BYTES = 800, 1600, 8_000
 WHOLE_STEPS, WINDOW_STEPS, RATE, DECAY, SEED = 24, 96, 0.08, 1e-4, 7
 CACHE_WORDS = 500_000
 MARKS = "\"'`.,;:!?()[]{}<>*#%&$|-_=+/\\~^«»„“”‘’…–—"
@@ -98,6 +98,27 @@ def best_window(values: np.ndarray, width: int = WINDOW) -> tuple[float, int, in
     return float(means[k]), k, k + width
 
 
+def grams_of(parts: list[np.ndarray], buckets: np.ndarray, owners: np.ndarray, per_word: np.ndarray, step: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A sparse map from buckets to texts: text, bucket, and weight of the bucket's vector in the text's mean.
+
+    parts: word ids of each text; buckets, owners: n-grams with a vector, by word; per_word: all n-grams of each word.
+    Texts are taken step by step, as the n-grams of all of them are many times what is left after summing up.
+    """
+    count = np.bincount(owners, minlength=len(per_word))
+    first = np.cumsum(count) - count
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(parts), step):
+        some = parts[at : at + step]
+        size = np.array([len(p) for p in some])
+        words, text = np.concatenate(some), np.repeat(np.arange(at, at + len(some)), size)
+        n = count[words]
+        place = np.repeat(first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        share = 1.0 / (np.repeat(size, size) * per_word[words])
+        pair, inverse = np.unique(np.repeat(text, n) * np.int64(BUCKETS) + buckets[place], return_inverse=True)
+        out.append(((pair // BUCKETS).astype(np.int32), (pair % BUCKETS).astype(np.int32), np.bincount(inverse, np.repeat(share, n), len(pair))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def train(texts: list[str | None], labels: list[int]) -> Model:
     """Joint training of vectors and softmax by full-batch Adam."""
     y = np.array(labels, float)
@@ -107,12 +128,16 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     docs = [words_of(t) for t in texts]
     ids: dict[str, int] = {}
     docs_ids = [np.array([ids.setdefault(w, len(ids)) for w in d], np.int64) for d in docs]
-    buckets, owners = subwords(list(ids))
-    order = np.argsort(owners, kind="stable")
-    buckets, owners = buckets[order], owners[order]
+    names, found = list(ids), []
+    for at in range(0, len(names), 10_000):
+        b, o = subwords(names[at : at + 10_000])
+        order = np.argsort(o, kind="stable")
+        found.append((b[order].astype(np.int32), (o[order] + at).astype(np.int32)))
+    buckets, owners = (np.concatenate(x) for x in zip(*found, strict=True))
+    del names, found
     per_word = np.bincount(owners, minlength=len(ids)).astype(float)
     held_by = np.bincount(np.concatenate(docs_ids), minlength=len(ids))
-    common = np.bincount(buckets, held_by[owners], BUCKETS) >= LEAST_DOCS
+    common = np.bincount(buckets, held_by[owners], BUCKETS) >= LEAST_DOCS  # by words, so at least by so many uses
     live = common[buckets]
     buckets, owners = buckets[live], owners[live]
     rng = np.random.default_rng(SEED)
@@ -120,8 +145,6 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     out = rng.normal(0, 0.1, (DIM, 2))
     bias = np.array([0.0, np.log(y.mean()) - np.log(1 - y.mean())])
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, out, bias)]
-    doc_of: np.ndarray
-    word_at: np.ndarray
     onehot = np.stack([1 - y, y], axis=1)
     for step in range(WHOLE_STEPS + WINDOW_STEPS):
         if step == 0 or step >= WHOLE_STEPS and (step - WHOLE_STEPS) % 8 == 0:
@@ -130,23 +153,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
                 grams = vectors @ (out[:, 1] - out[:, 0])
                 value = np.bincount(owners, grams[buckets], len(ids)) / per_word
                 parts = [d[slice(*best_window(value[d])[1:])] for d in docs_ids]
-            doc_of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            word_at = np.concatenate(parts)
-            size = np.maximum(np.bincount(doc_of, minlength=len(parts)), 1).astype(float)
-            used = np.unique(word_at)
-            mark = np.zeros(len(ids), bool)
-            mark[used] = True
-            keep = mark[owners]
-            b, o = buckets[keep], owners[keep]
-            # a sparse map bucket -> document: each (document, word) adds 1 / size / grams of the word to each of its buckets
-            first = np.searchsorted(o, np.arange(len(ids)), "left")
-            n_grams = np.bincount(o, minlength=len(ids))[word_at]
-            at = np.repeat(first[word_at], n_grams) + np.arange(n_grams.sum()) - np.repeat(np.cumsum(n_grams) - n_grams, n_grams)
-            doc_long = np.repeat(doc_of, n_grams)
-            weight = 1.0 / (size[doc_long] * np.repeat(per_word[word_at], n_grams))
-            pair, inverse = np.unique(doc_long * BUCKETS + b[at], return_inverse=True)
-            weight = np.bincount(inverse, weight)
-            pair_doc, pair_bucket = pair // BUCKETS, pair % BUCKETS
+            pair_doc, pair_bucket, weight = grams_of(parts, buckets, owners, per_word)
         mean = np.stack([np.bincount(pair_doc, weight * vectors[pair_bucket, k], len(y)) for k in range(DIM)], axis=1)
         logits = mean @ out + bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
