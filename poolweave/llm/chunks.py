@@ -44,8 +44,8 @@ def chunked(rows: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     """rows with `chunk`, and the number of chunks. Written once, bucketed by chunk: later passes read it as it lies,
     with no shuffle of texts however often they come back to them."""
     spark = rows.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunk_count(rows, text, 2 * CHUNK))
-    n = 2 * buckets
+    least, n = int(spark.conf.get("spark.sql.shuffle.partitions")), chunk_count(rows, text, CHUNK)
+    buckets, n = max(least, -(-n // 2)), max(least, n)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(*rows.columns), F.lit(n)))
     name = f"chunks_{uuid.uuid4().hex}"
     dealt.repartition(buckets, "chunk").write.option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
@@ -73,31 +73,35 @@ def message(chunk: int, found: np.ndarray, counts: np.ndarray, low: int) -> pa.T
     return pa.table({"block": pa.array(block[starts].astype(np.int64)), "chunk": pa.array([chunk] * len(starts), pa.int64()), "n": pa.array((ends - starts).astype(np.int64)), "keys": pa.array(packed, pa.binary()), "counts": pa.array(weights, pa.binary())})
 
 
+ANSWER = "chunk long, block long, n long, answer binary"
+
+
+def added(table: pa.Table, low: int, summary: Summary | None = None, lowest: bool = False) -> pa.Table:
+    """ANSWER to all that was sent to one block."""
+    block = table.column("block")[0].as_py()
+    n = table.column("n").to_pylist()
+    base = np.uint64(block) << np.uint64(low)
+    each = [base + np.cumsum(unpack(k, m)) for k, m in zip(table.column("keys").to_pylist(), n, strict=True)]
+    found, inverse = np.unique(np.concatenate(each), return_inverse=True)
+    counts = np.concatenate([unpack(c, m) for c, m in zip(table.column("counts").to_pylist(), n, strict=True)])
+    if lowest:
+        total = np.full(len(found), np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(total, inverse, counts)
+    else:
+        total = np.bincount(inverse, counts, len(found)).astype(np.uint64)
+    cuts = np.cumsum([0, *n])
+    chunk, answer = table.column("chunk").to_pylist(), [pack(total[inverse[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    if summary is not None:
+        chunk, n, answer = [*chunk, -1], [*n, len(found)], [*answer, summary(found, total)]
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "block": pa.array([block] * len(chunk), pa.int64()), "n": pa.array(n, pa.int64()), "answer": pa.array(answer, pa.binary())})
+
+
 def totals(sent: DataFrame, low: int, summary: Summary | None = None, lowest: bool = False) -> DataFrame:
     """chunk, block, n, answer: packed totals (or the lowest values) of the keys that the chunk sent to the block, in their order.
 
     With summary, one more row for each block: chunk -1, and summary(keys, totals).
     """
-
-    def add(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        n = table.column("n").to_pylist()
-        base = np.uint64(block) << np.uint64(low)
-        each = [base + np.cumsum(unpack(k, m)) for k, m in zip(table.column("keys").to_pylist(), n, strict=True)]
-        found, inverse = np.unique(np.concatenate(each), return_inverse=True)
-        counts = np.concatenate([unpack(c, m) for c, m in zip(table.column("counts").to_pylist(), n, strict=True)])
-        if lowest:
-            total = np.full(len(found), np.iinfo(np.uint64).max, np.uint64)
-            np.minimum.at(total, inverse, counts)
-        else:
-            total = np.bincount(inverse, counts, len(found)).astype(np.uint64)
-        cuts = np.cumsum([0, *n])
-        chunk, answer = table.column("chunk").to_pylist(), [pack(total[inverse[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        if summary is not None:
-            chunk, n, answer = [*chunk, -1], [*n, len(found)], [*answer, summary(found, total)]
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "block": pa.array([block] * len(chunk), pa.int64()), "n": pa.array(n, pa.int64()), "answer": pa.array(answer, pa.binary())})
-
-    return sent.groupBy("block").applyInArrow(add, "chunk long, block long, n long, answer binary")
+    return sent.groupBy("block").applyInArrow(lambda t: added(t, low, summary, lowest), ANSWER)
 
 
 def counted(rows: DataFrame, n_chunks: int, keys: Keys, bits: int, summary: Summary | None = None) -> DataFrame:
