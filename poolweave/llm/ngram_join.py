@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .chunks import answers, chunked, counted
 from .graph import components
-from .shared import lower_ascii, mix, read, table, utf8
+from .shared import distinct, lower_ascii, mix, read, table, utf8
 
 N = 5
 PERCENT = 80
@@ -58,7 +58,7 @@ def tokens(texts: list[str | None], n: int = N) -> list[np.ndarray]:
         code = np.full(max(0, len(x) - size + 1) if size else 0, size, np.uint64)
         for k in range(size):
             code = mix(code + h[k : len(h) - size + 1 + k])
-        out.append(np.unique(code))
+        out.append(distinct(code))
     return out
 
 
@@ -87,7 +87,7 @@ def documents(rows: pa.Table, found: pa.Table) -> pa.Table:
     out: list[tuple] = []
     ids, each = rows.column("doc_id").to_pylist(), tokens(rows.column("text").to_pylist())
     if each:
-        keys, df = np.unique(np.concatenate([short(x) for x in each])), answers(found)
+        keys, df = distinct(np.concatenate([short(x) for x in each])), answers(found)
     for doc, x in zip(ids, each, strict=True):
         n = len(x)
         if not n:
