@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,22 @@ def _letters() -> dict[int, int]:
 
 
 LETTERS = _letters()
-_ODD = re.compile(r"\s \s|<\|")
+_ODD = re.compile(r"\s \s")
+#: A space behind white space: without one of these, no space has white space on both sides.
+_PAIRS = [f"{chr(c)} " for c in range(0x3001) if chr(c).isspace()]
+
+
+class Words(dict):
+    """Ids by word; those of a word not met yet are worked out when it is asked for."""
+
+    def __init__(self, word: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.word = word
+
+    def __missing__(self, text: str) -> bytes:
+        out = self[text] = self.word(text)
+        return out
+
 
 
 def default_path() -> str:
@@ -49,7 +65,7 @@ class Encoder:
         self.type = TYPE if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.model, self.code = self.inner.model, "H" if self.type.itemsize == 2 else "I"
         self.pieces: dict[str, bytes] = {}
-        self.seen: dict[str, bytes] = {}
+        self.seen = Words(self.word)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,24 +88,15 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of whole texts; null counts as empty."""
-        texts = ["" if t is None else utf8(t).decode("utf-8", "replace") for t in texts]
+        texts = ["" if t is None else t if t.isascii() else utf8(t).decode("utf-8", "replace") for t in texts]
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
-        seen, pieces, odd, new = self.seen, [], [], set()
-        for i, t in enumerate(texts):
-            if _ODD.search(t):
-                odd.append(i)
-                pieces.append([])
+        get, join, out = self.seen.__getitem__, b"".join, []
+        for t in texts:
+            if "\0" in t or "<|" in t or any(x in t for x in _PAIRS) and _ODD.search(t):
+                out.append(self.ids([t])[0])
             else:
-                pieces.append(p := t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t])
-                new.update(set(p).difference(seen))
-        new = list(new)
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            seen.update(zip(part, map(self.word, part), strict=True))
-        out = [b"".join(map(seen.__getitem__, p)) for p in pieces]
-        for i, ids in zip(odd, self.ids([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+                out.append(join(map(get, t.replace(" ", "\0 ").split("\0"))))
         return out
 
     def with_end(self, texts: list[str | None], end: int) -> list[bytes]:
