@@ -36,7 +36,7 @@ N = 5
 PERCENT = 80
 BITS = 44
 ORDERS = 3
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Pairs of one verification batch, as many as fit a worker's memory with their sets.
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -172,7 +172,8 @@ def links(docs: DataFrame) -> DataFrame:
     lists = table(lists.join(several, "token"), "lists")
     found: DataFrame | None = None
     comps: DataFrame | None = None
-    for turn in range(HUB_ROUNDS + 1):
+    turn = 0
+    while turn <= HUB_ROUNDS:
         rows = table(labelled(lists, comps), "labelled") if comps is not None else labelled(lists, None)
         if turn < HUB_ROUNDS:
             # the hub of a token's list: first the document of the most common tokens (edits make rare ones), then others
@@ -191,8 +192,11 @@ def links(docs: DataFrame) -> DataFrame:
             pairs = met.select(F.col("doc_id").alias("a"), "b").distinct()
         new = table(verify(table(pairs, "pairs"), docs), "links")
         found = new if found is None else found.unionAll(new)
-        if turn < HUB_ROUNDS:
+        if turn < HUB_ROUNDS and new.limit(1).count():
             comps = components(found)
+            turn += 1
+        else:
+            turn = max(turn + 1, HUB_ROUNDS)  # hubs that join nothing more leave the rest to the last round
     return found
 
 
@@ -204,10 +208,10 @@ def join_classes(rows: DataFrame) -> DataFrame:
     docs = table(dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(documents, DOCS), "sets")
     members, reps = classes(docs)
     members = table(members, "members")
-    comps = components(links(table(reps, "representatives")))
+    found = links(table(reps, "representatives"))
     # a repeated doc_id may be in several classes: their links are its own
     same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(same))
+    final = components(found.unionAll(same))
     return docs.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
