@@ -34,9 +34,12 @@ FURNITURE = frozenset("nav header footer aside form menu dialog fieldset".split(
 BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Words in class, id or role that name furniture.
 HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|header|masthead|cookies?|consent|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|reply|disqus|widget|toolbar|pagination|pager|search|contentinfo|complementary|navigation|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|space|banner)|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|header|masthead|cookies?|consent|notices?|alert|disclaimer|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comment\w*|replies|reply|disqus|widget|toolbar|pagination|pager|search|contentinfo|complementary|navigation|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names that only say how a page is laid out, and hints that within an article stand for its own title.
+LAYOUT = re.compile(r"(?:^|\s)(?:has|no|with|without|is|js)[-_]\S*", re.IGNORECASE)
+TITLES = re.compile(r"(?:^|\s)\S*(?:header|masthead)\S*", re.IGNORECASE)
 
 
 @dataclass
@@ -55,18 +58,18 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, unseen, furniture, article: each with what is above
+        self.open: list[tuple[str, bool, int, bool]] = []  # tag, unseen, furniture (1: by name, 2: by tag), article: each with what is above
         self.lines: list[Line] = []
         self.cut()
 
-    def state(self) -> tuple[bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False)
+    def state(self) -> tuple[bool, int, bool]:
+        return self.open[-1][1:] if self.open else (False, 0, False)
 
     def cut(self) -> None:
         _, furniture, article = self.state()
         if self.lines and not self.lines[-1].parts:
             self.lines.pop()
-        self.lines.append(Line(article, furniture))
+        self.lines.append(Line(article, furniture > 0))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -82,8 +85,15 @@ class Lines(HTMLParser):
         named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower() for k, v in attrs)
         is_article = tag in ("article", "main") or "main" in named.lower().split()
-        header = tag == "header" and article
-        self.open.append((tag, unseen or tag in UNSEEN or hidden, furniture or tag in FURNITURE and not header or bool(named and HINTS.search(named) and tag not in ("html", "body")), article or is_article))
+        names = LAYOUT.sub(" ", named)
+        names = TITLES.sub(" ", names) if article else names
+        if is_article:
+            furniture = 2 if furniture == 2 else 0  # an article within a wrapper of an odd name is one all the same
+        elif tag in FURNITURE and not (tag == "header" and article):
+            furniture = 2
+        elif names and HINTS.search(names) and tag not in ("html", "body"):
+            furniture = max(furniture, 1)
+        self.open.append((tag, unseen or tag in UNSEEN or hidden, furniture, article or is_article))
         if tag in BLOCKS:
             self.cut()
         self.lines[-1].tags += 1

@@ -19,6 +19,8 @@ def test_main_text():
     assert html_text.main_text(PAGE) == "Café & bar\nFirst bold line. Same block\nSecond <tag>.\none\ntwo"
     assert html_text.main_text(None) == "" and html_text.main_text("") == "" and html_text.main_text("<nav>x</nav>") == ""
     assert html_text.main_text("<p>cut off in the mid") == "cut off in the mid"
+    page = '<div class="page no-sidebar header-wrap"><article class="post has-sidebar"><div class="entry-header"><h1>T</h1></div><p>Text.</p><div class="comment-list"><p>Hi</p></div></article><aside><article><p>Card</p></article></aside></div>'
+    assert html_text.main_text(page) == "T\nText."
 
 
 def test_unmarked_page_by_ratio():
