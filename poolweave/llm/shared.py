@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 16 << 20
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one, for each application, only
+    where that is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='poolweave-')}"
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='poolweave-')}"
+        found = _OWN[app]
     return found.rstrip("/")
 
 
