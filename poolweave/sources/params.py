@@ -7,7 +7,7 @@ from pathlib import Path
 
 #: The keys of the text, and the field that each sets.
 KEYS = {
-    "In-pool_Gap_Support_Min": "in_pool_gap_min", "All-pool_Gap_Support_Min": "all_pool_gap_min", "Gap_Support_Step": "gap_step",
+    "In-pool_Gap_Support_Min": "in_pool_gap_min", "All-pool_Gap_Support_Min": "all_pool_gap_min", "Gap_Support_Step_Size": "gap_step",
     "Level_1_Region_Size_Min": "level_1_min", "Level_1_Region_Size_Max": "level_1_max", "Level_1_Last_Region_Min": "level_1_last",
     "Level_2_Region_Size_Min": "level_2_min", "Level_2_Region_Size_Max": "level_2_max", "Est_Ind_PerPool": "per_pool",
     "Regional_Global_Freq_Min": "regional_freq_min", "Regional_HapSetSize_Max": "min_keep", "Regional_HapSetSize_Min": "max_keep", "DC_HapSetSize_Rand": "random_share",
