@@ -3,9 +3,10 @@
 The page is fed in slices to the standard library's parser; its events cut the page into lines (one for each block
 element) and count for each line the characters of text and the tags in it. Ratios of text to tags are smoothed over
 neighbouring lines with a Gaussian, and two-means clustering of the smoothed values sets the threshold between
-furniture and content. What the markup itself says is stronger than any ratio: lines inside navigation, header,
-footer, forms and the like, or in an element whose class or role names such a thing, are never content, and where a
-page marks its article, its other lines are content.
+furniture and content. Lines inside navigation, header, footer, forms and the like, or in an element whose class or
+role names such a thing, are never content. An article tag is a prior: its lines need a ratio lower by ARTICLE, and
+lines outside are held to the threshold as on a page without one. Articles named as comments or as something related
+are furniture, and those named as teasers have no prior.
 
 Defined results: a null or empty page, or one without content, has the text "" and n_chars 0; repeated rows are done
 each for itself; truncated or badly nested markup is read as far as it goes.
@@ -27,6 +28,8 @@ from .shared import read
 
 SLICE = 1 << 16
 SIGMA = 1.0
+#: What an article tag adds to the logarithm of a line's ratio of text to tags.
+ARTICLE = 4.0
 #: Elements by what they hold.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template head title iframe object svg math canvas audio video select textarea button datalist".split())
@@ -41,6 +44,13 @@ HINTS = re.compile(
 LAYOUT = re.compile(r"(?:^|\s)(?:has|no|with|without|is|js)[-_]\S*", re.IGNORECASE)
 TITLES = re.compile(r"(?:^|\s)\S*(?:header|masthead)\S*", re.IGNORECASE)
 
+#: Names of what has articles of its own that are not the page's; names that only say whether there are any.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:comment\w*|replies|reply|disqus|related|recommend\w*)(?:$|[\s_-])", re.IGNORECASE)
+STATES = re.compile(r"(?:^|\s)\S*[-_](?:open|closed|enabled|disabled|on|off)(?=\s|$)", re.IGNORECASE)
+#: Names of an article that is one of many, and those that only tell its subject.
+TEASERS = re.compile(r"(?:^|[\s_-])(?:cards?|teasers?|tiles?|preview|excerpt)(?:$|[\s_-])", re.IGNORECASE)
+SUBJECTS = re.compile(r"(?:^|\s)(?:category|tag|topic|type|format|post|status)[-_]\S*", re.IGNORECASE)
+
 
 @dataclass
 class Line:
@@ -87,7 +97,14 @@ class Lines(HTMLParser):
         is_article = tag in ("article", "main") or "main" in named.lower().split()
         names = LAYOUT.sub(" ", named)
         names = TITLES.sub(" ", names) if article else names
-        if is_article:
+        own = SUBJECTS.sub(" ", TITLES.sub(" ", names)) if tag == "article" else ""
+        if OTHERS.search(STATES.sub(" ", own if is_article else names)) and tag not in ("html", "body"):
+            furniture, is_article = 2, False
+        elif HINTS.search(STATES.sub(" ", own)):
+            furniture, is_article = max(furniture, 1), False
+        elif TEASERS.search(own):
+            is_article = False
+        elif is_article:
             furniture = 2 if furniture == 2 else 0  # an article within a wrapper of an odd name is one all the same
         elif tag in FURNITURE and not (tag == "header" and article):
             furniture = 2
@@ -157,10 +174,9 @@ def main_text(html: str | None) -> str:
     lines = [(x, t) for x in parser.lines if (t := x.text())]
     if not lines:
         return ""
-    marked = any(x.article and not x.furniture for x, _ in lines)
     ratio = smooth(np.log1p([0.0 if x.furniture else len(t) / x.tags for x, t in lines]))
     border = threshold(ratio)
-    return "\n".join(t for (x, t), r in zip(lines, ratio, strict=True) if not x.furniture and (x.article if marked else r >= border))
+    return "\n".join(t for (x, t), r in zip(lines, ratio, strict=True) if not x.furniture and r + ARTICLE * x.article >= border)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

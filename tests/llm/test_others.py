@@ -30,6 +30,20 @@ def test_unmarked_page_by_ratio():
     assert all(prose(i, 60) in found for i in range(6)) and "l3\n" not in found
 
 
+def test_articles_of_comments_and_teasers_do_not_replace_the_text():
+    body = "".join(f"<p>Paragraph {i} of the main text, which is long enough to be told from links by its ratio.</p>" for i in range(6))
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>go {i}</a></li>" for i in range(12)) + "</ul>"
+    comments = "<section id=comments><article class=comment><p>A reader's comment that is as long as any paragraph of the main text is.</p></article></section>"
+    want = "\n".join(f"Paragraph {i} of the main text, which is long enough to be told from links by its ratio." for i in range(6))
+    assert html_text.main_text(f"<body>{links}<div class=content>{body}</div>{comments}{links}</body>") == want
+    own = "<article class='comment depth-1'><p>A reader's comment that is as long as any paragraph of the main text is.</p></article>"
+    assert html_text.main_text(f"<body>{links}<div class=content>{body}</div>{own}{links}</body>") == want
+    cards = "<div class=row>" + "<article class=card><ul><li><a href='/x'>More</a></li></ul></article>" * 6 + "</div>"
+    assert html_text.main_text(f"<body>{links}<div class=content>{body}</div>{cards}{links}</body>") == want
+    post = f"<article class='post category-comment tag-related comments-open'><h1>T</h1>{body}</article>"
+    assert html_text.main_text(f"<body>{links}<div class='page comments-open'>{post}</div>{links}</body>") == "T\n" + want
+
+
 def test_extract_keeps_every_page(spark):
     rows = [(1, "u", PAGE, 9), (1, "u", PAGE, 9), (2, None, None, 9), (None, "v", "<p>" + "x " * 200_000, 9)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
