@@ -2,9 +2,11 @@
 
 Words are counted over the whole training part. The most frequent words, and all others by their shape, are the units
 of exchange clustering: each unit moves to the class where the likelihood of class bigrams gains most, until nothing
-moves. The probability of a word is that of its class after the class before, interpolated with the class alone, times
+moves. Then every other word of the training part, however rare, leaves its shape for the class that makes its own left
+and right neighbours' classes most likely, once, and class bigrams are counted again. The probability of a word is that of its class after the class before, interpolated with the class alone, times
 that of the word in its class; both are smoothed. Counts of all words come from chunks.totals, so no table of the
-vocabulary is ever broadcast or collected: the driver sees TOP words, their bigram counts (bounded) and sums.
+vocabulary is ever broadcast or collected: the driver sees TOP words, their bigram counts (bounded) and sums. Counts
+of neighbours' classes go the same way: a chunk sends each of its words once, and gets the words' classes back.
 
 Defined results: a null or blank text is the end token alone; a table without training rows scores every text by
 smoothing only; repeated rows are scored (and counted) each; rows without doc_id are held out of nothing: their
@@ -13,8 +15,9 @@ remainder is undefined, so they train like others.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import answers, chunked, counted
+from .chunks import ANSWER, answers, chunked, counted, low_bits, pack, unpack
 from .shared import lower_ascii, read, table, utf8
 
 FOLDS = 10
 DELTA = 0.1
-TOP, CLASSES, SHAPES, SWEEPS = 512, 40, 64, 8
+TOP, CLASSES, SHAPES = 512, 40, 64
 #: Weight of the class bigram against the class alone.
 BIGRAM = 0.95
 END = b"\n"  # no word can be this; the end token
@@ -54,13 +57,11 @@ def key(word: bytes) -> int:
 
 def chunk_words(texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Sorted keys of the chunk's words, each text's words as places among them, and each text's word count."""
-    ids: dict[bytes, int] = {}
-    get, each = ids.setdefault, []
+    ids: dict[bytes, int] = defaultdict()
+    ids.default_factory = ids.__len__
+    each = []
     for t in texts:
         words = words_of(t)
-        for w in words:
-            if w not in ids:
-                ids[w] = len(ids)
         each.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
     keys = np.fromiter(map(key, ids), np.uint64, len(ids))
     found, place = np.unique(keys, return_inverse=True)
@@ -97,11 +98,12 @@ def block_summary(n_blocks: int) -> "callable":
 class Model:
     """units: key to unit for the top words (others: TOP + shape); cls: unit to class; moves: log10 of class after class.
 
-    mass and kinds: training tokens and different words of each class; total, vocabulary: of all classes.
+    both: class bigrams before words were assigned; mass and kinds: training tokens and different words of each class; total, vocabulary: of all classes.
     """
 
     tops: np.ndarray
     cls: np.ndarray
+    both: np.ndarray
     moves: np.ndarray
     mass: np.ndarray
     kinds: np.ndarray
@@ -114,6 +116,10 @@ class Model:
         hit[hit] = self.tops[at[hit]] == keys[hit]
         return np.where(hit, at, TOP + (keys & SHAPE_MASK).astype(np.int64))
 
+    def start(self) -> int:
+        """Class of the end token, which stands before each text."""
+        return int(self.cls[self.unit(np.array([key(END)], np.uint64))[0]])
+
 
 def gather(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Top words' keys (sorted) and counts; sums and numbers of words by shape."""
@@ -129,8 +135,8 @@ def gather(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.array([k for k, _ in tops], np.uint64), np.array([c for _, c in tops], float), sums, kinds
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Exchange clustering: the class of each unit. bigrams[u, v]: how often v follows u.
+def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Exchange clustering until nothing moves: the class of each unit. bigrams[u, v]: how often v follows u.
 
     The criterion is the sum of n log n over class bigrams, less that over classes as left and as right neighbour.
     """
@@ -146,7 +152,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     np.add.at(into.T, cls, bigrams.T)
     both = np.zeros((classes, classes))
     np.add.at(both, cls, into)
-    for _ in range(sweeps):
+    moved = 1
+    while moved:  # ends: the criterion grows with each move
         moved = 0
         for u in order:
             if not weight[u]:
@@ -177,8 +184,6 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
                 out_of[new] += bigrams[u]
                 into[:, old] -= bigrams[:, u]
                 into[:, new] += bigrams[:, u]
-        if not moved:
-            break
     return cls
 
 
@@ -219,17 +224,131 @@ def fit(rows: DataFrame, summaries: DataFrame) -> Model:
     cls = exchange(bigrams)
     both = np.zeros((CLASSES, CLASSES))
     np.add.at(both, (cls[:, None], cls[None, :]), bigrams)
-    mass, number = np.zeros(TOP + SHAPES), np.zeros(TOP + SHAPES)
-    mass[: len(tops)], number[: len(tops)] = top_counts, 1
-    mass[TOP:], number[TOP:] = sums, kinds
-    top_shape = (tops & SHAPE_MASK).astype(np.int64)
-    mass[TOP:] -= np.bincount(top_shape, top_counts, SHAPES)
-    number[TOP:] -= np.bincount(top_shape, minlength=SHAPES)
+    first = model_of_tops(tops, cls, both, top_counts)
+    return replace(first, total=int(sums.sum()), vocabulary=int(kinds.sum()))
+
+
+def model_of_tops(tops: np.ndarray, cls: np.ndarray, both: np.ndarray, counts: np.ndarray) -> Model:
+    """Mass and number of the top words alone; those of all others follow from their classes."""
+    own = cls[: len(tops)]
+    return Model(tops, cls, both, np.zeros_like(both), np.bincount(own, counts, CLASSES), np.bincount(own, minlength=CLASSES).astype(float), 0, 0)
+
+
+def transitions(both: np.ndarray) -> np.ndarray:
     alone = (both.sum(axis=0) + DELTA) / (both.sum() + DELTA * CLASSES)
     after = both / np.maximum(both.sum(axis=1, keepdims=True), 1)
     weight = np.where(both.sum(axis=1, keepdims=True) > 0, BIGRAM, 0.0)
-    moves = np.log10(weight * after + (1 - weight) * alone[None, :])
-    return Model(tops, cls, moves, np.bincount(cls, mass, CLASSES), np.bincount(cls, number, CLASSES), int(sums.sum()), int(kinds.sum()))
+    return np.log10(weight * after + (1 - weight) * alone[None, :])
+
+
+def in_training(rows: pa.Table, each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the training texts end to end, and where texts start."""
+    own = [x for x, held in zip(each, rows.column("held_out").to_pylist(), strict=True) if not held]
+    words = np.concatenate(own) if own else np.empty(0, np.int64)
+    starts = np.zeros(len(words), bool)
+    starts[np.cumsum([0, *map(len, own[:-1])])[: len(own)]] = True
+    return words, starts
+
+
+def assigned_words(keys: np.ndarray, counts: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of a chunk's words get a class of their own, their different keys without the lowest bits (sorted), and the
+    place of each word among these."""
+    some = (counts > 0) & (model.unit(keys) >= TOP)
+    return some, *np.unique(keys[some] >> WIDTH, return_inverse=True)
+
+
+WIDTH = np.uint64(7)
+SLOTS = 2 * CLASSES  # classes to the left, then those to the right
+NEIGHBOURS = "block long, chunk long, n long, keys binary, sizes binary, slots binary, counts binary"
+
+
+def neighbours(rows: pa.Table, found: pa.Table, model: Model, low: int) -> pa.Table:
+    """NEIGHBOURS of a chunk's words: for each, how often which class stands beside it in the chunk's training texts."""
+    keys, each, _ = chunk_words(rows.column("text").to_pylist())
+    cls = model.cls[model.unit(keys)]
+    some, words, at = assigned_words(keys, answers(found), model)
+    place = np.full(len(keys), -1, np.int64)
+    place[some] = at
+    x, starts = in_training(rows, each)
+    p, c = place[x], cls[x]
+    left = np.concatenate([[0], c[:-1]])[: len(c)]
+    left[starts] = model.start()
+    inner = (p[:-1] >= 0) & ~starts[1:]
+    pairs = np.concatenate([(p * SLOTS + left)[p >= 0], (p[:-1] * SLOTS + CLASSES + c[1:])[inner]])
+    pairs, n = np.unique(pairs, return_counts=True)
+    sizes = np.bincount(pairs // SLOTS, minlength=len(words))
+    block = (words >> np.uint64(low)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1)) if len(block) else np.zeros(1, np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        i, j = ends[a], ends[b]
+        out.append((int(block[a]), int(b - a), pack(np.diff(words[a:b], prepend=words[a : a + 1] >> np.uint64(low) << np.uint64(low))), pack(sizes[a:b]), pack(pairs[i:j] % SLOTS), pack(n[i:j])))
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    block_, n_, *rest = (pa.array(v, t) for v, t in zip(columns, types, strict=True))
+    chunk = pa.array([rows.column("chunk")[0].as_py() if rows.num_rows else 0] * len(out), pa.int64())
+    return pa.table(dict(zip(("block", "chunk", "n", "keys", "sizes", "slots", "counts"), (block_, chunk, n_, *rest), strict=True)))
+
+
+def gains(both: np.ndarray) -> np.ndarray:
+    """What a neighbour of each slot says for each class, as a logarithm; classes without tokens take no words."""
+    mass = both.sum(axis=0)
+    size = np.log(mass + DELTA * CLASSES)
+    return np.concatenate([np.log(both + DELTA) - size, np.log(both.T + DELTA) - size]) + np.where(mass > 0, 0.0, -1e6)
+
+
+def best_classes(sent: pa.Table, low: int, gain: np.ndarray) -> pa.Table:
+    """ANSWER to NEIGHBOURS of one block: the class of each word; chunk -1: mass and number of words of each class."""
+    block, rows = sent.column("block")[0].as_py(), sent.to_pylist()
+    base = np.uint64(block) << np.uint64(low)
+    words, inverse = np.unique(np.concatenate([base + np.cumsum(unpack(r["keys"], r["n"])) for r in rows]), return_inverse=True)
+    cuts, pairs, counts = np.cumsum([0, *(r["n"] for r in rows)]), [], []
+    for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True):
+        sizes = unpack(r["sizes"], r["n"]).astype(np.int64)
+        m = int(sizes.sum())
+        pairs.append(np.repeat(inverse[a:b], sizes) * SLOTS + unpack(r["slots"], m).astype(np.int64))
+        counts.append(unpack(r["counts"], m))
+    pairs, at = np.unique(np.concatenate(pairs), return_inverse=True)
+    n = np.bincount(at, np.concatenate(counts), len(pairs))
+    word, slot = pairs // SLOTS, pairs % SLOTS
+    ends, cls = np.searchsorted(word, np.arange(len(words) + 1)), np.zeros(len(words), np.int64)
+    for a in range(0, len(words), 8192):
+        b = min(a + 8192, len(words))
+        table = np.zeros((b - a, SLOTS))
+        part = slice(ends[a], ends[b])
+        table[word[part] - a, slot[part]] = n[part]
+        cls[a:b] = (table @ gain).argmax(axis=1)
+    mass = np.bincount(cls[word[slot < CLASSES]], n[slot < CLASSES], CLASSES)
+    summary = np.concatenate([mass, np.bincount(cls, minlength=CLASSES)]).astype("<u8").tobytes()
+    answer = [pack(cls[inverse[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    chunk = [*(r["chunk"] for r in rows), -1]
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "block": pa.array([block] * len(chunk), pa.int64()), "n": pa.array([*(r["n"] for r in rows), len(words)], pa.int64()), "answer": pa.array([*answer, summary], pa.binary())})
+
+
+def word_classes(keys: np.ndarray, counts: np.ndarray, found: pa.Table, model: Model) -> np.ndarray:
+    """The class of each of a chunk's words. found: what came back to the chunk."""
+    cls = model.cls[model.unit(keys)]
+    some, _, at = assigned_words(keys, counts, model)
+    cls[some] = answers(of_kind(found, 1)).astype(np.int64)[at]
+    return cls
+
+
+def of_kind(found: pa.Table, kind: int) -> pa.Table:
+    """0: counts of words, 1: their classes."""
+    return found.filter(pa.array(np.asarray(found.column("kind")) == kind))
+
+
+def class_bigrams(rows: pa.Table, found: pa.Table, model: Model) -> pa.Table:
+    """pair, n: how often class follows class in the training texts of a chunk."""
+    keys, each, _ = chunk_words(rows.column("text").to_pylist())
+    cls = word_classes(keys, answers(of_kind(found, 0)), found, model)
+    x, starts = in_training(rows, each)
+    left = np.concatenate([[0], cls[x][:-1]])[: len(x)]
+    left[starts] = model.start()
+    counts = np.bincount(left * CLASSES + cls[x], minlength=CLASSES * CLASSES)
+    at = np.flatnonzero(counts)
+    return pa.table({"pair": pa.array(at, pa.int64()), "n": pa.array(counts[at], pa.int64())})
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -240,11 +359,11 @@ def score_chunk(rows: pa.Table, found: pa.Table, model: Model) -> pa.Table:
     if not rows.num_rows:
         return pa.table({n: pa.array([], t) for n, t in zip((x.split()[0] for x in SCHEMA.split(", ")), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
     keys, each, sizes = chunk_words(rows.column("text").to_pylist())
-    counts = answers(found).astype(float)
+    counts = answers(of_kind(found, 0)).astype(float)
     base = np.log10((counts + DELTA) / (model.total + DELTA * (model.vocabulary + 1)))
-    cls = model.cls[model.unit(keys)]
+    cls = word_classes(keys, counts, found, model)
     word = np.log10((counts + DELTA) / (model.mass[cls] + DELTA * (model.kinds[cls] + 1)))
-    start = int(model.cls[model.unit(np.array([key(END)], np.uint64))[0]])
+    start = model.start()
     known, low, high = [], [], []
     for x in each:
         c = cls[x]
@@ -264,13 +383,27 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", remainder(F.col("doc_id")) == 0)
     dealt, n = chunked(rows)
     found = table(counted(dealt, n, count_keys, 64, block_summary(n)), "counts")
-    model = fit(rows, found.where("chunk = -1"))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return score_chunk(left, right, held.value)
-
-    return dealt.groupBy("chunk").cogroup(found.where("chunk >= 0").groupBy("chunk")).applyInArrow(run, SCHEMA)
+    spark, low = docs.sparkSession, low_bits(n, 64 - int(WIDTH))
+    first = fit(rows, found.where("chunk = -1"))
+    clustered, gain = spark.sparkContext.broadcast(first), gains(first.both)
+    counts = found.where("chunk >= 0")
+    sent = dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(lambda left, right: neighbours(left, right, clustered.value, low), NEIGHBOURS)
+    classes = table(sent.groupBy("block").applyInArrow(lambda t: best_classes(t, low, gain), ANSWER), "classes")
+    known = counts.withColumn("kind", F.lit(0)).unionByName(classes.where("chunk >= 0").withColumn("kind", F.lit(1)))
+    met = dealt.groupBy("chunk").cogroup(known.groupBy("chunk"))
+    model = refit(first, classes, met.applyInArrow(lambda left, right: class_bigrams(left, right, clustered.value), "pair long, n long"))
+    held = spark.sparkContext.broadcast(model)  # of fixed size
+    return met.applyInArrow(lambda left, right: score_chunk(left, right, held.value), SCHEMA)
+
+
+def refit(first: Model, classes: DataFrame, bigrams: DataFrame) -> Model:
+    """The model after words were assigned: CLASSES numbers of each block and CLASSES squared sums come to the driver."""
+    both, extra = np.zeros(CLASSES * CLASSES), np.zeros(2 * CLASSES)
+    for r in bigrams.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        both[r["pair"]] = r["n"]
+    for r in classes.where("chunk = -1").select("answer").collect():
+        extra += np.frombuffer(bytes(r["answer"]), "<u8")
+    return replace(first, moves=transitions(both.reshape(CLASSES, CLASSES)), mass=first.mass + extra[:CLASSES], kinds=first.kinds + extra[CLASSES:])
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

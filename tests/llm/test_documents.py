@@ -156,6 +156,51 @@ def test_exchange_finds_two_languages():
     assert len(set(cls[:20])) == 1 and len(set(cls[20:])) == 1 and cls[0] != cls[20]
 
 
+def test_words_beyond_the_top_get_classes_of_their_own(spark, monkeypatch):
+    r, models = np.random.default_rng(2), []
+    fit_again = language_model.refit
+    monkeypatch.setattr(language_model, "refit", lambda *a: models.append((a[1], fit_again(*a))) or models[-1][1])
+    frequent = [f"q{i:03d}a" if i % 2 else f"q{i:03d}b" for i in range(600)]
+    texts = [" ".join(w for i in r.integers(0, 300, 40) for w in ((frequent[2 * i], f"rare{int(r.integers(0, 400)):04d}x") if side else (frequent[2 * i + 1], f"seldom{int(r.integers(0, 400)):04d}x"))) for side in (0, 1) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert language_model.score(docs).count() == 300
+    classes, model = models[0]
+    # every training token and word lies in one class, and far more words than the top ones were dealt on their own
+    assert model.mass.sum() == model.total and model.kinds.sum() == model.vocabulary
+    assert sum(x.n for x in classes.where("chunk = -1").collect()) == model.vocabulary - len(model.tops) > 300
+
+
+def test_word_classes_against_plain_counts():
+    r = np.random.default_rng(4)
+    first = language_model.Model(np.array(sorted(language_model.key(w) for w in (b"a", b"b", b"c", b"\n")), np.uint64), r.integers(0, 4, language_model.TOP + language_model.SHAPES), None, None, None, None, 0, 0)
+    both = np.zeros((language_model.CLASSES,) * 2)
+    both[:4, :4] = r.integers(1, 1000, (4, 4))
+    gain, chunks = language_model.gains(both), [[" ".join(r.choice(["a", "b", "c", *(f"w{i}z" for i in range(30))], 50)) for _ in range(5)] for _ in range(3)]
+    seen, sent, cls = Counter(t for c in chunks for x in c for t in [*x.encode().split(), b"\n"]), [], lambda w: int(first.cls[first.unit(np.array([language_model.key(w)], np.uint64))[0]])
+    known = []
+    for k, texts in enumerate(chunks):
+        rows = language_model.pa.table({"text": texts, "held_out": [False] * 5, "chunk": [k] * 5})
+        keys = language_model.chunk_words(texts)[0]
+        count = {language_model.key(w): n for w, n in seen.items()}
+        found = language_model.pa.table({"block": [0], "n": [len(keys)], "answer": [language_model.pack(np.array([count[int(x)] for x in keys], np.uint64))]})
+        sent.append(language_model.neighbours(rows, found, first, 57))
+        known.append((keys, np.array([count[int(x)] for x in keys])))
+    out = language_model.best_classes(language_model.pa.concat_tables(sent), 57, gain)
+    want = {}
+    for w in (w for w in seen if len(w) > 1):
+        total = np.zeros(language_model.CLASSES)
+        for t in (t for c in chunks for t in c):
+            x = [b"\n", *t.encode().split(), b"\n"]
+            for i in (i for i, y in enumerate(x) if y == w):
+                total += gain[cls(x[i - 1])] + gain[language_model.CLASSES + cls(x[i + 1])]
+        want[language_model.key(w)] = int(total.argmax())
+    for k, (keys, counts) in enumerate(known):
+        back = out.filter(language_model.pa.array([x == k for x in out.column("chunk").to_pylist()])).append_column("kind", language_model.pa.array([1]))
+        got = dict(zip(keys.tolist(), language_model.word_classes(keys, counts, back, first).tolist(), strict=True))
+        assert {x: c for x, c in got.items() if x in want} == {x: c for x, c in want.items() if x in got}
+    assert len(set(want.values())) > 1
+
+
 HOSTILE = ["a  b", "a   b", "a \n b\t c", " lead", "trail ", "tr  ", "\x1c x", "it's 's x'sure", "a\n \nb", "", "\xa0 \xa0x", "x  y", "12 34 5", "<|endoftext|> a", "² ½x é… æ. 漢字。 ß", "a\0b c", "!! a!! #b", "naïve façade 😀 x", "tabs\t\tx  \n\n y"]
 
 
