@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import colouring, em, frequency, haplotypes, linkage, regions, regression
@@ -32,15 +33,34 @@ def pool_drafts(calls: DataFrame, sites: int, cap: int = frequency.COPY_CAP, mos
     return colouring.draft_haplotypes(colouring.consensus(colours, sites), most_unknown)
 
 
-def region_haplotypes(freq: DataFrame, drafts: DataFrame, plan: DataFrame, p: Parameters) -> DataFrame:
-    """level, region, hap, freq: EM for each region, pruned; regions where it breaks down fall back to drafts' slices."""
+def region_haplotypes(calls: DataFrame, drafts: DataFrame, plan: DataFrame, p: Parameters) -> DataFrame:
+    """level, region, hap, freq: EM for each region, pruned; regions where it breaks down are regressed on drafts' slices."""
+    freq = frequency.site_frequency(calls)
     limits = em.EmLimits(p.per_pool, p.em_rounds, p.em_tolerance, p.em_least)
     solved = kept(em.solved_regions(freq, plan, limits))
-    failed = solved.groupBy("level", "region").agg(F.max(F.isnan("freq").cast("int")).alias("bad")).where("bad = 1").join(plan, ["level", "region"])
-    slices = drafts.crossJoin(F.broadcast(failed)).groupBy("level", "region", F.expr("substring(hap, int(first_site) + 1, int(last_site - first_site) + 1)").alias("hap")).agg(F.sum("n").cast("double").alias("freq"))
-    slices = haplotypes.renormalised(slices, "level", "region")
+    failed = solved.groupBy("level", "region").agg(F.max(F.isnan("freq").cast("int")).alias("bad")).where("bad = 1").drop("bad").join(plan, ["level", "region"])
     good = solved.join(failed.select("level", "region"), ["level", "region"], "left_anti")
-    return haplotypes.adaptive(good.unionByName(slices), p.regional_freq_min, p.min_keep, p.max_keep, p.top_ties, p.random_picks, by=("level", "region"))
+    good = haplotypes.adaptive(good, p.regional_freq_min, p.min_keep, p.max_keep, p.top_ties, p.random_picks, by=("level", "region"))
+    broken = failed.orderBy("level", "region").collect()  # regions are few
+    return good.unionByName(regional_lasso(calls, drafts, broken, p)) if broken else good
+
+
+def regional_lasso(calls: DataFrame, drafts: DataFrame, broken: list[Row], p: Parameters) -> DataFrame:
+    """level, region, hap, freq: drafts' slices regressed on frequencies and linkage, both means over pools, by the same
+    ladder as a pool's; pruned by the rule for regional regressions (K2). A pair of sites needs a pool that covers it."""
+    spark, out = calls.sparkSession, []
+    everywhere = F.lit(0).cast("long").alias("pool")
+    freq = kept(frequency.site_frequency(calls).groupBy("site").agg(F.avg("freq").alias("freq")).select(everywhere, "site", "freq"))
+    pairs = kept(linkage.pooled_linkage(linkage.pair_linkage(calls)).select(everywhere, "l1", "l2", "p11"))
+    for r in broken:
+        a, b = int(r["first_site"]), int(r["last_site"])
+        haps = kept(drafts.select(F.substring("hap", a + 1, b - a + 1).alias("hap")).distinct())
+        inside = freq.where(F.col("site").between(a, b)).withColumn("site", F.col("site") - a)
+        linked = pairs.where(F.col("l1").between(a, b) & F.col("l2").between(a, b)).withColumns({"l1": F.col("l1") - a, "l2": F.col("l2") - a})
+        found = fitted(haps, inside, linked, p, [0])
+        out.append(found.select(F.lit(r["level"]).cast("long").alias("level"), F.lit(r["region"]).cast("long").alias("region"), "hap", "freq"))
+    rows = haplotypes.renormalised(reduce(DataFrame.unionByName, out), "level", "region")
+    return haplotypes.adaptive(rows, p.regional_freq_min, p.min_keep, p.max_keep, p.top_ties, None, p.random_share, by=("level", "region"))
 
 
 def linked_regions(region_haps: DataFrame, plan: DataFrame, sites: int, p: Parameters) -> DataFrame:
@@ -56,20 +76,25 @@ def linked_regions(region_haps: DataFrame, plan: DataFrame, sites: int, p: Param
     return haplotypes.pool_shares(drafts).select("hap", "freq")
 
 
-def pool_lasso(haps: DataFrame, calls: DataFrame, p: Parameters, pools: list[int]) -> DataFrame:
-    """pool, hap, freq: each pool's regression on the candidate haplotypes, rare ones dropped, made to sum to 1."""
-    spark = calls.sparkSession
-    rows = kept(regression.design(haps, frequency.site_frequency(calls), linkage.pair_linkage(calls), regression.Weights(p.weight_one, p.weight_site, p.weight_pair)))
+def fitted(haps: DataFrame, freq: DataFrame, pairs: DataFrame, p: Parameters, pools: list[int]) -> DataFrame:
+    """pool, hap, freq: coefficients of each pool's regression on all of haps; none below 0."""
+    rows = kept(regression.design(haps, freq, pairs, regression.Weights(p.weight_one, p.weight_site, p.weight_pair)))
     names = [r["hap"] for r in haps.select("hap").distinct().orderBy("hap").collect()]  # a configuration's haplotypes
     ladder = regression.Ladder(p.penalty, p.penalty_step, p.least_r2, least=p.local_freq_min)
-    return haplotypes.pruned(regression.pool_frequencies(spark, rows, names, pools, ladder).select("pool", "hap", "freq"), p.local_freq_min, "pool")
+    found = regression.pool_frequencies(haps.sparkSession, rows, names, pools, ladder)
+    return found.select("pool", "hap", F.greatest("freq", F.lit(0.0)).alias("freq"))
+
+
+def pool_lasso(haps: DataFrame, calls: DataFrame, p: Parameters, pools: list[int]) -> DataFrame:
+    """pool, hap, freq: each pool's regression on the candidate haplotypes, rare ones dropped, made to sum to 1."""
+    return haplotypes.pruned(fitted(haps, frequency.site_frequency(calls), linkage.pair_linkage(calls), p, pools), p.local_freq_min, "pool")
 
 
-def reconstruct(calls: DataFrame, sites: int, p: Parameters = Parameters(), most_candidates: int = 400) -> DataFrame:
+def reconstruct(calls: DataFrame, sites: int, p: Parameters = Parameters()) -> DataFrame:
     """hap, pool, freq, mean_freq: every haplotype found in any pool, in every pool.
 
     Long genomes go by regions (a plan from the gaps of the drafts); those of one region at most go straight to the
-    merged drafts. most_candidates: the regression takes so many candidate haplotypes, the most frequent ones with ties.
+    merged drafts. Every haplotype found is a candidate of every pool's regression.
     """
     spark = calls.sparkSession
     calls = kept(calls)
@@ -80,9 +105,9 @@ def reconstruct(calls: DataFrame, sites: int, p: Parameters = Parameters(), most
     one, two = regions.plan(gaps, sites, plan_limits(p))
     if len(one) > 1:
         plan = regions.region_table(spark, (one, two))
-        found = linked_regions(region_haplotypes(frequency.site_frequency(calls), drafts, plan, p), plan, sites, p)
+        found = linked_regions(region_haplotypes(calls, drafts, plan, p), plan, sites, p)
     else:
         found = haplotypes.merged_pools(shares, pools).groupBy("hap").agg(F.max("mean_freq").alias("freq"))
-    candidates = kept(haplotypes.top_with_ties(found, most_candidates).select("hap"))
+    candidates = kept(found.select("hap"))
     names = sorted(r["pool"] for r in pools.collect())
     return haplotypes.merged_pools(kept(pool_lasso(candidates, calls, p, names)), pools)

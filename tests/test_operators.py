@@ -58,6 +58,34 @@ def test_reconstruction_finds_planted_haplotypes(truth):
     assert len(planted_ones & set(top)) >= 3
 
 
+def test_every_draft_is_a_candidate(spark, truth, monkeypatch):
+    """Of 500 drafts also the rarest one."""
+    own = "111111000000"
+    many = [format(i, "012b") for i in range(500) if format(i, "012b") != own]
+    drafts = spark.createDataFrame([(p, h, "", 10_000) for h in many for p in (0, 1)] + [(3, own, "", 1), (3, "0" * 12, "", 10**6)], "pool long, hap string, links string, n long")
+    monkeypatch.setattr(reconstruct, "pool_drafts", lambda calls, sites: drafts)
+    seen = []
+    monkeypatch.setattr(reconstruct, "pool_lasso", lambda haps, calls, p, pools: seen.append({r.hap for r in haps.collect()}) or spark.createDataFrame([(0, own, 1.0)], "pool long, hap string, freq double"))
+    reconstruct.reconstruct(truth[2], SITES)
+    assert own in seen[0] and seen[0] >= set(many)
+
+
+def test_a_region_without_em_is_regressed(spark, monkeypatch):
+    names, copies = ("010101010101", "101010101010", "001100110011"), ((5, 3, 2), (1, 3, 6))
+    rows = [(p, p * 100 + 20 * i + j, s, int(h[s])) for p, each in enumerate(copies) for i, (h, n) in enumerate(zip(names, each, strict=True)) for j in range(n) for s in range(SITES)]
+    calls = spark.createDataFrame(rows, "pool long, read_id long, site long, allele long")
+    # drafts' counts are far from the shares: only a regression can find these
+    drafts = spark.createDataFrame([(0, h, "", n) for h, n in zip(names, (1, 1, 998), strict=True)], "pool long, hap string, links string, n long")
+    plan = regions.region_table(spark, ([(0, 5), (6, 11)], []))
+    broken = spark.createDataFrame([(1, k, "0" * 6, float("nan")) for k in (0, 1)], "level long, region long, hap string, freq double")
+    monkeypatch.setattr(em, "solved_regions", lambda *a: broken)
+    found = reconstruct.region_haplotypes(calls, drafts, plan, params.Parameters(penalty=0.0)).toPandas()
+    for k in (0, 1):
+        got = found[found.region == k].set_index("hap")["freq"]
+        assert sorted(got.index) == sorted(h[6 * k : 6 * k + 6] for h in names)
+        assert all(abs(got[h[6 * k : 6 * k + 6]] - share) < 0.02 for h, share in zip(names, (0.3, 0.3, 0.4), strict=True))
+
+
 def test_colouring_is_valid_and_counts_copies():
     r = np.random.default_rng(1)
     mask, bits = r.integers(1, 64, 60), r.integers(0, 64, 60)
