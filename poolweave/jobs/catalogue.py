@@ -320,6 +320,14 @@ def lasso_design(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("pool", "block", "l1", "l2", r9("label").alias("label"), F.array_join(F.transform("features", lambda x: x.cast("int").cast("string")), ",").alias("features"))
 
 
+@query()
+def lasso_design_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The design over all sites, all pairs and all haplotypes; lasso_design is its part of the first region."""
+    calls = bridge.calls(spark, d)
+    rows = regression.design(bridge.haps(spark, d), frequency.site_frequency(calls), linkage.pair_linkage(calls))
+    return rows.select("pool", "block", "l1", "l2", r9("label").alias("label"), F.array_join(F.transform("features", lambda x: x.cast("int").cast("string")), ",").alias("features"))
+
+
 @query("SELECT true AS r2_at_most_1, true AS recovered, true AS penalised_fit_is_worse")
 def lasso_fit_check(spark: SparkSession, d: str) -> DataFrame:
     """Labels made from known frequencies give them back without a penalty; with one the fit is no better."""
