@@ -1,120 +1,213 @@
-"""Corpus-wide counts of keys that are far too many to shuffle one by one (shingles, byte windows, rare words).
+"""Corpus-wide totals of keys that are far too many to shuffle one by one (shingles, byte windows, words).
 
 Documents are dealt into chunks by a hash. Each chunk sends each of its different keys once, with its own count, packed
-into one row for each block of the key space; a block adds up and sends every chunk its totals, in the order in which
+into one row for each part of the key space; a part adds up and sends every chunk its totals, in the order in which
 the chunk sent its keys. The chunk's documents and its totals then meet again. A key that a third of all documents
-hold is one entry for each chunk, never one for each document, so no task grows with a hot key; rows are at most as
-many as different keys of all chunks.
+hold is one entry for each chunk, never one for each document, so no task grows with a hot key.
+
+A chunk cuts its keys into FAN parts at most, whatever the corpus, so the rows sent grow with the chunks and not with
+their square. Beyond FAN chunks a part would outgrow a task; there, groups of FAN chunks add up first, each group cuts
+every part once more, and answers come back the same way.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunk_count, new_path
+from .shared import chunk_count, new_path, table
 
 CHUNK = 8 << 20
+#: Parts of the key space that a chunk sends to at most, and chunks that a part hears directly; a power of two.
+FAN = 1024
 #: keys (sorted, unique, uint64) and counts of a chunk's documents.
 Keys = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 Summary = Callable[[np.ndarray, np.ndarray], bytes]
+#: From the keys of a part and their totals to what is answered for each key.
+Final = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers as byte planes, without planes that are all zero."""
-    x = np.ascontiguousarray(values, "<u8")
-    planes = 1 if not len(x) else max(1, (int(x.max()).bit_length() + 7) // 8)
-    return x.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+    """Unsigned integers as byte planes without those that are all zero (first byte: how many), or, where that is much
+    shorter, seven bits to a byte, the high bit saying that the number goes on (first byte: 0)."""
+    x = np.ascontiguousarray(values).astype("<u8")
+    planes = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    if planes > 2 and 4 * (seven := len(x) + sum(int((x >= np.uint64(1 << 7 * k)).sum()) for k in range(1, min(10, planes + 2)))) < 3 * planes * len(x):
+        size = np.ones(len(x), np.int64)
+        for k in range(1, planes + 2):
+            size += x >= np.uint64(1 << min(63, 7 * k))
+        at, out = np.cumsum(size) - size, np.zeros(seven, np.uint8)
+        for k in range(int(size.max())):
+            on = np.flatnonzero(size > k)
+            out[at[on] + k] = ((x[on] >> np.uint64(7 * k)) & np.uint64(127)) | ((size[on] > k + 1).astype(np.uint64) << np.uint64(7))
+        return b"\0" + out.tobytes()
+    return bytes([planes]) + x.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
 
 
 def unpack(data: bytes, count: int) -> np.ndarray:
-    out = np.zeros((count, 8), np.uint8)
-    if count:
-        planes = np.frombuffer(data, np.uint8).reshape(-1, count)
-        out[:, : len(planes)] = planes.T
-    return out.view("<u8").ravel()
+    raw = np.frombuffer(data, np.uint8, offset=1)
+    if data[0]:
+        out = np.zeros((count, 8), np.uint8)
+        if count:
+            out[:, : data[0]] = raw.reshape(-1, count).T
+        return out.view("<u8").ravel()
+    last = np.flatnonzero(raw < 128)
+    first = np.concatenate([[0], last[:-1] + 1])
+    size, found = last - first + 1, np.zeros(count, np.uint64)
+    for k in range(int(size.max())):
+        on = np.flatnonzero(size > k)
+        found[on] |= (raw[first[on] + k].astype(np.uint64) & np.uint64(127)) << np.uint64(7 * k)
+    return found
+
+
+def dealt(rows: DataFrame, text: str = "text") -> tuple[DataFrame, int, int]:
+    """rows with `chunk`, by a hash of all columns; the number of chunks, and of partitions to hold them."""
+    spark = rows.sparkSession
+    least, n = int(spark.conf.get("spark.sql.shuffle.partitions")), chunk_count(rows, text, CHUNK)
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    buckets, n = min(most, max(least, -(-n // 2))), max(least, n)
+    return rows.withColumn("chunk", F.pmod(F.xxhash64(*(f"`{c}`" for c in rows.columns)), F.lit(n))), n, buckets
 
 
-def chunked(rows: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
-    """rows with `chunk`, and the number of chunks. Written once, bucketed by chunk: later passes read it as it lies,
-    with no shuffle of texts however often they come back to them."""
+def bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows written once, bucketed by chunk: later passes read them as they lie, however often they come back."""
     spark = rows.sparkSession
-    least, n = int(spark.conf.get("spark.sql.shuffle.partitions")), chunk_count(rows, text, CHUNK)
-    buckets, n = max(least, -(-n // 2)), max(least, n)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(*rows.columns), F.lit(n)))
-    name = f"chunks_{uuid.uuid4().hex}"
-    dealt.repartition(buckets, "chunk").write.option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
-    return spark.table(name), n
+    path = new_path(spark, "chunks", catalogue=True)
+    name = path.rpartition("/")[2]
+    rows.repartition(buckets, "chunk").write.option("compression", "zstd").option("path", path).bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
+    return spark.table(name)
+
 
+def chunked(rows: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+    """rows with `chunk`, bucketed by it, and the number of chunks."""
+    found, n, buckets = dealt(rows, text)
+    return bucketed(found, buckets), n
+
+
+#: checks: of each key a second hash of what it stands for (32 bits each), or nothing.
+SENT = "block long, chunk long, n long, keys binary, counts binary, checks binary"
 
-SENT = "block long, chunk long, n long, keys binary, counts binary"
+
+def bits_for(n: int) -> int:
+    return max(1, (n - 1).bit_length())
 
 
 def low_bits(n_chunks: int, bits: int) -> int:
-    """A block is a value of the bits above these."""
-    return bits - max(1, (n_chunks - 1).bit_length())
+    """A part (block) is a value of the bits above these."""
+    return bits - bits_for(min(n_chunks, FAN))
 
 
-def message(chunk: int, found: np.ndarray, counts: np.ndarray, low: int) -> pa.Table:
+def message(chunk: int, found: np.ndarray, counts: np.ndarray, low: int, checks: np.ndarray | None = None) -> pa.Table:
     """What a chunk sends: SENT, a row for each block. found: sorted, unique."""
     block = found >> np.uint64(low)
     starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(found) else np.empty(0, np.int64)
     ends = np.append(starts[1:], len(found)) if len(starts) else starts
-    packed, weights = [], []
+    packed, weights, second = [], [], []
     for a, b in zip(starts, ends, strict=True):
-        own = found[a:b]
-        packed.append(pack(np.diff(own, prepend=block[a] << np.uint64(low))))
+        packed.append(pack(np.diff(found[a:b], prepend=block[a] << np.uint64(low))))
         weights.append(pack(counts[a:b]))
-    return pa.table({"block": pa.array(block[starts].astype(np.int64)), "chunk": pa.array([chunk] * len(starts), pa.int64()), "n": pa.array((ends - starts).astype(np.int64)), "keys": pa.array(packed, pa.binary()), "counts": pa.array(weights, pa.binary())})
+        second.append(b"" if checks is None else checks[a:b].astype("<u4").tobytes())
+    return pa.table({"block": pa.array(block[starts].astype(np.int64)), "chunk": pa.array([chunk] * len(starts), pa.int64()), "n": pa.array((ends - starts).astype(np.int64)), "keys": pa.array(packed, pa.binary()), "counts": pa.array(weights, pa.binary()), "checks": pa.array(second, pa.binary())})
 
 
 ANSWER = "chunk long, block long, n long, answer binary"
 
 
-def added(table: pa.Table, low: int, summary: Summary | None = None, lowest: bool = False) -> pa.Table:
-    """ANSWER to all that was sent to one block."""
-    block = table.column("block")[0].as_py()
-    n = table.column("n").to_pylist()
-    base = np.uint64(block) << np.uint64(low)
-    each = [base + np.cumsum(unpack(k, m)) for k, m in zip(table.column("keys").to_pylist(), n, strict=True)]
+@dataclass
+class Gathered:
+    """What was sent to one block: its keys, their totals and checks, the place among them of each key sent, and keys in each row."""
+
+    keys: np.ndarray
+    total: np.ndarray
+    checks: np.ndarray | None
+    inverse: np.ndarray
+    n: list[int]
+
+
+def gathered(rows: pa.Table, low: int, lowest: bool) -> Gathered:
+    """Keys that came with different checks stand for different things: their total is 0, and with lowest, counts are 1 at
+    least, so that 0 says so."""
+    n = rows.column("n").to_pylist()
+    base = np.uint64(rows.column("block")[0].as_py()) << np.uint64(low)
+    each = [base + np.cumsum(unpack(k, m)) for k, m in zip(rows.column("keys").to_pylist(), n, strict=True)]
     found, inverse = np.unique(np.concatenate(each), return_inverse=True)
-    counts = np.concatenate([unpack(c, m) for c, m in zip(table.column("counts").to_pylist(), n, strict=True)])
+    counts = np.concatenate([unpack(c, m) for c, m in zip(rows.column("counts").to_pylist(), n, strict=True)])
     if lowest:
         total = np.full(len(found), np.iinfo(np.uint64).max, np.uint64)
         np.minimum.at(total, inverse, counts)
     else:
         total = np.bincount(inverse, counts, len(found)).astype(np.uint64)
-    cuts = np.cumsum([0, *n])
-    chunk, answer = table.column("chunk").to_pylist(), [pack(total[inverse[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    if summary is not None:
-        chunk, n, answer = [*chunk, -1], [*n, len(found)], [*answer, summary(found, total)]
-    return pa.table({"chunk": pa.array(chunk, pa.int64()), "block": pa.array([block] * len(chunk), pa.int64()), "n": pa.array(n, pa.int64()), "answer": pa.array(answer, pa.binary())})
+    checks = None
+    if second := b"".join(rows.column("checks").to_pylist()):
+        sent = np.frombuffer(second, "<u4")
+        checks = np.zeros(len(found), "<u4")
+        checks[inverse] = sent
+        total[inverse[checks[inverse] != sent]] = 0
+    return Gathered(found, total, checks, inverse, n)
+
+
+def answered(rows: pa.Table, values: np.ndarray, got: Gathered) -> pa.Table:
+    cuts = np.cumsum([0, *got.n])
+    answer = [pack(values[got.inverse[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"chunk": rows.column("chunk"), "block": rows.column("block"), "n": pa.array(got.n, pa.int64()), "answer": pa.array(answer, pa.binary())})
+
+
+def added(rows: pa.Table, low: int, summary: Summary | None = None, lowest: bool = False, final: Final | None = None) -> pa.Table:
+    """ANSWER to all that was sent to one block."""
+    got = gathered(rows, low, lowest)
+    out = answered(rows, got.total if final is None else final(got.keys, got.total), got)
+    if summary is None:
+        return out
+    block = rows.column("block")[0].as_py()
+    return pa.concat_tables([out, pa.table({"chunk": pa.array([-1], pa.int64()), "block": pa.array([block], pa.int64()), "n": pa.array([len(got.keys)], pa.int64()), "answer": pa.array([summary(got.keys, got.total)], pa.binary())})])
+
+
+def merged(rows: pa.Table, low: int, fine: int, lowest: bool) -> pa.Table:
+    """SENT by a group of chunks: what they sent to one block, added up and cut into finer blocks."""
+    got = gathered(rows, low, lowest)
+    return message(rows.column("team")[0].as_py(), got.keys, got.total, fine, got.checks)
+
+
+def forwarded(rows: pa.Table, back: pa.Table, low: int, lowest: bool) -> pa.Table:
+    """ANSWER to the chunks of a group, from what came back to the group for one block."""
+    return answered(rows, answers(back), gathered(rows, low, lowest))
 
 
-def totals(sent: DataFrame, low: int, summary: Summary | None = None, lowest: bool = False) -> DataFrame:
-    """chunk, block, n, answer: packed totals (or the lowest values) of the keys that the chunk sent to the block, in their order.
+def totals(sent: DataFrame, n_chunks: int, bits: int, summary: Summary | None = None, lowest: bool = False, final: Final | None = None) -> DataFrame:
+    """chunk, block, n, answer: packed totals (or the lowest values, or what final makes of them) of the keys below
+    2 ** bits that the chunk sent to the block, in their order.
 
-    With summary, one more row for each block: chunk -1, and summary(keys, totals).
+    With summary, one more row for each part that is added up: chunk -1, and summary(keys, totals).
     """
-    return sent.groupBy("block").applyInArrow(lambda t: added(t, low, summary, lowest), ANSWER)
+    low, fan = low_bits(n_chunks, bits), FAN
+    if n_chunks <= fan:
+        return sent.groupBy("block").applyInArrow(lambda t: added(t, low, summary, lowest, final), ANSWER)
+    teams = -(-n_chunks // fan)
+    finer = bits_for(teams)
+    sent = table(sent.withColumn("team", F.pmod(F.xxhash64("chunk"), F.lit(teams))), "messages")
+    up = sent.groupBy("team", "block").applyInArrow(lambda t: merged(t, low, low - finer, lowest), SENT)
+    far = table(up.groupBy("block").applyInArrow(lambda t: added(t, low - finer, summary, lowest, final), ANSWER), "totals")
+    back = far.where("chunk >= 0").withColumn("part", F.shiftright("block", finer))
+    down = sent.groupBy("team", "block").cogroup(back.groupBy("chunk", "part")).applyInArrow(lambda a, b: forwarded(a, b, low, lowest), ANSWER)
+    return down.unionAll(far.where("chunk = -1"))
 
 
 def counted(rows: DataFrame, n_chunks: int, keys: Keys, bits: int, summary: Summary | None = None) -> DataFrame:
     """totals of the keys (below 2 ** bits) of every chunk of rows."""
     low = low_bits(n_chunks, bits)
 
-    def send(table: pa.Table) -> pa.Table:
-        return message(table.column("chunk")[0].as_py(), *keys(table), low)
+    def send(part: pa.Table) -> pa.Table:
+        return message(part.column("chunk")[0].as_py(), *keys(part), low)
 
-    return totals(rows.groupBy("chunk").applyInArrow(send, SENT), low, summary)
+    return totals(rows.groupBy("chunk").applyInArrow(send, SENT), n_chunks, bits, summary)
 
 
-def answers(table: pa.Table) -> np.ndarray:
+def answers(rows: pa.Table) -> np.ndarray:
     """All totals of one chunk, aligned with its sorted keys."""
-    rows = sorted(zip(table.column("block").to_pylist(), table.column("n").to_pylist(), table.column("answer").to_pylist(), strict=True))
-    return np.concatenate([unpack(a, n) for _, n, a in rows]) if rows else np.empty(0, np.uint64)
+    found = sorted(zip(rows.column("block").to_pylist(), rows.column("n").to_pylist(), rows.column("answer").to_pylist(), strict=True))
+    return np.concatenate([unpack(a, n) for _, n, a in found]) if found else np.empty(0, np.uint64)

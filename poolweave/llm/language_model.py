@@ -1,23 +1,30 @@
-"""Class-based n-gram language model (Brown classes).
+"""Class-based n-gram language model (Brown classes) by distributed exchange clustering.
 
-Words are counted over the whole training part. The most frequent words, and all others by their shape, are the units
-of exchange clustering: each unit moves to the class where the likelihood of class bigrams gains most, until nothing
-moves. Then every other word of the training part, however rare, leaves its shape for the class that makes its own left
-and right neighbours' classes most likely, once, and class bigrams are counted again. The probability of a word is that of its class after the class before, interpolated with the class alone, times
-that of the word in its class; both are smoothed. Counts of all words come from chunks.totals, so no table of the
-vocabulary is ever broadcast or collected: the driver sees TOP words, their bigram counts (bounded) and sums. Counts
-of neighbours' classes go the same way: a chunk sends each of its words once, and gets the words' classes back.
+Every word of the training part gets a class of its own by exchange: a word moves to the class that the classes beside
+it make most likely, with its own counts taken out of its present class. A sweep is one pass over the corpus: chunks
+count for each of their words how often which class stands beside it, counts of a word meet in one block, the block
+chooses, and the word's class goes back to the chunks that hold it. Class bigrams, of fixed size, are all that is
+gathered on the driver and sent to every task. Clustering goes from coarse to fine: the CLASSES most frequent words
+start as a class each; every sweep takes in GROWTH times as many words, down to those seen once; then sweeps go on over
+all words until those that move hold less than SETTLED of the tokens, at most LAST times. In a sweep, half of the words
+that have a class may move, so that words which attract each other do not change places for ever.
+
+The probability of a word is that of its class after the class before, interpolated with the class alone, times that of
+the word in its class, smoothed as the base model is: each class keeps DELTA for a word it has not seen. An unknown
+word has no class; its probability is summed over all classes, and the word behind it is judged by its class alone.
+
+Texts are split once: a chunk's words are kept as places in its sorted list of words, and later passes read these.
 
 Defined results: a null or blank text is the end token alone; a table without training rows scores every text by
 smoothing only; repeated rows are scored (and counted) each; rows without doc_id are held out of nothing: their
-remainder is undefined, so they train like others.
+remainder is undefined, so they train like others; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,385 +32,365 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ANSWER, answers, chunked, counted, low_bits, pack, unpack
-from .shared import lower_ascii, read, table, utf8
+from .chunks import SENT, answers, bucketed, dealt, low_bits, message, pack, totals, unpack
+from .shared import lower_ascii, read, scratch, table, utf8
 
 FOLDS = 10
 DELTA = 0.1
-TOP, CLASSES, SHAPES = 512, 40, 64
+CLASSES = 64
 #: Weight of the class bigram against the class alone.
 BIGRAM = 0.95
+GROWTH, SETTLED, LAST = 12, 0.05, 3
 END = b"\n"  # no word can be this; the end token
-SHAPE_MASK = np.uint64(SHAPES - 1)
+#: A key of a sweep is a word's hash and a slot: a class to its left, a class to its right, or the class it has now.
+WIDTH = np.uint64(8)
+SIDES, SLOTS = 2 * CLASSES, 3 * CLASSES + 1
 
 
 def words_of(text: str | None) -> list[bytes]:
     return [*lower_ascii(utf8(text)).split(), END]
 
 
-def shape(word: bytes) -> int:
-    """One of SHAPES groups, by the word's end, its length and its last letters; rare words share what these tell."""
-    if word == END:
-        return SHAPES - 1
-    last = word[-1:]
-    marked = 0 if last.isalnum() else 1 if word[-1] >= 0x80 else 2 if last in b".!?" else 3
-    return marked * 15 + (sum(word.rstrip(b".,!?;:")[-3:]) + 2 * min(len(word), 12)) % 15 if marked < 3 else 45 + word[-1] % 15
-
-
-def key(word: bytes) -> int:
-    """64-bit hash whose lowest bits are the word's shape."""
-    return xxhash.xxh64_intdigest(word) & ~(SHAPES - 1) | shape(word)
-
-
-def chunk_words(texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Sorted keys of the chunk's words, each text's words as places among them, and each text's word count."""
+def chunk_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted 64-bit keys of the chunk's words, all texts' words end to end as places among them, and each text's count."""
     ids: dict[bytes, int] = defaultdict()
     ids.default_factory = ids.__len__
     each = []
     for t in texts:
         words = words_of(t)
         each.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-    keys = np.fromiter(map(key, ids), np.uint64, len(ids))
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids))
     found, place = np.unique(keys, return_inverse=True)
-    return found, [place[x] for x in each], np.array([len(x) for x in each], np.int64)
-
-
-def count_keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Training counts of all words of a chunk; words of held-out texts only count 0."""
-    found, each, _ = chunk_words(rows.column("text").to_pylist())
-    counts = np.zeros(len(found), np.int64)
-    for x, held in zip(each, rows.column("held_out").to_pylist(), strict=True):
-        if not held:
-            counts += np.bincount(x, minlength=len(found)) if len(x) * 8 > len(found) else 0
-            if len(x) * 8 <= len(found):
-                np.add.at(counts, x, 1)
-    return found, counts
-
-
-def block_summary(n_blocks: int) -> "callable":
-    """Packs what the driver needs of a block: its most frequent words, and for each shape the sum and number of words."""
-    most = min(TOP, 16 + 8 * TOP // n_blocks)
-
-    def run(keys: np.ndarray, counts: np.ndarray) -> bytes:
-        top = np.argsort(counts, kind="stable")[::-1][:most]
-        shapes = (keys & SHAPE_MASK).astype(np.int64)
-        sums = np.bincount(shapes, counts, SHAPES).astype(np.uint64)
-        kinds = np.bincount(shapes[counts > 0], minlength=SHAPES).astype(np.uint64)
-        return np.concatenate([sums, kinds, keys[top], counts[top]]).astype("<u8").tobytes()
+    return found, place[np.concatenate(each)], np.array([len(x) for x in each], np.int64)
+
+
+#: One row for each chunk: its documents, their words, and (from the second table on) the words' counts in the corpus.
+CHUNKS = "chunk long, n_docs long, n_words long, n_tokens long, ids binary, valid binary, held binary, sizes binary, places binary, words binary, counts binary"
+END_KEY = np.uint64(xxhash.xxh64_intdigest(END))
+
+
+def encoded(rows: pa.Table) -> pa.Table:
+    """CHUNKS of one chunk of documents; counts: in its own training texts."""
+    ids, held = rows.column("doc_id").to_pylist(), np.array(rows.column("held_out").to_pylist(), bool)
+    keys, places, sizes = chunk_words(rows.column("text").to_pylist())
+    counts = np.bincount(places[np.repeat(~held, sizes)], minlength=len(keys))
+    row = {
+        "chunk": rows.column("chunk")[0].as_py(), "n_docs": len(ids), "n_words": len(keys), "n_tokens": len(places),
+        "ids": np.array([0 if x is None else x for x in ids], "<i8").tobytes(), "valid": np.array([x is not None for x in ids], np.uint8).tobytes(),
+        "held": held.astype(np.uint8).tobytes(), "sizes": pack(sizes), "places": pack(places), "words": pack(np.diff(keys, prepend=np.uint64(0))), "counts": pack(counts),
+    }
+    return pa.Table.from_pylist([row], schema=pa.schema([(n, pa.int64() if t == "long" else pa.binary()) for n, t in (x.split() for x in CHUNKS.split(", "))]))
+
+
+class Chunk:
+    """A row of CHUNKS unpacked."""
+
+    def __init__(self, row: dict) -> None:
+        self.chunk = row["chunk"]
+        self.keys = np.cumsum(unpack(row["words"], row["n_words"]), dtype=np.uint64)
+        self.counts = unpack(row["counts"], row["n_words"]).astype(np.int64)
+        self.places = unpack(row["places"], row["n_tokens"]).astype(np.int64)
+        self.sizes = unpack(row["sizes"], row["n_docs"]).astype(np.int64)
+        self.ids, self.valid, self.held = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["valid"], np.uint8) > 0, np.frombuffer(row["held"], np.uint8) > 0
+
+    def lefts(self) -> np.ndarray:
+        """The word before each word; the end token stands before each text."""
+        out = np.empty_like(self.places)
+        out[1:] = self.places[:-1]
+        out[np.cumsum(self.sizes) - self.sizes] = np.searchsorted(self.keys, END_KEY)
+        return out
+
+    def training(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the training texts, and the words before them."""
+        own = np.repeat(~self.held, self.sizes)
+        return self.places[own], self.lefts()[own]
+
+    def words(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words occur `least` times in the corpus, their hashes (sorted, less WIDTH bits), and the place of each."""
+        some = self.counts >= least
+        return some, *np.unique(self.keys[some] >> WIDTH, return_inverse=True)
+
+    def classes(self, found: pa.Table, least: int) -> np.ndarray:
+        """Each word's class by the answers to a sweep that took words of `least` occurrences; -1 where it has none."""
+        some, words, at = self.words(least)
+        states = answers(found)
+        states = states[states > 0].astype(np.int64) - 1
+        if len(states) != len(words):
+            raise ValueError(f"{len(states)} classes for {len(words)} words")
+        cls = np.full(len(self.keys), -1, np.int64)
+        cls[some] = states[at]
+        return cls
+
+    def anchored(self, anchors: np.ndarray) -> np.ndarray:
+        """Classes of the first sweep: one for each of the most frequent words. anchors: sorted keys."""
+        at = np.minimum(np.searchsorted(anchors, self.keys), len(anchors) - 1)
+        return np.where(anchors[at] == self.keys, at, -1)
+
+
+def class_pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How often class follows class, as one vector; words without a class count nowhere."""
+    ok = (left >= 0) & (right >= 0)
+    return np.bincount(left[ok] * CLASSES + right[ok], minlength=CLASSES * CLASSES)
+
+
+def neighbours(c: Chunk, cls: np.ndarray, least: int, low: int) -> pa.Table:
+    """SENT: for each word of `least` occurrences how often which class stands beside it, and its own class; and, in block
+    -1, the chunk's class bigrams."""
+    some, words, at = c.words(least)
+    place = np.full(len(c.keys), -1, np.int64)
+    place[some] = at
+    x, before = c.training()
+    keys = []
+    for word, other, side in ((x, before, 0), (before, x, CLASSES)):
+        ok = (place[word] >= 0) & (cls[other] >= 0)
+        keys.append(place[word[ok]] * SLOTS + side + cls[other[ok]])
+    state = np.zeros(len(words), np.int64)
+    state[at] = cls[some] + 1
+    keys.append(np.arange(len(words)) * SLOTS + SIDES + state)
+    every = np.concatenate(keys)
+    if len(words) * SLOTS < 1 << 24:
+        counts = np.bincount(every, minlength=0)
+        pairs = np.flatnonzero(counts)
+        counts = counts[pairs]
+    else:
+        pairs, counts = np.unique(every, return_counts=True)
+    sent = message(c.chunk, (words[pairs // SLOTS] << WIDTH) | (pairs % SLOTS).astype(np.uint64), counts, low)
+    bigrams = pack(class_pairs(cls[before], cls[x]))
+    return pa.concat_tables([sent, pa.table({"block": pa.array([-1], pa.int64()), "chunk": pa.array([c.chunk], pa.int64()), "n": pa.array([CLASSES * CLASSES], pa.int64()), "keys": pa.array([b""], pa.binary()), "counts": pa.array([bigrams], pa.binary()), "checks": pa.array([b""], pa.binary())})])
+
+
+def added_up(vectors: DataFrame, size: int) -> np.ndarray:
+    """Sum of packed vectors (column v, and part to spread them by); 64 rows at most reach the driver."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.uint64)
+        for v in rows.column("v"):
+            total += unpack(v.as_py(), size)
+        return pa.table({"v": pa.array([pack(total)], pa.binary())})
+
+    rows = vectors.select("v", F.pmod(F.xxhash64("part"), F.lit(64)).alias("salt")).groupBy("salt").applyInArrow(add, "v binary").collect()
+    return sum((unpack(bytes(r["v"]), size) for r in rows), np.zeros(size, np.uint64)).astype(np.int64)
+
+
+def chosen(keys: np.ndarray, counts: np.ndarray, both: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of a block: class before (-1: none) and after, tokens, and which of keys tells a word's present class.
+
+    A move gains, to first order, the sum over neighbours of the logarithm of class pairs against what the two classes
+    would give by chance; its own tokens do not speak for the class that a word is in.
+    """
+    word, slot = keys >> WIDTH, (keys & np.uint64((1 << int(WIDTH)) - 1)).astype(np.int64)
+    state = slot >= SIDES
+    found, at = np.unique(word, return_inverse=True)
+    old = np.full(len(found), -1, np.int64)
+    old[at[state]] = slot[state] - SIDES - 1
+    from_, to = both.sum(axis=1), both.sum(axis=0)
+    log, log_from, log_to = np.log(both + DELTA), np.log(from_ + DELTA * CLASSES), np.log(to + DELTA * CLASSES)
+    new, mass = old.copy(), np.zeros(len(found), np.int64)
+    ends = np.searchsorted(at, np.arange(len(found) + 1))
+    for a in range(0, len(found), 4096):
+        b = min(a + 4096, len(found))
+        part = slice(ends[a], ends[b])
+        seen = np.zeros((b - a, SLOTS))
+        seen[at[part] - a, slot[part]] = counts[part]
+        left, right = seen[:, :CLASSES], seen[:, CLASSES:SIDES]
+        n_left, n_right = left.sum(axis=1), right.sum(axis=1)
+        gain = right @ log.T + left @ log - np.outer(n_right, log_from) - np.outer(n_left, log_to)
+        gain[:, from_ + to == 0] = -np.inf
+        k = np.flatnonzero(old[a:b] >= 0)
+        o, r, l = old[a + k], right[k], left[k]  # noqa: E741
+        less = lambda x, y: np.log(np.maximum(x - y, 0) + DELTA)
+        gain[k, o] = (r * less(both[o], r)).sum(axis=1) + (l * less(both[:, o].T, l)).sum(axis=1)
+        gain[k, o] -= n_right[k] * np.log(np.maximum(from_[o] - n_right[k], 0) + DELTA * CLASSES) + n_left[k] * np.log(np.maximum(to[o] - n_left[k], 0) + DELTA * CLASSES)
+        own = old[a:b]
+        may = (own < 0) | (((found[a:b] >> np.uint64(13)) ^ np.uint64(turn)) & np.uint64(1) == 0)
+        new[a:b] = np.where(may, gain.argmax(axis=1), own)
+        mass[a:b] = n_left
+    return old, new, mass, state
+
+
+def counts_summary(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Of a block: tokens and words in training, words by the bit length of their count, and its most frequent words."""
+    size = np.zeros(len(counts), np.int64)
+    for k in range(64):
+        size += counts >= np.uint64(1 << k)
+    top = np.argsort(counts, kind="stable")[::-1][:CLASSES]
+    numbers = np.concatenate([[int(counts.sum()), int((counts > 0).sum())], np.bincount(size, minlength=65)]).astype("<u8")
+    return np.concatenate([numbers, keys[top], counts[top]]).astype("<u8").tobytes()
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """tokens and words of the training part; sizes[k]: words of at least 2 ** k occurrences; anchors: keys, sorted."""
+
+    tokens: int
+    words: int
+    sizes: np.ndarray
+    anchors: np.ndarray
+
+    def steps(self) -> list[int]:
+        """Least counts of words that sweeps take in: GROWTH times as many words each time, at last all."""
+        out, k = [], CLASSES
+        for bit in range(63, 0, -1):
+            if self.sizes[bit] >= GROWTH * k:
+                out.append(1 << bit)
+                k = int(self.sizes[bit])
+        return [*out, 1]
+
+
+def vocabulary(found: DataFrame) -> Vocabulary:
+    """From the blocks' summaries, added up on Spark: a few numbers and CLASSES words reach the driver."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                v = np.frombuffer(x.as_py(), "<u8").astype(np.int64)
+                top = v[67:].reshape(2, -1)
+                what = np.concatenate([np.arange(67), np.full(top.shape[1], 67)])
+                yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(np.concatenate([np.zeros(67, np.int64), top[0]])), pa.array(np.concatenate([v[:67], top[1]]))], names=["what", "key", "n"])
 
-    return run
+    numbers = found.where("chunk = -1").select("answer").mapInArrow(rows, "what long, key long, n long")
+    sums = {r["what"]: r["n"] for r in numbers.where("what < 67").groupBy("what").agg(F.sum("n").alias("n")).collect()}
+    top = numbers.where("what = 67 AND n > 0").orderBy(F.desc("n"), "key").limit(CLASSES).collect()
+    by_size = np.array([sums.get(2 + k, 0) for k in range(1, 65)])  # by bit length 1 to 64
+    return Vocabulary(sums.get(0, 0), sums.get(1, 0), np.cumsum(by_size[::-1])[::-1], np.sort(np.array([r["key"] for r in top], np.int64).astype(np.uint64)))
 
 
-@dataclass
+@dataclass(frozen=True)
 class Model:
-    """units: key to unit for the top words (others: TOP + shape); cls: unit to class; moves: log10 of class after class.
-
-    both: class bigrams before words were assigned; mass and kinds: training tokens and different words of each class; total, vocabulary: of all classes.
-    """
+    """moves[c, d]: probability of class d after c (row CLASSES: after an unknown word); mass and kinds: tokens and words
+    of each class; total and words: of the training part."""
 
-    tops: np.ndarray
-    cls: np.ndarray
-    both: np.ndarray
     moves: np.ndarray
     mass: np.ndarray
     kinds: np.ndarray
     total: int
-    vocabulary: int
-
-    def unit(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.tops, keys)
-        hit = at < len(self.tops)
-        hit[hit] = self.tops[at[hit]] == keys[hit]
-        return np.where(hit, at, TOP + (keys & SHAPE_MASK).astype(np.int64))
-
-    def start(self) -> int:
-        """Class of the end token, which stands before each text."""
-        return int(self.cls[self.unit(np.array([key(END)], np.uint64))[0]])
-
-
-def gather(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Top words' keys (sorted) and counts; sums and numbers of words by shape."""
-    sums, kinds, tops = np.zeros(SHAPES), np.zeros(SHAPES), []
-    for b in blocks:
-        x = np.frombuffer(b, "<u8")
-        sums += x[:SHAPES]
-        kinds += x[SHAPES : 2 * SHAPES]
-        rest = x[2 * SHAPES :].reshape(2, -1)
-        tops += [(-int(c), int(k)) for k, c in rest.T if c > 0]
-        tops = sorted(tops)[:TOP]
-    tops = sorted((k, -c) for c, k in tops)
-    return np.array([k for k, _ in tops], np.uint64), np.array([c for _, c in tops], float), sums, kinds
+    words: int
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """Exchange clustering until nothing moves: the class of each unit. bigrams[u, v]: how often v follows u.
-
-    The criterion is the sum of n log n over class bigrams, less that over classes as left and as right neighbour.
-    """
-    size = len(bigrams)
-    weight = bigrams.sum(axis=0) + bigrams.sum(axis=1)
-    order = np.argsort(-weight, kind="stable")
-    cls = np.empty(size, np.int64)
-    cls[order] = np.minimum(np.arange(size), classes - 1) if size <= classes else np.arange(size) % classes
-    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
-    out_of = np.zeros((classes, size))  # class -> unit
-    np.add.at(out_of, cls, bigrams)
-    into = np.zeros((size, classes))
-    np.add.at(into.T, cls, bigrams.T)
-    both = np.zeros((classes, classes))
-    np.add.at(both, cls, into)
-    moved = 1
-    while moved:  # ends: the criterion grows with each move
-        moved = 0
-        for u in order:
-            if not weight[u]:
-                continue
-            old, own = cls[u], bigrams[u, u]
-            right, left = into[u].copy(), out_of[:, u].copy()  # counts to and from classes, u in its old class
-            right[old] -= own
-            left[old] -= own
-            rest = both.copy()
-            rest[old, :] -= right
-            rest[:, old] -= left
-            rest[old, old] -= own
-            r, c = rest.sum(axis=1), rest.sum(axis=0)
-            f = xlogx(rest)
-            gain = (xlogx(rest + right[None, :]) - f).sum(axis=1) + (xlogx(rest + left[:, None]) - f).sum(axis=0)
-            d = np.diag(rest)
-            gain += xlogx(d + right + left + own) - xlogx(d + right) - xlogx(d + left) + xlogx(d)
-            a, b = right.sum() + own, left.sum() + own
-            gain -= xlogx(r + a) - xlogx(r) + xlogx(c + b) - xlogx(c)
-            new = int(gain.argmax())
-            if new != old and gain[new] > gain[old] + 1e-9:
-                cls[u], moved = new, moved + 1
-                both = rest
-                both[new, :] += right
-                both[:, new] += left
-                both[new, new] += own
-                out_of[old] -= bigrams[u]
-                out_of[new] += bigrams[u]
-                into[:, old] -= bigrams[:, u]
-                into[:, new] += bigrams[:, u]
-    return cls
-
-
-def bigram_counts(rows: DataFrame, tops: np.ndarray) -> np.ndarray:
-    """How often unit follows unit in training texts (the end stands before each text). One narrow pass, then a sum by
-    pair of units; at most (TOP + SHAPES) squared rows, whatever the input, reach the driver."""
-    size = TOP + SHAPES
-    first = TOP + SHAPES - 1  # the unit of the end token unless it is a top word
-    held = rows.sparkSession.sparkContext.broadcast(tops)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops, seen, counts = held.value, {}, np.zeros(size * size, np.int64)
-        known = {int(k): i for i, k in enumerate(tops)}
-        start = known.get(key(END), first)
-        for b in batches:
-            for t in b.column(0):
-                words = words_of(t.as_py())
-                for w in words:
-                    if w not in seen:
-                        k = key(w)
-                        seen[w] = known.get(k, TOP + (k & (SHAPES - 1)))
-                units = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-                np.add.at(counts, np.concatenate([[start], units[:-1]]) * size + units, 1)
-                if len(seen) > 400_000:
-                    seen.clear()
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
-
-    found = rows.where("NOT held_out").select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size * size)
-    out[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(float)
-    return out.reshape(size, size)
-
-
-def fit(rows: DataFrame, summaries: DataFrame) -> Model:
-    tops, top_counts, sums, kinds = gather([bytes(r["answer"]) for r in summaries.select("answer").collect()])
-    bigrams = bigram_counts(rows, tops)
-    cls = exchange(bigrams)
-    both = np.zeros((CLASSES, CLASSES))
-    np.add.at(both, (cls[:, None], cls[None, :]), bigrams)
-    first = model_of_tops(tops, cls, both, top_counts)
-    return replace(first, total=int(sums.sum()), vocabulary=int(kinds.sum()))
-
-
-def model_of_tops(tops: np.ndarray, cls: np.ndarray, both: np.ndarray, counts: np.ndarray) -> Model:
-    """Mass and number of the top words alone; those of all others follow from their classes."""
-    own = cls[: len(tops)]
-    return Model(tops, cls, both, np.zeros_like(both), np.bincount(own, counts, CLASSES), np.bincount(own, minlength=CLASSES).astype(float), 0, 0)
-
-
-def transitions(both: np.ndarray) -> np.ndarray:
+def model_of(both: np.ndarray, mass: np.ndarray, kinds: np.ndarray, total: int, words: int) -> Model:
+    both = both.reshape(CLASSES, CLASSES).astype(float)
     alone = (both.sum(axis=0) + DELTA) / (both.sum() + DELTA * CLASSES)
     after = both / np.maximum(both.sum(axis=1, keepdims=True), 1)
     weight = np.where(both.sum(axis=1, keepdims=True) > 0, BIGRAM, 0.0)
-    return np.log10(weight * after + (1 - weight) * alone[None, :])
-
-
-def in_training(rows: pa.Table, each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Words of the training texts end to end, and where texts start."""
-    own = [x for x, held in zip(each, rows.column("held_out").to_pylist(), strict=True) if not held]
-    words = np.concatenate(own) if own else np.empty(0, np.int64)
-    starts = np.zeros(len(words), bool)
-    starts[np.cumsum([0, *map(len, own[:-1])])[: len(own)]] = True
-    return words, starts
-
+    return Model(np.vstack([weight * after + (1 - weight) * alone, alone]), mass, kinds, total, words)
 
-def assigned_words(keys: np.ndarray, counts: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which of a chunk's words get a class of their own, their different keys without the lowest bits (sorted), and the
-    place of each word among these."""
-    some = (counts > 0) & (model.unit(keys) >= TOP)
-    return some, *np.unique(keys[some] >> WIDTH, return_inverse=True)
 
-
-WIDTH = np.uint64(7)
-SLOTS = 2 * CLASSES  # classes to the left, then those to the right
-NEIGHBOURS = "block long, chunk long, n long, keys binary, sizes binary, slots binary, counts binary"
-
-
-def neighbours(rows: pa.Table, found: pa.Table, model: Model, low: int) -> pa.Table:
-    """NEIGHBOURS of a chunk's words: for each, how often which class stands beside it in the chunk's training texts."""
-    keys, each, _ = chunk_words(rows.column("text").to_pylist())
-    cls = model.cls[model.unit(keys)]
-    some, words, at = assigned_words(keys, answers(found), model)
-    place = np.full(len(keys), -1, np.int64)
-    place[some] = at
-    x, starts = in_training(rows, each)
-    p, c = place[x], cls[x]
-    left = np.concatenate([[0], c[:-1]])[: len(c)]
-    left[starts] = model.start()
-    inner = (p[:-1] >= 0) & ~starts[1:]
-    pairs = np.concatenate([(p * SLOTS + left)[p >= 0], (p[:-1] * SLOTS + CLASSES + c[1:])[inner]])
-    pairs, n = np.unique(pairs, return_counts=True)
-    sizes = np.bincount(pairs // SLOTS, minlength=len(words))
-    block = (words >> np.uint64(low)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1)) if len(block) else np.zeros(1, np.int64)
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    out = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        i, j = ends[a], ends[b]
-        out.append((int(block[a]), int(b - a), pack(np.diff(words[a:b], prepend=words[a : a + 1] >> np.uint64(low) << np.uint64(low))), pack(sizes[a:b]), pack(pairs[i:j] % SLOTS), pack(n[i:j])))
-    columns = list(zip(*out, strict=True)) or [()] * 6
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    block_, n_, *rest = (pa.array(v, t) for v, t in zip(columns, types, strict=True))
-    chunk = pa.array([rows.column("chunk")[0].as_py() if rows.num_rows else 0] * len(out), pa.int64())
-    return pa.table(dict(zip(("block", "chunk", "n", "keys", "sizes", "slots", "counts"), (block_, chunk, n_, *rest), strict=True)))
-
-
-def gains(both: np.ndarray) -> np.ndarray:
-    """What a neighbour of each slot says for each class, as a logarithm; classes without tokens take no words."""
-    mass = both.sum(axis=0)
-    size = np.log(mass + DELTA * CLASSES)
-    return np.concatenate([np.log(both + DELTA) - size, np.log(both.T + DELTA) - size]) + np.where(mass > 0, 0.0, -1e6)
-
-
-def best_classes(sent: pa.Table, low: int, gain: np.ndarray) -> pa.Table:
-    """ANSWER to NEIGHBOURS of one block: the class of each word; chunk -1: mass and number of words of each class."""
-    block, rows = sent.column("block")[0].as_py(), sent.to_pylist()
-    base = np.uint64(block) << np.uint64(low)
-    words, inverse = np.unique(np.concatenate([base + np.cumsum(unpack(r["keys"], r["n"])) for r in rows]), return_inverse=True)
-    cuts, pairs, counts = np.cumsum([0, *(r["n"] for r in rows)]), [], []
-    for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True):
-        sizes = unpack(r["sizes"], r["n"]).astype(np.int64)
-        m = int(sizes.sum())
-        pairs.append(np.repeat(inverse[a:b], sizes) * SLOTS + unpack(r["slots"], m).astype(np.int64))
-        counts.append(unpack(r["counts"], m))
-    pairs, at = np.unique(np.concatenate(pairs), return_inverse=True)
-    n = np.bincount(at, np.concatenate(counts), len(pairs))
-    word, slot = pairs // SLOTS, pairs % SLOTS
-    ends, cls = np.searchsorted(word, np.arange(len(words) + 1)), np.zeros(len(words), np.int64)
-    for a in range(0, len(words), 8192):
-        b = min(a + 8192, len(words))
-        table = np.zeros((b - a, SLOTS))
-        part = slice(ends[a], ends[b])
-        table[word[part] - a, slot[part]] = n[part]
-        cls[a:b] = (table @ gain).argmax(axis=1)
-    mass = np.bincount(cls[word[slot < CLASSES]], n[slot < CLASSES], CLASSES)
-    summary = np.concatenate([mass, np.bincount(cls, minlength=CLASSES)]).astype("<u8").tobytes()
-    answer = [pack(cls[inverse[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    chunk = [*(r["chunk"] for r in rows), -1]
-    return pa.table({"chunk": pa.array(chunk, pa.int64()), "block": pa.array([block] * len(chunk), pa.int64()), "n": pa.array([*(r["n"] for r in rows), len(words)], pa.int64()), "answer": pa.array([*answer, summary], pa.binary())})
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def word_classes(keys: np.ndarray, counts: np.ndarray, found: pa.Table, model: Model) -> np.ndarray:
-    """The class of each of a chunk's words. found: what came back to the chunk."""
-    cls = model.cls[model.unit(keys)]
-    some, _, at = assigned_words(keys, counts, model)
-    cls[some] = answers(of_kind(found, 1)).astype(np.int64)[at]
-    return cls
+def score_chunk(c: Chunk, cls: np.ndarray, model: Model) -> pa.Table:
+    """Both scores of a chunk's texts."""
+    base = np.log10((c.counts + DELTA) / (model.total + DELTA * (model.words + 1)))
+    size = model.mass + DELTA * (model.kinds + 1)
+    known = c.counts > 0
+    word = (c.counts + DELTA) / size[cls]
+    unknown = model.moves @ (DELTA / size)
+    left, x = c.lefts(), c.places
+    after = np.where(known[left], cls[left], CLASSES)
+    p = np.log10(np.where(known[x], model.moves[after, cls[x]] * word[x], unknown[after]))
+    starts = np.cumsum(c.sizes) - c.sizes
+    return pa.table({
+        "doc_id": pa.array(c.ids, mask=~c.valid), "held_out": pa.array(c.held), "n_tokens": pa.array(c.sizes), "n_known": pa.array(np.add.reduceat(known[x].astype(np.int64), starts)),
+        "train_tokens": pa.array(np.full(len(starts), model.total)), "base_score": pa.array(np.add.reduceat(base[x], starts)), "score": pa.array(np.add.reduceat(p, starts)),
+    })
 
 
-def of_kind(found: pa.Table, kind: int) -> pa.Table:
-    """0: counts of words, 1: their classes."""
-    return found.filter(pa.array(np.asarray(found.column("kind")) == kind))
+def remainder(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(FOLDS), F.lit(-1))
 
 
-def class_bigrams(rows: pa.Table, found: pa.Table, model: Model) -> pa.Table:
-    """pair, n: how often class follows class in the training texts of a chunk."""
-    keys, each, _ = chunk_words(rows.column("text").to_pylist())
-    cls = word_classes(keys, answers(of_kind(found, 0)), found, model)
-    x, starts = in_training(rows, each)
-    left = np.concatenate([[0], cls[x][:-1]])[: len(x)]
-    left[starts] = model.start()
-    counts = np.bincount(left * CLASSES + cls[x], minlength=CLASSES * CLASSES)
-    at = np.flatnonzero(counts)
-    return pa.table({"pair": pa.array(at, pa.int64()), "n": pa.array(counts[at], pa.int64())})
+def counted_chunks(rows: DataFrame) -> tuple[DataFrame, Vocabulary, int]:
+    """The corpus as CHUNKS with counts over the corpus, its vocabulary, and the number of chunks."""
+    found, n, buckets = dealt(rows)
+    own = table(found.repartition(buckets, "chunk").groupBy("chunk").applyInArrow(encoded, CHUNKS), "encoded")
+    low = low_bits(n, 64)
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                keys = np.cumsum(unpack(r["words"], r["n_words"]), dtype=np.uint64)
+                yield from message(r["chunk"], keys, unpack(r["counts"], r["n_words"]), low).to_batches()
 
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        return left.set_column(left.schema.get_field_index("counts"), "counts", pa.array([pack(answers(right))] if left.num_rows else [], pa.binary()))
 
+    sums = table(totals(own.select("chunk", "n_words", "words", "counts").mapInArrow(send, SENT), n, 64, counts_summary), "counts")
+    whole = own.groupBy("chunk").cogroup(sums.where("chunk >= 0").groupBy("chunk")).applyInArrow(settle, CHUNKS)
+    return bucketed(whole, buckets), vocabulary(sums), n
 
-def score_chunk(rows: pa.Table, found: pa.Table, model: Model) -> pa.Table:
-    """Both scores of a chunk's texts."""
-    if not rows.num_rows:
-        return pa.table({n: pa.array([], t) for n, t in zip((x.split()[0] for x in SCHEMA.split(", ")), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-    keys, each, sizes = chunk_words(rows.column("text").to_pylist())
-    counts = answers(of_kind(found, 0)).astype(float)
-    base = np.log10((counts + DELTA) / (model.total + DELTA * (model.vocabulary + 1)))
-    cls = word_classes(keys, counts, found, model)
-    word = np.log10((counts + DELTA) / (model.mass[cls] + DELTA * (model.kinds[cls] + 1)))
-    start = model.start()
-    known, low, high = [], [], []
-    for x in each:
-        c = cls[x]
-        known.append(int((counts[x] > 0).sum()))
-        low.append(float(base[x].sum()))
-        high.append(float(word[x].sum() + model.moves[np.concatenate([[start], c[:-1]]), c].sum()))
-    n = rows.num_rows
-    return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(sizes), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([model.total] * n, pa.int64()), "base_score": pa.array(low), "score": pa.array(high)})
 
+def sweep(chunks: DataFrame, n: int, before: DataFrame | None, least_before: int, least: int, turn: int, anchors: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """One exchange sweep: classes as answers to the chunks, and [tokens moved, tokens, mass of each class, words of each]."""
+    low = low_bits(n, 64)
 
-def remainder(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(FOLDS), F.lit(-1))
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                c = Chunk(r)
+                yield from neighbours(c, c.anchored(anchors), least, low).to_batches()
+
+    def later(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = Chunk(left.to_pylist()[0])
+        return neighbours(c, c.classes(right, least_before), least, low)
+
+    with scratch(chunks.sparkSession) as work:
+        made = chunks.mapInArrow(first, SENT) if before is None else chunks.groupBy("chunk").cogroup(before.groupBy("chunk")).applyInArrow(later, SENT)
+        sent = table(made, "neighbours")
+        both = added_up(sent.where("block = -1").select(F.col("counts").alias("v"), F.col("chunk").alias("part")), CLASSES * CLASSES).reshape(CLASSES, CLASSES).astype(float)
+
+        def final(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+            _, new, _, state = chosen(keys, counts, both, turn)
+            out = np.zeros(len(keys), np.uint64)
+            out[state] = new + 1
+            return out
+
+        def summary(keys: np.ndarray, counts: np.ndarray) -> bytes:
+            old, new, mass, _ = chosen(keys, counts, both, turn)
+            moved = mass[new != old].sum()
+            return pack(np.concatenate([[moved, mass.sum()], np.bincount(new, mass, CLASSES), np.bincount(new, minlength=CLASSES)]))
+
+        out = work.result(totals(sent.where("block >= 0"), n, 64, summary, final=final), "classes")
+    return out.where("chunk >= 0"), added_up(out.where("chunk = -1").select(F.col("answer").alias("v"), F.col("block").alias("part")), 2 + 2 * CLASSES)
+
+
+def clustered(chunks: DataFrame, n: int, words: Vocabulary) -> tuple[DataFrame, np.ndarray]:
+    """Answers with every training word's class, and the mass and number of words of each class."""
+    steps = words.steps()
+    found, sums, last = None, None, 0
+    while len(steps) > last:
+        least, before = steps[last], steps[max(last - 1, 0)]
+        found, sums = sweep(chunks, n, found, before, least, last, words.anchors)
+        last += 1
+        if last == len(steps) and sums[0] >= SETTLED * sums[1] and steps.count(1) <= LAST:
+            steps.append(1)
+    return found, sums[2:]
 
 
 def score(docs: DataFrame) -> DataFrame:
     """See SCHEMA; a row for every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", remainder(F.col("doc_id")) == 0)
-    dealt, n = chunked(rows)
-    found = table(counted(dealt, n, count_keys, 64, block_summary(n)), "counts")
-    spark, low = docs.sparkSession, low_bits(n, 64 - int(WIDTH))
-    first = fit(rows, found.where("chunk = -1"))
-    clustered, gain = spark.sparkContext.broadcast(first), gains(first.both)
-    counts = found.where("chunk >= 0")
-    sent = dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(lambda left, right: neighbours(left, right, clustered.value, low), NEIGHBOURS)
-    classes = table(sent.groupBy("block").applyInArrow(lambda t: best_classes(t, low, gain), ANSWER), "classes")
-    known = counts.withColumn("kind", F.lit(0)).unionByName(classes.where("chunk >= 0").withColumn("kind", F.lit(1)))
-    met = dealt.groupBy("chunk").cogroup(known.groupBy("chunk"))
-    model = refit(first, classes, met.applyInArrow(lambda left, right: class_bigrams(left, right, clustered.value), "pair long, n long"))
-    held = spark.sparkContext.broadcast(model)  # of fixed size
-    return met.applyInArrow(lambda left, right: score_chunk(left, right, held.value), SCHEMA)
-
-
-def refit(first: Model, classes: DataFrame, bigrams: DataFrame) -> Model:
-    """The model after words were assigned: CLASSES numbers of each block and CLASSES squared sums come to the driver."""
-    both, extra = np.zeros(CLASSES * CLASSES), np.zeros(2 * CLASSES)
-    for r in bigrams.groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        both[r["pair"]] = r["n"]
-    for r in classes.where("chunk = -1").select("answer").collect():
-        extra += np.frombuffer(bytes(r["answer"]), "<u8")
-    return replace(first, moves=transitions(both.reshape(CLASSES, CLASSES)), mass=first.mass + extra[:CLASSES], kinds=first.kinds + extra[CLASSES:])
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", remainder(F.col("doc_id")) == 0)
+    with scratch(spark) as work:
+        chunks, words, n = counted_chunks(rows)
+        if words.words:
+            found, sums = clustered(chunks, n, words)
+        else:
+            found, sums = spark.createDataFrame([], "chunk long, block long, n long, answer binary"), np.zeros(2 * CLASSES, np.int64)
+
+        def bigrams(left: pa.Table, right: pa.Table) -> pa.Table:
+            c = Chunk(left.to_pylist()[0])
+            cls, (x, before) = c.classes(right, 1), c.training()
+            return pa.table({"v": pa.array([pack(class_pairs(cls[before], cls[x]))], pa.binary()), "part": pa.array([c.chunk], pa.int64())})
+
+        met = chunks.groupBy("chunk").cogroup(found.groupBy("chunk"))
+        both = added_up(met.applyInArrow(bigrams, "v binary, part long"), CLASSES * CLASSES)
+        model = model_of(both, sums[:CLASSES], sums[CLASSES:], words.tokens, words.words)  # of fixed size
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            c = Chunk(left.to_pylist()[0])
+            return score_chunk(c, c.classes(right, 1), model)
+
+        return work.result(met.applyInArrow(run, SCHEMA), "scores")
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

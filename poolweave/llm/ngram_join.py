@@ -9,13 +9,15 @@ them is dropped before its sets are compared. What passes all orders is verified
 
 Equal sets are one class, represented by their smallest doc_id. Links are wanted up to components, so rounds of hubs
 (each document against one representative of its token lists) join large groups of near copies first; afterwards every
-pair of documents of different components that passes the filters is verified: no link between components is lost,
-and no group is expanded into all of its pairs.
+pair of documents of different components that passes the filters is verified: no link between components is lost.
+What is left on a token's list in that last round are documents that may not link at all (pages of one template). A
+list of more than LONG of them is not paired: its documents meet by that token and one of their prefix under the second
+order together, so only pairs that pass both orders are ever made.
 
 Defined results: documents without words (null, empty, blank) have n_shingles 0, no links and themselves as component;
 with fewer than five words the whole sequence is the one shingle; rows repeated under one doc_id count as one document
 (the union of their links; the largest n_shingles is reported); rows without doc_id are left out of the links and
-come back with null component; extra columns are ignored.
+come back one by one with null component; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +32,15 @@ from pyspark.sql import functions as F
 
 from .chunks import answers, chunked, counted
 from .graph import components
-from .shared import distinct, lower_ascii, mix, read, table, utf8
+from .shared import distinct, lower_ascii, mix, read, scratch, table, utf8
 
 N = 5
 PERCENT = 80
 BITS = 44
 ORDERS = 3
 HUB_ROUNDS = 2
-#: Pairs of one verification batch, as many as fit a worker's memory with their sets.
+#: Documents of different components on the list of one token, beyond which they meet by two tokens of two orders.
+LONG = 64
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,7 +79,7 @@ def count_keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([short(x) for x in each]), return_counts=True)
 
 
-DOCS = "doc_id long, n_shingles long, h1 long, h2 long, weight double, skipped long, prefix array<long>, others binary, tokens binary"
+DOCS = "doc_id long, n_shingles long, h1 long, h2 long, weight double, skipped long, prefix array<long>, second array<long>, others binary, tokens binary"
 
 
 def documents(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -91,21 +94,21 @@ def documents(rows: pa.Table, found: pa.Table) -> pa.Table:
     for doc, x in zip(ids, each, strict=True):
         n = len(x)
         if not n:
-            out.append((doc, 0, 0, 0, 0.0, 0, [], b"", b""))
+            out.append((doc, 0, 0, 0, 0.0, 0, [], [], b"", b""))
             continue
         h1, h2 = (int(np.add.reduce(mix(x ^ s)).astype(np.int64)) for s in (np.uint64(0), SALT))
         count = df[np.searchsorted(keys, short(x))]
         shared = x[count > 1]
         left = prefix_size(n) - (n - len(shared))  # places of the prefix that tokens of one document leave
         if left <= 0 or doc is None:
-            out.append((doc, n, h1, h2, 0.0, 0, [], b"", b""))
+            out.append((doc, n, h1, h2, 0.0, 0, [], [], b"", b""))
             continue
         first = shared[np.lexsort((shared, count[count > 1]))][:left]
         others = [np.sort(shared[np.argsort(mix(shared ^ np.uint64(k)), kind="stable")][:left]) for k in range(1, ORDERS)]
-        out.append((doc, n, h1, h2, float(np.log(count.astype(float)).mean()), n - len(shared), first.astype(np.int64).tolist(), np.concatenate(others).astype("<u8").tobytes(), x.astype("<u8").tobytes()))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-    cols = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)]
-    return pa.table(dict(zip(("doc_id", "n_shingles", "h1", "h2", "weight", "skipped", "prefix", "others", "tokens"), cols, strict=True)))
+        out.append((doc, n, h1, h2, float(np.log(count.astype(float)).mean()), n - len(shared), first.astype(np.int64).tolist(), others[0].astype(np.int64).tolist(), np.concatenate(others[1:]).astype("<u8").tobytes(), x.astype("<u8").tobytes()))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+    cols = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 10, kinds, strict=True)]
+    return pa.table(dict(zip(("doc_id", "n_shingles", "h1", "h2", "weight", "skipped", "prefix", "second", "others", "tokens"), cols, strict=True)))
 
 
 def meet(a: np.ndarray, b: np.ndarray) -> int:
@@ -116,8 +119,8 @@ def meet(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def linked(a: bytes, b: bytes, more_a: bytes, more_b: bytes, percent: int = PERCENT) -> bool:
-    """Filters of the other orders, then the exact test."""
-    others = [np.frombuffer(x, "<u8").reshape(ORDERS - 1, -1) for x in (more_a, more_b)]
+    """Filters of the orders beyond the second, then the exact test."""
+    others = [np.frombuffer(x, "<u8").reshape(ORDERS - 2, -1) for x in (more_a, more_b)]
     if not all(meet(p, q) for p, q in zip(*others, strict=True)):
         return False
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
@@ -126,10 +129,11 @@ def linked(a: bytes, b: bytes, more_a: bytes, more_b: bytes, percent: int = PERC
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) that link. Sets meet by two joins on doc_id, and are compared where they meet."""
-    sets = docs.select("doc_id", "others", "tokens").where("octet_length(tokens) > 0")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("others").alias("a_more"), F.col("tokens").alias("a_set"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("others").alias("b_more"), F.col("tokens").alias("b_set"))
+    """pairs (a, b) that link. Sets meet by two joins on doc_id; the second order is looked at first, then the rest where
+    the sets meet."""
+    sets = docs.select("doc_id", "second", "others", "tokens").where("octet_length(tokens) > 0")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("second").alias("a_second"), F.col("others").alias("a_more"), F.col("tokens").alias("a_set"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("second").alias("b_second"), F.col("others").alias("b_more"), F.col("tokens").alias("b_set"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,8 +141,8 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             keep = [linked(*(c[i].as_py() for c in cols)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set", "a_more", "b_more")
-    return met.mapInArrow(run, "a long, b long")
+    met = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("a_second", "b_second"))
+    return met.select("a", "b", "a_set", "b_set", "a_more", "b_more").mapInArrow(run, "a long, b long")
 
 
 def may_link(n: str, place: str, other_n: str, other_place: str) -> Column:
@@ -163,7 +167,17 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, docs.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
 
-def links(docs: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a token under order 1 and, on crowded lists, one under order 2."""
+    second = docs.select("doc_id", F.explode("second").alias("token_2"))
+    few = rows.where("NOT crowded").withColumn("token_2", F.lit(0).cast("long"))
+    both = table(few.unionByName(rows.where("crowded").join(second, "doc_id")), "lists")
+    other = both.select("token", "token_2", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("place").alias("b_place"), F.col("comp").alias("b_comp"))
+    met = both.join(other, ["token", "token_2"]).where((F.col("comp") < F.col("b_comp")) & may_link("n", "place", "b_n", "b_place"))
+    return met.select(F.col("doc_id").alias("a"), "b").distinct()
+
+
+def links(docs: DataFrame, long: int = LONG) -> DataFrame:
     """Links (a, b) between representatives, enough to give all components."""
     lists = docs.where("size(prefix) > 0").select("doc_id", F.col("n_shingles").alias("n"), "weight", "skipped", F.posexplode("prefix").alias("at", "token"))
     lists = table(lists.select("doc_id", "n", "weight", (F.col("skipped") + F.col("at")).alias("place"), "token"), "lists")
@@ -185,11 +199,9 @@ def links(docs: DataFrame) -> DataFrame:
             best = F.struct(-F.col("o"), "shared", "hub") if turn == 0 else F.struct("shared", "hub")
             pairs = counted.groupBy("doc_id").agg(F.max_by("hub", best).alias("a")).select("a", F.col("doc_id").alias("b"))
         else:
-            mixed = table(rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token"), "mixed")
-            left = table(rows.join(mixed, "token"), "open")
-            other = left.select("token", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("place").alias("b_place"), F.col("comp").alias("b_comp"))
-            met = left.join(other, "token").where((F.col("comp") < F.col("b_comp")) & may_link("n", "place", "b_n", "b_place"))
-            pairs = met.select(F.col("doc_id").alias("a"), "b").distinct()
+            mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high").select("token", (F.col("members") > long).alias("crowded"))
+            left = table(rows.join(table(mixed, "mixed"), "token"), "open")
+            pairs = candidates(left, docs)
         new = table(verify(table(pairs, "pairs"), docs), "links")
         found = new if found is None else found.unionAll(new)
         if turn < HUB_ROUNDS and new.limit(1).count():
@@ -200,25 +212,30 @@ def links(docs: DataFrame) -> DataFrame:
     return found
 
 
-def join_classes(rows: DataFrame) -> DataFrame:
+def join_classes(rows: DataFrame, long: int = LONG) -> DataFrame:
     """doc_id, n_shingles, component_id for each document."""
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt, n = chunked(rows)
-    found = counted(dealt, n, count_keys, BITS)
-    docs = table(dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(documents, DOCS), "sets")
-    members, reps = classes(docs)
-    members = table(members, "members")
-    found = links(table(reps, "representatives"))
-    # a repeated doc_id may be in several classes: their links are its own
-    same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = components(found.unionAll(same))
-    return docs.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    with scratch(rows.sparkSession) as work:
+        dealt, n = chunked(rows)
+        found = counted(dealt, n, count_keys, BITS)
+        docs = table(dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(documents, DOCS), "sets")
+        members, reps = classes(docs)
+        members = table(members, "members")
+        found = links(table(reps, "representatives"), long)
+        # a repeated doc_id may be in several classes: their links are its own
+        same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        final = components(found.unionAll(same))
+        named = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        nameless = docs.where("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return work.result(named.unionAll(nameless), "joined")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of docs, one document of each component: its smallest doc_id. Rows without doc_id stay."""
-    dropped = table(join_classes(docs).where("component_id <> doc_id").select("doc_id"), "copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of docs, one document of each component: its smallest doc_id. A document is a doc_id: where several rows stand
+    under one that stays, they all do. Rows without doc_id stay."""
+    with scratch(docs.sparkSession) as work:
+        dropped = work.result(join_classes(docs).where("component_id <> doc_id").select("doc_id"), "copies")
+    return docs.join(dropped, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read, table
+from .shared import read, scratch, table
 from .tokens import default_path, encoder, groups
 
 LENGTH = 2048
@@ -78,7 +78,8 @@ def pieces(ids: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END_ID) -> DataFrame:
-    return pieces(encoded(docs, tokenizer or default_path(), end), length)
+    with scratch(docs.sparkSession) as work:
+        return work.result(pieces(encoded(docs, tokenizer or default_path(), end), length), "pieces")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -14,13 +16,16 @@ CHUNK_BYTES = 16 << 20
 
 
 _OWN: dict[str, str] = {}
+_OPEN = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one, for each application, only
-    where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, local mode gets a temporary
+    folder of its own; on a cluster each machine would see another one, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = f"file://{tempfile.mkdtemp(prefix='poolweave-')}"
@@ -28,8 +33,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+class Scratch:
+    """What is written inside `with scratch(spark) as work` goes at its end, but for work.result(...): an operator leaves
+    nothing but its result, also when it fails. Scratches nest: an inner result belongs to the outer one."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths, self.names = spark, [], []
+
+    def __enter__(self) -> Scratch:
+        _OPEN.all = [*getattr(_OPEN, "all", []), self]
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _OPEN.all = _OPEN.all[:-1]
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in self.paths:
+            delete(self.spark, path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        inner, _OPEN.all = _OPEN.all, _OPEN.all[: _OPEN.all.index(self)]
+        try:
+            return table(df, name)
+        finally:
+            _OPEN.all = inner
+
+
+scratch = Scratch
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def new_path(spark: SparkSession, name: str, catalogue: bool = False) -> str:
+    """A path of its own in the shared folder; catalogue: also the name of a table in the catalogue."""
+    own = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{own}"
+    if now := getattr(_OPEN, "all", []):
+        now[-1].paths.append(path)
+        now[-1].names += [own] if catalogue else []
+    return path
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

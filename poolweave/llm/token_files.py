@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunk_count, new_path, read, table
+from .shared import chunk_count, new_path, read, scratch, table
 from .tokens import default_path, encoder, groups
 
 SEQUENCE = 2048
@@ -111,7 +111,9 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, end: int = END_I
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = max(chunk_count(rows, target=16 << 20), 1)
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id (or of none) may be many: a hash of the text lets a range end among them
+    tie = F.xxhash64("text")
+    ordered = rows.repartitionByRange(parts, F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
     # written, not just planned: a file counts only if the row that names it was committed
     return table(ordered.mapInArrow(run, "file string, part long, n_tokens long, n_docs long"), "files")
 
@@ -154,16 +156,17 @@ class SequenceReader:
         return np.concatenate(out) if out else np.empty(0, np.uint16)
 
 
-def read_documents(files: DataFrame, path: str) -> DataFrame:
+def read_documents(files: DataFrame, folder: str) -> DataFrame:
     """A row per document, read back from the files: doc_id, start (global), n_tokens, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = opened(path)
+        fs, root = opened(folder)
         for b in batches:
             for r in b.to_pylist():
                 with fs.open_input_file(posixpath.join(root, f"{r['file']}.index")) as f:
                     index = pa.ipc.open_file(f).read_all()
-                with fs.open_input_file(posixpath.join(root, f"{r['file']}.arrow")) as f:
+                path = posixpath.join(root, f"{r['file']}.arrow")
+                with pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path) as f:
                     reader = SequenceReader(f)
                     for x in index.to_batches(max_chunksize=10_000):
                         crc = [zlib.crc32(reader.slice(s, n).astype("<u4").tobytes()) for s, n in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True)]
@@ -175,6 +178,7 @@ def read_documents(files: DataFrame, path: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "sequences")
-    files = write_sequences(read(spark, sf_dir, "documents"), path, default_path())
-    return read_documents(file_starts(files), path)
+    with scratch(spark) as work:  # the query's result is what it read back: the files themselves go
+        path = new_path(spark, "sequences")
+        files = write_sequences(read(spark, sf_dir, "documents"), path, default_path())
+        return work.result(read_documents(file_starts(files), path), "read_back")

@@ -7,9 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from llm_samples import prose
+from llm_samples import edited, prose
 
-from poolweave.llm import language_model, ngram_join, packing, quality_rules, suffix_dedup, token_files, tokens
+from poolweave.llm import chunks, language_model, ngram_join, packing, quality_rules, shared, suffix_dedup, token_files, tokens
 from poolweave.llm.shared import new_path
 
 
@@ -92,6 +92,15 @@ def test_ngram_join_joins_a_chain(spark):
     assert set(out.values()) == {0}
 
 
+def test_crowded_lists_meet_by_two_orders(spark):
+    """Pages of one template that do not link, and among them a few that do."""
+    frame = prose(77, 60, 10**9)
+    rows = [(i, f"{frame} {prose(2000 + i, 40, 10**9)}") for i in range(60)]
+    rows += [(100 + i, edited(rows[i][1], i, 0.01)) for i in range(12)]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string"), long=1).collect()}
+    assert out == brute_components(rows)
+
+
 def brute_suffixes(rows):
     first = {}
     for k, t in rows:
@@ -148,57 +157,163 @@ def test_language_model(docs, rows, nothing):
     assert language_model.score(nothing).count() == 0
 
 
-def test_exchange_finds_two_languages():
-    r = np.random.default_rng(1)
-    bigrams = np.zeros((40, 40))
-    bigrams[:20, :20], bigrams[20:, 20:] = r.integers(5, 50, (20, 20)), r.integers(5, 50, (20, 20))
-    cls = language_model.exchange(bigrams, 2)
-    assert len(set(cls[:20])) == 1 and len(set(cls[20:])) == 1 and cls[0] != cls[20]
-
-
-def test_words_beyond_the_top_get_classes_of_their_own(spark, monkeypatch):
-    r, models = np.random.default_rng(2), []
-    fit_again = language_model.refit
-    monkeypatch.setattr(language_model, "refit", lambda *a: models.append((a[1], fit_again(*a))) or models[-1][1])
-    frequent = [f"q{i:03d}a" if i % 2 else f"q{i:03d}b" for i in range(600)]
-    texts = [" ".join(w for i in r.integers(0, 300, 40) for w in ((frequent[2 * i], f"rare{int(r.integers(0, 400)):04d}x") if side else (frequent[2 * i + 1], f"seldom{int(r.integers(0, 400)):04d}x"))) for side in (0, 1) for _ in range(150)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert language_model.score(docs).count() == 300
-    classes, model = models[0]
-    # every training token and word lies in one class, and far more words than the top ones were dealt on their own
-    assert model.mass.sum() == model.total and model.kinds.sum() == model.vocabulary
-    assert sum(x.n for x in classes.where("chunk = -1").collect()) == model.vocabulary - len(model.tops) > 300
-
-
-def test_word_classes_against_plain_counts():
-    r = np.random.default_rng(4)
-    first = language_model.Model(np.array(sorted(language_model.key(w) for w in (b"a", b"b", b"c", b"\n")), np.uint64), r.integers(0, 4, language_model.TOP + language_model.SHAPES), None, None, None, None, 0, 0)
-    both = np.zeros((language_model.CLASSES,) * 2)
-    both[:4, :4] = r.integers(1, 1000, (4, 4))
-    gain, chunks = language_model.gains(both), [[" ".join(r.choice(["a", "b", "c", *(f"w{i}z" for i in range(30))], 50)) for _ in range(5)] for _ in range(3)]
-    seen, sent, cls = Counter(t for c in chunks for x in c for t in [*x.encode().split(), b"\n"]), [], lambda w: int(first.cls[first.unit(np.array([language_model.key(w)], np.uint64))[0]])
-    known = []
-    for k, texts in enumerate(chunks):
-        rows = language_model.pa.table({"text": texts, "held_out": [False] * 5, "chunk": [k] * 5})
-        keys = language_model.chunk_words(texts)[0]
-        count = {language_model.key(w): n for w, n in seen.items()}
-        found = language_model.pa.table({"block": [0], "n": [len(keys)], "answer": [language_model.pack(np.array([count[int(x)] for x in keys], np.uint64))]})
-        sent.append(language_model.neighbours(rows, found, first, 57))
-        known.append((keys, np.array([count[int(x)] for x in keys])))
-    out = language_model.best_classes(language_model.pa.concat_tables(sent), 57, gain)
-    want = {}
-    for w in (w for w in seen if len(w) > 1):
-        total = np.zeros(language_model.CLASSES)
-        for t in (t for c in chunks for t in c):
-            x = [b"\n", *t.encode().split(), b"\n"]
-            for i in (i for i, y in enumerate(x) if y == w):
-                total += gain[cls(x[i - 1])] + gain[language_model.CLASSES + cls(x[i + 1])]
-        want[language_model.key(w)] = int(total.argmax())
-    for k, (keys, counts) in enumerate(known):
-        back = out.filter(language_model.pa.array([x == k for x in out.column("chunk").to_pylist()])).append_column("kind", language_model.pa.array([1]))
-        got = dict(zip(keys.tolist(), language_model.word_classes(keys, counts, back, first).tolist(), strict=True))
-        assert {x: c for x, c in got.items() if x in want} == {x: c for x, c in want.items() if x in got}
-    assert len(set(want.values())) > 1
+def classes_of(chunks, found):
+    """Class of each word's key, by what came back to each chunk; the same in all of them."""
+    out = {}
+    for row in chunks.collect():
+        c = language_model.Chunk(row.asDict())
+        back = language_model.pa.Table.from_pylist([r.asDict() for r in found.where(f"chunk = {c.chunk}").collect()])
+        for k, v in zip(c.keys.tolist(), c.classes(back, 1).tolist(), strict=True):
+            assert out.setdefault(k, v) == v
+    return out
+
+
+def test_language_model_scores_by_its_classes(spark, docs, rows, monkeypatch):
+    """Scores counted again in plain Python from the words' classes."""
+    seen = {}
+    fit = language_model.clustered
+
+    def kept(chunks, n, words):
+        found, sums = fit(chunks, n, words)
+        seen.update(cls=classes_of(chunks, found), sums=sums, words=words)
+        return found, sums
+
+    monkeypatch.setattr(language_model, "clustered", kept)
+    out = language_model.score(docs).collect()
+    key = lambda w: language_model.xxhash.xxh64_intdigest(w)
+    texts = [(k, [*(t or "").encode().lower().split(), b"\n"]) for k, t in rows]
+    count, pairs = Counter(), Counter()
+    for k, w in texts:
+        if zlib.crc32(str(k).encode()) % 10:
+            count.update(w)
+            pairs.update((seen["cls"][key(a)], seen["cls"][key(b)]) for a, b in zip([b"\n", *w], w, strict=False))
+    n = language_model.CLASSES
+    mass, kinds, into, from_ = Counter(), Counter(), Counter(), Counter()
+    for w, m in count.items():
+        mass[seen["cls"][key(w)]] += m
+        kinds[seen["cls"][key(w)]] += 1
+    for (a, b), m in pairs.items():
+        from_[a] += m
+        into[b] += m
+    total = sum(count.values())
+    assert seen["sums"].tolist() == [*(mass[c] for c in range(n)), *(kinds[c] for c in range(n))] and sum(kinds.values()) == len(count)
+    alone = [(into[c] + 0.1) / (total + 0.1 * n) for c in range(n)]
+    move = lambda a, c: alone[c] if a is None or not from_[a] else 0.95 * pairs[a, c] / from_[a] + 0.05 * alone[c]
+    for r in out:
+        want, before = 0.0, seen["cls"][key(b"\n")]
+        for w in dict(texts)[r.doc_id]:
+            if count[w]:
+                c = seen["cls"][key(w)]
+                want += math.log10(move(before, c) * (count[w] + 0.1) / (mass[c] + 0.1 * (kinds[c] + 1)))
+                before = c
+            else:
+                want += math.log10(sum(move(before, c) * 0.1 / (mass[c] + 0.1 * (kinds[c] + 1)) for c in range(n)))
+                before = None
+        assert abs(r.score - want) < 1e-6 * max(1, abs(want))
+
+
+def test_no_move_gains_more_than_the_one_chosen():
+    """Gains of all words and classes in plain loops, a word's own tokens taken out of its class."""
+    r, n = np.random.default_rng(5), language_model.CLASSES
+    both = r.integers(0, 60, (n, n)).astype(float)
+    both[:, 9] = both[9] = 0  # a class without tokens takes no words
+    keys, counts, words = [], [], []
+    for i in range(40):
+        word = int(r.integers(0, 2**55))
+        old = int(r.integers(-1, n))
+        old = -1 if old == 9 else old
+        slots = {int(x): int(r.integers(1, 4)) for x in r.integers(0, 2 * n, 6)}
+        if old >= 0:
+            for s, m in slots.items():
+                a, b = (s, old) if s < n else (old, s - n)
+                both[a, b] = max(both[a, b], m)
+        words.append((word, old, slots))
+    for word, old, slots in sorted(words):
+        for s, m in sorted([*slots.items(), (2 * n + old + 1, 1)]):
+            keys.append(word << 8 | s)
+            counts.append(m)
+    keys, counts = np.array(keys, np.uint64), np.array(counts, np.uint64)
+    old, new, _, _ = language_model.chosen(keys, counts, both, 0)
+    rows, cols = both.sum(1), both.sum(0)
+    for (word, was, slots), a, b in zip(sorted(words), old, new, strict=True):
+        right, left = {s - n: m for s, m in slots.items() if s >= n}, {s: m for s, m in slots.items() if s < n}
+        gain = {}
+        for c in range(n):
+            if not rows[c] + cols[c]:
+                continue
+            mine = (lambda m: m) if c == was else (lambda m: 0)
+            gain[c] = sum(m * math.log(max(both[c, d] - mine(m), 0) + 0.1) for d, m in right.items()) + sum(m * math.log(max(both[d, c] - mine(m), 0) + 0.1) for d, m in left.items())
+            gain[c] -= sum(right.values()) * math.log(max(rows[c] - mine(sum(right.values())), 0) + 0.1 * n) + sum(left.values()) * math.log(max(cols[c] - mine(sum(left.values())), 0) + 0.1 * n)
+        assert a == was
+        if was < 0 or word >> 13 & 1 == 0:
+            assert gain[int(b)] > max(gain.values()) - 1e-9
+        else:
+            assert b == was
+
+
+def test_held_out_text_is_likelier_than_by_the_base(spark):
+    """Words alternate between two kinds: classes tell which kind comes next, also behind words seen a few times."""
+    r = np.random.default_rng(2)
+    sides = [[f"{side}{i}" for i in range(700)] for side in ("even", "odd")]
+    texts = [" ".join(sides[k % 2][min(int(x), 699)] for k, x in enumerate(r.exponential(150, 60))) for _ in range(400)]
+    out = language_model.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).where("held_out").collect()
+    assert sum(x.score for x in out) > sum(x.base_score for x in out) + 0.2 * sum(x.n_tokens for x in out)
+
+
+@pytest.mark.parametrize("size", [50, 200])
+def test_totals_by_teams_and_rows_in_proportion(size):
+    """Chunks beyond FAN meet in teams; a chunk never sends more rows than FAN."""
+    r = np.random.default_rng(size)
+    for n in (1, 3, 40):
+        sent = [np.unique(r.integers(0, 2**30, size).astype(np.uint64)) for _ in range(n)]
+        low = chunks.low_bits(n, 30)
+        assert all(chunks.message(0, x, x, low).num_rows <= min(chunks.FAN, 2 ** chunks.bits_for(n)) for x in sent)
+    values = [np.empty(0, np.uint64), r.integers(0, 2**63, size).astype(np.uint64), np.array([0, 127, 128, 2**64 - 1], np.uint64), np.append(np.ones(size, np.uint64), np.uint64(2**50))]
+    assert all((chunks.unpack(chunks.pack(x), len(x)) == x).all() for x in values)
+
+
+@pytest.mark.parametrize("lowest", [False, True])
+def test_totals_in_two_steps(spark, monkeypatch, lowest):
+    monkeypatch.setattr(chunks, "FAN", 4)
+    r, rows_sent = np.random.default_rng(3), []
+    for n in (10, 20, 40, 80):
+        own = {c: np.unique(r.integers(0, 400, 60).astype(np.uint64) * np.uint64(2621440)) for c in range(n)}
+        low = chunks.low_bits(n, 30)
+        sent = [m for c, k in own.items() for m in chunks.message(c, k, np.full(len(k), c + 1), low, k & np.uint64(7)).to_pylist()]
+        rows_sent.append(len(sent) / n)
+        got = chunks.totals(spark.createDataFrame(sent, chunks.SENT), n, 30, lowest=lowest).collect()
+        want = Counter()
+        for c, keys in own.items():
+            for k in keys.tolist():
+                want[k] = min(want.get(k, 10**9), c + 1) if lowest else want[k] + c + 1
+        for c, keys in own.items():
+            back = chunks.pa.Table.from_pylist([x.asDict() for x in got if x.chunk == c])
+            assert chunks.answers(back).tolist() == [want[k] for k in keys.tolist()]
+    assert max(rows_sent) <= 4  # in proportion to chunks, not to their square
+
+
+def test_keys_that_stand_for_different_things_say_so():
+    keys, one = np.array([5, 9], np.uint64), np.ones(2, np.int64)
+    sent = chunks.pa.concat_tables([chunks.message(c, keys, one + c, 20, np.array([1, c], np.uint64)) for c in (0, 1)])
+    assert chunks.gathered(sent, 20, True).total.tolist() == [1, 0]
+
+
+def test_more_chunks_than_buckets(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(chunks, "CHUNK", 3000)
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "5")
+    try:
+        out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_classes(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    assert out == brute_components(rows)
+
+
+def test_nothing_is_left_but_the_result(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}/own")
+    names = {t.name for t in spark.catalog.listTables()}
+    for k, f in enumerate((ngram_join.join_classes, suffix_dedup.dedup, suffix_dedup.cut, language_model.score, packing.pack)):
+        assert f(docs).count() and len(list((tmp_path / "own").iterdir())) == k + 1
+    assert {t.name for t in spark.catalog.listTables()} == names
 
 
 HOSTILE = ["a  b", "a   b", "a \n b\t c", " lead", "trail ", "tr  ", "\x1c x", "it's 's x'sure", "a\n \nb", "", "\xa0 \xa0x", "x  y", "12 34 5", "<|endoftext|> a", "² ½x é… æ. 漢字。 ß", "a\0b c", "!! a!! #b", "naïve façade 😀 x", "tabs\t\tx  \n\n y"]
