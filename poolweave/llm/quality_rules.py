@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import read, table, utf8
+from .shared import read, scratch, table, utf8
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -92,31 +93,31 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every row of docs with its measurements in one struct column `__m`; one narrow pass, no shuffle."""
-    fields = pa.struct([(x.split()[0], pa.int64()) for x in f"{MEASURES}, {EXTRA}".split(", ")])
-    names = [f.name for f in fields]
+    """The columns of docs as c0, c1, ... and the row's measurements in one struct, m; one narrow pass, no shuffle."""
+    names = [x.split()[0] for x in f"{MEASURES}, {EXTRA}".split(", ")]
+    kind = T.StructType([T.StructField(n, T.LongType()) for n in names])
+    schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)), T.StructField("m", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [measure(x) for x in b.column(b.num_columns - 1).to_pylist()]
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.StructArray.from_arrays(cols, names=names)], names=[*b.schema.names[:-1], "__m"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.StructArray.from_arrays(cols, names=names)], names=[*b.schema.names[:-1], "m"])
 
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"__m struct<{', '.join(f'{n}: bigint' for n in names)}>"])
-    return docs.select(*kept, F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(*carried, F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
-    return F.expr(f"__m.n_words < {MIN_WORDS} OR 100 * __m.n_repeat_words > {MAX_REPEAT_PERCENT} * __m.n_words")
+    return F.expr(f"m.n_words < {MIN_WORDS} OR 100 * m.n_repeat_words > {MAX_REPEAT_PERCENT} * m.n_words")
 
 
 def vote(k: int) -> Column:
     """Rule k's vote on a row: 0 junk, 1 abstains, 2 good."""
     sql, junk, good = list(RULES.values())[k]
     for field in (x.split()[0] for x in f"{MEASURES}, {EXTRA}".split(", ")):
-        sql = re.sub(rf"(?<![\w.]){field}\b", f"__m.{field}", sql)
-    value = F.expr(f"CASE WHEN __m.n_words > 0 THEN {sql} ELSE 1e9 END")
+        sql = re.sub(rf"(?<![\w.]){field}\b", f"m.{field}", sql)
+    value = F.expr(f"CASE WHEN m.n_words > 0 THEN {sql} ELSE 1e9 END")
     return F.when(value >= junk, 0).when(value <= good, 2).otherwise(1)
 
 
@@ -168,21 +169,24 @@ def fit(rows: DataFrame) -> VoteModel:
 
 
 def judged(rows: DataFrame, model: VoteModel) -> DataFrame:
-    return rows.withColumn("__p", 1 / (1 + F.exp(-model.log_odds()))).withColumn("__failed", base_failed())
+    """rows as measured() gives them, with p (posterior of good) and failed (a base rule)."""
+    return rows.withColumns({"p": 1 / (1 + F.exp(-model.log_odds())), "failed": base_failed()})
 
 
 def quality_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, measurements, votes' posterior, base_failed and kept."""
-    rows = table(measured(docs.select(F.col(key), F.col(text)), text).drop(text), "quality")
-    out = judged(rows, fit(rows))
-    return out.select(key, *(f"__m.{x.split()[0]}" for x in MEASURES.split(", ")), F.col("__failed").alias("base_failed"), (~F.col("__failed") & (F.col("__p") >= 0.5)).alias("kept"), F.col("__p").alias("posterior"))
+    with scratch(docs.sparkSession) as work:
+        rows = table(measured(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), text).drop("c1"), "quality")
+        out = judged(rows, fit(rows))
+        out = out.select(F.col("c0").alias(key), *(f"m.{x.split()[0]}" for x in MEASURES.split(", ")), F.col("failed").alias("base_failed"), (~F.col("failed") & (F.col("p") >= 0.5)).alias("kept"), F.col("p").alias("posterior"))
+        return work.result(out, "scores")
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that the rules keep. Two narrow passes (fit, filter); texts are never shuffled."""
-    model = fit(measured(docs.select(text), text))
-    out = judged(measured(docs, text), model)
-    return out.where(~F.col("__failed") & (F.col("__p") >= 0.5)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    model = fit(measured(docs.select(F.col(f"`{text}`")), text))
+    out = judged(measured(docs, text), model).where(~F.col("failed") & (F.col("p") >= 0.5))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,9 @@ A word is the mean of the vectors of its hashed character n-grams and of itself;
 words; a linear softmax on that mean gives the probability. Vectors and softmax are trained jointly in numpy on a
 bounded sample of labelled documents, so a misspelling never seen shares most of its n-grams with the word it bends.
 A document's label says that something in it is toxic, not where: training first takes whole documents, then for each
-document the window of WINDOW words that scores highest (multiple-instance learning). A text counts as its different
-words in the order of their first places, and n-grams of fewer than LEAST_DOCS training documents have no vector. A document's score is that of
-its highest window, over all windows of the whole text. As the softmax is linear, a word's part in it is one number;
-scoring is a lookup and a running mean.
+document the window of WINDOW words that scores highest (multiple-instance learning). N-grams of fewer than LEAST_DOCS
+training documents have no vector. A document's score is that of its highest window, over all windows of the whole text,
+every word at its place. As the softmax is linear, a word's part in it is one number; scoring is a lookup and a running mean.
 
 Defined results: a null or blank text has no window and gets the score of the bias alone; without labels of both kinds
 every score is the share of label 1 (0 where there are no labels); repeated rows are scored each for itself; rows
@@ -39,8 +38,8 @@ MARKS = "\"'`.,;:!?()[]{}<>*#%&$|-_=+/\\~^«»„“”‘’…–—"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Different words of a text, in the order of their first places."""
-    return list(dict.fromkeys(w for x in dict.fromkeys((text or "").lower().split()) if (w := x.strip(MARKS))))
+    """All words of a text in their order, without the marks around them; what is marks alone is no word."""
+    return [w for x in (text or "").lower().split() if (w := x.strip(MARKS))]
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +135,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     buckets, owners = (np.concatenate(x) for x in zip(*found, strict=True))
     del names, found
     per_word = np.bincount(owners, minlength=len(ids)).astype(float)
-    held_by = np.bincount(np.concatenate(docs_ids), minlength=len(ids))
+    held_by = np.bincount(np.concatenate([np.unique(d) for d in docs_ids]), minlength=len(ids))
     common = np.bincount(buckets, held_by[owners], BUCKETS) >= LEAST_DOCS  # by words, so at least by so many uses
     live = common[buckets]
     buckets, owners = buckets[live], owners[live]
@@ -190,22 +189,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 class Scorer:
-    """A worker's word scores by lookup."""
+    """A worker's word scores by lookup; of tokens that are marks alone, not a number."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.seen = model, {}
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        docs = [words_of(t) for t in texts]
+        docs = [(t or "").lower().split() for t in texts]
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
         new = list({w for d in docs for w in d if w not in self.seen})
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.seen.update(zip(part, self.model.words(part).tolist(), strict=True))
-        get = self.seen.__getitem__
-        logits = [best_window(np.fromiter(map(get, d), float, len(d)))[0] + self.model.bias for d in docs]
-        return [float(1 / (1 + np.exp(-min(max(x, -40.0), 40.0)))) for x in logits]
+            part = [(x, w) for x in new[at : at + 20_000] if (w := x.strip(MARKS))]
+            self.seen.update(dict.fromkeys(new[at : at + 20_000], np.nan))
+            self.seen.update(zip([x for x, _ in part], self.model.words([w for _, w in part]).tolist(), strict=True))
+        get, out = self.seen.__getitem__, []
+        for d in docs:
+            values = np.fromiter(map(get, d), float, len(d))
+            x = best_window(values[~np.isnan(values)])[0] + self.model.bias
+            out.append(float(1 / (1 + np.exp(-min(max(x, -40.0), 40.0)))))
+        return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

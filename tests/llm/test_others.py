@@ -97,10 +97,45 @@ def test_decontamination(spark, benchmark):
     assert decontamination.matches(docs, benchmark.limit(0)).count() == 0 and decontamination.matches(docs.limit(0), benchmark).count() == 0
 
 
-def test_decontamination_by_blocks(spark, benchmark, monkeypatch):
-    docs = spark.createDataFrame([(1, prose(1005, 40, 10**6)), (2, prose(1011, 40, 10**6))], "doc_id long, text string")
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 100)
-    assert {(r.doc_id, r.item_id) for r in decontamination.matches(docs, benchmark).collect()} == {(1, 5), (2, 11)}
+def test_matches_against_alignment_without_seeds(spark):
+    """Edited copies at up to a third of the words: recall against aligning every document with every item whole."""
+    import numpy as np
+
+    items = [(i, prose(3000 + i, 30 + 3 * i, 3000)) for i in range(16)] + [(None, prose(3100, 50, 3000))]
+    rows = [(i, prose(4000 + i, 120, 3000)) for i in range(30)]
+    rows += [(100 + k, f"{prose(5000 + k, 70, 3000)} {edited(items[k % 17][1], k, 0.02 * (k % 18))} {prose(6000 + k, 50, 3000)}") for k in range(72)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontamination.matches(docs, marks).collect()}
+    of, count, total = decontamination.Words(), {}, 0
+    for _, t in rows:
+        for w in of.of(t).tolist():
+            count[w] = count.get(w, 0) + 1
+            total += 1
+    want = {}
+    for item, t in items:
+        x = of.of(t)
+        share = (np.array([count.get(w, 0) for w in x.tolist()]) + 0.5) / total
+        weight = decontamination.MATCH * np.clip(np.log(share) / np.log(decontamination.RARE), 0.05, 1.0)
+        for k, text in rows:
+            score, *_ = decontamination.align(x, of.of(text), weight)
+            if score / weight.sum() >= decontamination.MIN_SCORE:
+                want[k, item] = score / weight.sum()
+    assert {k for k, _ in want} <= set(range(100, 172)) and len(want) > 60 and any(item is None for _, item in want)
+    assert set(found) <= set(want) and len(found) >= 0.9 * len(want)
+    assert all(r.score <= want[k] + 1e-9 for k, r in found.items())
+    words = {k: of.of(t) for k, t in rows}
+    for (k, item), r in found.items():
+        assert 0 <= r.begin_word < r.end_word <= len(words[k]) and 70 - 5 <= r.begin_word and r.end_word <= len(words[k]) - 45
+
+
+def test_an_item_in_a_third_of_all_documents(spark):
+    item = prose(7000, 40, 10**6)
+    rows = [(i if i % 7 else None, f"{prose(7100 + i, 30, 10**6)} {item if i % 3 == 0 else ''} {prose(7500 + i, 30, 10**6)}", "x", [1]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, key array<long>").repartition(4)
+    marks = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert decontamination.matches(docs, marks).count() == 100
+    kept = decontamination.clean(docs, marks)
+    assert kept.columns == docs.columns and kept.count() == 200
 
 
 def test_alignment_against_plain_table():
@@ -141,10 +176,36 @@ def test_toxicity(spark):
     assert len(out) == len(rows) and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in out)
     held = [(x.predicted, x.doc_id % 5 == 0) for x in out if x.held_out and x.doc_id < 600]
     assert sum(p == t for p, t in held) / len(held) > 0.95
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), marks)).count() == 0
+    nameless = toxicity.score(docs.selectExpr("cast(null as long) as doc_id", "text"), toxicity.fit(docs, marks)).collect()
+    assert len(nameless) == len(rows) and not any(x.held_out for x in nameless)
     none = toxicity.fit(docs, marks.limit(0))
     assert all(x.score < 1e-6 and x.predicted == 0 for x in toxicity.score(docs, none).collect())
 
 
+def test_a_phrase_late_in_a_text_whose_words_came_before(spark):
+    """Words that each stood apart before, and stand together at the end."""
+    import numpy as np
+
+    bad = [f"vile{i}x" for i in range(8)]
+    model = toxicity.train([f"{prose(i, 40)} {' '.join(bad) if i % 2 else prose(900 + i, 8)}" for i in range(80)], [i % 2 for i in range(80)])
+    apart = " ".join(f"{prose(50 + i, 60)} {w}" for i, w in enumerate(bad))
+    low, high = toxicity.Scorer(model).scores([apart, f"{apart} {prose(99, 30)} {' '.join(bad)} *** -- !"])
+    assert high > low and high >= 0.5
+    words = [w for w in toxicity.words_of(f"{apart} {prose(99, 30)} {' '.join(bad)} *** -- !")]
+    value = model.words(words)
+    windows = [value[i : i + toxicity.WINDOW].mean() for i in range(len(words) - toxicity.WINDOW + 1)]
+    assert abs(high - 1 / (1 + np.exp(-(max(windows) + model.bias)))) < 1e-9
+
+
+def test_pipeline_of_nothing(spark, tmp_path, benchmark):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path, benchmark):
     import corpus_pipeline
 
@@ -165,3 +226,11 @@ def test_pipeline(spark, tmp_path, benchmark):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(good)
     assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+
+
+def test_ratio_decides_within_articles_too():
+    """A prior is no pass: a strip of links in an article stays out, its title and short paragraphs stay in."""
+    links = "<div>" + "".join(f"<div><a href='/{i}'><i><b>{i}</b></i></a></div>" for i in range(30)) + "</div>"
+    body = "".join(f"<p>{prose(i, 80)}</p>" for i in range(8))
+    found = html_text.main_text(f"<article><h1>A short title here</h1>{body}<p>Short end of it.</p>{links}</article>")
+    assert found == "\n".join(["A short title here", *(" ".join(prose(i, 80).split()) for i in range(8)), "Short end of it."])
