@@ -1,46 +1,61 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment over words.
-
-Texts are lower-cased, cut at white space and stripped of marks. Pass 1 counts, over the whole corpus, how often each
-word of the benchmark occurs; from these counts follow the seeds: the n-grams of each item that chance alone would
-hardly make (the corpus size times the product of their words' frequencies), and the rarest few of an item that has
-too few such. A planted item does not make its own n-grams common this way, however often it was planted. Pass 2
-looks seeds up in every document, cuts a passage around each cluster of seeds of an item, and aligns passage and
-item. Both passes are narrow: no text is shuffled. Seeds travel in a broadcast whose size is checked; a larger
-benchmark is taken in blocks, each against all documents.
-
-Defined results: null and blank texts match nothing, as items or as documents; equal items match alike; an empty
-benchmark or corpus gives no rows; repeated documents are judged each for itself; extra columns are ignored by
-`matches` and carried by `clean`.
+"""Benchmark decontamination: rare n-gram seeds join passages to benchmark items, Smith-Waterman aligns them over words.
+
+Texts are lower-cased, cut at white space and stripped of marks; a word is its 64-bit hash from there on. Pass 1 counts
+over the whole corpus how often each word of the benchmark occurs. From these counts follow the seeds: the n-grams of
+each item that chance alone would hardly make (the corpus size times the product of their words' frequencies), and the
+rarest few of an item that has too few such. A planted item does not make its own n-grams common this way, however
+often it was planted. Pass 2 cuts passages out of the documents: a filter of fixed size, made of the seeds, says for
+each n-gram whether it may be a seed and how far its item may reach; overlapping reaches are one passage. Passages,
+few beside the corpus, then join the table of seeds by n-gram (salted, as a planted item may be in a third of all
+documents), and each pair of passage and item with a common seed is aligned. Both passes over texts are narrow; the
+benchmark is a table throughout, of any size, and neither it nor its words or seeds are collected or broadcast by hand.
+
+Defined results: null and blank texts match nothing, as items or as documents; items without item_id match like others;
+equal items match alike; an empty benchmark or corpus gives no rows; repeated documents are judged each for itself;
+documents without doc_id too; extra columns are ignored by `matches` and carried by `clean`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from itertools import groupby
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import mix, read
+from .shared import mix, read, scratch, table, utf8
 
 N = 4
 #: A seed is rare if chance alone gives it at most so many times in the corpus; each item keeps LEAST_SEEDS in any case.
 MAX_EXPECTED, LEAST_SEEDS = 10.0, 3
-#: Words of the benchmark in one broadcast.
-BLOCK_WORDS = 2_000_000
 #: A match counts up to MATCH, by how rare the word is: words of a share of RARE or less count in full.
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 RARE = 1e-3
 #: Of the best possible alignment score of the item.
 MIN_SCORE = 0.35
 MARKS = "\"'`.,;:!?()[]{}<>*#%&$|-_=+/\\~^«»„“”‘’…–—"
+#: Bits of the filter of benchmark words; entries of each of the two filters of seeds; salts of a seed.
+WORD_BITS, SEED_BITS, SALTS = 24, 22, 16
+CACHE_WORDS = 500_000
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w for x in (text or "").lower().split() if (w := x.strip(MARKS))]
+class Words(dict):
+    """The 64-bit id of a token (0: nothing but marks), worked out once for each different one."""
+
+    def __missing__(self, token: str) -> int:
+        word = token.strip(MARKS)
+        out = self[token] = (xxhash.xxh64_intdigest(utf8(word)) or 1) if word else 0
+        return out
+
+    def of(self, text: str | None) -> np.ndarray:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        tokens = (text or "").lower().split()
+        ids = np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+        return ids[ids > 0]
 
 
 def align(item: np.ndarray, passage: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, int, int, int]:
@@ -78,171 +93,229 @@ def align(item: np.ndarray, passage: np.ndarray, weight: np.ndarray | None = Non
     return best
 
 
-@dataclass(frozen=True)
-class Seeds:
-    """ids: word to id; items: row of the benchmark to word ids; names: row to item_id; codes (sorted) of seeds, with the item and place of each;
-    weight: of each word id in an alignment."""
-
-    ids: dict[str, int]
-    items: dict[int, np.ndarray]
-    names: dict[int, int]
-    codes: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    weight: np.ndarray
-
-
 def codes_of(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit code for each window of n ids."""
+    """A 64-bit code for each window of n words; windows shorter than N have codes of their own."""
     out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
     for k in range(n):
-        out = mix(out + ids[k : len(ids) - n + 1 + k].astype(np.uint64) + np.uint64(k + 1))
-    return out
-
-
-def seeds_of(items: list[tuple[int, str | None]], counts: dict[str, int], total: int) -> Seeds:
-    ids: dict[str, int] = {}
-    texts = {k: np.array([ids.setdefault(w, len(ids)) for w in words], np.int64) for k, (_, t) in enumerate(items) if (words := words_of(t))}
-    names = {k: name for k, (name, _) in enumerate(items)}
-    share = np.array([counts.get(w, 0) + 0.5 for w in ids]) / max(total, 1)
-    weight = MATCH * np.clip(np.log(np.minimum(share, 1.0)) / np.log(RARE), 0.05, 1.0)
-    codes, item, place = [], [], []
-    for k, x in texts.items():
-        n = min(N, len(x))
-        expected = np.exp(np.log(share[x])[np.arange(len(x) - n + 1)[:, None] + np.arange(n)].sum(axis=1)) * total
-        rare = np.union1d(np.flatnonzero(expected <= MAX_EXPECTED), np.argsort(expected, kind="stable")[:LEAST_SEEDS])
-        found = codes_of(x, n)[rare] if n == N else mix(codes_of(x, n)[rare] + np.uint64(n))
-        codes.append(found)
-        item.append(np.full(len(found), k, np.int64))
-        place.append(rare.astype(np.int64))
-    if not codes:
-        return Seeds(ids, texts, names, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), weight)
-    code = np.concatenate(codes)
-    order = np.argsort(code, kind="stable")
-    return Seeds(ids, texts, names, code[order], np.concatenate(item)[order], np.concatenate(place)[order], weight)
-
-
-def hits_of(ids: np.ndarray, seeds: Seeds, sizes: list[int]) -> list[tuple[int, int, int]]:
-    """(item, position in the document, place in the item) of each seed found. sizes: seed lengths in use."""
-    out: list[tuple[int, int, int]] = []
-    for n in sizes:
-        known = ids >= 0
-        if len(ids) < n:
-            continue
-        at = np.flatnonzero(np.convolve(known, np.ones(n, np.int64), "valid") == n)
-        if not len(at):
-            continue
-        codes = np.zeros(len(at), np.uint64)
-        for k in range(n):
-            codes = mix(codes + ids[at + k].astype(np.uint64) + np.uint64(k + 1))
-        codes = codes if n == N else mix(codes + np.uint64(n))
-        low, high = np.searchsorted(seeds.codes, codes, "left"), np.searchsorted(seeds.codes, codes, "right")
-        for p in np.flatnonzero(high > low):
-            out += [(int(seeds.item[s]), int(at[p]), int(seeds.place[s])) for s in range(low[p], high[p])]
-    return out
-
-
-def judge(text: str | None, seeds: Seeds, sizes: list[int], min_score: float = MIN_SCORE) -> list[tuple[int, float, float, int, int, int]]:
-    """(item_id, score, identity, seeds, begin, end) of the best alignment of each item that reaches min_score."""
-    words = words_of(text)
-    if not words or not len(seeds.codes):
-        return []
-    get = seeds.ids.get
-    ids = np.array([get(w, -1) for w in words], np.int64)
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for item, at, place in hits_of(ids, seeds, sizes):
-        spans.setdefault(item, []).append((at - place, at))
-    out = []
-    for item, found in sorted(spans.items()):
-        x, best = seeds.items[item], None
-        found.sort()
-        clusters: list[list[int]] = []
-        for begin, at in found:
-            low, high = max(0, min(begin, at) - len(x) // 2), min(len(ids), max(begin, at) + len(x) + len(x) // 2 + N)
-            if clusters and low <= clusters[-1][1]:
-                clusters[-1] = [clusters[-1][0], max(clusters[-1][1], high), clusters[-1][2] + 1]
-            else:
-                clusters.append([low, high, 1])
-        for low, high, n in clusters:
-            score, matched, begin, end = align(x, ids[low:high], seeds.weight[x])
-            got = (score / seeds.weight[x].sum(), matched / len(x), n, low + begin, low + end)
-            best = got if best is None or got[0] > best[0] else best
-        if best[0] >= min_score:
-            out.append((seeds.names[item], *best))
-    return [max(same, key=lambda m: m[1]) for _, group in groupby(sorted(out), key=lambda m: m[0]) for same in [list(group)]]
-
-
-def word_counts(docs: DataFrame, vocabulary: set[str], text: str) -> tuple[dict[str, int], int]:
-    """Counts over all documents of the benchmark's words (as many rows as they are, at most), and all words."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+        out = mix(out + ids[k : len(ids) - n + 1 + k] + np.uint64(k + 1))
+    return out if n == N else mix(out + np.uint64(n))
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint64).view(np.int64)
+
+
+def merged_filters(parts: DataFrame, join: np.ufunc) -> np.ndarray:
+    """One array of bytes out of many (column f, of one fixed size): eight of them at most reach the driver."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        out = None
+        for x in rows.column("f"):
+            own = np.frombuffer(x.as_py(), np.uint8)
+            out = own.copy() if out is None else join(out, own)
+        return pa.table({"f": pa.array([] if out is None else [out.tobytes()], pa.binary())})
+
+    rows = parts.withColumn("salt", F.spark_partition_id() % 8).groupBy("salt").applyInArrow(add, "f binary").collect()
+    found = [np.frombuffer(bytes(r["f"]), np.uint8) for r in rows]
+    return join.reduce(found) if found else np.empty(0, np.uint8)
+
+
+def benchmark_items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    """k, item_id, words of each item that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = dict.fromkeys(shared.value, 0), 0
+        words, part, at = Words(), TaskContext.get().partitionId(), 0
         for b in batches:
-            for x in b.column(0):
-                words = words_of(x.as_py())
-                total += len(words)
-                for w in words:
-                    if w in counts:
-                        counts[w] += 1
-        found = [(w, n) for w, n in counts.items() if n] + [("", total)]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found]), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
-
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    found = {r["word"]: r["n"] for r in rows}
-    return found, found.pop("", 0)
-
-
-def blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of about BLOCK_WORDS words, each small enough for the driver and a broadcast."""
-    rows = benchmark.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
-    size = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
-    count = max(1, -(-int(size) // (6 * BLOCK_WORDS)))
-    for i in range(count):
-        part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("k"), F.lit(count)) == i)
-        if found := [(r["k"], r["t"]) for r in part.orderBy("k", "t").collect()]:
-            yield found
-
-
-def judges(docs: DataFrame, benchmark: DataFrame, item_key: str, item_text: str, text: str) -> list[Callable[[str | None], list[tuple]]]:
-    """One function for each block of the benchmark: a text's matches."""
-    out = []
-    for items in blocks(benchmark, item_key, item_text):
-        vocabulary = {w for _, t in items for w in words_of(t)}
-        counts, total = word_counts(docs, vocabulary, text)
-        seeds = seeds_of(items, counts, total)
-        sizes = sorted({min(N, len(x)) for x in seeds.items.values()})
-        held = docs.sparkSession.sparkContext.broadcast(seeds)
-        out.append(lambda t, held=held, sizes=sizes: judge(t, held.value, sizes))
-    return out
+            each = [words.of(t) for t in b.column(1).to_pylist()]
+            keep = pa.array([len(x) > 0 for x in each])
+            ids = pa.array([(part << 40) + at + i for i in range(len(each))], pa.int64())
+            at += len(each)
+            yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array([signed(x) for x in each], pa.list_(pa.int64()))], names=["k", "item_id", "words"]).filter(keep)
 
+    rows = benchmark.select(F.col(f"`{key}`").cast("long").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return table(rows.mapInArrow(run, "k long, item_id long, words array<long>"), "items")
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document and item that align: doc_id, item_id, score, identity, n_seeds, begin, end (in words)."""
-    schema = "doc_id long, item_id long, score double, identity double, n_seeds long, begin_word long, end_word long"
-    tests = judges(docs, benchmark, item_key, item_text, text)
+
+def word_counts(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """word, n over the whole corpus, of all words of the benchmark (and few others that the filter lets through); word 0:
+    all words."""
+    size, shift = 1 << (WORD_BITS - 3), np.uint64(64 - WORD_BITS)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(8 * size, bool)
+        for b in batches:
+            out[b.column(0).flatten().to_numpy().view(np.uint64) >> shift] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], names=["f"])
+
+    found = merged_filters(items.select("words").mapInArrow(bits, "f binary"), np.bitwise_or)
+    held = texts.sparkSession.sparkContext.broadcast(found if len(found) else np.zeros(size, np.uint8))  # 2 MB, whatever the benchmark
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, words, total = np.unpackbits(held.value).astype(bool), Words(), 0
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                ids = np.concatenate([np.empty(0, np.uint64), *map(words.of, b.column(0).slice(at, 512).to_pylist())])
+                total += len(ids)
+                own, n = np.unique(ids[known[ids >> shift]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(own)), pa.array(n, pa.int64())], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["word", "n"])
+
+    return table(texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
+
+
+def weighted_items(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """k, item_id, words, weights (what a match of each word counts), codes and places of the item's seeds, n (words in a
+    seed)."""
+    total = counts.where("word = 0").agg(F.sum("n").alias("n")).first()["n"] or 1
+    each = items.select("k", F.posexplode("words").alias("place", "word")).join(counts.where("word <> 0"), "word", "left")
+    each = each.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("n", F.lit(0).cast("long")).alias("n")))).alias("x"))
+    rows = items.join(each.select("k", F.col("x.n").alias("counts")), "k").select("k", "item_id", "words", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, *m) for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for test in tests for m in test(t.as_py())]
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+            weights, codes, places, sizes = [], [], [], []
+            for w, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, share = np.array(w, np.int64).view(np.uint64), (np.array(c, float) + 0.5) / total
+                weights.append(MATCH * np.clip(np.log(np.minimum(share, 1.0)) / np.log(RARE), 0.05, 1.0))
+                n = min(N, len(x))
+                expected = np.exp(np.log(share)[np.arange(len(x) - n + 1)[:, None] + np.arange(n)].sum(axis=1)) * total
+                rare = np.union1d(np.flatnonzero(expected <= MAX_EXPECTED), np.argsort(expected, kind="stable")[:LEAST_SEEDS])
+                codes.append(signed(codes_of(x, n)[rare]))
+                places.append(rare)
+                sizes.append(n)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(weights, pa.list_(pa.float64())), pa.array(codes, longs), pa.array(places, longs), pa.array(sizes, pa.int64())], names=["k", "item_id", "words", "weights", "codes", "places", "n"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return table(rows.mapInArrow(run, "k long, item_id long, words array<long>, weights array<double>, codes array<long>, places array<long>, n long"), "weighted")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that align with no item."""
-    tests = judges(docs, benchmark, item_key, item_text, text)
-    at = docs.columns.index(text)
+def slots(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entry of a code in each of the two filters."""
+    mask = np.uint64((1 << SEED_BITS) - 1)
+    return codes & mask, ((codes >> np.uint64(32)) & mask) + np.uint64(1 << SEED_BITS)
+
+
+def seed_filter(items: DataFrame) -> np.ndarray:
+    """Two arrays of 2 ** SEED_BITS bytes: 0, or the bit length of the longest item with a seed at that entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(2 << SEED_BITS, np.uint8)
+        for b in batches:
+            for codes, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for at in slots(np.array(codes, np.int64).view(np.uint64)):
+                    out[at] = np.maximum(out[at], len(words).bit_length())
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["f"])
+
+    found = merged_filters(items.select("codes", "words").mapInArrow(run, "f binary"), np.maximum)
+    return found if len(found) else np.zeros(2 << SEED_BITS, np.uint8)
+
+
+PASSAGES = "passage long, row long, key array<long>, begin long, words array<long>, codes array<long>, at array<long>"
+
+
+def passages(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """PASSAGES of rows (text, key: whatever names the row): words from `begin` on, and the codes that may be seeds."""
+    sizes = [r["n"] for r in items.select("n").distinct().collect()]  # at most N
+    held = rows.sparkSession.sparkContext.broadcast(seed_filter(items))  # 8 MB, whatever the benchmark
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, part, count, row = Words(), TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            out: list[tuple] = []
+            for text, key in zip(b.column(0), b.column(1), strict=True):
+                ids, row = words.of(text.as_py()), row + 1
+                codes, at, reach = [], [], []
+                for n in sizes:
+                    own = codes_of(ids, n)
+                    far = np.minimum(*(held.value[s] for s in slots(own)))
+                    hit = np.flatnonzero(far)
+                    codes.append(own[hit])
+                    at.append(hit)
+                    reach.append(np.int64(3) << far[hit].astype(np.int64) >> 1)
+                if not sum(map(len, at)):
+                    continue
+                code, place, far = map(np.concatenate, (codes, at, reach))
+                order = np.argsort(place - far, kind="stable")
+                code, place, far = code[order], place[order], far[order]
+                low, high = np.maximum(place - far, 0), np.maximum.accumulate(np.minimum(place + far + N, len(ids)))
+                new = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+                for a, z in zip(new, [*new[1:], len(low)], strict=True):
+                    begin, end = int(low[a]), int(high[z - 1])
+                    out.append(((part << 40) + count, (part << 40) + row, key.as_py(), begin, signed(ids[begin:end]), signed(code[a:z]), place[a:z] - begin))
+                    count += 1
+            longs = pa.list_(pa.int64())
+            kinds = (pa.int64(), pa.int64(), longs, pa.int64(), longs, longs, longs)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=[x.split()[0] for x in PASSAGES.split(", ")])
+
+    return table(rows.select("text", "key").mapInArrow(run, PASSAGES), "passages")
+
+
+def best_alignment(item: np.ndarray, weight: np.ndarray, words: np.ndarray, places: list[int], ats: list[int]) -> tuple[float, float, int, int, int]:
+    """Score, identity, seeds, begin and end of the best alignment of an item around one cluster of its seeds."""
+    best, clusters = (-1.0, 0.0, 0, 0, 0), []
+    for begin, at in sorted((at - place, at) for at, place in zip(ats, places, strict=True)):
+        low, high = max(0, min(begin, at) - len(item) // 2), min(len(words), max(begin, at) + len(item) + len(item) // 2 + N)
+        if clusters and low <= clusters[-1][1]:
+            clusters[-1] = [clusters[-1][0], max(clusters[-1][1], high), clusters[-1][2] + 1]
+        else:
+            clusters.append([low, high, 1])
+    for low, high, n in clusters:
+        score, matched, begin, end = align(item, words[low:high], weight)
+        best = max(best, (score / weight.sum(), matched / len(item), n, low + begin, low + end), key=lambda x: x[0])
+    return best
+
+
+def aligned(rows: DataFrame, benchmark: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """row, key, item_id, score, identity, n_seeds, begin_word, end_word: the best alignment of each row (text, key) with
+    each item_id, where it reaches MIN_SCORE."""
+    items = benchmark_items(benchmark, item_key, item_text)
+    items = weighted_items(items, word_counts(rows, items))
+    found = passages(rows, items)
+    seeds = items.select("k", F.explode(F.arrays_zip("codes", "places")).alias("s")).select("k", F.col("s.codes").alias("code"), F.col("s.places").alias("place"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    codes = found.select("passage", F.explode(F.arrays_zip("codes", "at")).alias("s")).select("passage", F.col("s.codes").alias("code"), F.col("s.at").alias("at"), F.pmod(F.xxhash64("passage"), F.lit(SALTS)).cast("int").alias("salt"))
+    pairs = codes.join(seeds, ["code", "salt"]).groupBy("passage", "k").agg(F.collect_list("place").alias("places"), F.collect_list("at").alias("ats"))
+    pairs = table(pairs, "pairs")
+    met = pairs.join(found.select("passage", "row", "key", "begin", F.col("words").alias("own")), "passage").join(items.select("k", "item_id", "words", "weights"), "k")
+    schema = "row long, key array<long>, item_id long, score double, identity double, n_seeds long, begin_word long, end_word long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [not any(test(x.as_py()) for test in tests) for x in b.column(at)]
-            yield b.filter(pa.array(kept, pa.bool_()))
+            out = []
+            for r in b.to_pylist():
+                item, own = np.array(r["words"], np.int64), np.array(r["own"], np.int64)
+                score, identity, n, begin, end = best_alignment(item, np.array(r["weights"]), own, r["places"], r["ats"])
+                if score >= MIN_SCORE:
+                    out.append((r["row"], r["key"], r["item_id"], score, identity, n, r["begin"] + begin, r["begin"] + end))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+    each = met.select("row", "key", "begin", "own", "places", "ats", "item_id", "words", "weights").mapInArrow(run, schema)
+    best = F.max(F.struct("score", "identity", "n_seeds", F.col("begin_word").alias("b"), F.col("end_word").alias("e"), "key")).alias("x")
+    return each.groupBy("row", "item_id").agg(best).select("row", "x.key", "item_id", "x.score", "x.identity", "x.n_seeds", F.col("x.b").alias("begin_word"), F.col("x.e").alias("end_word"))
+
 
-    return docs.mapInArrow(run, docs.schema)
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """A row for each document and item that align: doc_id, item_id, score, identity, n_seeds, begin_word, end_word."""
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.array(F.col(f"`{key}`").cast("long")).alias("key"))
+    with scratch(docs.sparkSession) as work:
+        found = aligned(rows, benchmark, item_key, item_text)
+        return work.result(found.select(F.col("key")[0].alias("doc_id"), "item_id", "score", "identity", "n_seeds", "begin_word", "end_word"), "matches")
+
+
+def digest(text: Column) -> Column:
+    """128 bits of a text."""
+    return F.array(F.xxhash64(text), F.xxhash64(F.lit(1), text))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that align with no item. The verdict is the text's: rows of one text share it,
+    whatever their doc_id."""
+    of = F.col(f"`{text}`").cast("string")
+    with scratch(docs.sparkSession) as work:
+        found = aligned(docs.select(of.alias("text"), digest(of).alias("key")), benchmark, item_key, item_text)
+        leaks = work.result(found.select("key").distinct(), "leaks")
+    # texts are shuffled only where leaks are too many for Spark to broadcast them
+    return docs.join(leaks, digest(of) == leaks["key"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
