@@ -27,9 +27,8 @@ CHUNK = 8 << 20
 FAN = 1024
 #: keys (sorted, unique, uint64) and counts of a chunk's documents.
 Keys = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
-Summary = Callable[[np.ndarray, np.ndarray], bytes]
-#: From the keys of a part and their totals to what is answered for each key.
-Final = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: From the keys of a part and their totals to what is answered for each key, and a summary of the part.
+Final = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, bytes]]
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -66,12 +65,15 @@ def unpack(data: bytes, count: int) -> np.ndarray:
 
 
 def dealt(rows: DataFrame, text: str = "text") -> tuple[DataFrame, int, int]:
-    """rows with `chunk`, by a hash of all columns; the number of chunks, and of partitions to hold them."""
+    """rows with `chunk`, by a hash of all columns; into how many parts keys go (one for CHUNK bytes of text), and how
+    many buckets hold the chunks. Small tables make chunks of an eighth, as many as there are partitions to work on them."""
     spark = rows.sparkSession
-    least, n = int(spark.conf.get("spark.sql.shuffle.partitions")), chunk_count(rows, text, CHUNK)
-    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
-    buckets, n = min(most, max(least, -(-n // 2))), max(least, n)
-    return rows.withColumn("chunk", F.pmod(F.xxhash64(*(f"`{c}`" for c in rows.columns)), F.lit(n))), n, buckets
+    least, most = int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    small = chunk_count(rows, text, CHUNK // 8)
+    parts = -(-small // 8)
+    n = max(parts, min(least, small))
+    buckets = min(most, max(least, -(-n // 2)))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64(*(f"`{c}`" for c in rows.columns)), F.lit(n))), parts, buckets
 
 
 def bucketed(rows: DataFrame, buckets: int) -> DataFrame:
@@ -84,9 +86,9 @@ def bucketed(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def chunked(rows: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
-    """rows with `chunk`, bucketed by it, and the number of chunks."""
-    found, n, buckets = dealt(rows, text)
-    return bucketed(found, buckets), n
+    """rows with `chunk`, bucketed by it, and the number of parts."""
+    found, parts, buckets = dealt(rows, text)
+    return bucketed(found, buckets), parts
 
 
 #: checks: of each key a second hash of what it stands for (32 bits each), or nothing.
@@ -97,9 +99,9 @@ def bits_for(n: int) -> int:
     return max(1, (n - 1).bit_length())
 
 
-def low_bits(n_chunks: int, bits: int) -> int:
+def low_bits(parts: int, bits: int) -> int:
     """A part (block) is a value of the bits above these."""
-    return bits - bits_for(min(n_chunks, FAN))
+    return bits - bits_for(min(parts, FAN))
 
 
 def message(chunk: int, found: np.ndarray, counts: np.ndarray, low: int, checks: np.ndarray | None = None) -> pa.Table:
@@ -157,14 +159,14 @@ def answered(rows: pa.Table, values: np.ndarray, got: Gathered) -> pa.Table:
     return pa.table({"chunk": rows.column("chunk"), "block": rows.column("block"), "n": pa.array(got.n, pa.int64()), "answer": pa.array(answer, pa.binary())})
 
 
-def added(rows: pa.Table, low: int, summary: Summary | None = None, lowest: bool = False, final: Final | None = None) -> pa.Table:
+def added(rows: pa.Table, low: int, lowest: bool = False, final: Final | None = None) -> pa.Table:
     """ANSWER to all that was sent to one block."""
     got = gathered(rows, low, lowest)
-    out = answered(rows, got.total if final is None else final(got.keys, got.total), got)
-    if summary is None:
-        return out
-    block = rows.column("block")[0].as_py()
-    return pa.concat_tables([out, pa.table({"chunk": pa.array([-1], pa.int64()), "block": pa.array([block], pa.int64()), "n": pa.array([len(got.keys)], pa.int64()), "answer": pa.array([summary(got.keys, got.total)], pa.binary())})])
+    if final is None:
+        return answered(rows, got.total, got)
+    values, summary = final(got.keys, got.total)
+    more = pa.table({"chunk": pa.array([-1], pa.int64()), "block": rows.column("block")[:1], "n": pa.array([len(got.keys)], pa.int64()), "answer": pa.array([summary], pa.binary())})
+    return pa.concat_tables([answered(rows, values, got), more])
 
 
 def merged(rows: pa.Table, low: int, fine: int, lowest: bool) -> pa.Table:
@@ -178,33 +180,33 @@ def forwarded(rows: pa.Table, back: pa.Table, low: int, lowest: bool) -> pa.Tabl
     return answered(rows, answers(back), gathered(rows, low, lowest))
 
 
-def totals(sent: DataFrame, n_chunks: int, bits: int, summary: Summary | None = None, lowest: bool = False, final: Final | None = None) -> DataFrame:
+def totals(sent: DataFrame, parts: int, bits: int, lowest: bool = False, final: Final | None = None) -> DataFrame:
     """chunk, block, n, answer: packed totals (or the lowest values, or what final makes of them) of the keys below
     2 ** bits that the chunk sent to the block, in their order.
 
-    With summary, one more row for each part that is added up: chunk -1, and summary(keys, totals).
+    With final, one more row for each part that is added up: chunk -1, and its summary.
     """
-    low, fan = low_bits(n_chunks, bits), FAN
-    if n_chunks <= fan:
-        return sent.groupBy("block").applyInArrow(lambda t: added(t, low, summary, lowest, final), ANSWER)
-    teams = -(-n_chunks // fan)
+    low, fan = low_bits(parts, bits), FAN
+    if parts <= fan:
+        return sent.groupBy("block").applyInArrow(lambda t: added(t, low, lowest, final), ANSWER)
+    teams = -(-parts // fan)
     finer = bits_for(teams)
     sent = table(sent.withColumn("team", F.pmod(F.xxhash64("chunk"), F.lit(teams))), "messages")
     up = sent.groupBy("team", "block").applyInArrow(lambda t: merged(t, low, low - finer, lowest), SENT)
-    far = table(up.groupBy("block").applyInArrow(lambda t: added(t, low - finer, summary, lowest, final), ANSWER), "totals")
+    far = table(up.groupBy("block").applyInArrow(lambda t: added(t, low - finer, lowest, final), ANSWER), "totals")
     back = far.where("chunk >= 0").withColumn("part", F.shiftright("block", finer))
     down = sent.groupBy("team", "block").cogroup(back.groupBy("chunk", "part")).applyInArrow(lambda a, b: forwarded(a, b, low, lowest), ANSWER)
     return down.unionAll(far.where("chunk = -1"))
 
 
-def counted(rows: DataFrame, n_chunks: int, keys: Keys, bits: int, summary: Summary | None = None) -> DataFrame:
+def counted(rows: DataFrame, parts: int, keys: Keys, bits: int) -> DataFrame:
     """totals of the keys (below 2 ** bits) of every chunk of rows."""
-    low = low_bits(n_chunks, bits)
+    low = low_bits(parts, bits)
 
     def send(part: pa.Table) -> pa.Table:
         return message(part.column("chunk")[0].as_py(), *keys(part), low)
 
-    return totals(rows.groupBy("chunk").applyInArrow(send, SENT), n_chunks, bits, summary)
+    return totals(rows.groupBy("chunk").applyInArrow(send, SENT), parts, bits)
 
 
 def answers(rows: pa.Table) -> np.ndarray:

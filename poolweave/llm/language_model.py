@@ -64,7 +64,7 @@ def chunk_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     return found, place[np.concatenate(each)], np.array([len(x) for x in each], np.int64)
 
 
-#: One row for each chunk: its documents, their words, and (from the second table on) the words' counts in the corpus.
+#: One row for each chunk: its documents, their words, and the words' counts (in the chunk, later in the corpus).
 CHUNKS = "chunk long, n_docs long, n_words long, n_tokens long, ids binary, valid binary, held binary, sizes binary, places binary, words binary, counts binary"
 END_KEY = np.uint64(xxhash.xxh64_intdigest(END))
 
@@ -208,14 +208,14 @@ def chosen(keys: np.ndarray, counts: np.ndarray, both: np.ndarray, turn: int) ->
     return old, new, mass, state
 
 
-def counts_summary(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Of a block: tokens and words in training, words by the bit length of their count, and its most frequent words."""
+def counts_summary(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The counts, and of their block: tokens and words in training, words by the bit length of their count, and its most frequent words."""
     size = np.zeros(len(counts), np.int64)
     for k in range(64):
         size += counts >= np.uint64(1 << k)
     top = np.argsort(counts, kind="stable")[::-1][:CLASSES]
     numbers = np.concatenate([[int(counts.sum()), int((counts > 0).sum())], np.bincount(size, minlength=65)]).astype("<u8")
-    return np.concatenate([numbers, keys[top], counts[top]]).astype("<u8").tobytes()
+    return counts, np.concatenate([numbers, keys[top], counts[top]]).astype("<u8").tobytes()
 
 
 @dataclass(frozen=True)
@@ -300,9 +300,9 @@ def remainder(doc_id: Column) -> Column:
 
 
 def counted_chunks(rows: DataFrame) -> tuple[DataFrame, Vocabulary, int]:
-    """The corpus as CHUNKS with counts over the corpus, its vocabulary, and the number of chunks."""
+    """The corpus as CHUNKS with counts over the corpus (two tables bucketed alike), its vocabulary, and the number of parts."""
     found, n, buckets = dealt(rows)
-    own = table(found.repartition(buckets, "chunk").groupBy("chunk").applyInArrow(encoded, CHUNKS), "encoded")
+    own = bucketed(found.repartition(buckets, "chunk").groupBy("chunk").applyInArrow(encoded, CHUNKS), buckets)
     low = low_bits(n, 64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,12 +311,12 @@ def counted_chunks(rows: DataFrame) -> tuple[DataFrame, Vocabulary, int]:
                 keys = np.cumsum(unpack(r["words"], r["n_words"]), dtype=np.uint64)
                 yield from message(r["chunk"], keys, unpack(r["counts"], r["n_words"]), low).to_batches()
 
-    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        return left.set_column(left.schema.get_field_index("counts"), "counts", pa.array([pack(answers(right))] if left.num_rows else [], pa.binary()))
+    def settle(back: pa.Table) -> pa.Table:
+        return pa.table({"chunk": back.column("chunk")[:1], "counts": pa.array([pack(answers(back))], pa.binary())})
 
-    sums = table(totals(own.select("chunk", "n_words", "words", "counts").mapInArrow(send, SENT), n, 64, counts_summary), "counts")
-    whole = own.groupBy("chunk").cogroup(sums.where("chunk >= 0").groupBy("chunk")).applyInArrow(settle, CHUNKS)
-    return bucketed(whole, buckets), vocabulary(sums), n
+    sums = table(totals(own.select("chunk", "n_words", "words", "counts").mapInArrow(send, SENT), n, 64, final=counts_summary), "counts")
+    counts = bucketed(sums.where("chunk >= 0").groupBy("chunk").applyInArrow(settle, "chunk long, counts binary"), buckets)
+    return own.drop("counts").join(counts, "chunk"), vocabulary(sums), n
 
 
 def sweep(chunks: DataFrame, n: int, before: DataFrame | None, least_before: int, least: int, turn: int, anchors: np.ndarray) -> tuple[DataFrame, np.ndarray]:
@@ -338,18 +338,13 @@ def sweep(chunks: DataFrame, n: int, before: DataFrame | None, least_before: int
         sent = table(made, "neighbours")
         both = added_up(sent.where("block = -1").select(F.col("counts").alias("v"), F.col("chunk").alias("part")), CLASSES * CLASSES).reshape(CLASSES, CLASSES).astype(float)
 
-        def final(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-            _, new, _, state = chosen(keys, counts, both, turn)
+        def final(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, bytes]:
+            old, new, mass, state = chosen(keys, counts, both, turn)
             out = np.zeros(len(keys), np.uint64)
             out[state] = new + 1
-            return out
+            return out, pack(np.concatenate([[mass[new != old].sum(), mass.sum()], np.bincount(new, mass, CLASSES), np.bincount(new, minlength=CLASSES)]))
 
-        def summary(keys: np.ndarray, counts: np.ndarray) -> bytes:
-            old, new, mass, _ = chosen(keys, counts, both, turn)
-            moved = mass[new != old].sum()
-            return pack(np.concatenate([[moved, mass.sum()], np.bincount(new, mass, CLASSES), np.bincount(new, minlength=CLASSES)]))
-
-        out = work.result(totals(sent.where("block >= 0"), n, 64, summary, final=final), "classes")
+        out = work.result(totals(sent.where("block >= 0"), n, 64, final=final), "classes")
     return out.where("chunk >= 0"), added_up(out.where("chunk = -1").select(F.col("answer").alias("v"), F.col("block").alias("part")), 2 + 2 * CLASSES)
 
 

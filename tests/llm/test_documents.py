@@ -262,7 +262,7 @@ def test_held_out_text_is_likelier_than_by_the_base(spark):
 
 @pytest.mark.parametrize("size", [50, 200])
 def test_totals_by_teams_and_rows_in_proportion(size):
-    """Chunks beyond FAN meet in teams; a chunk never sends more rows than FAN."""
+    """A chunk sends a row to each part at most, and FAN whatever the corpus; numbers come back as they were packed."""
     r = np.random.default_rng(size)
     for n in (1, 3, 40):
         sent = [np.unique(r.integers(0, 2**30, size).astype(np.uint64)) for _ in range(n)]
@@ -316,6 +316,35 @@ def test_nothing_is_left_but_the_result(spark, docs, tmp_path, monkeypatch):
     assert {t.name for t in spark.catalog.listTables()} == names
 
 
+def test_clashing_names_and_missing_ids(spark, rows):
+    """Columns called like those the operators make, names with dots, and rows without doc_id."""
+    names = "text string, `__m` string, `__p` double, `__failed` boolean, m long, p double, failed string, c0 string, c1 long, `a.b` string, size long, key string, comp long, rep long, h1 long, chunk long, n_chars int"
+    extra = ("u", 0.5, False, 1, 0.25, "v", "w", 2, "d", 3, "k", 4, 5, 6, 7)
+    data = [(None if i % 9 == 4 else k, t, *extra, 0 if t is None else len(t)) for i, (k, t) in enumerate(rows)] + [(None, rows[12][1], *extra, len(rows[12][1]))] * 3
+    docs = spark.createDataFrame(data, f"doc_id long, {names}").repartition(3)
+    as_is = {tuple(r) for r in docs.drop("text", "n_chars").collect()}
+    for f in (quality_rules.keep_good, ngram_join.keep_one, suffix_dedup.cut):
+        out = f(docs)
+        assert out.dtypes == docs.dtypes, f
+        assert {tuple(r) for r in out.drop("text", "n_chars").collect()} <= as_is
+        assert all(r.n_chars == len(r.text or "") for r in out.collect())
+    missing = sum(r[0] is None for r in data)
+    for f in (quality_rules.quality_scores, ngram_join.join_classes, suffix_dedup.dedup, language_model.score, packing.pack):
+        out = f(docs).collect()
+        assert sum(r.doc_id is None and (f is not packing.pack or r.start == 0) for r in out) == missing, f
+    assert all(r.component_id is None for r in ngram_join.join_classes(docs).collect() if r.doc_id is None)
+    assert all(r.n_removed == 0 for r in suffix_dedup.dedup(docs).collect() if r.doc_id is None)
+    path = new_path(spark, "missing")
+    back = token_files.read_documents(token_files.file_starts(token_files.write_sequences(docs, path, tokens.default_path())), path).orderBy("start").collect()
+    assert [r.doc_id for r in back[:missing]] == [None] * missing and len(back) == len(data)
+
+
+def test_rows_of_one_doc_id_stay_or_go_together(spark):
+    t = prose(1, 50)
+    docs = spark.createDataFrame([(1, t, "a"), (1, t, "b"), (2, t, "c"), (2, prose(3, 50), "d")], "doc_id long, text string, x string")
+    assert sorted(r.x for r in ngram_join.keep_one(docs).collect()) == ["a", "b"]
+
+
 HOSTILE = ["a  b", "a   b", "a \n b\t c", " lead", "trail ", "tr  ", "\x1c x", "it's 's x'sure", "a\n \nb", "", "\xa0 \xa0x", "x  y", "12 34 5", "<|endoftext|> a", "² ½x é… æ. 漢字。 ß", "a\0b c", "!! a!! #b", "naïve façade 😀 x", "tabs\t\tx  \n\n y"]
 
 
