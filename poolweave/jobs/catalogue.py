@@ -168,7 +168,7 @@ def conflict_edges(spark: SparkSession, d: str) -> DataFrame:
 def colour_check(spark: SparkSession, d: str) -> DataFrame:
     """In no colour do fragments differ at a site, and none holds one genotype twice."""
     colours = colouring.coloured(frequency.fragments(bridge.calls(spark, d)))
-    ones, zeros = F.bit_or("bits"), F.bit_or(F.col("mask").bitwiseAND(F.bitwise_not("bits")))
+    ones, zeros = F.bit_or(F.col("bits")[0]), F.bit_or(F.col("mask")[0].bitwiseAND(F.bitwise_not(F.col("bits")[0])))  # 12 sites lie in the first word
     by = colours.groupBy("pool", "colour").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("genotype").alias("kinds"), (ones.bitwiseAND(zeros) != 0).cast("long").alias("bad"))
     return by.groupBy("pool").agg(F.sum("n").alias("copies"), F.sum("bad").alias("conflicts"), F.sum(F.col("n") - F.col("kinds")).alias("repeated"))
 
@@ -182,10 +182,8 @@ def colour_haps(spark: SparkSession, d: str) -> DataFrame:
 def geno_links(spark: SparkSession, d: str) -> DataFrame:
     """Distinct genotypes as drafts: a link where one holds both neighbours."""
     rows = frequency.fragments(bridge.calls(spark, d))
-    pairs = F.col("mask").bitwiseAND(F.shiftright("mask", 1))
-    one = F.lit(1).cast("long")
-    links = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SITES - 2)), lambda k: F.when(pairs.bitwiseAND(F.call_function("shiftleft", one, k)) != 0, "-").otherwise("?")), "")
-    return rows.select("pool", links.alias("links"), "n")
+    links = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SITES - 2)), lambda k: F.when(frequency.has_bit(F.col("pairs"), k), "-").otherwise("?")), "")
+    return rows.select("pool", "n", frequency.neighbours(F.col("mask")).alias("pairs")).select("pool", links.alias("links"), "n")
 
 
 GAP_SQL = f"""{GENO_SQL}, gaps AS (SELECT pool, CAST(k AS BIGINT) AS k, CAST(sum(CASE WHEN (mask >> CAST(k AS INTEGER)) & 3 = 3 THEN 0 ELSE least(copies, 32877) END) AS BIGINT) AS gap_count, count(*) AS n_drafts
@@ -219,6 +217,30 @@ def region_plan_check(spark: SparkSession, d: str) -> DataFrame:
     return sites.agg(F.countDistinct("site").alias("covered"), (F.count("site") - F.countDistinct("site")).alias("overlaps"), (F.max("size") <= SMALL.max_level_1).alias("within_limits"))
 
 
+@query(f"""WITH RECURSIVE {GAP_SQL}, {CUTOFF_SQL}, best AS (SELECT k, max(gap_count / n_drafts) AS support FROM gaps GROUP BY k),
+levels AS (SELECT cutoff, sum(CASE WHEN support >= cutoff THEN 1 ELSE 0 END) AS n FROM best, cutoffs GROUP BY cutoff),
+chosen AS (SELECT coalesce(max(cutoff) FILTER (12 / (n + 1) <= 5), min(cutoff)) AS cutoff FROM levels),
+marks AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM (SELECT k FROM best, chosen WHERE support >= cutoff UNION SELECT 11)),
+sweep(i, start, cuts, done) AS (SELECT 0, 0, []::INTEGER[], false UNION ALL
+  SELECT m.i, CASE WHEN m.k - t.s >= 3 THEN m.k ELSE t.s END, CASE WHEN m.k - t.s >= 3 THEN list_append(t.c, CAST(m.k AS INTEGER)) ELSE t.c END,
+    (len(t.c) > 0 AND 11 - t.c[-1] <= 2) OR (m.k - t.s >= 3 AND 11 - m.k <= 2)
+  FROM (SELECT i, s.start + 5 * j AS s, list_concat(cuts, list_transform(range(1, j + 1), lambda x: CAST(s.start + 5 * x AS INTEGER))) AS c
+    FROM (SELECT s.*, CAST(greatest(0, (m.k - s.start - 1) // 5) AS INTEGER) AS j FROM sweep s JOIN marks m ON m.i = s.i + 1 WHERE NOT done) s) t JOIN marks m ON m.i = t.i + 1),
+cut AS (SELECT CASE WHEN len(cuts) > 0 AND 11 - cuts[-1] <= 2 THEN cuts[:-2] ELSE cuts END AS cuts FROM sweep ORDER BY i DESC LIMIT 1),
+edges AS (SELECT unnest(list_concat([0], cuts)) AS a, unnest(list_concat(cuts, [12])) AS b FROM cut),
+one AS (SELECT a, b, row_number() OVER (ORDER BY a) - 1 AS r, count(*) OVER () AS n FROM (SELECT a + 5 * j AS a, least(b, a + 5 * (j + 1)) - 1 AS b FROM edges, LATERAL (SELECT unnest(range(0, (b - a - 1) // 5 + 1)) AS j))),
+two(r, a, b, n) AS (SELECT CAST(0 AS BIGINT), CAST(o.b // 2 AS BIGINT), CAST(CASE WHEN o.n = 2 THEN (12 + o.b // 2) // 2 ELSE o.b // 2 + CASE WHEN m - o.b // 2 >= 5 THEN 5 ELSE greatest(m - o.b // 2, 2) END END AS BIGINT), o.n
+    FROM one o JOIN (SELECT (a + b) // 2 AS m FROM one WHERE r = 1) ON o.r = 0
+  UNION ALL SELECT t.r + 1, t.b + 1, CAST(CASE WHEN t.r + 2 = t.n - 1 THEN (12 + t.b + 1) // 2 ELSE t.b + 1 + CASE WHEN (o.a + o.b) // 2 - t.b - 1 >= 5 THEN 5 ELSE greatest((o.a + o.b) // 2 - t.b - 1, 2) END END AS BIGINT), t.n
+    FROM two t JOIN one o ON o.r = t.r + 2 WHERE t.b + 1 < 11)
+SELECT CAST(1 AS BIGINT) AS level, CAST(r AS BIGINT) AS region, CAST(a AS BIGINT) AS first_site, CAST(b AS BIGINT) AS last_site FROM one
+UNION ALL SELECT 2, r, a, least(b, 11) FROM two""")
+def region_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Both levels of the plan that follows from the gaps of the data, in regions of 3 to 5 sites."""
+    gaps = regions.selected_gaps(regions.gap_support(geno_links(spark, d)), SITES, SMALL, CUTOFFS)
+    return regions.region_table(spark, regions.plan(gaps, SITES, SMALL))
+
+
 @query(f"WITH {HAPS_SQL}, e AS (SELECT lpad(bin(i), 12, '0') AS hap FROM range(4096) t(i)) SELECT e.hap, 1 / 4096 AS freq, round(coalesce(h.freq, 0), 9) AS observed FROM e LEFT JOIN haps h ON h.hap = e.hap")
 def hap_enumerate(spark: SparkSession, d: str) -> DataFrame:
     seen = bridge.haps(spark, d).withColumnRenamed("freq", "observed")
@@ -387,10 +409,48 @@ def intra_matrix(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {GRID_SQL}, {ID_SQL}, g AS (SELECT hap_id, hap, CAST(CAST(round(mean_freq * 1e6, 0) AS BIGINT) AS VARCHAR) AS v FROM names JOIN ids USING (hap))
 SELECT CAST(-2 AS BIGINT) AS ord, 'Hap_ID' || chr(9) || string_agg(CAST(hap_id AS VARCHAR), chr(9) ORDER BY hap_id) AS line FROM g
 UNION ALL SELECT -1, 'Freq' || chr(9) || string_agg(v, chr(9) ORDER BY hap_id) FROM g
-UNION ALL SELECT s, s || chr(9) || string_agg(substr(hap, CAST(s + 1 AS INTEGER), 1), chr(9) ORDER BY hap_id) FROM g, range(12) t(s) GROUP BY s""")
+UNION ALL SELECT s, '0;' || 100 * (s + 1) || ';' || 100 * (s + 1) || ';0:1' || chr(9) || string_agg(substr(hap, CAST(s + 1 AS INTEGER), 1), chr(9) ORDER BY hap_id) FROM g, range(12) t(s) GROUP BY s""")
 def inter_matrix(spark: SparkSession, d: str) -> DataFrame:
     rows = grid(spark, d).groupBy("hap").agg(F.max("mean_freq").alias("m")).join(haplotypes.first_seen(bridge.drafts(spark, d)), "hap")
-    return files.inter_lines(rows.select("hap_id", "hap", micro(F.col("m")).alias("value")))
+    pos = bridge.position(F.col("site"))
+    sites = spark.range(SITES).select(F.col("id").alias("site")).withColumn("locus", locus.formatted(F.lit(0), pos, pos, F.array(F.lit("0"), F.lit("1"))))
+    return files.inter_lines(rows.select("hap_id", "hap", micro(F.col("m")).alias("value")), sites)
+
+
+@query("""WITH c AS (SELECT CAST(l_orderkey % 8 AS BIGINT) AS pool, l_orderkey AS read_id, 7 * l_partkey AS pos, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS allele FROM lineitem),
+s AS (SELECT 7 * p_partkey AS pos, row_number() OVER (ORDER BY p_partkey) - 1 AS site FROM part WHERE p_size < 25)
+SELECT pool, CAST(site AS BIGINT) AS site, count(*) AS n, CAST(sum(allele) AS BIGINT) AS alternate FROM c JOIN s USING (pos) GROUP BY pool, site""")
+def site_join(spark: SparkSession, d: str) -> DataFrame:
+    """Calls at any position, at the known sites among them: parts of some sizes, numbered by position."""
+    calls = bridge.raw_calls(spark, d).select("pool", "read_id", (F.col("l_partkey") * 7).alias("pos"), "allele")
+    sites = reads.numbered(bridge.table(spark, d, "part").where("p_size < 25").select((F.col("p_partkey") * 7).alias("pos")))
+    return reads.site_calls(calls, sites).groupBy("pool", "site").agg(F.count(F.lit(1)).alias("n"), F.sum("allele").alias("alternate"))
+
+
+@query(f"""WITH {MAF_SQL}, g AS (SELECT pool, site, CAST(CAST(round(freq * 1e6, 0) AS BIGINT) AS VARCHAR) AS v FROM maf)
+SELECT CAST(-1 AS BIGINT) AS ord, 'Pool_ID' || chr(9) || string_agg(CAST(pool AS VARCHAR), chr(9) ORDER BY pool) AS line FROM (SELECT DISTINCT pool FROM g)
+UNION ALL SELECT s.site, '0;' || 100 * (s.site + 1) || ';' || 100 * (s.site + 1) || ';0:1' || chr(9) || string_agg(coalesce(v, '0.0'), chr(9) ORDER BY p.pool)
+FROM (SELECT DISTINCT site FROM g) s CROSS JOIN (SELECT DISTINCT pool FROM g) p LEFT JOIN g ON g.site = s.site AND g.pool = p.pool GROUP BY s.site""")
+def freq_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The text of the site frequencies that later steps read."""
+    freq = frequency.site_frequency(bridge.calls(spark, d)).select("pool", "site", micro(F.col("freq")).alias("value"))
+    pos = bridge.position(F.col("site"))
+    sites = freq.select("site").distinct().select("site", locus.formatted(F.lit(0), pos, pos, F.array(F.lit("0"), F.lit("1"))).alias("locus"))
+    return files.freq_lines(freq, sites)
+
+
+@query("""WITH a AS (SELECT l_orderkey * 8 + l_linenumber AS read_id, CAST(l_orderkey % 8 AS BIGINT) AS pool, l_partkey AS start, CAST(l_quantity AS BIGINT) % 6 + 2 AS m, CAST(l_quantity AS BIGINT) % 4 + 1 AS gap, l_suppkey % 4 AS b FROM lineitem),
+v AS (SELECT p_partkey AS pos, substr('ACGT', CAST(p_size % 4 + 1 AS INTEGER), 1) AS alt FROM part)
+SELECT pool, pos, count(*) AS n, CAST(sum(CASE WHEN (pos - start < m OR pos - start >= m + gap) AND alt = substr('ACGT', CAST(b + 1 AS INTEGER), 1) THEN 1 ELSE 0 END) AS BIGINT) AS alternate
+FROM a JOIN v ON pos BETWEEN start AND start + 2 * m + gap - 1 GROUP BY pool, pos""")
+def base_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments made from line items (one base throughout, a deletion in the middle), called at every part as a site."""
+    q = F.col("l_quantity").cast("long")
+    m, gap = q % 6 + 2, q % 4 + 1
+    base = F.substring(F.lit("ACGT"), (F.col("l_suppkey") % 4 + 1).cast("int"), F.lit(1))
+    sam = bridge.table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("read_id"), (F.col("l_orderkey") % POOLS).alias("pool"), F.lit(99).alias("flag"), F.col("l_partkey").alias("pos"), F.concat(m.cast("string"), F.lit("M"), gap.cast("string"), F.lit("D"), m.cast("string"), F.lit("M")).alias("cigar"), F.repeat(base, (2 * m).cast("int")).alias("seq"))
+    variants = bridge.table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.substring(F.lit("ACGT"), (F.col("p_size") % 4 + 1).cast("int"), F.lit(1)).alias("alt"), F.lit(1).alias("code"))
+    return reads.base_calls(sam, variants).groupBy("pool", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("allele").alias("alternate"))
 
 
 @query(f"""WITH {CALLS_SQL}, ids AS (SELECT DISTINCT pool, read_id FROM calls)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from functools import reduce
 
@@ -11,13 +13,18 @@ from pyspark.sql import functions as F
 from ..operators import colouring, em, frequency, haplotypes, linkage, regions, regression
 from ..sources.params import Parameters
 
+OWN: dict[str, str] = {}
+
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cut lineage behind a solver: checkpointed to spark.checkpoint.dir where there is one, else cached."""
+    """Cut lineage behind a solver: written to spark.checkpoint.dir, which driver and executors share. Where it is unset,
+    local mode takes a temporary folder, and a cluster is told."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df.persist()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/poolweave-{uuid.uuid4().hex}")
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,7 +64,7 @@ def regional_lasso(calls: DataFrame, drafts: DataFrame, broken: list[Row], p: Pa
         haps = kept(drafts.select(F.substring("hap", a + 1, b - a + 1).alias("hap")).distinct())
         inside = freq.where(F.col("site").between(a, b)).withColumn("site", F.col("site") - a)
         linked = pairs.where(F.col("l1").between(a, b) & F.col("l2").between(a, b)).withColumns({"l1": F.col("l1") - a, "l2": F.col("l2") - a})
-        found = fitted(haps, inside, linked, p, [0])
+        found = fitted(haps, inside, linked, p)
         out.append(found.select(F.lit(r["level"]).cast("long").alias("level"), F.lit(r["region"]).cast("long").alias("region"), "hap", "freq"))
     rows = haplotypes.renormalised(reduce(DataFrame.unionByName, out), "level", "region")
     return haplotypes.adaptive(rows, p.regional_freq_min, p.min_keep, p.max_keep, p.top_ties, None, p.random_share, by=("level", "region"))
@@ -66,48 +73,46 @@ def regional_lasso(calls: DataFrame, drafts: DataFrame, broken: list[Row], p: Pa
 def linked_regions(region_haps: DataFrame, plan: DataFrame, sites: int, p: Parameters) -> DataFrame:
     """hap, freq over all sites: copies of regional haplotypes, coloured like reads of one pool."""
     copies = region_haps.withColumn("n", F.floor(F.col("freq") * p.fragments)).where("n > 0").join(F.broadcast(plan), ["level", "region"])
-    one = F.lit(1).cast("long")
-    span = F.sequence(F.col("first_site"), F.col("last_site"))
-    mask = F.aggregate(span, F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(F.call_function("shiftleft", one, k.cast("int"))))
-    bits = F.aggregate(F.filter(span, lambda k: F.substring(F.col("hap"), (k - F.col("first_site") + 1).cast("int"), F.lit(1)) == "1"), F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(F.call_function("shiftleft", one, k.cast("int"))))
+    span, last = F.sequence(F.col("first_site"), F.col("last_site")), F.col("last_site")
+    mask = frequency.bit_words(span, last)
+    bits = frequency.bit_words(F.filter(span, lambda k: F.substring(F.col("hap"), (k - F.col("first_site") + 1).cast("int"), F.lit(1)) == "1"), last)
     nodes = copies.select(F.lit(0).cast("long").alias("pool"), F.concat_ws(":", "first_site", "hap").alias("genotype"), mask.alias("mask"), bits.alias("bits"), "n")
     nodes = nodes.groupBy("pool", "genotype", "mask", "bits").agg(F.sum("n").alias("n"))
     drafts = colouring.draft_haplotypes(colouring.consensus(colouring.coloured(nodes), sites))
     return haplotypes.pool_shares(drafts).select("hap", "freq")
 
 
-def fitted(haps: DataFrame, freq: DataFrame, pairs: DataFrame, p: Parameters, pools: list[int]) -> DataFrame:
+def fitted(haps: DataFrame, freq: DataFrame, pairs: DataFrame, p: Parameters) -> DataFrame:
     """pool, hap, freq: coefficients of each pool's regression on all of haps; none below 0."""
-    rows = kept(regression.design(haps, freq, pairs, regression.Weights(p.weight_one, p.weight_site, p.weight_pair)))
-    names = [r["hap"] for r in haps.select("hap").distinct().orderBy("hap").collect()]  # a configuration's haplotypes
-    ladder = regression.Ladder(p.penalty, p.penalty_step, p.least_r2, least=p.local_freq_min)
-    found = regression.pool_frequencies(haps.sparkSession, rows, names, pools, ladder)
+    rows = regression.design(haps, freq, pairs, regression.Weights(p.weight_one, p.weight_site, p.weight_pair))
+    found = regression.pool_frequencies(rows, haps, regression.Ladder(p.penalty, p.penalty_step, p.least_r2, least=p.local_freq_min))
     return found.select("pool", "hap", F.greatest("freq", F.lit(0.0)).alias("freq"))
 
 
-def pool_lasso(haps: DataFrame, calls: DataFrame, p: Parameters, pools: list[int]) -> DataFrame:
+def pool_lasso(haps: DataFrame, calls: DataFrame, p: Parameters) -> DataFrame:
     """pool, hap, freq: each pool's regression on the candidate haplotypes, rare ones dropped, made to sum to 1."""
-    return haplotypes.pruned(fitted(haps, frequency.site_frequency(calls), linkage.pair_linkage(calls), p, pools), p.local_freq_min, "pool")
+    return haplotypes.pruned(fitted(haps, frequency.site_frequency(calls), linkage.pair_linkage(calls), p), p.local_freq_min, "pool")
 
 
-def reconstruct(calls: DataFrame, sites: int, p: Parameters = Parameters()) -> DataFrame:
-    """hap, pool, freq, mean_freq: every haplotype found in any pool, in every pool.
+def pieces(calls: DataFrame, sites: int, p: Parameters = Parameters()) -> tuple[DataFrame, tuple[list, list], DataFrame]:
+    """Drafts of each pool, the plan of regions, and the candidate haplotypes of all pools' regressions (hap, freq).
 
     Long genomes go by regions (a plan from the gaps of the drafts); those of one region at most go straight to the
-    merged drafts. Every haplotype found is a candidate of every pool's regression.
+    merged drafts. Every haplotype found is a candidate, however rare.
     """
-    spark = calls.sparkSession
-    calls = kept(calls)
     drafts = kept(pool_drafts(calls, sites))
-    shares = haplotypes.pool_shares(drafts)
-    pools = calls.select("pool").distinct()
     gaps = regions.selected_gaps(regions.gap_support(drafts), sites, plan_limits(p), regions.cutoffs(max(p.in_pool_gap_min, p.all_pool_gap_min), p.gap_step))
     one, two = regions.plan(gaps, sites, plan_limits(p))
     if len(one) > 1:
-        plan = regions.region_table(spark, (one, two))
+        plan = regions.region_table(calls.sparkSession, (one, two))
         found = linked_regions(region_haplotypes(calls, drafts, plan, p), plan, sites, p)
     else:
-        found = haplotypes.merged_pools(shares, pools).groupBy("hap").agg(F.max("mean_freq").alias("freq"))
-    candidates = kept(found.select("hap"))
-    names = sorted(r["pool"] for r in pools.collect())
-    return haplotypes.merged_pools(kept(pool_lasso(candidates, calls, p, names)), pools)
+        found = haplotypes.merged_pools(haplotypes.pool_shares(drafts), calls.select("pool").distinct()).groupBy("hap").agg(F.max("mean_freq").alias("freq"))
+    return drafts, (one, two), kept(found.select("hap", "freq"))
+
+
+def reconstruct(calls: DataFrame, sites: int, p: Parameters = Parameters()) -> DataFrame:
+    """hap, pool, freq, mean_freq: every haplotype found in any pool, in every pool."""
+    calls = kept(calls)
+    _, _, candidates = pieces(calls, sites, p)
+    return haplotypes.merged_pools(kept(pool_lasso(candidates, calls, p)), calls.select("pool").distinct())

@@ -1,6 +1,7 @@
 """Conflict graph of fragments and its colouring, one pool at a time; colours become draft haplotypes.
 
-Fragments are the distinct genotypes of a pool with their number of copies, as bit masks (at most 63 sites). Two
+Fragments are the distinct genotypes of a pool with their number of copies, as bit masks (arrays of longs, so of any
+number of sites). Two
 conflict if they share a site and differ there. Choosing the next node is sequential, so a pool is one group of
 applyInPandas; what it holds is bounded by the distinct genotypes, never by the reads: copies are a number.
 """
@@ -12,11 +13,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COLOURS = "pool long, genotype string, mask long, bits long, colour long"
+from .frequency import has_bit, neighbours
+
+COLOURS = "pool long, genotype string, mask array<long>, bits array<long>, colour long"
 
 
 def conflicts_of(mask: np.ndarray, bits: np.ndarray, m: int, b: int) -> np.ndarray:
-    return (mask & m & (bits ^ b)) != 0
+    """mask, bits: nodes by words; m, b: of one node."""
+    return ((mask & m & (bits ^ b)) != 0).any(axis=1)
+
+
+def stacked(words: pd.Series) -> np.ndarray:
+    """Arrays of longs as rows of one matrix, short ones filled up with zeros."""
+    out = np.zeros((len(words), max(map(len, words), default=1)), np.int64)
+    for row, w in zip(out, words, strict=True):
+        row[: len(w)] = w
+    return out
 
 
 def degrees(fragments: DataFrame) -> DataFrame:
@@ -24,7 +36,7 @@ def degrees(fragments: DataFrame) -> DataFrame:
     are found and never written."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        mask, bits = rows["mask"].to_numpy(np.int64), rows["bits"].to_numpy(np.int64)
+        mask, bits = stacked(rows["mask"]), stacked(rows["bits"])
         return rows[["pool", "genotype"]].assign(degree=[int(conflicts_of(mask, bits, m, b).sum()) for m, b in zip(mask, bits, strict=True)])
 
     return fragments.groupBy("pool").applyInPandas(count, "pool long, genotype string, degree long")
@@ -58,7 +70,7 @@ def coloured(fragments: DataFrame) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("genotype", kind="stable").reset_index(drop=True)
-        colours = coloured_nodes(rows["mask"].to_numpy(np.int64), rows["bits"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+        colours = coloured_nodes(stacked(rows["mask"]), stacked(rows["bits"]), rows["n"].to_numpy(np.int64))
         at = np.repeat(np.arange(len(rows)), [len(c) for c in colours])
         return rows.loc[at, ["pool", "genotype", "mask", "bits"]].assign(colour=np.concatenate(colours) if len(at) else np.empty(0, np.int64))
 
@@ -68,14 +80,14 @@ def coloured(fragments: DataFrame) -> DataFrame:
 def consensus(colours: DataFrame, sites: int) -> DataFrame:
     """pool, colour, hap, links. A colour has no conflict, so the union of its fragments gives each site one allele;
     '-' links neighbours that some fragment holds both of, '?' the others."""
-    one = F.lit(1).cast("long")
     places = F.sequence(F.lit(0), F.lit(sites - 1))
-    pair = F.col("mask").bitwiseAND(F.shiftright("mask", 1))
-    merged = colours.groupBy("pool", "colour").agg(F.bit_or("mask").alias("mask"), F.bit_or("bits").alias("bits"), F.bit_or(pair).alias("pairs"))
-    at = lambda x, k: x.bitwiseAND(F.call_function("shiftleft", one, k)) != 0
-    hap = F.array_join(F.transform(places, lambda k: F.when(~at(F.col("mask"), k), "*").when(at(F.col("bits"), k), "1").otherwise("0")), "")
-    links = F.array_join(F.transform(F.slice(places, 1, sites - 1), lambda k: F.when(at(F.col("pairs"), k), "-").otherwise("?")), "")
-    return merged.select("pool", "colour", hap.alias("hap"), links.alias("links"))
+    words = colours.select("pool", "colour", F.posexplode(F.arrays_zip("mask", "bits", neighbours(F.col("mask")).alias("pairs"))).alias("word", "x"))
+    merged = words.groupBy("pool", "colour", "word").agg(*(F.bit_or(f"x.{c}").alias(c) for c in ("mask", "bits", "pairs")))
+    by = merged.groupBy("pool", "colour").agg(F.array_sort(F.collect_list(F.struct("word", "mask", "bits", "pairs"))).alias("x"))
+    of = lambda c: F.transform("x", lambda w: w[c])
+    hap = F.array_join(F.transform(places, lambda k: F.when(~has_bit(F.col("mask"), k), "*").when(has_bit(F.col("bits"), k), "1").otherwise("0")), "")
+    links = F.array_join(F.transform(F.slice(places, 1, sites - 1), lambda k: F.when(has_bit(F.col("pairs"), k), "-").otherwise("?")), "")
+    return by.select("pool", "colour", of("mask").alias("mask"), of("bits").alias("bits"), of("pairs").alias("pairs")).select("pool", "colour", hap.alias("hap"), links.alias("links"))
 
 
 def draft_haplotypes(consensuses: DataFrame, most_unknown: int = 0) -> DataFrame:

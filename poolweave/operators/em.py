@@ -68,14 +68,21 @@ def solve(haps: np.ndarray, x: np.ndarray, limits: EmLimits = EmLimits()) -> np.
 
 
 def region_groups(freq: DataFrame, regions: DataFrame) -> DataFrame:
-    """level, region, pool, site, freq of the sites in each region; regions are few (a broadcast of one row each)."""
+    """level, region, its ends, pool, site, freq of the sites in each region; regions are few (a broadcast of one row each)."""
     from pyspark.sql import functions as F
 
-    return freq.join(F.broadcast(regions), (F.col("site") >= F.col("first_site")) & (F.col("site") <= F.col("last_site"))).select("level", "region", "pool", "site", "freq")
+    inside = freq.join(F.broadcast(regions), (F.col("site") >= F.col("first_site")) & (F.col("site") <= F.col("last_site"))).select("level", "region", "first_site", "last_site", "pool", "site", "freq")
+    # a region that no read covers is a region all the same
+    bare = regions.select("level", "region", "first_site", "last_site", *(F.lit(None).cast(dict(freq.dtypes)[c]).alias(c) for c in ("pool", "site", "freq")))
+    return inside.unionByName(bare)
 
 
 def matrix(rows: pd.DataFrame) -> np.ndarray:
-    return rows.pivot(index="pool", columns="site", values="freq").sort_index().sort_index(axis=1).fillna(0.0).to_numpy(float)
+    """Pools by all sites of the region, covered or not. Where a pool does not cover a site it says nothing: the mean of the
+    others stands in (0 at a site that none covers)."""
+    first, last = int(rows["first_site"].iloc[0]), int(rows["last_site"].iloc[0])
+    x = rows.dropna(subset=["pool"]).pivot(index="pool", columns="site", values="freq").sort_index().reindex(columns=range(first, last + 1)).astype(float)
+    return x.fillna(x.mean()).fillna(0.0).to_numpy(float) if len(x) else np.zeros((1, last - first + 1))
 
 
 def solved_regions(freq: DataFrame, regions: DataFrame, limits: EmLimits = EmLimits()) -> DataFrame:

@@ -7,6 +7,27 @@ from pyspark.sql import functions as F
 
 #: Copies of one genotype that a pool keeps at most.
 COPY_CAP = 32877
+#: Sites in one long of a bit mask.
+WORD = 63
+
+
+def bit_words(places: Column, last: Column) -> Column:
+    """Sites as bits of an array of longs: site k is bit k % WORD of word k div WORD. last: the last site to have room for."""
+    one = F.lit(1).cast("long")
+    word = lambda w: F.aggregate(F.filter(places, lambda k: F.floor(k / WORD) == w), F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(F.call_function("shiftleft", one, (k % WORD).cast("int"))))
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.floor(last / WORD)), word)
+
+
+def has_bit(words: Column, k: Column) -> Column:
+    """Whether site k is in words; sites beyond them are not."""
+    return F.coalesce(F.getbit(F.get(words, F.floor(k / WORD).cast("int")), (k % WORD).cast("int")), F.lit(0)) == 1
+
+
+def neighbours(words: Column) -> Column:
+    """Words with bit k where sites k and k + 1 are both there."""
+    top = F.lit(1 << (WORD - 1)).cast("long")
+    carry = lambda w, i: F.when((w.bitwiseAND(top) != 0) & (F.coalesce(F.get(words, i + 1), F.lit(0)).bitwiseAND(F.lit(1)) == 1), top).otherwise(F.lit(0).cast("long"))
+    return F.transform(words, lambda w, i: w.bitwiseAND(F.shiftright(w, 1)).bitwiseOR(carry(w, i)))
 
 
 def site_frequency(calls: DataFrame) -> DataFrame:
@@ -30,12 +51,12 @@ def allele_depths(calls: DataFrame) -> DataFrame:
 
 
 def genotypes(calls: DataFrame) -> DataFrame:
-    """pool, read_id, genotype ('100=0;300=1;' by position), mask and bits (site k at bit k), n_calls."""
+    """pool, read_id, genotype ('100=0;300=1;' by position), mask and bits (bit_words of its sites, and of those with the
+    alternate allele), n_calls."""
     by = calls.groupBy("pool", "read_id").agg(F.array_sort(F.collect_list(F.struct("site", "allele"))).alias("x"))
     token = F.transform("x", lambda c: F.concat(((c["site"] + 1) * 100).cast("string"), F.lit("="), c["allele"].cast("string"), F.lit(";")))
-    one = F.lit(1).cast("long")
-    mask = F.aggregate("x", F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(F.call_function("shiftleft", one, c["site"].cast("int"))))
-    bits = F.aggregate("x", F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(F.call_function("shiftleft", c["allele"], c["site"].cast("int"))))
+    last = F.element_at("x", -1)["site"]
+    mask, bits = (bit_words(F.transform(x, lambda c: c["site"]), last) for x in (F.col("x"), F.filter("x", lambda c: c["allele"] != 0)))
     return by.select("pool", "read_id", F.array_join(token, "").alias("genotype"), mask.alias("mask"), bits.alias("bits"), F.size("x").cast("long").alias("n_calls"))
 
 

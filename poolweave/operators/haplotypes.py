@@ -87,7 +87,11 @@ def merged_pools(shares: DataFrame, pools: DataFrame) -> DataFrame:
 def first_seen(drafts: DataFrame) -> DataFrame:
     """hap, hap_id: numbered in the order in which pools, then haplotypes, bring them up."""
     seen = drafts.groupBy("hap").agg(F.min("pool").alias("pool"))
-    return seen.select("hap", (F.row_number().over(Window.orderBy("pool", "hap")) - 1).cast("long").alias("hap_id"))
+    # numbered within pools, behind the haplotypes of all pools before: only pools, few, meet in one task
+    before = Window.orderBy("pool").rowsBetween(Window.unboundedPreceding, -1)
+    starts = seen.groupBy("pool").agg(F.count(F.lit(1)).alias("n")).select("pool", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("start"))
+    at = F.row_number().over(Window.partitionBy("pool").orderBy("hap")) - 1
+    return seen.withColumn("at", at).join(F.broadcast(starts), "pool").select("hap", (F.col("start") + F.col("at")).cast("long").alias("hap_id"))
 
 
 def dosage(haps: DataFrame, fragments: int = 1000) -> DataFrame:

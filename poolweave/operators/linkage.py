@@ -30,6 +30,7 @@ def pooled_linkage(linkage: DataFrame, pools: int | None = None) -> DataFrame:
 
 def frequency_covariance(freq: DataFrame) -> DataFrame:
     """l1, l2, cov: population covariance over pools of the frequencies of two sites."""
-    a = freq.select("pool", F.col("site").alias("l1"), F.col("freq").alias("x"))
-    b = freq.select("pool", F.col("site").alias("l2"), F.col("freq").alias("y"))
-    return a.join(b, "pool").where("l1 < l2").groupBy("l1", "l2").agg(F.covar_pop("x", "y").alias("cov"))
+    by = freq.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct("site", "freq"))).alias("x"))  # a pool's sites: one array, paired with itself
+    left = by.select("x", F.explode("x").alias("a"))
+    both = left.select("a", F.explode(F.filter("x", lambda b: b["site"] > F.col("a.site"))).alias("b"))
+    return both.groupBy(F.col("a.site").alias("l1"), F.col("b.site").alias("l2")).agg(F.covar_pop("a.freq", "b.freq").alias("cov"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_FLAG = 163
-#: Variant sites in one broadcast array.
-MAX_SITES = 1_000_000
+#: Positions in one block of a range join.
+BLOCK = 10_000
 
 
 def usable(sam: DataFrame) -> DataFrame:
@@ -38,19 +38,16 @@ def walked(ops: Column) -> Column:
     return F.aggregate(ops, start, step, lambda s: s["out"])
 
 
-def sites_in_span(spans: DataFrame, sites: DataFrame) -> DataFrame:
-    """spans (pool, read_id, start, end) with each site's pos inside them: a range join.
+def inside(spans: DataFrame, sites: DataFrame) -> DataFrame:
+    """spans (start, end and anything else) with each site (pos and anything else) inside them: a range join by blocks of
+    BLOCK positions. A read lies in one or two; Spark broadcasts the sites where they are few."""
+    blocks = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))))
+    return blocks.join(sites.withColumn("block", F.floor(F.col("pos") / BLOCK)), "block").where(F.col("pos").between(F.col("start"), F.col("end"))).drop("block")
 
-    Sites are few beside reads: up to MAX_SITES they travel as one sorted array and each read slices it. Beyond that,
-    sites and spans meet by blocks of positions.
-    """
-    if sites.count() <= MAX_SITES:
-        array = sites.agg(F.array_sort(F.collect_set("pos")).alias("all"))
-        inside = F.filter("all", lambda p: (p >= F.col("start")) & (p <= F.col("end")))
-        return spans.crossJoin(F.broadcast(array)).select("pool", "read_id", F.explode(inside).alias("pos"))
-    width = 10_000
-    blocks = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    return blocks.join(sites.select("pos", F.floor(F.col("pos") / width).alias("block")), "block").where("pos BETWEEN start AND end").select("pool", "read_id", "pos")
+
+def sites_in_span(spans: DataFrame, sites: DataFrame) -> DataFrame:
+    """spans (pool, read_id, start, end) with each site's pos inside them."""
+    return inside(spans, sites.select("pos").distinct()).select("pool", "read_id", "pos")
 
 
 def emitted(covered: DataFrame, calls: DataFrame) -> DataFrame:
@@ -58,16 +55,15 @@ def emitted(covered: DataFrame, calls: DataFrame) -> DataFrame:
     return covered.join(calls.select("pool", "read_id", "pos", "allele"), ["pool", "read_id", "pos"], "left").select("pool", "read_id", "pos", F.coalesce("allele", F.lit(0).cast("long")).alias("allele"))
 
 
-def base_calls(sam: DataFrame, variants: DataFrame) -> DataFrame:
-    """pool, read_id, pos, allele for every variant site in an alignment's span.
+def base_calls(sam: DataFrame, variants: DataFrame, *keep: str) -> DataFrame:
+    """pool, read_id, pos, allele, start and end of the alignment, and columns to keep, for every variant site in its span.
 
     sam: pool, read_id, flag, pos, cigar, seq; variants: pos, alt, code. Only sites are exploded, never bases: for each
     site the operation that covers it is picked, the base (or inserted or deleted string) is cut out and looked up.
     """
     rows = usable(sam).withColumn("walk", walked(cigar_ops(F.col("cigar")))).where(F.col("walk").isNotNull())
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("last", F.col("pos") + F.aggregate("walk", F.lit(0).cast("long"), lambda s, o: s + F.when(o["op"].isin("M", "D"), o["len"]).otherwise(0)) - 1)
-    sites = variants.agg(F.array_sort(F.collect_set("pos")).alias("all"))
-    at = rows.crossJoin(F.broadcast(sites)).select("pool", "read_id", F.col("pos").alias("start"), "walk", "seq", F.explode(F.filter("all", lambda p: (p >= F.col("pos")) & (p <= F.col("last")))).alias("pos"))
+    spans = rows.select("pool", "read_id", *keep, "walk", "seq", F.col("pos").alias("start"), (F.col("pos") + F.aggregate("walk", F.lit(0).cast("long"), lambda s, o: s + F.when(o["op"].isin("M", "D"), o["len"]).otherwise(0)) - 1).alias("end"))
+    at = inside(spans, variants.select("pos").distinct())
     offset = F.col("pos") - F.col("start")
     matched = F.get(F.filter("walk", lambda o: (o["op"] == "M") & (offset >= o["ref"]) & (offset < o["ref"] + o["len"])), 0)
     # an insertion or deletion hangs on the base before it
@@ -75,21 +71,33 @@ def base_calls(sam: DataFrame, variants: DataFrame) -> DataFrame:
     deleted = F.filter("walk", lambda o: (o["op"] == "D") & (o["ref"] == offset + 1))
     base = F.substring(F.col("seq"), (matched["query"] + offset - matched["ref"] + 1).cast("int"), F.lit(1))
     extra = F.when(F.size(inserted) > 0, F.substring(F.col("seq"), (F.get(inserted, 0)["query"] + 1).cast("int"), F.get(inserted, 0)["len"].cast("int"))).otherwise("")
-    seen = at.select("pool", "read_id", "pos", F.when(matched.isNotNull(), F.concat(base, extra)).alias("seen"), (F.size(deleted) > 0).alias("gap"))
+    seen = at.select("pool", "read_id", *keep, "start", "end", "pos", F.when(matched.isNotNull(), F.concat(base, extra)).alias("seen"), (F.size(deleted) > 0).alias("gap"))
     codes = variants.select("pos", "alt", F.col("code").cast("long").alias("code"))
-    hit = seen.join(F.broadcast(codes) if variants.count() <= MAX_SITES else codes, (seen["pos"] == codes["pos"]) & (seen["seen"] == codes["alt"]), "left").select("pool", "read_id", seen["pos"].alias("pos"), F.coalesce("code", F.lit(0).cast("long")).alias("allele"))
+    hit = seen.join(codes, (seen["pos"] == codes["pos"]) & (seen["seen"] == codes["alt"]), "left").select("pool", "read_id", *keep, "start", "end", seen["pos"].alias("pos"), F.coalesce("code", F.lit(0).cast("long")).alias("allele"))
     return hit
 
 
+def numbered(sites: DataFrame) -> DataFrame:
+    """sites (pos and anything else) with site: their number by position. Sites, few beside reads, meet in one window."""
+    return sites.withColumn("site", (F.row_number().over(Window.orderBy("pos")) - 1).cast("long"))
+
+
+def site_calls(calls: DataFrame, sites: DataFrame) -> DataFrame:
+    """calls (pool, read_id, pos, allele) at known sites (site, pos), by number of site; calls elsewhere go."""
+    return calls.join(sites.select("site", "pos"), "pos").select("pool", "read_id", "site", "allele")
+
+
 def linked_mates(records: DataFrame) -> DataFrame:
     """pool, read_id, pos, allele, and spans: the records of one name become one read.
 
     records: pool, read_id, record (its place in the file), pos, allele, ord (place in the record). At each position the
-    earliest record, then the first call, stays: an aggregate by (read, position), then one by read for the order.
+    earliest record, then the first call, stays: an aggregate by (read, position), then one by read for the order. A
+    record's span is that of its start and end, where it has them, else of its calls.
     """
     first = F.min(F.struct("record", "ord", "allele")).alias("x")
     calls = records.groupBy("pool", "read_id", "pos").agg(first).select("pool", "read_id", "pos", F.col("x.allele").alias("allele"))
-    spans = records.groupBy("pool", "read_id", "record").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
+    ends = ("start", "end") if "start" in records.columns else ("pos", "pos")
+    spans = records.groupBy("pool", "read_id", "record").agg(F.min(ends[0]).alias("start"), F.max(ends[1]).alias("end"))
     text = calls.groupBy("pool", "read_id").agg(F.array_sort(F.collect_list(F.struct("pos", "allele"))).alias("calls"))
     ranges = spans.groupBy("pool", "read_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     return text.join(ranges, ["pool", "read_id"])
@@ -111,6 +119,8 @@ def parsed_line(line: Column) -> Column:
 
 
 def first_variants(vcf: DataFrame) -> DataFrame:
-    """pos, alt, code of the first alternative at each position; others count as the reference."""
+    """pos, alt, code of the first alternative at each position; others count as the reference. Where several records have
+    a position, the first in the file counts (column record, where there is one), or else the least text."""
     alt = F.get(F.split(F.regexp_replace("alt", '"', ""), ","), 0)
-    return vcf.groupBy("pos").agg(F.min_by(alt, "pos").alias("alt")).withColumn("code", F.lit(1).cast("long"))
+    order = F.struct(*(F.col(c) for c in ("record",) if c in vcf.columns), alt.alias("alt"))
+    return vcf.groupBy("pos").agg(F.min(order).alias("x")).select("pos", "x.alt", F.lit(1).cast("long").alias("code"))

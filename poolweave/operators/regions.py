@@ -17,12 +17,13 @@ class PlanLimits:
     max_level_2: int = 16
 
 
-def gap_support(drafts: DataFrame) -> DataFrame:
+def gap_support(drafts: DataFrame, weighted: bool = False) -> DataFrame:
     """pool (null: all pools), k, gap_count, n_drafts, support: copies without the link between sites k and k + 1 over
-    draft rows, by pool and over all. drafts: pool, links (string of - and ?), n."""
+    draft rows, by pool and over all. drafts: pool, links (string of - and ?), n. weighted: over copies instead, so that
+    support is a share."""
     rows = drafts.select("pool", "n", F.posexplode(F.split("links", "")).alias("k", "link")).where("link <> ''")
-    both = rows.groupingSets([["pool", "k"], ["k"]], "pool", "k").agg(F.sum(F.when(F.col("link") == "?", F.col("n")).otherwise(0)).alias("gap_count"), F.count(F.lit(1)).alias("n_drafts"))
-    return both.select("pool", F.col("k").cast("long").alias("k"), "gap_count", "n_drafts", (F.col("gap_count") / F.col("n_drafts")).alias("support"))
+    both = rows.groupingSets([["pool", "k"], ["k"]], "pool", "k").agg(F.sum(F.when(F.col("link") == "?", F.col("n")).otherwise(0)).alias("gap_count"), F.count(F.lit(1)).alias("n_drafts"), F.sum("n").alias("copies"))
+    return both.select("pool", F.col("k").cast("long").alias("k"), "gap_count", "n_drafts", (F.col("gap_count") / F.col("copies" if weighted else "n_drafts")).alias("support"))
 
 
 def cutoffs(least: float = 0.5, step: float = 0.1) -> list[float]:
@@ -56,7 +57,9 @@ def plan(gaps: list[int], sites: int, limits: PlanLimits = PlanLimits()) -> tupl
     """Ranges of sites, inclusive: level 1 cuts at gaps between min and max length; level 2 straddles the cuts.
 
     A cut at gap k begins the next region with site k. The sweep stops near the end; a last region that came out longer
-    than the maximum is split.
+    than the maximum is split. Level 2 has a region for each cut: it ends in the middle of the next region of level 1,
+    within the limits of its length (the longest has one site more), and the last one in the middle between its begin and
+    the end of all. Where regions stretched to the least length have reached the last site, no more follow.
     """
     cuts: list[int] = []
     start = 0
@@ -79,17 +82,14 @@ def plan(gaps: list[int], sites: int, limits: PlanLimits = PlanLimits()) -> tupl
             a += limits.max_level_1
         one.append((a, b - 1))
     two: list[tuple[int, int]] = []
-    if len(one) > 1:
-        begin = (one[0][0] + one[0][1]) // 2
-        for a, b in one[1:]:
-            end = (a + b) // 2
-            end = begin + limits.min_level_2 - 1 if end - begin + 1 < limits.min_level_2 else min(end, begin + limits.max_level_2)
-            end = min(end, sites - 1)
-            if end > begin:
-                two.append((begin, end))
-            begin = end + 1
-            if begin >= sites - 1:
-                break
+    begin = (one[0][1] - one[0][0]) // 2
+    for i, (a, b) in enumerate(one[1:], 1):
+        if begin >= sites - 1:
+            break
+        middle = (a + b) // 2
+        end = begin + min(max(middle - begin, limits.min_level_2 - 1), limits.max_level_2 if middle - begin >= limits.max_level_2 else limits.max_level_2 - 1)
+        two.append((begin, min((sites + begin) // 2 if i == len(one) - 1 else end, sites - 1)))
+        begin = two[-1][1] + 1
     return one, two
 
 

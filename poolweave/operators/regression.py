@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -64,15 +66,42 @@ def fit_with_ladder(rows: DataFrame, ladder: Ladder = Ladder()) -> tuple[list[fl
         rows.unpersist()
 
 
-def pool_frequencies(spark, rows: DataFrame, haps: list[str], pools: list[int], ladder: Ladder = Ladder()) -> DataFrame:
-    """pool, hap, freq, r2: a fit for each pool. Only coefficients, one for each haplotype, come to the driver.
+def lasso(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 1000, tolerance: float = 1e-9) -> tuple[np.ndarray, float]:
+    """The optimum that `fit` goes for, by coordinate descent: least squares over twice the rows, plus the penalty times
+    each coefficient's size times its feature's deviation. Also r2, through the origin."""
+    n, w, rest = len(y), np.zeros(x.shape[1]), y.astype(float).copy()
+    size, price = (x * x).sum(axis=0) / n, penalty * (x.std(axis=0, ddof=1) if n > 1 else np.zeros(x.shape[1]))
+    live = np.flatnonzero((size > 0) & ((price > 0) | (penalty == 0)))  # without deviation a feature has no coefficient
+    for _ in range(rounds):
+        most = 0.0
+        for j in live:
+            gain = x[:, j] @ rest / n + size[j] * w[j]
+            new = np.sign(gain) * max(abs(gain) - price[j], 0.0) / size[j]
+            if new != w[j]:
+                rest -= x[:, j] * (new - w[j])
+                most, w[j] = max(most, abs(new - w[j])), new
+        if most < tolerance:
+            break
+    return w, 1.0 - float(rest @ rest) / max(float(y @ y), 1e-300)
+
+
+def pool_frequencies(rows: DataFrame, haps: DataFrame, ladder: Ladder = Ladder()) -> DataFrame:
+    """pool, hap, freq, r2: a fit for each pool, all pools at once. A pool's design is one group: a row for each site and
+    pair, whatever its reads. haps: hap, the haplotypes that the features are in order of.
 
     A pool of which even the fit without penalty says nothing has all haplotypes alike.
     """
-    out = []
-    for p in pools:
-        found, r2, _ = fit_with_ladder(rows.where(F.col("pool") == p), ladder)
-        if max(found, default=0.0) < ladder.least:
-            found = [1.0] * len(haps)
-        out += [(p, h, c, r2) for h, c in zip(haps, found, strict=True)]
-    return spark.createDataFrame(out, "pool long, hap string, freq double, r2 double")
+
+    def run(design: pd.DataFrame) -> pd.DataFrame:
+        x, y, penalty = np.stack(design["features"].to_list()), design["label"].to_numpy(float), ladder.penalty
+        while True:
+            found, r2 = lasso(x, y, penalty)
+            said = max(found, default=0.0) >= ladder.least
+            if r2 != ladder.least_r2 and said or penalty <= 0:
+                break
+            penalty = max(0.0, penalty - ladder.step)
+        return pd.DataFrame({"pool": design["pool"].iloc[0], "place": np.arange(len(found)), "freq": found if said else np.ones(len(found)), "r2": r2})
+
+    names = haps.agg(F.array_sort(F.collect_set("hap")).alias("h")).select(F.posexplode("h").alias("place", "hap"))
+    fits = rows.groupBy("pool").applyInPandas(run, "pool long, place int, freq double, r2 double")
+    return fits.join(F.broadcast(names), "place").select("pool", "hap", "freq", "r2")  # one configuration's haplotypes, as in design

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.locus import parsed
@@ -10,21 +10,39 @@ from ..operators.colouring import draft_line
 from ..operators.reads import parsed_line, read_line
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, file; carriage returns dropped."""
-    return spark.read.text(path).select(F.regexp_replace("value", "\r", "").alias("line"), F.col("_metadata.file_path").alias("file"))
+Path = str | list[str]
 
 
-def matrix(spark: SparkSession, path: str) -> DataFrame:
-    """key, column, value of a tab-separated matrix with a header; empty names behind a trailing tab are dropped.
+def lines(spark: SparkSession, path: Path) -> DataFrame:
+    """line, file, ord (orders the lines of a file); carriage returns dropped."""
+    return spark.read.text(path).select(F.regexp_replace("value", "\r", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"))
+
+
+def path_list(spark: SparkSession, path: str) -> list[str]:
+    """The paths that a list names, one in a line: as many as pools."""
+    return [r["line"].strip() for r in lines(spark, path).orderBy("ord").collect() if r["line"].strip()]
+
+
+def matrix(spark: SparkSession, path: Path) -> DataFrame:
+    """file, ord, key, column, value of tab-separated matrices, each with its own header; empty names behind a trailing tab
+    are dropped.
 
     Comment lines start with #. Long form: one row for each cell.
     """
     rows = lines(spark, path).where(~F.col("line").startswith("#") & (F.col("line") != ""))
-    cells = rows.select(F.split("line", "\t").alias("c"))
-    header = cells.where(F.get("c", 0).isin("Pool_ID", "Hap_ID")).select(F.posexplode("c").alias("i", "column")).where("i > 0 AND column <> ''")
-    body = cells.where(~F.get("c", 0).isin("Pool_ID", "Hap_ID")).select(F.get("c", 0).alias("key"), F.posexplode("c").alias("i", "value")).where("i > 0")
-    return body.join(F.broadcast(header), "i").select("key", "column", "value")  # a header is one line
+    cells = rows.select("file", "ord", F.split("line", "\t").alias("c"))
+    top = F.get("c", 0).isin("Pool_ID", "Hap_ID")
+    header = cells.where(top).select("file", F.posexplode("c").alias("i", "column")).where("i > 0 AND column <> ''")
+    body = cells.where(~top).select("file", "ord", F.get("c", 0).alias("key"), F.posexplode("c").alias("i", "value")).where("i > 0")
+    return body.join(header, ["file", "i"]).select("file", "ord", "key", "column", "value")
+
+
+def site_index(spark: SparkSession, path: Path) -> DataFrame:
+    """site (numbered from 0 in the order of the lines), pos, locus of a file of site frequencies. Sites, few beside reads,
+    are numbered in one window."""
+    rows = lines(spark, path).where(~F.col("line").startswith("#") & ~F.col("line").startswith("Pool_ID") & (F.col("line") != ""))
+    rows = rows.select("ord", F.get(F.split("line", "\t"), 0).alias("locus"))
+    return rows.select((F.row_number().over(Window.orderBy("ord")) - 1).cast("long").alias("site"), F.get(F.split("locus", ";"), 1).cast("long").alias("pos"), "locus")
 
 
 def site_frequencies(spark: SparkSession, path: str) -> DataFrame:
@@ -44,13 +62,13 @@ def haplotype_set(spark: SparkSession, inter: str, intra: str | None = None) ->
     return out.join(shares, "hap_id")
 
 
-def reads(spark: SparkSession, path: str) -> DataFrame:
+def reads(spark: SparkSession, path: Path) -> DataFrame:
     """file, read_id, calls of read text that holds any call."""
     rows = lines(spark, path).select("file", parsed_line(F.col("line")).alias("r")).where(F.col("r.calls").isNotNull())
     return rows.select("file", "r.read_id", "r.calls")
 
 
-def drafts(spark: SparkSession, path: str) -> DataFrame:
+def drafts(spark: SparkSession, path: Path) -> DataFrame:
     """file, hap, links, n of draft text: alleles and links in turn, a tab, the count."""
     part = F.split("line", "\t")
     body = F.get(part, 0)
@@ -58,51 +76,73 @@ def drafts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.regexp_replace(body, "[-?]", "").alias("hap"), F.regexp_replace(body, "[^-?]", "").alias("links"), F.get(part, 1).cast("long").alias("n"))
 
 
-def variants(spark: SparkSession, path: str) -> DataFrame:
-    """pos, ref, alt, pool, ref_depth, alt_depth from variant text: samples are named by pool in the header line."""
+def variants(spark: SparkSession, path: Path) -> DataFrame:
+    """record (orders the lines), pos, ref, alt, pool, ref_depth, alt_depth from variant text: samples are named by pool in
+    the header line of their file."""
     rows = lines(spark, path)
-    header = rows.where(F.col("line").startswith("#CHROM")).select(F.posexplode(F.split("line", "\t")).alias("i", "pool")).where("i >= 9")
-    body = rows.where(~F.col("line").startswith("#") & (F.col("line") != "")).select(F.split("line", "\t").alias("c"))
-    cells = body.select(F.get("c", 1).cast("long").alias("pos"), F.get("c", 3).alias("ref"), F.get("c", 4).alias("alt"), F.get("c", 8).alias("format"), F.posexplode("c").alias("i", "cell")).where("i >= 9")
-    return depths(cells.join(F.broadcast(header), "i"))
+    header = rows.where(F.col("line").startswith("#CHROM")).select("file", F.posexplode(F.split("line", "\t")).alias("i", "pool")).where("i >= 9")
+    body = rows.where(~F.col("line").startswith("#") & (F.col("line") != "")).select("file", "ord", F.split("line", "\t").alias("c"))
+    cells = body.select("file", F.col("ord").alias("record"), F.get("c", 1).cast("long").alias("pos"), F.get("c", 3).alias("ref"), F.get("c", 4).alias("alt"), F.get("c", 8).alias("format"), F.posexplode("c").alias("i", "cell")).where("i >= 9")
+    return depths(cells.join(header, ["file", "i"]))
 
 
 def depths(cells: DataFrame) -> DataFrame:
     """Allele depths (the AD field) of sample cells: pos, ref, alt, format, pool, cell."""
     place = F.array_position(F.split("format", ":"), "AD").cast("int")
     ad = F.split(F.get(F.split("cell", ":"), place - 1), ",")
-    return cells.select("pos", "ref", "alt", "pool", F.coalesce(F.get(ad, 0).try_cast("long"), F.lit(0).cast("long")).alias("ref_depth"), F.coalesce(F.get(ad, 1).try_cast("long"), F.lit(0).cast("long")).alias("alt_depth"))
+    return cells.select(*(c for c in ("record",) if c in cells.columns), "pos", "ref", "alt", "pool", F.coalesce(F.get(ad, 0).try_cast("long"), F.lit(0).cast("long")).alias("ref_depth"), F.coalesce(F.get(ad, 1).try_cast("long"), F.lit(0).cast("long")).alias("alt_depth"))
 
 
-def alignments(spark: SparkSession, path: str) -> DataFrame:
-    """file, read_id, flag, pos, cigar, seq; header lines start with @."""
+def alignments(spark: SparkSession, path: Path) -> DataFrame:
+    """file, record (orders the lines), read_id, flag, pos, cigar, seq; header lines start with @."""
     part = F.split("line", "\t")
     rows = lines(spark, path).where(~F.col("line").startswith("@") & (F.size(part) >= 11))
-    return rows.select("file", F.translate(F.get(part, 0), ":", "").alias("read_id"), F.get(part, 1).cast("int").alias("flag"), F.get(part, 3).cast("long").alias("pos"), F.get(part, 5).alias("cigar"), F.get(part, 9).alias("seq"))
+    return rows.select("file", F.col("ord").alias("record"), F.translate(F.get(part, 0), ":", "").alias("read_id"), F.get(part, 1).cast("int").alias("flag"), F.get(part, 3).cast("long").alias("pos"), F.get(part, 5).alias("cigar"), F.get(part, 9).alias("seq"))
 
 
-def row_line(key: Column, cells: DataFrame | None, ordered: Column) -> Column:
+def row_line(key: Column, ordered: Column) -> Column:
     return F.concat_ws("\t", key, F.array_join(F.transform(F.array_sort(ordered), lambda c: c["value"]), "\t"))
 
 
 def intra_lines(shares: DataFrame) -> DataFrame:
     """ord, line: header, then a line for each pool. shares: pool, hap_id, value (text); every haplotype in every pool."""
     header = shares.agg(F.array_sort(F.collect_set("hap_id")).alias("h")).select(F.lit(-1).cast("long").alias("ord"), F.concat_ws("\t", F.lit("Hap_ID"), F.array_join(F.transform("h", lambda x: x.cast("string")), "\t")).alias("line"))
-    body = shares.groupBy("pool").agg(F.collect_list(F.struct("hap_id", "value")).alias("c")).select(F.col("pool").cast("long").alias("ord"), row_line(F.col("pool").cast("string"), None, F.col("c")).alias("line"))
+    body = shares.groupBy("pool").agg(F.collect_list(F.struct("hap_id", "value")).alias("c")).select(F.col("pool").cast("long").alias("ord"), row_line(F.col("pool").cast("string"), F.col("c")).alias("line"))
     return header.unionAll(body)
 
 
-def inter_lines(haps: DataFrame) -> DataFrame:
-    """ord, line: header, frequencies, then a line of alleles for each site. haps: hap_id, hap, value (text of freq)."""
+def inter_lines(haps: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """ord, line: header, frequencies, then a line of alleles for each site. haps: hap_id, hap, value (text of freq).
+    sites: site, locus; without them a line begins with the number of its site, else with its locus key."""
     many = haps.select("hap_id", "value", F.filter(F.split("hap", ""), lambda a: a != "").alias("a"))
     top = haps.agg(F.array_sort(F.collect_list(F.struct("hap_id", "value"))).alias("h"))
     header = top.select(F.lit(-2).cast("long").alias("ord"), F.concat_ws("\t", F.lit("Hap_ID"), F.array_join(F.transform("h", lambda x: x["hap_id"].cast("string")), "\t")).alias("line"))
     freq = top.select(F.lit(-1).cast("long").alias("ord"), F.concat_ws("\t", F.lit("Freq"), F.array_join(F.transform("h", lambda x: x["value"]), "\t")).alias("line"))
     cells = many.select("hap_id", F.posexplode("a").alias("site", "value"))
-    body = cells.groupBy("site").agg(F.collect_list(F.struct("hap_id", "value")).alias("c")).select(F.col("site").cast("long").alias("ord"), row_line(F.col("site").cast("string"), None, F.col("c")).alias("line"))
+    rows = cells.groupBy(F.col("site").cast("long").alias("site")).agg(F.collect_list(F.struct("hap_id", "value")).alias("c"))
+    rows = rows.withColumn("locus", F.col("site").cast("string")) if sites is None else rows.join(sites.select("site", "locus"), "site")
+    body = rows.select(F.col("site").alias("ord"), row_line(F.col("locus"), F.col("c")).alias("line"))
     return header.unionAll(freq).unionAll(body)
 
 
+def freq_lines(freq: DataFrame, sites: DataFrame) -> DataFrame:
+    """ord, line: header, then a line of the pools' frequencies for each site. freq: pool, site, value (text); 0.0 where a
+    pool does not cover a site. sites: site, locus."""
+    pools = freq.agg(F.array_sort(F.collect_set("pool")).alias("p"))
+    header = pools.select(F.lit(-1).cast("long").alias("ord"), F.concat_ws("\t", F.lit("Pool_ID"), F.array_join(F.transform("p", lambda x: x.cast("string")), "\t")).alias("line"))
+    cells = freq.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("pool", "value"))).alias("m"))
+    rows = sites.select("site", "locus").join(cells, "site", "left").crossJoin(F.broadcast(pools))  # one row
+    values = F.transform("p", lambda x: F.coalesce(F.try_element_at("m", x), F.lit("0.0")))
+    return header.unionAll(rows.select(F.col("site").alias("ord"), F.concat_ws("\t", "locus", F.array_join(values, "\t")).alias("line")))
+
+
+def write_haplotypes(found: DataFrame, sites: DataFrame, inter: str, intra: str) -> None:
+    """Both files of a haplotype set. found: hap_id, hap, pool, freq, mean_freq, every haplotype in every pool."""
+    text = lambda c: F.col(c).cast("string").alias("value")
+    write_lines(inter_lines(found.select("hap_id", "hap", "mean_freq").distinct().select("hap_id", "hap", text("mean_freq")), sites), inter)
+    write_lines(intra_lines(found.select("pool", "hap_id", text("freq"))), intra)
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
     """ord, line as one text file in that order: matrices have as many lines as sites or pools."""
     rows.orderBy("ord").select("line").coalesce(1).write.mode("overwrite").text(path)
@@ -128,3 +168,11 @@ def write_libsvm(rows: DataFrame, path: str) -> None:
     """label, features (array) in libsvm text."""
     cells = F.filter(F.transform("features", lambda x, i: F.when(x != 0, F.concat((i + 1).cast("string"), F.lit(":"), x.cast("string")))), lambda x: x.isNotNull())
     rows.select(F.concat_ws(" ", F.col("label").cast("string"), F.array_join(cells, " "))).write.mode("overwrite").text(path)
+
+
+def libsvm(spark: SparkSession, path: Path, size: int) -> DataFrame:
+    """label, features (array of that size) from libsvm text."""
+    part = F.split("line", " ")
+    cells = F.map_from_entries(F.transform(F.filter(F.slice(part, 2, 1 << 30), lambda t: t != ""), lambda t: F.struct(F.split(t, ":")[0].cast("int").alias("i"), F.split(t, ":")[1].cast("double").alias("x"))))
+    rows = lines(spark, path).where("line <> ''").select(F.get(part, 0).cast("double").alias("label"), cells.alias("m"))
+    return rows.select("label", F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("features"))
