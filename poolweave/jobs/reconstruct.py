@@ -97,16 +97,18 @@ def pool_lasso(haps: DataFrame, calls: DataFrame, p: Parameters) -> DataFrame:
 def pieces(calls: DataFrame, sites: int, p: Parameters = Parameters()) -> tuple[DataFrame, tuple[list, list], DataFrame]:
     """Drafts of each pool, the plan of regions, and the candidate haplotypes of all pools' regressions (hap, freq).
 
-    Long genomes go by regions (a plan from the gaps of the drafts); those of one region at most go straight to the
-    merged drafts. Every haplotype found is a candidate, however rare.
+    Long genomes go by regions (a plan from the gaps of the drafts); those of one region at most, and those whose regional
+    haplotypes contradict each other so much that none goes through all regions, by the merged drafts. Every haplotype
+    found is a candidate, however rare.
     """
     drafts = kept(pool_drafts(calls, sites))
     gaps = regions.selected_gaps(regions.gap_support(drafts), sites, plan_limits(p), regions.cutoffs(max(p.in_pool_gap_min, p.all_pool_gap_min), p.gap_step))
     one, two = regions.plan(gaps, sites, plan_limits(p))
+    found = None
     if len(one) > 1:
         plan = regions.region_table(calls.sparkSession, (one, two))
-        found = linked_regions(region_haplotypes(calls, drafts, plan, p), plan, sites, p)
-    else:
+        found = kept(linked_regions(region_haplotypes(calls, drafts, plan, p), plan, sites, p))
+    if found is None or not found.limit(1).count():
         found = haplotypes.merged_pools(haplotypes.pool_shares(drafts), calls.select("pool").distinct()).groupBy("hap").agg(F.max("mean_freq").alias("freq"))
     return drafts, (one, two), kept(found.select("hap", "freq"))
 

@@ -356,9 +356,8 @@ def test_eighty_sites_are_reconstructed(spark):
     assert set(found["hap"].map(len)) == {sites}
     shares = found.pivot(index="pool", columns="hap", values="freq")
     assert np.allclose(shares.sum(axis=1), 1)
-    top = found.drop_duplicates("hap").nlargest(3, "mean_freq")["hap"]
-    near = [min(sum(a != str(b) for a, b in zip(t, h, strict=True)) for h in haps) for t in top]
-    assert min(near) <= 8, near
+    top = set(found.drop_duplicates("hap").nlargest(3, "mean_freq")["hap"])
+    assert top == {"".join(map(str, h)) for h in haps}
 
 
 def test_a_run_from_files_to_files(spark, tmp_path):
