@@ -93,12 +93,16 @@ def align(item: np.ndarray, passage: np.ndarray, weight: np.ndarray | None = Non
     return best
 
 
+#: Odd factors, one for each place in a window.
+FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+
+
 def codes_of(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit code for each window of n words; windows shorter than N have codes of their own."""
-    out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+    """A 64-bit code for each window of n words; windows of another length have other codes."""
+    out = np.full(max(0, len(ids) - n + 1), n, np.uint64)
     for k in range(n):
-        out = mix(out + ids[k : len(ids) - n + 1 + k] + np.uint64(k + 1))
-    return out if n == N else mix(out + np.uint64(n))
+        out += ids[k : len(ids) - n + 1 + k] * np.uint64(FACTORS[k])
+    return mix(out)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -218,33 +222,40 @@ def passages(rows: DataFrame, items: DataFrame) -> DataFrame:
     sizes = [r["n"] for r in items.select("n").distinct().collect()]  # at most N
     held = rows.sparkSession.sparkContext.broadcast(seed_filter(items))  # 8 MB, whatever the benchmark
 
+    def hits(each: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Text, place, code and reach of all windows that may be seeds; texts are looked at end to end."""
+        ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+        out = []
+        for n in sizes:
+            own = codes_of(ids, n)
+            at = np.flatnonzero(held.value[slots(own)[0]])
+            far = np.minimum(*(held.value[s] for s in slots(own[at])))
+            text = np.searchsorted(ends, at, "right")
+            ok = np.flatnonzero((far > 0) & (at + n <= ends[np.minimum(text, len(ends) - 1)]))
+            out.append((text[ok], at[ok] - (ends[text[ok]] - np.array([len(x) for x in each])[text[ok]]), own[at[ok]], np.int64(3) << far[ok].astype(np.int64) >> 1))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, count, row = Words(), TaskContext.get().partitionId(), 0, 0
-        for b in batches:
+        longs = pa.list_(pa.int64())
+        kinds = (pa.int64(), pa.int64(), longs, pa.int64(), longs, longs, longs)
+        for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
+            each = [words.of(t.as_py()) for t in b.column(0)]
+            text, place, code, far = hits(each) if sizes else (np.empty(0, np.int64),) * 4
+            order = np.lexsort((place - far, text))
+            text, place, code, far = text[order], place[order], code[order], far[order]
+            size = np.array([len(x) for x in each], np.int64)[text]
+            low, high = np.maximum(place - far, 0), np.minimum(place + far + N, size)
             out: list[tuple] = []
-            for text, key in zip(b.column(0), b.column(1), strict=True):
-                ids, row = words.of(text.as_py()), row + 1
-                codes, at, reach = [], [], []
-                for n in sizes:
-                    own = codes_of(ids, n)
-                    far = np.minimum(*(held.value[s] for s in slots(own)))
-                    hit = np.flatnonzero(far)
-                    codes.append(own[hit])
-                    at.append(hit)
-                    reach.append(np.int64(3) << far[hit].astype(np.int64) >> 1)
-                if not sum(map(len, at)):
-                    continue
-                code, place, far = map(np.concatenate, (codes, at, reach))
-                order = np.argsort(place - far, kind="stable")
-                code, place, far = code[order], place[order], far[order]
-                low, high = np.maximum(place - far, 0), np.maximum.accumulate(np.minimum(place + far + N, len(ids)))
-                new = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
-                for a, z in zip(new, [*new[1:], len(low)], strict=True):
-                    begin, end = int(low[a]), int(high[z - 1])
-                    out.append(((part << 40) + count, (part << 40) + row, key.as_py(), begin, signed(ids[begin:end]), signed(code[a:z]), place[a:z] - begin))
+            for k in np.unique(text).tolist():
+                own = slice(*np.searchsorted(text, [k, k + 1]))
+                begins, ends = low[own], np.maximum.accumulate(high[own])
+                new = np.flatnonzero(np.concatenate([[True], begins[1:] > ends[:-1]]))
+                for a, z in zip(new.tolist(), [*new[1:].tolist(), len(begins)], strict=True):
+                    begin, end = int(begins[a]), int(ends[z - 1])
+                    out.append(((part << 40) + count, (part << 40) + row + k, b.column(1)[k].as_py(), begin, signed(each[k][begin:end]), signed(code[own][a:z]), place[own][a:z] - begin))
                     count += 1
-            longs = pa.list_(pa.int64())
-            kinds = (pa.int64(), pa.int64(), longs, pa.int64(), longs, longs, longs)
+            row += b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=[x.split()[0] for x in PASSAGES.split(", ")])
 
     return table(rows.select("text", "key").mapInArrow(run, PASSAGES), "passages")

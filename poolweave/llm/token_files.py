@@ -5,7 +5,7 @@ batches with the footer that gives random access). A file holds batches of fixed
 or 32 where the vocabulary needs it) and `mask` (false only behind the last id of a file). Every value sits at a known
 place, so a memory map gives any sequence without a copy. A second, small Arrow file beside it has for each document
 its doc_id, first position in the file and count. The global position of a file is the sum of the ids of all files
-before it: two passes, of which only one count per file reaches the driver.
+before it: a second pass over one row for each file.
 
 Defined results: a null text is an empty one (the end id alone); empty tables write no files and give no rows; repeated
 doc_ids keep one entry per row, in any order among themselves; rows without doc_id come first. Extra columns are ignored.
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import chunk_count, new_path, read, scratch, table
@@ -118,14 +118,15 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, end: int = END_I
     return table(ordered.mapInArrow(run, "file string, part long, n_tokens long, n_docs long"), "files")
 
 
-def file_starts(files: DataFrame) -> DataFrame:
-    """files with `base`: the ids of all files before. One row per file comes to the driver, never per document."""
-    rows = sorted((r["part"], r["file"], r["n_tokens"], r["n_docs"]) for r in files.collect())
-    base, out = 0, []
-    for part, file, n, docs in rows:
-        out.append((file, part, n, docs, base))
-        base += n
-    return files.sparkSession.createDataFrame(out, "file string, part long, n_tokens long, n_docs long, base long")
+def file_starts(files: DataFrame, step: int = 1000) -> DataFrame:
+    """files with `base`: the ids of all files before. Prefix sums within each `step` files, and over their totals: nothing
+    comes to the driver, and the one window over everything has a row for each step."""
+    rows = files.withColumn("step", F.floor(F.col("part") / step))
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda by: F.coalesce(F.sum("n_tokens").over(until(by)), F.lit(0).cast("long"))
+    steps = rows.groupBy("step").agg(F.sum("n_tokens").alias("n_tokens")).select("step", before(Window.orderBy("step")).alias("start"))
+    inner = rows.withColumn("inner", before(Window.partitionBy("step").orderBy("part", "file")))
+    return inner.join(steps, "step").select("file", "part", "n_tokens", "n_docs", (F.col("start") + F.col("inner")).alias("base"))
 
 
 class SequenceReader:
