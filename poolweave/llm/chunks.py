@@ -129,6 +129,37 @@ class Gathered:
     checks: np.ndarray | None
     inverse: np.ndarray
     n: list[int]
+    counts: np.ndarray
+
+
+@dataclass
+class Shards:
+    """SON partitioning: senders make `count` shards by their number. least: how often a shard must have a key for it to be
+    locally frequent, its share (of all weights) of the support."""
+
+    count: int
+    least: np.ndarray
+
+    @classmethod
+    def of(cls, chunks: DataFrame, parts: int, count: int, weight: str, support: int) -> Shards:
+        """chunks: chunk and its weight. Beyond FAN parts groups of chunks are the senders, as in totals."""
+        sender = F.col("chunk") if parts <= FAN else F.pmod(F.xxhash64("chunk"), F.lit(-(-parts // FAN)))
+        rows = chunks.groupBy(F.pmod(sender, F.lit(count)).alias("shard")).agg(F.sum(weight).alias("w")).collect()  # count rows at most
+        every = max(1, sum(r["w"] for r in rows))
+        least = np.ones(count, np.int64)
+        for r in rows:
+            least[r["shard"]] = max(1, -(-support * r["w"] // every))
+        return cls(count, least)
+
+    def candidates(self, senders: np.ndarray, got: Gathered) -> np.ndarray:
+        """Totals of the keys that are locally frequent in some shard, 0 for others."""
+        shard = np.repeat(senders % self.count, got.n)
+        each, at = np.unique(got.inverse.astype(np.int64) * self.count + shard, return_inverse=True)
+        often = np.bincount(at, got.counts, len(each)) >= self.least[each % self.count]
+        out = np.zeros_like(got.total)
+        hit = each[often] // self.count
+        out[hit] = got.total[hit]
+        return out
 
 
 def gathered(rows: pa.Table, low: int, lowest: bool) -> Gathered:
@@ -150,7 +181,7 @@ def gathered(rows: pa.Table, low: int, lowest: bool) -> Gathered:
         checks = np.zeros(len(found), "<u4")
         checks[inverse] = sent
         total[inverse[checks[inverse] != sent]] = 0
-    return Gathered(found, total, checks, inverse, n)
+    return Gathered(found, total, checks, inverse, n, counts)
 
 
 def answered(rows: pa.Table, values: np.ndarray, got: Gathered) -> pa.Table:
@@ -159,9 +190,11 @@ def answered(rows: pa.Table, values: np.ndarray, got: Gathered) -> pa.Table:
     return pa.table({"chunk": rows.column("chunk"), "block": rows.column("block"), "n": pa.array(got.n, pa.int64()), "answer": pa.array(answer, pa.binary())})
 
 
-def added(rows: pa.Table, low: int, lowest: bool = False, final: Final | None = None) -> pa.Table:
+def added(rows: pa.Table, low: int, lowest: bool = False, final: Final | None = None, shards: Shards | None = None) -> pa.Table:
     """ANSWER to all that was sent to one block."""
     got = gathered(rows, low, lowest)
+    if shards is not None:
+        got.total = shards.candidates(rows.column("chunk").to_numpy(), got)
     if final is None:
         return answered(rows, got.total, got)
     values, summary = final(got.keys, got.total)
@@ -180,20 +213,21 @@ def forwarded(rows: pa.Table, back: pa.Table, low: int, lowest: bool) -> pa.Tabl
     return answered(rows, answers(back), gathered(rows, low, lowest))
 
 
-def totals(sent: DataFrame, parts: int, bits: int, lowest: bool = False, final: Final | None = None) -> DataFrame:
+def totals(sent: DataFrame, parts: int, bits: int, lowest: bool = False, final: Final | None = None, shards: Shards | None = None) -> DataFrame:
     """chunk, block, n, answer: packed totals (or the lowest values, or what final makes of them) of the keys below
     2 ** bits that the chunk sent to the block, in their order.
 
-    With final, one more row for each part that is added up: chunk -1, and its summary.
+    With final, one more row for each part that is added up: chunk -1, and its summary. With shards, 0 for keys that are
+    locally frequent in none.
     """
     low, fan = low_bits(parts, bits), FAN
     if parts <= fan:
-        return sent.groupBy("block").applyInArrow(lambda t: added(t, low, lowest, final), ANSWER)
+        return sent.groupBy("block").applyInArrow(lambda t: added(t, low, lowest, final, shards), ANSWER)
     teams = -(-parts // fan)
     finer = bits_for(teams)
     sent = table(sent.withColumn("team", F.pmod(F.xxhash64("chunk"), F.lit(teams))), "messages")
     up = sent.groupBy("team", "block").applyInArrow(lambda t: merged(t, low, low - finer, lowest), SENT)
-    far = table(up.groupBy("block").applyInArrow(lambda t: added(t, low - finer, lowest, final), ANSWER), "totals")
+    far = table(up.groupBy("block").applyInArrow(lambda t: added(t, low - finer, lowest, final, shards), ANSWER), "totals")
     back = far.where("chunk >= 0").withColumn("part", F.shiftright("block", finer))
     down = sent.groupBy("team", "block").cogroup(back.groupBy("chunk", "part")).applyInArrow(lambda a, b: forwarded(a, b, low, lowest), ANSWER)
     return down.unionAll(far.where("chunk = -1"))
