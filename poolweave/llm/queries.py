@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html_text, language_model, merkle, ngram_join, packing, phrases, quality_rules, suffix_dedup, token_files, toxicity
+from . import chat, decontamination, embeddings, html_text, language_model, merkle, ngram_join, packing, phrases, quality_rules, suffix_dedup, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,11 @@ def queries() -> dict[str, Query]:
         "op8_packing": packing.op8_packing,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_embedding_dedup": embeddings.op11_embedding_dedup,
         "op12_phrase_mining": phrases.op12_phrase_mining,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": chat.SQL, "op12_phrase_mining": phrases.SQL, "op13_merkle_manifest": merkle.SQL}
+    return {"op7_chat_formatting": chat.SQL, "op11_embedding_dedup": embeddings.SQL, "op12_phrase_mining": phrases.SQL, "op13_merkle_manifest": merkle.SQL}
