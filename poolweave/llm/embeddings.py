@@ -250,8 +250,8 @@ def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: All pairs: for small tables only.
 SQL = """
-WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS x FROM embeddings),
-u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS l FROM v WHERE x IS NOT NULL AND len(list_filter(x, c -> c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, c -> c <> 0)) > 0),
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS l FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
 e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_dot_product(a.x, b.x) / (a.l * b.l) >= 0.95),
 reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
 c AS (SELECT a, min(b) AS low FROM reach GROUP BY a), d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
