@@ -1,12 +1,14 @@
 """Main text of web pages.
 
 The page is fed in slices to the standard library's parser; its events cut the page into lines (one for each block
-element) and count for each line the characters of text and the tags in it. Ratios of text to tags are smoothed over
-neighbouring lines with a Gaussian, and two-means clustering of the smoothed values sets the threshold between
-furniture and content. Lines inside navigation, header, footer, forms and the like, or in an element whose class or
-role names such a thing, are never content. Of all other lines the ratio decides. An article tag is a prior: its lines
-need a ratio lower by ARTICLE, and lines outside are held to the threshold as on a page without one. Articles named as comments or as something related
-are furniture, and those named as teasers have no prior.
+element) and count for each line the characters of text outside links and the tags in it. Logarithms of these ratios are
+smoothed over neighbouring lines with a Gaussian, and two-means clustering of the smoothed values sets the threshold
+between furniture and content. Lines above it are seeds, whatever tags they stand in. A box (the innermost division around
+a line) with a seed whose own ratio, without its neighbours, passes too is a content region: it gives its lines between its
+first and last seed and one more on either side (a title, a short end), but no strips of links. Markup only shifts this: in
+an article a box needs a ratio lower by ARTICLE, and gives all its lines (one with lines of links only if it is the largest); lines inside navigation, header, footer, forms
+and the like, or in an element whose class or role names such a thing, count as lines without text and are left out.
+Articles named as comments or as something related are furniture, and those named as teasers have no prior.
 
 Defined results: a null or empty page, or one without content, has the text "" and n_chars 0; repeated rows are done
 each for itself; truncated or badly nested markup is read as far as it goes.
@@ -15,6 +17,7 @@ each for itself; truncated or badly nested markup is read as far as it goes.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -28,13 +31,13 @@ from .shared import read
 
 SLICE = 1 << 16
 SIGMA = 1.0
-#: What an article tag adds to the logarithm of a line's smoothed ratio of text to tags: its lines get by with a sixth of
-#: what others need, and those below that are left out.
-ARTICLE = 1.75
+#: What an article tag takes off the logarithm of the ratio that a box needs: half as much text for each tag is enough.
+ARTICLE = 0.7
 #: Elements by what they hold.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template head title iframe object svg math canvas audio video select textarea button datalist".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog fieldset".split())
+DIVISIONS = frozenset("article body div main section td".split())
 BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Words in class, id or role that name furniture.
 HINTS = re.compile(
@@ -47,7 +50,7 @@ TITLES = re.compile(r"(?:^|\s)\S*(?:header|masthead)\S*", re.IGNORECASE)
 
 #: Names of what has articles of its own that are not the page's; names that only say whether there are any.
 OTHERS = re.compile(r"(?:^|[\s_-])(?:comment\w*|replies|reply|disqus|related|recommend\w*)(?:$|[\s_-])", re.IGNORECASE)
-STATES = re.compile(r"(?:^|\s)\S*[-_](?:open|closed|enabled|disabled|on|off)(?=\s|$)", re.IGNORECASE)
+STATES = re.compile(r"(?:^|\s)\S*[-_](?:open|closed|enabled|disabled|on|off|free)(?=\s|$)", re.IGNORECASE)
 #: Names of an article that is one of many, and those that only tell its subject.
 TEASERS = re.compile(r"(?:^|[\s_-])(?:cards?|teasers?|tiles?|preview|excerpt)(?:$|[\s_-])", re.IGNORECASE)
 SUBJECTS = re.compile(r"(?:^|\s)(?:category|tag|topic|type|format|post|status)[-_]\S*", re.IGNORECASE)
@@ -57,8 +60,10 @@ SUBJECTS = re.compile(r"(?:^|\s)(?:category|tag|topic|type|format|post|status)[-
 class Line:
     article: bool
     furniture: bool
+    box: int
     parts: list[str] = field(default_factory=list)
     tags: int = 1
+    own: int = 0  # characters outside links, white space apart
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -69,18 +74,20 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool]] = []  # tag, unseen, furniture (1: by name, 2: by tag), article: each with what is above
+        self.open: list[tuple[str, bool, int, bool, int]] = []  # tag, unseen, furniture (1: by name, 2: by tag), article, box: each with what is above
+        self.held: Counter[str] = Counter()  # open elements by tag: none is looked for in vain
+        self.boxes = 0
         self.lines: list[Line] = []
         self.cut()
 
-    def state(self) -> tuple[bool, int, bool]:
-        return self.open[-1][1:] if self.open else (False, 0, False)
+    def state(self) -> tuple[bool, int, bool, int]:
+        return self.open[-1][1:] if self.open else (False, 0, False, 0)
 
     def cut(self) -> None:
-        _, furniture, article = self.state()
+        _, furniture, article, box = self.state()
         if self.lines and not self.lines[-1].parts:
             self.lines.pop()
-        self.lines.append(Line(article, furniture > 0))
+        self.lines.append(Line(article, furniture > 0, box))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -88,11 +95,11 @@ class Lines(HTMLParser):
                 self.add(" ")
             self.lines[-1].tags += 1
             return
-        if tag in BLOCKS and any(t[0] == "p" for t in self.open):
+        if tag in BLOCKS and self.held["p"]:
             self.close_to("p")
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.open and self.open[-1][0] == tag:
             self.close_to(tag)
-        unseen, furniture, article = self.state()
+        unseen, furniture, article, box = self.state()
         named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower() for k, v in attrs)
         is_article = tag in ("article", "main") or "main" in named.lower().split()
@@ -109,17 +116,24 @@ class Lines(HTMLParser):
             furniture = 2 if furniture == 2 else 0  # an article within a wrapper of an odd name is one all the same
         elif tag in FURNITURE and not (tag == "header" and article):
             furniture = 2
-        elif names and HINTS.search(names) and tag not in ("html", "body"):
+        elif names and HINTS.search(STATES.sub(" ", names)) and tag not in ("html", "body"):
             furniture = max(furniture, 1)
-        self.open.append((tag, unseen or tag in UNSEEN or hidden, furniture, article or is_article))
+        if tag in DIVISIONS:
+            self.boxes += 1
+            box = self.boxes
+        self.open.append((tag, unseen or tag in UNSEEN or hidden, furniture, article or is_article, box))
+        self.held[tag] += 1
         if tag in BLOCKS:
             self.cut()
         self.lines[-1].tags += 1
 
     def close_to(self, tag: str) -> None:
+        if not self.held[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 block = any(t[0] in BLOCKS for t in self.open[i:])
+                self.held.subtract(t[0] for t in self.open[i:])
                 del self.open[i:]
                 if block:
                     self.cut()
@@ -135,9 +149,10 @@ class Lines(HTMLParser):
         self.lines[-1].tags += 1
 
     def add(self, text: str) -> None:
-        unseen, furniture, article = self.state()
-        if not unseen:
+        if not self.state()[0]:
             self.lines[-1].parts.append(text)
+            if self.held["a"] <= 0:
+                self.lines[-1].own += len("".join(text.split()))
 
     handle_data = add
 
@@ -164,6 +179,32 @@ def threshold(values: np.ndarray, rounds: int = 20) -> float:
     return (low + high) / 2
 
 
+def content(lines: list[Line]) -> list[bool]:
+    """Which lines are in content regions."""
+    own = np.array([0 if x.furniture else x.own for x in lines], float)
+    tags = np.array([x.tags for x in lines], float)
+    ratio = smooth(np.log1p(own / tags))
+    border = threshold(ratio)
+    boxes: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        if not x.furniture:
+            boxes.setdefault(x.box, []).append(i)
+    keep = [False] * len(lines)
+    largest = max((held for held in boxes.values() if lines[held[0]].article), key=lambda held: own[held].sum(), default=None)
+    for held in boxes.values():
+        # the prior is for text: a box with lines of links needs what it would elsewhere, but for the largest
+        article = lines[held[0]].article and (held is largest or bool(own[held].all()))
+        least = border - ARTICLE * article
+        seeds = [k for k, i in enumerate(held) if own[i] and ratio[i] >= least]
+        if not seeds or np.log1p(own[held].sum() / tags[held].sum()) < least:
+            continue
+        first, last = (0, len(held) - 1) if article else (seeds[0] - 1, seeds[-1] + 1)
+        for k in range(max(first, 0), min(last + 1, len(held))):
+            # a line of links alone stays between lines of text, not in a strip or at an end
+            keep[held[k]] = own[held[k]] > 0 or 0 < k < len(held) - 1 and bool(own[held[k - 1]] and own[held[k + 1]])
+    return keep
+
+
 def main_text(html: str | None) -> str:
     """The article of one page, a line for each block."""
     if not html:
@@ -175,9 +216,7 @@ def main_text(html: str | None) -> str:
     lines = [(x, t) for x in parser.lines if (t := x.text())]
     if not lines:
         return ""
-    ratio = smooth(np.log1p([0.0 if x.furniture else len(t) / x.tags for x, t in lines]))
-    border = threshold(ratio)
-    return "\n".join(t for (x, t), r in zip(lines, ratio, strict=True) if not x.furniture and r + ARTICLE * x.article >= border)
+    return "\n".join(t for (_, t), keep in zip(lines, content([x for x, _ in lines]), strict=True) if keep)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -234,3 +234,63 @@ def test_ratio_decides_within_articles_too():
     body = "".join(f"<p>{prose(i, 80)}</p>" for i in range(8))
     found = html_text.main_text(f"<article><h1>A short title here</h1>{body}<p>Short end of it.</p>{links}</article>")
     assert found == "\n".join(["A short title here", *(" ".join(prose(i, 80).split()) for i in range(8)), "Short end of it."])
+
+
+def paragraphs(n, words=60):
+    return [" ".join(prose(400 + i, words).split()) for i in range(n)]
+
+
+def test_links_and_adverts_inside_an_article_go():
+    body = paragraphs(6)
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>Read story number {i} next</a></li>" for i in range(10)) + "</ul>"
+    advert = "<div><p>Buy the finest boots</p><p><a href='/b'><b>Order</b></a></p><p>Now <i>half</i> <b>price</b></p></div>"
+    html = "<article><h1>Title</h1>" + "".join(f"<p>{t}</p>" for t in body[:3]) + advert + "".join(f"<p>{t}</p>" for t in body[3:]) + links + "</article>"
+    assert html_text.main_text(html) == "\n".join(["Title", *body])
+    # a paragraph that is one link, between others, is text
+    html = f"<article><p>{body[0]}</p><p><a href='/x'>The whole of it is a link</a></p><p>{body[1]}</p></article>"
+    assert html_text.main_text(html) == f"{body[0]}\nThe whole of it is a link\n{body[1]}"
+
+
+def test_title_and_short_end_of_an_unmarked_page_stay():
+    body = paragraphs(5)
+    links = "".join(f"<div><a href='/{i}'>Section {i}</a></div>" for i in range(12))
+    html = f"<body>{links}<div class='x'><h1>A title</h1>" + "".join(f"<p>{t}</p>" for t in body) + f"<p>The end.</p></div>{links}</body>"
+    assert html_text.main_text(html) == "\n".join(["A title", *body, "The end."])
+    assert html_text.main_text(f"<article><p>{body[0]}</p><p class='comment-free'>{body[1]}</p></article>") == f"{body[0]}\n{body[1]}"
+
+
+def test_smoothing_and_threshold_against_plain_loops():
+    import math
+
+    import numpy as np
+
+    r = random.Random(2)
+    for n in (1, 2, 3, 5, 40):
+        v = [r.choice([0.0, r.random(), 3 + r.random()]) for _ in range(n)]
+        at = lambda i: v[i if n < 3 and 0 <= i < n else min(max(i, 0), n - 1) if n < 3 else -i - 1 if i < 0 else 2 * n - 1 - i if i >= n else i]  # noqa: B023, E731
+        weight = [math.exp(-k * k / 2) for k in range(-3, 4)]
+        want = [sum(w * at(i + k) for k, w in zip(range(-3, 4), weight, strict=True)) / sum(weight) for i in range(n)]
+        assert np.allclose(html_text.smooth(np.array(v)), want)
+        low, high = min(v), max(v)
+        if high - low > 1e-9:
+            # two means by plain steps, to where nothing moves
+            for _ in range(20):
+                a, b = [x for x in v if x <= (low + high) / 2], [x for x in v if x > (low + high) / 2]
+                low, high = sum(a) / len(a), sum(b) / len(b)
+            assert abs(html_text.threshold(np.array(v)) - (low + high) / 2) < 1e-9
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    took = []
+    for n in (5000, 20_000):
+        start = time.process_time()
+        html_text.main_text("<div>" * n + "x" + "</span>" * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 0.2
+
+
+def test_extra_columns_of_the_results_names(spark):
+    rows = spark.createDataFrame([(1, "u", "<article><p>A short text of some words.</p></article>", "clash", 7)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_text.extract(rows).collect()] == [(1, "u", "A short text of some words.", 27)]
