@@ -38,6 +38,8 @@ SUPPORT = 100
 LONGEST = 5
 TOP = 2000
 SHARDS = 16
+#: Parts in which the best phrases of a lang are looked for first.
+SALTS = 64
 BITS = 64
 #: Ends of pieces become \n, tabs a space, A-Z small letters.
 BYTES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -227,8 +229,11 @@ def sent_by(mined: Mined, rows: pa.Table, low: int) -> pa.Table:
 
 
 def ranked(found: DataFrame, top: int) -> DataFrame:
+    """The best of each lang, with their rank; of each of SALTS parts of a lang first."""
     order: list[Column] = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
+    some = found.withColumn("place", F.row_number().over(part)).where(F.col("place") <= top).drop("place")
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
 
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
