@@ -164,6 +164,23 @@ def conflict_edges(spark: SparkSession, d: str) -> DataFrame:
     return colouring.degrees(frequency.fragments(bridge.calls(spark, d)))
 
 
+COLOUR_SQL = f"""WITH RECURSIVE {GENO_SQL}, nodes AS (SELECT pool, mask, bits, CAST(least(copies, 32877) AS INTEGER) AS n, row_number() OVER (PARTITION BY pool ORDER BY genotype) AS id FROM geno),
+most AS (SELECT CAST(max(n) AS INTEGER) AS width FROM (SELECT sum(n) AS n FROM nodes GROUP BY pool)),
+dsatur(pool, id, near, colours) USING KEY (pool, id) AS (SELECT pool, id, bitstring('0', width), NULL::INTEGER[] FROM nodes, most
+  UNION (WITH pick AS (SELECT d.pool, d.id, x.mask, x.bits, CASE WHEN x.n = 1 THEN [bit_position('0'::BIT, d.near) - 1] ELSE list_filter(range(bit_length(d.near)), lambda c: get_bit(d.near, CAST(c AS INTEGER)) = 0)[1 : x.n] END::INTEGER[] AS colours
+      FROM (SELECT pool, arg_min(id, (-bit_count(near)) * 1000000000 + id) AS id FROM recurring.dsatur WHERE colours IS NULL GROUP BY pool) b JOIN recurring.dsatur d USING (pool, id) JOIN nodes x USING (pool, id)),
+    own AS (SELECT pool, id, mask, bits AS b, colours, list_reduce(list_prepend(bitstring('0', width), list_transform(colours, lambda c: set_bit(bitstring('0', width), c, 1))), lambda a, b: a | b) AS taken FROM pick, most)
+    SELECT pool, id, bitstring('0', 1), colours FROM own
+    UNION ALL SELECT d.pool, d.id, d.near | p.taken, NULL FROM own p JOIN nodes x ON x.pool = p.pool AND (x.mask & p.mask & xor(x.bits, p.b)) <> 0
+      JOIN recurring.dsatur d ON d.pool = x.pool AND d.id = x.id WHERE d.colours IS NULL)),
+each AS (SELECT pool, id, unnest(colours) AS colour FROM dsatur),
+merged AS (SELECT pool, colour, bit_or(mask) AS mask, bit_or(bits) AS bits, bit_or(mask & (mask >> 1)) AS pairs FROM each JOIN nodes USING (pool, id) GROUP BY pool, colour),
+texts AS (SELECT pool, colour, array_to_string(list_transform(range(12), lambda k: CASE WHEN (mask >> CAST(k AS INTEGER)) & 1 = 0 THEN '*' WHEN (bits >> CAST(k AS INTEGER)) & 1 = 1 THEN '1' ELSE '0' END), '') AS hap,
+  array_to_string(list_transform(range(11), lambda k: CASE WHEN (pairs >> CAST(k AS INTEGER)) & 1 = 1 THEN '-' ELSE '?' END), '') AS links FROM merged)
+SELECT pool, hap, arg_max(links, colour) AS links, count(*) AS n,
+  array_to_string(list_transform(range(1, 12), lambda i: substr(hap, i, 1) || substr(arg_max(links, colour), i, 1)), '') || substr(hap, 12, 1) || chr(9) || count(*) AS line FROM texts GROUP BY pool, hap"""
+
+
 @query(f"WITH {GENO_SQL} SELECT pool, CAST(sum(least(copies, 32877)) AS BIGINT) AS copies, CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS repeated FROM geno GROUP BY pool")
 def colour_check(spark: SparkSession, d: str) -> DataFrame:
     """In no colour do fragments differ at a site, and none holds one genotype twice."""
@@ -173,8 +190,9 @@ def colour_check(spark: SparkSession, d: str) -> DataFrame:
     return by.groupBy("pool").agg(F.sum("n").alias("copies"), F.sum("bad").alias("conflicts"), F.sum(F.col("n") - F.col("kinds")).alias("repeated"))
 
 
-@query()
+@query(COLOUR_SQL)
 def colour_haps(spark: SparkSession, d: str) -> DataFrame:
+    """Drafts from the colours of each pool's reads; the SQL colours node by node too, all pools at once."""
     drafts = whole.pool_drafts(bridge.calls(spark, d), SITES, most_unknown=SITES)
     return drafts.select("pool", "hap", "links", "n", colouring.draft_line(F.col("hap"), F.col("links"), F.col("n")).alias("line"))
 
@@ -370,6 +388,68 @@ def lasso_fit_check(spark: SparkSession, d: str) -> DataFrame:
     return gap.select(F.lit(r2 <= 1.0 + 1e-12).alias("r2_at_most_1"), (F.col("gap") < 1e-4).alias("recovered"), F.lit(worse <= r2 + 1e-9).alias("penalised_fit_is_worse"))
 
 
+PAIRS = tuple((1, k, 2 * k, 2 * k + 1) for k in range(SITES // 2))
+PAIRS_SQL = "pairs(region, a, b) AS (VALUES " + ", ".join(f"({k}, {a}, {b})" for _, k, a, b in PAIRS) + ")"
+#: One round of the recursion is one step of EM; a step that meets the tolerance is not taken.
+EM_SQL = f"""WITH RECURSIVE {MAF_SQL}, {PAIRS_SQL}, x AS (SELECT region, m.pool, m.freq AS x1, n.freq AS x2 FROM pairs JOIN maf m ON m.site = a JOIN maf n ON n.site = b AND n.pool = m.pool),
+codes(h, c1, c2) AS (VALUES (1, 0.0::DOUBLE, 0.0::DOUBLE), (2, 0.0, 1.0), (3, 1.0, 0.0), (4, 1.0, 1.0)),
+em(region, k, p, before, done) AS (SELECT region, 0, [0.25, 0.25, 0.25, 0.25]::DOUBLE[], [0.25, 0.25, 0.25, 0.25]::DOUBLE[], false FROM pairs
+  UNION ALL SELECT region, k + 1, CASE WHEN met THEN p ELSE list_transform(cut, lambda v: v / list_sum(cut)) END, f, met FROM (
+    SELECT region, k, p, f, met, list_transform(list_transform(range(1, 5), lambda i: p[i] * f[i] / list_sum(list_transform(range(1, 5), lambda j: p[j] * f[j]))), lambda v: CASE WHEN v < 4.88281e-7 THEN 0 ELSE v END) AS cut FROM (
+      SELECT region, k, p, f, list_sum(list_transform(range(1, 5), lambda i: abs(before[i] - f[i]))) < 1e-5 OR list_sum(list_transform(range(1, 5), lambda i: abs(before[i] / f[i] - 1))) < 1e-5 AS met FROM (
+        SELECT region, k, any_value(p) AS p, any_value(before) AS before, list(f ORDER BY h) AS f FROM (
+          SELECT region, k, h, any_value(p) AS p, any_value(before) AS before,
+            any_value(exp(-(s22 * u1 * u1 - 2 * s12 * u1 * u2 + s11 * u2 * u2) / det / 2000000)) * avg(exp((s22 * u1 * d1 - s12 * (u1 * d2 + u2 * d1) + s11 * u2 * d2) / det - 0.5 * (s22 * d1 * d1 - 2 * s12 * d1 * d2 + s11 * d2 * d2) / det)) AS f FROM (
+            SELECT e.region, e.k, h, p, before, c1 - m1 AS u1, c2 - m2 AS u2, x1 - m1 AS d1, x2 - m2 AS d2, m1 * (1 - m1) AS s11, m2 * (1 - m2) AS s22, p[4] - m1 * m2 AS s12, m1 * (1 - m1) * m2 * (1 - m2) - (p[4] - m1 * m2) ** 2 AS det
+            FROM (SELECT *, p[3] + p[4] AS m1, p[2] + p[4] AS m2 FROM em WHERE NOT done AND k < 20) e JOIN x USING (region), codes) GROUP BY region, k, h) GROUP BY region, k))))"""
+
+
+@query(f"""{EM_SQL}, ends AS (SELECT region, arg_max(p, k) AS p FROM em GROUP BY region)
+SELECT CAST(1 AS BIGINT) AS level, CAST(region AS BIGINT) AS region, ['00', '01', '10', '11'][i] AS hap, round(p[i], 6) AS freq FROM ends, range(1, 5) t(i) WHERE p[i] > 0""")
+def em_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """All sites in regions of two: what EM comes to in 20 rounds, where the SQL inverts the covariance by hand."""
+    plan = regions.region_table(spark, ([(a, b) for _, _, a, b in PAIRS], []))
+    found = em.solved_regions(frequency.site_frequency(bridge.calls(spark, d)), plan, em.EmLimits(rounds=20))
+    return found.select("level", "region", "hap", F.round("freq", 6).alias("freq"))
+
+
+def tripled(spark: SparkSession, d: str) -> DataFrame:
+    """The haplotypes of sites 0 to 3, three times over: 16 at most, over all sites."""
+    return region_haps(spark, d).select(F.concat("hap", "hap", "hap").alias("hap"))
+
+
+STEPS = regression.Ladder(penalty=0.21, step=0.05)
+LADDER = [STEPS.penalty - k * STEPS.step for k in range(5)]
+#: The design of all sites and pairs, its moments, and one sweep of coordinate descent for each round of the recursion, at
+#: all penalties of the ladder above 0 at once.
+LASSO_SQL = f"""WITH RECURSIVE {PROJECT_SQL}, h AS (SELECT hap || hap || hap AS hap, row_number() OVER (ORDER BY hap) AS j FROM slices WHERE level = 1 AND region = 0), {LD_SQL},
+maf AS (SELECT pool, site, avg(CAST(allele AS DOUBLE)) AS freq FROM calls GROUP BY pool, site),
+rows_ AS (SELECT pool, NULL::BIGINT AS l1, NULL::BIGINT AS l2, 1.0::DOUBLE AS y FROM (SELECT DISTINCT pool FROM maf) UNION ALL SELECT pool, site, NULL, freq FROM maf UNION ALL SELECT pool, l1, l2, p11 FROM ld),
+x AS (SELECT pool, row_number() OVER () AS r, y, l1, l2 FROM rows_),
+cells AS (SELECT pool, r, y, j, CASE WHEN l1 IS NULL THEN 1.0 ELSE CAST(substr(hap, CAST(l1 + 1 AS INTEGER), 1) AS DOUBLE) * CASE WHEN l2 IS NULL THEN 1.0 ELSE CAST(substr(hap, CAST(l2 + 1 AS INTEGER), 1) AS DOUBLE) END END AS v FROM x, h),
+gram AS (SELECT a.pool, a.j, list(g ORDER BY k) AS g FROM (SELECT a.pool, a.j, b.j AS k, sum(a.v * b.v) AS g FROM cells a JOIN cells b ON b.pool = a.pool AND b.r = a.r GROUP BY 1, 2, 3) a GROUP BY 1, 2),
+m AS (SELECT g.pool, list(g.g ORDER BY g.j) AS g, any_value(s.xy) AS xy, any_value(s.sd) AS sd, any_value(n) AS n, any_value(yy) AS yy, len(any_value(s.xy)) AS many FROM gram g
+  JOIN (SELECT pool, list(xy ORDER BY j) AS xy, list(sd ORDER BY j) AS sd FROM (SELECT pool, j, sum(v * y) AS xy, stddev_samp(v) AS sd FROM cells GROUP BY 1, 2) GROUP BY 1) s ON s.pool = g.pool
+  JOIN (SELECT pool, CAST(count(*) AS DOUBLE) AS n, sum(y * y) AS yy FROM x GROUP BY pool) t ON t.pool = g.pool GROUP BY g.pool),
+lambdas(step, lambda_) AS (VALUES {", ".join(f"({k}, {v!r}::DOUBLE)" for k, v in enumerate(LADDER))}),
+cd(pool, step, k, w) AS (SELECT pool, step, 0, list_transform(range(many), lambda i: 0.0::DOUBLE) FROM m, lambdas
+  UNION ALL SELECT cd.pool, cd.step, k + 1, list_reduce(range(1, many + 1), lambda w, j: CASE WHEN sd[j] < 1e-12 THEN w ELSE list_concat(w[1 : j - 1], [list_transform([(xy[j] - list_dot_product(g[j], w) + g[j][j] * w[j]) / n], lambda z: sign(z) * greatest(abs(z) - lambda_ * sd[j], 0) / (g[j][j] / n))[1]], w[j + 1 : many]) END, cd.w)
+  FROM cd JOIN m ON m.pool = cd.pool JOIN lambdas l ON l.step = cd.step WHERE k < 300),
+fits AS (SELECT cd.pool, cd.step, w, lambda_, 1 - (yy - 2 * list_dot_product(w, xy) + list_sum(list_transform(range(1, many + 1), lambda i: w[i] * list_dot_product(g[i], w)))) / yy AS r2 FROM cd JOIN m ON m.pool = cd.pool JOIN lambdas l ON l.step = cd.step WHERE k = 300),
+first_ AS (SELECT * FROM fits WHERE list_max(w) >= {STEPS.least} QUALIFY row_number() OVER (PARTITION BY pool ORDER BY step) = 1)
+SELECT f.pool, h.hap, round(f.w[h.j], 5) + 0.0 AS freq, round(f.r2, 5) AS r2, round(f.lambda_, 9) AS penalty, true AS converged FROM first_ f, h"""
+
+
+@query(LASSO_SQL)
+def lasso_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients of each pool over all sites and pairs, at the first penalty of the ladder that says something."""
+    calls = bridge.calls(spark, d)
+    haps = whole.kept(tripled(spark, d))
+    rows = regression.design(haps, frequency.site_frequency(calls), linkage.pair_linkage(calls))
+    found = regression.pool_frequencies(rows, haps, STEPS)
+    return found.select("pool", "hap", (F.round("freq", 5) + 0.0).alias("freq"), F.round("r2", 5).alias("r2"), r9("penalty").alias("penalty"), "converged")
+
+
 GRID_SQL = f"""{SHARE_SQL}, names AS (SELECT hap, sum(freq) / 8 AS mean_freq FROM shares GROUP BY hap), pools AS (SELECT DISTINCT pool FROM drafts),
 grid AS (SELECT n.hap, p.pool, coalesce(s.freq, 0) AS freq, n.mean_freq FROM names n CROSS JOIN pools p LEFT JOIN shares s ON s.hap = n.hap AND s.pool = p.pool)"""
 

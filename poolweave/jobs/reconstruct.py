@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..operators import colouring, em, frequency, haplotypes, linkage, regions, regression
 from ..sources.params import Parameters
-
-OWN: dict[str, str] = {}
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Cut lineage behind a solver: written to spark.checkpoint.dir, which driver and executors share. Where it is unset,
-    local mode takes a temporary folder, and a cluster is told."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/poolweave-{uuid.uuid4().hex}")
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..sources.steps import Steps, kept
 
 def plan_limits(p: Parameters) -> regions.PlanLimits:
     return regions.PlanLimits(p.level_1_min, p.level_1_max, p.level_1_last, p.level_2_min, p.level_2_max)
@@ -36,7 +17,7 @@ def plan_limits(p: Parameters) -> regions.PlanLimits:
 
 def pool_drafts(calls: DataFrame, sites: int, cap: int = frequency.COPY_CAP, most_unknown: int = 0) -> DataFrame:
     """pool, hap, links, n: complete drafts of each pool by colouring its reads."""
-    colours = colouring.coloured(frequency.fragments(calls, cap))
+    colours = colouring.colour_ranges(frequency.fragments(calls, cap))
     return colouring.draft_haplotypes(colouring.consensus(colours, sites), most_unknown)
 
 
@@ -78,7 +59,7 @@ def linked_regions(region_haps: DataFrame, plan: DataFrame, sites: int, p: Param
     bits = frequency.bit_words(F.filter(span, lambda k: F.substring(F.col("hap"), (k - F.col("first_site") + 1).cast("int"), F.lit(1)) == "1"), last)
     nodes = copies.select(F.lit(0).cast("long").alias("pool"), F.concat_ws(":", "first_site", "hap").alias("genotype"), mask.alias("mask"), bits.alias("bits"), "n")
     nodes = nodes.groupBy("pool", "genotype", "mask", "bits").agg(F.sum("n").alias("n"))
-    drafts = colouring.draft_haplotypes(colouring.consensus(colouring.coloured(nodes), sites))
+    drafts = colouring.draft_haplotypes(colouring.consensus(colouring.colour_ranges(nodes), sites))
     return haplotypes.pool_shares(drafts).select("hap", "freq")
 
 
@@ -115,6 +96,7 @@ def pieces(calls: DataFrame, sites: int, p: Parameters = Parameters()) -> tuple[
 
 def reconstruct(calls: DataFrame, sites: int, p: Parameters = Parameters()) -> DataFrame:
     """hap, pool, freq, mean_freq: every haplotype found in any pool, in every pool."""
-    calls = kept(calls)
-    _, _, candidates = pieces(calls, sites, p)
-    return haplotypes.merged_pools(kept(pool_lasso(candidates, calls, p)), calls.select("pool").distinct())
+    with Steps(calls.sparkSession) as steps:
+        calls = kept(calls)
+        _, _, candidates = pieces(calls, sites, p)
+        return steps.result(haplotypes.merged_pools(kept(pool_lasso(candidates, calls, p)), calls.select("pool").distinct()))

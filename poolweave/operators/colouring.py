@@ -1,26 +1,30 @@
-"""Conflict graph of fragments and its colouring, one pool at a time; colours become draft haplotypes.
+"""Conflict graph of fragments and its colouring, one component at a time; colours become draft haplotypes.
 
 Fragments are the distinct genotypes of a pool with their number of copies, as bit masks (arrays of longs, so of any
-number of sites). Two
-conflict if they share a site and differ there. Choosing the next node is sequential, so a pool is one group of
-applyInPandas; what it holds is bounded by the distinct genotypes, never by the reads: copies are a number.
+number of sites). Two conflict if they share a site and differ there. The nodes of a site that both alleles have are one
+component, whatever else they hold: all of one allele conflict with all of the other. So components follow from the sites
+that reads hold together, which are few, and nodes without such a site have no conflict at all. Choosing the next node is
+sequential within a component, which is one group of applyInPandas. Copies are a number there, and colours are ranges: a
+range of colours that the same nodes have is one row, so what a group holds is bounded by its distinct genotypes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frequency import has_bit, neighbours
+from ..sources.steps import kept
+from .frequency import WORD, has_bit, neighbours
 
 COLOURS = "pool long, genotype string, mask array<long>, bits array<long>, colour long"
-
-
-def conflicts_of(mask: np.ndarray, bits: np.ndarray, m: int, b: int) -> np.ndarray:
-    """mask, bits: nodes by words; m, b: of one node."""
-    return ((mask & m & (bits ^ b)) != 0).any(axis=1)
+#: The fragment has the colours colour to colour + n - 1.
+RANGES = f"{COLOURS}, n long"
+#: Longs of a posting list.
+WORDS = 16
+#: More colours than there are.
+OPEN_END = 1 << 62
 
 
 def stacked(words: pd.Series) -> np.ndarray:
@@ -31,69 +35,201 @@ def stacked(words: pd.Series) -> np.ndarray:
     return out
 
 
-def degrees(fragments: DataFrame) -> DataFrame:
-    """pool, genotype, degree: with how many distinct genotypes of its pool one conflicts. Edges are counted where they
-    are found and never written."""
+def site_alleles(fragments: DataFrame, *keep: str) -> DataFrame:
+    """keep, site, allele: a row for each site of a fragment."""
+    places = F.filter(F.sequence(F.lit(0), F.size("mask") * WORD - 1), lambda k: has_bit(F.col("mask"), k))
+    cells = F.transform(places, lambda k: F.struct(k.alias("site"), has_bit(F.col("bits"), k).cast("int").alias("allele")))
+    return fragments.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.site", "c.allele")
 
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        mask, bits = stacked(rows["mask"]), stacked(rows["bits"])
-        return rows[["pool", "genotype"]].assign(degree=[int(conflicts_of(mask, bits, m, b).sum()) for m, b in zip(mask, bits, strict=True)])
 
-    return fragments.groupBy("pool").applyInPandas(count, "pool long, genotype string, degree long")
+def degrees(fragments: DataFrame) -> DataFrame:
+    """pool, genotype, degree: with how many distinct genotypes of its pool one conflicts.
+
+    The nodes of a pool are dealt into blocks by a hash. For each block, site and allele the nodes that have it there are the
+    bits of a few longs (a posting list); those that conflict with a node are the union of the lists of the other allele at its
+    sites, and their number is a count of bits. Edges are neither written nor held. Nodes stay where their hash puts them, so
+    a pool is as many tasks as there are; lists are a bit for each site of a node, and join as Spark sees fit for their size.
+    """
+    nodes = kept(fragments.select("pool", "genotype", "mask", "bits"))
+    sizes = nodes.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / (60 * WORDS)).alias("blocks"))
+    cells = site_alleles(nodes, "pool", "genotype")
+    places = nodes.select("pool", "genotype").join(sizes, "pool").withColumn("block", F.pmod(F.xxhash64("genotype"), F.col("blocks")))
+    at = F.row_number().over(Window.partitionBy("pool", "block").orderBy("genotype")) - 1
+    placed = places.withColumn("at", at).withColumn("part", F.floor(F.col("at") / (64 * WORDS)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    word = (F.floor(F.col("at") / 64) % WORDS).cast("int")
+    names = [f"w{k}" for k in range(WORDS)]
+    lists = cells.join(placed, ["pool", "genotype"]).groupBy("pool", "block", "site", "allele", "part").agg(*(F.bit_or(F.when(word == k, bit)).alias(c) for k, c in enumerate(names)))
+    lists = kept(lists.withColumn("allele", 1 - F.col("allele")))
+    mine = cells.repartition("pool", "genotype").join(sizes, "pool").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = mine.join(lists, ["pool", "block", "site", "allele"], "left").groupBy("pool", "genotype", "block", "part").agg(*(F.coalesce(F.bit_or(c), F.lit(0).cast("long")).alias(c) for c in names))
+    hits = sum((F.bit_count(c).cast("long") for c in names[1:]), F.bit_count(names[0]).cast("long"))
+    return met.groupBy("pool", "genotype").agg(F.sum(hits).alias("degree"))
+
+
+def site_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """pool, site, component (its smallest site). edges: pool, a, b: sites of one component; a site may stand by itself (a = b).
+
+    Labels fall to the smallest of the neighbours' labels, then to that label's own, until none changes. Sites are few beside
+    reads; every round is a written table all the same.
+    """
+    both = kept(edges.select("pool", "a", "b").union(edges.select("pool", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = kept(both.groupBy("pool", F.col("a").alias("site")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+    for _ in range(rounds):
+        near = both.join(labels.withColumnRenamed("site", "b"), ["pool", "b"]).groupBy("pool", F.col("a").alias("site")).agg(F.min("component").alias("near"))
+        hooked = labels.join(near, ["pool", "site"]).select("pool", "site", F.col("component").alias("old"), F.least("component", "near").alias("near"))
+        jump = labels.select("pool", F.col("site").alias("near"), F.col("component").alias("far"))
+        new = kept(hooked.join(jump, ["pool", "near"]).select("pool", "site", F.least("near", "far").alias("component"), "old"))
+        labels = new.select("pool", "site", "component")
+        if not new.where("component <> old").limit(1).count():
+            return labels
+    raise RuntimeError("components did not settle")
+
+
+def with_component(fragments: DataFrame) -> DataFrame:
+    """fragments with component: the smallest site of their component of the conflict graph, null for those without conflict."""
+    words = fragments.select("pool", F.posexplode(F.arrays_zip("mask", "bits")).alias("w", "x")).select("pool", "w", F.col("x.bits").alias("ones"), F.col("x.mask").bitwiseAND(F.bitwise_not(F.col("x.bits"))).alias("zeros"))
+    mixed = words.groupBy("pool", "w").agg(F.bit_or("ones").bitwiseAND(F.bit_or("zeros")).alias("m")).groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("mixed"))
+    # of each fragment the sites that both alleles have; there are far fewer such sets than fragments
+    own = F.transform("mask", lambda w, k: w.bitwiseAND(F.element_at("mixed", k)))
+    met = kept(fragments.join(mixed, "pool").withColumn("own", own).drop("mixed"))
+    sites = F.filter(F.sequence(F.lit(0), F.size("own") * WORD - 1), lambda k: has_bit(F.col("own"), k))
+    sets = met.where(F.exists("own", lambda w: w != 0)).select("pool", "own").distinct().withColumn("s", sites)
+    sets = kept(sets)
+    edges = sets.select("pool", F.get("s", 0).alias("a"), F.explode("s").alias("b")).distinct()
+    first = sets.select("pool", "own", F.get("s", 0).alias("site")).join(site_components(edges), ["pool", "site"]).drop("site")
+    return met.join(first, ["pool", "own"], "left").drop("own")
+
+
+def added(planes: list[int], nodes: int, times: int) -> None:
+    """Counters of all nodes, bit by bit (plane k holds bit k of each): times more for the nodes that are set."""
+    for j in range(times.bit_length()):
+        if times >> j & 1:
+            carry, k = nodes, j
+            while carry:
+                planes += [0] * (k + 1 - len(planes))
+                planes[k], carry = planes[k] ^ carry, planes[k] & carry
+                k += 1
+
+
+def coloured_ranges(mask: np.ndarray, bits: np.ndarray, copies: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Colours of each node as (first, how many), as many as it has copies: most distinct neighbour colours first, lowest
+    index on ties, lowest colours that no neighbour has. mask, bits: nodes by words.
+
+    Sets of nodes are bits: the posting lists of sites and alleles, the nodes near each range of colours, and the planes of
+    the counters of saturation, from which the next node is read plane by plane. Colours that so far have the same nodes
+    are one range, which is cut when a node takes a part of it.
+    """
+    n = len(mask)
+    lists: list[np.ndarray] = []
+    opposite: list[list[int]] = [[] for _ in range(n)]
+    for w in range(mask.shape[1]):
+        for k in range(WORD):
+            held = (mask[:, w] >> k & 1).astype(bool)
+            ones = held & (bits[:, w] >> k & 1).astype(bool)
+            if ones.any() and not ones[held].all():
+                for i in np.flatnonzero(held).tolist():
+                    opposite[i].append(len(lists) + (0 if ones[i] else 1))
+                lists += [np.packbits(held & ~ones, bitorder="little"), np.packbits(ones, bitorder="little")]
+    wide = -(-n // 8)
+    posting = np.stack(lists) if lists else np.zeros((1, wide), np.uint8)
+    near, starts, sizes, rows = np.zeros((64, wide), np.uint8), np.zeros(64, np.int64), np.zeros(64, np.int64), 1
+    sizes[0] = OPEN_END
+    planes: list[int] = []
+    left = (1 << n) - 1
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for _ in range(n):
+        best = left
+        for plane in reversed(planes):
+            best = best & plane or best
+        i = (best & -best).bit_length() - 1
+        left ^= 1 << i
+        mine = np.bitwise_or.reduce(posting[opposite[i]], axis=0) if opposite[i] else np.zeros(wide, np.uint8)
+        free = np.flatnonzero((near[:rows, i >> 3] >> (i & 7) & 1) == 0)
+        need = int(copies[i])
+        while need:
+            at = int(starts[free].argmin())
+            r = int(free[at])
+            take = min(need, int(sizes[r]))
+            if take < sizes[r]:
+                if rows == len(near):
+                    near, starts, sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (near, starts, sizes))
+                near[rows], starts[rows], sizes[rows] = near[r], starts[r] + take, sizes[r] - take
+                sizes[r] = take
+                rows += 1
+            out[i].append((int(starts[r]), take))
+            added(planes, int.from_bytes((mine & ~near[r]).tobytes(), "little"), take)
+            near[r] |= mine
+            need -= take
+            if need:
+                free = np.delete(free, at)
+    cuts = np.sort(starts[:rows])
+    return [[piece for a, size in each for piece in pieces(a, size, cuts)] for each in out]
+
+
+def pieces(start: int, size: int, cuts: np.ndarray) -> list[tuple[int, int]]:
+    """A range cut where later nodes took a part of it."""
+    if size == 1:
+        return [(start, 1)]
+    inside = cuts[np.searchsorted(cuts, start, "right") : np.searchsorted(cuts, start + size, "left")].tolist()
+    ends = [start, *inside, start + size]
+    return [(a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def coloured_nodes(mask: np.ndarray, bits: np.ndarray, copies: np.ndarray) -> list[np.ndarray]:
-    """Colours of each node, as many as it has copies: most distinct neighbour colours first, lowest index on ties,
-    lowest colours that no neighbour has."""
-    n = len(mask)
-    near = np.zeros((n, 64), bool)  # node x colour: some neighbour has it
-    saturation = np.zeros(n, np.int64)
-    open_ = np.ones(n, bool)
-    out: list[np.ndarray] = [np.empty(0, np.int64)] * n
-    for _ in range(n):
-        i = int(np.where(open_, saturation, -1).argmax())
-        free = np.flatnonzero(~near[i])
-        while len(free) < copies[i]:
-            near = np.concatenate([near, np.zeros_like(near)], axis=1)
-            free = np.flatnonzero(~near[i])
-        out[i] = free[: copies[i]]
-        open_[i] = False
-        touched = np.flatnonzero(conflicts_of(mask, bits, mask[i], bits[i]) & open_)
-        block = near[np.ix_(touched, out[i])]
-        saturation[touched] += (~block).sum(axis=1)
-        near[np.ix_(touched, out[i])] = True
-    return out
+    """All colours of each node."""
+    return [np.concatenate([np.arange(a, a + size) for a, size in each] or [np.empty(0, np.int64)]) for each in coloured_ranges(mask, bits, copies)]
 
 
-def coloured(fragments: DataFrame) -> DataFrame:
-    """See COLOURS: a row for each copy. Nodes are taken in the order of their genotype, so results repeat."""
+def colour_ranges(fragments: DataFrame) -> DataFrame:
+    """See RANGES. Two ranges of a pool are the same or have no colour in common. Nodes are taken in the order of their
+    genotype, so results repeat; that of one component does not depend on others."""
+    nodes = kept(with_component(kept(fragments)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("genotype", kind="stable").reset_index(drop=True)
-        colours = coloured_nodes(stacked(rows["mask"]), stacked(rows["bits"]), rows["n"].to_numpy(np.int64))
-        at = np.repeat(np.arange(len(rows)), [len(c) for c in colours])
-        return rows.loc[at, ["pool", "genotype", "mask", "bits"]].assign(colour=np.concatenate(colours) if len(at) else np.empty(0, np.int64))
+        found = coloured_ranges(stacked(rows["mask"]), stacked(rows["bits"]), rows["n"].to_numpy(np.int64))
+        at = np.repeat(np.arange(len(rows)), [len(c) for c in found])
+        flat = [x for c in found for x in c]
+        return rows.loc[at, ["pool", "genotype", "mask", "bits"]].assign(colour=[a for a, _ in flat], n=[size for _, size in flat])
+
+    columns = ("pool", "genotype", "mask", "bits", "n")
+    linked = nodes.where("component IS NOT NULL").groupBy("pool", "component").applyInPandas(run, RANGES)
+    alone = nodes.where("component IS NULL").select(*columns).withColumn("colour", F.lit(0).cast("long")).select("pool", "genotype", "mask", "bits", "colour", "n")
+    ranges = kept(linked.unionAll(alone.where("n > 0")))
+    # ranges of different components are cut at each other's ends
+    ends = ranges.select("pool", F.explode(F.array(F.col("colour"), F.col("colour") + F.col("n"))).alias("c")).groupBy("pool").agg(F.array_sort(F.collect_set("c")).alias("ends"))
+    long = ranges.where("n > 1").join(ends, "pool")
+    last = F.col("colour") + F.col("n")
+    cuts = F.filter("ends", lambda c: (c >= F.col("colour")) & (c <= last))
+    parts = long.withColumn("cuts", cuts).select("pool", "genotype", "mask", "bits", F.explode(F.zip_with(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts") - 1), lambda a, b: F.struct(a.alias("colour"), (b - a).alias("n")))).alias("x"))
+    return ranges.where("n = 1").unionAll(parts.select("pool", "genotype", "mask", "bits", "x.colour", "x.n"))
+
 
-    return fragments.groupBy("pool").applyInPandas(run, COLOURS)
+def coloured(fragments: DataFrame) -> DataFrame:
+    """See COLOURS: a row for each copy."""
+    ranges = colour_ranges(fragments)
+    return ranges.select("pool", "genotype", "mask", "bits", F.explode(F.sequence(F.col("colour"), F.col("colour") + F.col("n") - 1)).alias("colour"))
 
 
 def consensus(colours: DataFrame, sites: int) -> DataFrame:
-    """pool, colour, hap, links. A colour has no conflict, so the union of its fragments gives each site one allele;
+    """pool, colour, n, hap, links of COLOURS or RANGES (n colours from colour on are alike). A colour has no conflict, so the union of its fragments gives each site one allele;
     '-' links neighbours that some fragment holds both of, '?' the others."""
     places = F.sequence(F.lit(0), F.lit(sites - 1))
-    words = colours.select("pool", "colour", F.posexplode(F.arrays_zip("mask", "bits", neighbours(F.col("mask")).alias("pairs"))).alias("word", "x"))
-    merged = words.groupBy("pool", "colour", "word").agg(*(F.bit_or(f"x.{c}").alias(c) for c in ("mask", "bits", "pairs")))
-    by = merged.groupBy("pool", "colour").agg(F.array_sort(F.collect_list(F.struct("word", "mask", "bits", "pairs"))).alias("x"))
+    alike = F.col("n") if "n" in colours.columns else F.lit(1).cast("long")
+    words = colours.select("pool", "colour", alike.alias("n"), F.posexplode(F.arrays_zip("mask", "bits", neighbours(F.col("mask")).alias("pairs"))).alias("word", "x"))
+    merged = words.groupBy("pool", "colour", "n", "word").agg(*(F.bit_or(f"x.{c}").alias(c) for c in ("mask", "bits", "pairs")))
+    by = merged.groupBy("pool", "colour", "n").agg(F.array_sort(F.collect_list(F.struct("word", "mask", "bits", "pairs"))).alias("x"))
     of = lambda c: F.transform("x", lambda w: w[c])
     hap = F.array_join(F.transform(places, lambda k: F.when(~has_bit(F.col("mask"), k), "*").when(has_bit(F.col("bits"), k), "1").otherwise("0")), "")
     links = F.array_join(F.transform(F.slice(places, 1, sites - 1), lambda k: F.when(has_bit(F.col("pairs"), k), "-").otherwise("?")), "")
-    return by.select("pool", "colour", of("mask").alias("mask"), of("bits").alias("bits"), of("pairs").alias("pairs")).select("pool", "colour", hap.alias("hap"), links.alias("links"))
+    return by.select("pool", "colour", "n", of("mask").alias("mask"), of("bits").alias("bits"), of("pairs").alias("pairs")).select("pool", "colour", "n", hap.alias("hap"), links.alias("links"))
 
 
 def draft_haplotypes(consensuses: DataFrame, most_unknown: int = 0) -> DataFrame:
     """pool, hap, links, n: complete colours counted by allele string, with the links of the last colour."""
     unknown = F.length(F.regexp_replace("hap", "[^*]", ""))
-    return consensuses.where(unknown <= most_unknown).groupBy("pool", "hap").agg(F.count(F.lit(1)).alias("n"), F.max_by("links", "colour").alias("links"))
+    return consensuses.where(unknown <= most_unknown).groupBy("pool", "hap").agg(F.sum("n").alias("n"), F.max_by("links", "colour").alias("links"))
 
 
 def draft_line(hap: Column, links: Column, n: Column) -> Column:

@@ -7,6 +7,7 @@ site frequencies alone, a row for each pool and site.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,26 +27,48 @@ class EmLimits:
     least: float = 4.88281e-7
 
 
+#: Numbers that one block of haplotypes by pools (or by sites) may hold.
+HELD = 1 << 20
+
+
 def all_haplotypes(sites: int) -> np.ndarray:
     if sites > MAX_SITES:
         raise ValueError(f"a region of {sites} sites; at most {MAX_SITES} can be enumerated")
-    return (np.arange(1 << sites)[:, None] >> np.arange(sites - 1, -1, -1)) & 1
+    return ((np.arange(1 << sites)[:, None] >> np.arange(sites - 1, -1, -1)) & 1).astype(np.uint8)
+
+
+def blocks(haps: np.ndarray, width: int) -> Iterator[slice]:
+    """Places of haplotypes, so many at a time that width numbers for each are HELD at most."""
+    step = max(1, HELD // max(1, width))
+    return (slice(a, a + step) for a in range(0, len(haps), step))
 
 
 def moments(haps: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mu = p @ haps
-    return mu, (haps * p[:, None]).T @ haps - np.outer(mu, mu)
+    """Mean and covariance of the haplotypes, added up block by block."""
+    sites = haps.shape[1]
+    mu, both = np.zeros(sites), np.zeros((sites, sites))
+    for at in blocks(haps, sites):
+        h = haps[at].astype(float)
+        mu += p[at] @ h
+        both += (h * p[at, None]).T @ h
+    return mu, both - np.outer(mu, mu)
 
 
 def importance(haps: np.ndarray, p: np.ndarray, x: np.ndarray, per_pool: float) -> np.ndarray:
     """The factor by which each haplotype's frequency changes. x: pools by sites. The part without the haplotype is
-    computed once."""
+    computed once; haplotypes by pools are held in blocks, so memory is that of the haplotypes, however many pools there are."""
     mu, sigma = moments(haps, p)
     inverse = pseudo_inverse(sigma)
-    d, h = x - mu, haps - mu
-    own = np.exp(-np.einsum("hi,ij,hj->h", h, inverse, h) / (2 * per_pool))
-    pools = np.exp(h @ inverse @ d.T - 0.5 * np.einsum("pi,ij,pj->p", d, inverse, d))
-    return own * pools.mean(axis=1)
+    out = np.zeros(len(haps))
+    for some in blocks(x, x.shape[1]):  # running sums over blocks of pools, too
+        d = x[some] - mu
+        alone, turned = 0.5 * np.einsum("pi,ij,pj->p", d, inverse, d), inverse @ d.T
+        for at in blocks(haps, max(len(d), haps.shape[1])):
+            out[at] += np.exp((haps[at] - mu) @ turned - alone).sum(axis=1)
+    for at in blocks(haps, haps.shape[1]):
+        h = haps[at] - mu
+        out[at] *= np.exp(-np.einsum("hi,ij,hj->h", h, inverse, h) / (2 * per_pool)) / len(x)
+    return out
 
 
 def solve(haps: np.ndarray, x: np.ndarray, limits: EmLimits = EmLimits()) -> np.ndarray:
