@@ -328,6 +328,19 @@ def prune_k2(spark: SparkSession, d: str) -> DataFrame:
     return haplotypes.adaptive(slices(spark, d), 0.2, share=0.2, picks=None, by=("level", "region")).select("level", "region", "hap", r9("freq").alias("freq"))
 
 
+@query(f"WITH {SHARE_SQL} SELECT pool, hap, round(freq, 9) AS freq FROM shares QUALIFY row_number() OVER (PARTITION BY pool ORDER BY md5(hap || ':7'), hap) <= 20")
+def random_subset(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty drafts of each pool by lot."""
+    return haplotypes.random_subset(haplotypes.pool_shares(bridge.drafts(spark, d)), 20, "pool", seed=7).select("pool", "hap", r9("freq").alias("freq"))
+
+
+@query(f"""WITH {SHARE_SQL}, k AS (SELECT *, sum(CASE WHEN freq >= 0.00001 THEN 1 ELSE 0 END) OVER (PARTITION BY pool) AS often, row_number() OVER (PARTITION BY pool ORDER BY freq >= 0.00001 DESC, md5(hap || ':1'), hap) AS turn FROM shares),
+s AS (SELECT * FROM k WHERE freq >= 0.00001 AND (often <= 50 OR turn <= 10)) SELECT pool, hap, round(freq / sum(freq) OVER (PARTITION BY pool), 9) AS freq FROM s""")
+def prune_many(spark: SparkSession, d: str) -> DataFrame:
+    """More than fifty would stay in a pool: ten do, by lot."""
+    return haplotypes.adaptive(haplotypes.pool_shares(bridge.drafts(spark, d)), 0.00001, by=("pool",)).select("pool", "hap", r9("freq").alias("freq"))
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings)
 SELECT vec_id, round(list_sum(a), 6) AS total, round(list_sum(a) / len(a), 6) AS mean, round(list_dot_product(a, a), 6) AS dot,
   round(list_sum(list_transform(a, lambda x: abs(x))), 6) AS l1, round(list_sum(list_transform(a, lambda x: exp(x))), 6) AS exp_sum, round(list_max(list_transform(list_transform(a, lambda x: abs(x)), lambda y: y / list_sum(list_transform(a, lambda x: abs(x))))), 6) AS largest_share FROM v""")

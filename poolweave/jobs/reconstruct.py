@@ -83,7 +83,7 @@ def pieces(calls: DataFrame, sites: int, p: Parameters = Parameters()) -> tuple[
     found is a candidate, however rare.
     """
     drafts = kept(pool_drafts(calls, sites))
-    gaps = regions.selected_gaps(regions.gap_support(drafts), sites, plan_limits(p), regions.cutoffs(max(p.in_pool_gap_min, p.all_pool_gap_min), p.gap_step))
+    gaps = regions.selected_gaps(regions.gap_support(drafts, p.weighted_gaps), sites, plan_limits(p), regions.cutoffs(max(p.in_pool_gap_min, p.all_pool_gap_min), p.gap_step))
     one, two = regions.plan(gaps, sites, plan_limits(p))
     found = None
     if len(one) > 1:

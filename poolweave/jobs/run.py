@@ -3,13 +3,19 @@
     python -m poolweave.jobs.run reads PROPERTIES PREFIX        alignments and variants to reads and site frequencies
     python -m poolweave.jobs.run haplotypes PROPERTIES PREFIX   reads and site frequencies to haplotypes
 
-Files have the names that follow from the prefix, in the folders that the properties name; a file that is written by
-many tasks is a folder of parts of the same name, which the readers take alike. Pools are numbered in the file names.
+Options: --frequencies depths takes site frequencies from the variants' allele depths instead of the reads; --truth FILE keeps
+the variants alone that a file of known site frequencies has in all pools; --list FILE names the files of alignments or
+reads, one for each pool from 0 on; --weighted-gaps counts gaps by copies.
+
+Files have the names that follow from the prefix, in the folders that the properties name. Reads are a folder with a folder
+for each pool; reads of other programs, a file for each pool numbered in its name, are taken as well.
 """
 
 from __future__ import annotations
 
 import sys
+from argparse import ArgumentParser
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,28 +23,39 @@ from pyspark.sql import functions as F
 from ..operators import frequency, haplotypes, reads
 from ..operators.colouring import draft_line
 from ..sources import files, params
+from ..sources.steps import Steps
 from . import reconstruct as whole
 
 
 def pool_of(file: Column, suffix: str) -> Column:
-    """Number of the pool in .../prefix_p3.vef, or in a part of a folder of that name."""
-    return F.regexp_extract(file, r"_p(\d+)" + suffix.replace(".", r"\."), 1).cast("long")
+    """Number of the pool in .../prefix_p3.vef, or in the name of a folder, pool=3."""
+    name = F.regexp_extract(file, r"(?:_p(\d+)" + suffix.replace(".", r"\.") + r"|/pool=(\d+)/)", 0)
+    return F.regexp_extract(name, r"\d+", 0).try_cast("long")
+
 
+def with_pool(spark: SparkSession, rows: DataFrame, files_of: DataFrame | None, suffix: str) -> DataFrame:
+    """rows (file and anything else) with pool: by a list of paths (as many as pools), or else by the names of the files."""
+    if files_of is None:
+        return rows.withColumn("pool", pool_of(F.col("file"), suffix))
+    return rows.withColumn("file", files.plain_path(F.col("file"))).join(files_of, "file")
 
-def calls_of_files(spark: SparkSession, folder: str, prefix: str, sites: DataFrame) -> DataFrame:
+
+def calls_of_files(spark: SparkSession, folder: str, prefix: str, sites: DataFrame, paths: str | None = None) -> DataFrame:
     """pool, read_id, site, allele from read text, at known sites; the first of repeated calls of a read counts."""
-    rows = files.reads(spark, f"{folder}/{prefix}_p*.vef").select(pool_of(F.col("file"), ".vef").alias("pool"), "read_id", F.posexplode("calls").alias("ord", "c"))
+    own = f"{folder}/{prefix}_reads"
+    found, named = files.listed(spark, paths) if paths else (own if files.exists(spark, own) else f"{folder}/{prefix}_p*.vef", None)
+    rows = with_pool(spark, files.reads(spark, found), named, ".vef").select("pool", "read_id", F.posexplode("calls").alias("ord", "c"))
     # names of reads are only told apart within their pool
     calls = rows.select("pool", F.concat_ws(":", "pool", "read_id").alias("read_id"), "ord", F.col("c.pos").alias("pos"), F.col("c.allele").try_cast("long").alias("allele")).where("allele IS NOT NULL")
     return reads.site_calls(calls.groupBy("pool", "read_id", "pos").agg(F.min_by("allele", "ord").alias("allele")), sites)
 
 
-def haplotypes_of_files(spark: SparkSession, p: params.Parameters, prefix: str) -> DataFrame:
+def haplotypes_of_files(spark: SparkSession, p: params.Parameters, prefix: str, paths: str | None = None) -> DataFrame:
     """Read the reads and site frequencies of a run; write drafts, plan, candidates, and both files of the result."""
     work, out = p.work_dir.rstrip("/"), p.output_dir.rstrip("/")
     sites = whole.kept(files.site_index(spark, f"{work}/{prefix}_vars.intra_freq.txt"))
     count = sites.count()
-    calls = whole.kept(calls_of_files(spark, work, prefix, sites))
+    calls = whole.kept(calls_of_files(spark, work, prefix, sites, paths))
     drafts, (one, two), candidates = whole.pieces(calls, count, p)
     line = draft_line(F.col("hap"), F.col("links"), F.col("n")).alias("value")
     drafts.select("pool", line).write.mode("overwrite").partitionBy("pool").text(f"{work}/{prefix}_drafts")
@@ -54,27 +71,58 @@ def haplotypes_of_files(spark: SparkSession, p: params.Parameters, prefix: str)
     return found
 
 
-def reads_of_alignments(spark: SparkSession, p: params.Parameters, prefix: str) -> DataFrame:
-    """Read alignments (one file for each pool) and variants; write reads, mates linked, and site frequencies."""
+def known_sites(spark: SparkSession, variants: DataFrame, truth: str) -> DataFrame:
+    """variants at the sites that a file of site frequencies has above 0 in every pool."""
+    given = files.site_frequencies(spark, truth).select(F.col("at.start").cast("long").alias("site"), "freq")
+    return variants.join(frequency.fixed_sites(given).withColumnRenamed("site", "pos"), "pos", "left_semi")
+
+
+def depth_frequencies(cells: DataFrame, variants: DataFrame, places: DataFrame) -> DataFrame:
+    """pool, site, freq from the allele depths of the record that counts at each position."""
+    first = cells.join(variants.select("pos", "record").withColumnRenamed("record", "first"), "pos").where("record = first")
+    freq = frequency.depth_frequency(F.col("ref_depth"), F.col("alt_depth"))
+    return first.join(places.select("site", "pos"), "pos").select(F.col("pool").cast("long").alias("pool"), "site", freq.cast("double").alias("freq"))
+
+
+def reads_of_alignments(spark: SparkSession, p: params.Parameters, prefix: str, frequencies: str = "reads", truth: str | None = None, paths: str | None = None) -> DataFrame:
+    """Read alignments (one file for each pool) and variants; write reads, mates linked, and site frequencies: shares of the
+    reads, or (depths) of the variants' allele depths."""
+    if frequencies not in ("reads", "depths"):
+        raise ValueError(f"frequencies of {frequencies}: they come from reads or depths")
     source, work = (p.input_dir or p.work_dir).rstrip("/"), p.work_dir.rstrip("/")
-    variants = whole.kept(reads.first_variants(files.variants(spark, f"{source}/{prefix}.vcf")))
-    sam = files.alignments(spark, f"{source}/{prefix}_p*.srt.sam").withColumn("pool", pool_of(F.col("file"), ".srt.sam"))
+    cells = whole.kept(files.variants(spark, f"{source}/{prefix}.vcf"))
+    variants = reads.first_variants(cells, "record")
+    variants = whole.kept(known_sites(spark, variants, truth) if truth else variants)
+    found, named = files.listed(spark, paths) if paths else (f"{source}/{prefix}_p*.srt.sam", None)
+    sam = with_pool(spark, files.alignments(spark, found), named, ".srt.sam")
     calls = whole.kept(reads.base_calls(sam, variants, "record"))
     sites = variants.select("pos", F.concat(F.lit("0;"), F.col("pos"), F.lit(";"), F.col("pos"), F.lit(";0:1")).alias("locus"))
     places = reads.numbered(sites)
     linked = reads.linked_mates(calls.withColumn("ord", F.col("pos")))
-    line = reads.read_line(F.col("read_id"), F.col("calls"), F.col("spans")).alias("value")
-    for r in linked.select("pool").distinct().collect():  # a folder for each pool
-        linked.where(F.col("pool") == r["pool"]).select(line).write.mode("overwrite").text(f"{work}/{prefix}_p{r['pool']}.vef")
-    freq = frequency.site_frequency(reads.site_calls(calls, places))
+    line = reads.read_line(F.col("read_id"), F.col("calls"), F.col("spans"))
+    files.write_pools(linked.select("pool", F.col("read_id").alias("name"), line.alias("line")), f"{work}/{prefix}_reads")
+    freq = depth_frequencies(cells, variants, places) if frequencies == "depths" else frequency.site_frequency(reads.site_calls(calls, places))
     files.write_lines(files.freq_lines(freq.select("pool", "site", F.col("freq").cast("string").alias("value")), places), f"{work}/{prefix}_vars.intra_freq.txt")
     return freq
 
 
 def main(arguments: list[str]) -> None:
-    what, properties, prefix = arguments
-    spark = SparkSession.builder.appName(f"poolweave {what}").getOrCreate()
-    {"reads": reads_of_alignments, "haplotypes": haplotypes_of_files}[what](spark, params.load(properties), prefix)
+    parser = ArgumentParser(prog="poolweave.jobs.run")
+    parser.add_argument("what", choices=("reads", "haplotypes"))
+    parser.add_argument("properties")
+    parser.add_argument("prefix")
+    parser.add_argument("--frequencies", choices=("reads", "depths"), default="reads")
+    parser.add_argument("--truth")
+    parser.add_argument("--list")
+    parser.add_argument("--weighted-gaps", action="store_true")
+    given = parser.parse_args(arguments)
+    spark = SparkSession.builder.appName(f"poolweave {given.what}").getOrCreate()
+    p = replace(params.load(given.properties), weighted_gaps=given.weighted_gaps)
+    with Steps(spark):
+        if given.what == "reads":
+            reads_of_alignments(spark, p, given.prefix, given.frequencies, given.truth, given.list)
+        else:
+            haplotypes_of_files(spark, p, given.prefix, given.list)
 
 
 if __name__ == "__main__":

@@ -3,7 +3,7 @@ them hold as many rows as there are haplotypes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_FREQ, MIN_KEEP, MAX_KEEP, TOP_TIES, RANDOM_PICKS = 0.05, 3, 50, 5, 10
@@ -55,12 +55,24 @@ def top_with_ties(haps: DataFrame, k: int, *by: str) -> DataFrame:
     return haps.withColumn("place", F.rank().over(Window.partitionBy(*by).orderBy(F.desc("freq")))).where(F.col("place") <= k).drop("place")
 
 
+def drawn(seed: int) -> Column:
+    """Where a haplotype stands in the random order of that seed; the same wherever it is computed."""
+    return F.md5(F.concat_ws(":", "hap", F.lit(str(seed))).cast("binary"))
+
+
+def random_subset(haps: DataFrame, k: int, *by: str, seed: int = 1) -> DataFrame:
+    """k of the haplotypes of each group, all subsets being as likely: those first in the random order. Every task keeps k
+    of a group before anything is shuffled (the filter on the row number limits the groups), so a set may be of any size."""
+    order = Window.partitionBy(*by).orderBy(drawn(seed), "hap")
+    return haps.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k).drop("turn")
+
+
 def adaptive(haps: DataFrame, least: float = MIN_FREQ, min_keep: int = MIN_KEEP, max_keep: int = MAX_KEEP, top: int = TOP_TIES, picks: int | None = RANDOM_PICKS, share: float | None = None, seed: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """Drop rare haplotypes; if fewer than min_keep would stay, keep the top ones with ties; if more than max_keep, a
     seeded random choice of `picks` (or of `share` of them, then equally frequent). Renormalised in any case."""
     w = Window.partitionBy(*by)
     rows = haps.withColumn("often", F.sum((F.col("freq") >= least).cast("int")).over(w)).withColumn("place", F.rank().over(w.orderBy(F.desc("freq"))))
-    chance = F.row_number().over(w.orderBy(F.desc(F.col("freq") >= least), F.xxhash64("hap", F.lit(seed)), "hap"))
+    chance = F.row_number().over(w.orderBy(F.desc(F.col("freq") >= least), drawn(seed), "hap"))
     rows = rows.withColumn("turn", chance)
     limit = F.lit(picks) if share is None else F.ceil(F.col("often") * share)
     stays = F.when(F.col("often") < min_keep, F.col("place") <= top).when(F.col("often") > max_keep, (F.col("freq") >= least) & (F.col("turn") <= limit)).otherwise(F.col("freq") >= least)

@@ -118,9 +118,10 @@ def parsed_line(line: Column) -> Column:
     return F.struct(F.rtrim(F.get(part, 0), F.lit(":")).alias("read_id"), F.when(F.get(part, 1).contains("="), calls).alias("calls"))
 
 
-def first_variants(vcf: DataFrame) -> DataFrame:
-    """pos, alt, code of the first alternative at each position; others count as the reference. Where several records have
-    a position, the first in the file counts (column record, where there is one), or else the least text."""
+def first_variants(vcf: DataFrame, *keep: str) -> DataFrame:
+    """pos, alt, code of the first alternative at each position, and columns of its record to keep; others count as the
+    reference. Where several records have a position, the first in the file counts (column record, where there is one), or
+    else the least text."""
     alt = F.get(F.split(F.regexp_replace("alt", '"', ""), ","), 0)
     order = F.struct(*(F.col(c) for c in ("record",) if c in vcf.columns), alt.alias("alt"))
-    return vcf.groupBy("pos").agg(F.min(order).alias("x")).select("pos", "x.alt", F.lit(1).cast("long").alias("code"))
+    return vcf.groupBy("pos").agg(F.min(order).alias("x")).select("pos", "x.alt", F.lit(1).cast("long").alias("code"), *(f"x.{c}" for c in keep))

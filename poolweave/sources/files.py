@@ -23,6 +23,23 @@ def path_list(spark: SparkSession, path: str) -> list[str]:
     return [r["line"].strip() for r in lines(spark, path).orderBy("ord").collect() if r["line"].strip()]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def plain_path(path: Column) -> Column:
+    """A path without what only says that it is a local file."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def listed(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """The paths of a list, and file (as plain_path has it), pool: the first is pool 0."""
+    names = path_list(spark, path)
+    rows = spark.createDataFrame(list(enumerate(names)), "pool long, name string")
+    return names, rows.select(plain_path(F.col("name")).alias("file"), "pool")
+
+
 def matrix(spark: SparkSession, path: Path) -> DataFrame:
     """file, ord, key, column, value of tab-separated matrices, each with its own header; empty names behind a trailing tab
     are dropped.
@@ -153,6 +170,13 @@ def write_reads(rows: DataFrame, path: str) -> None:
     rows.select(read_line(F.col("read_id"), F.col("calls"), F.col("spans"))).write.mode("overwrite").text(path)
 
 
+def write_pools(rows: DataFrame, path: str, salts: int = 8) -> None:
+    """pool, name and line of text, as one folder of a folder for each pool: one job, whatever the pools. A pool is written
+    by salts tasks at most."""
+    dealt = rows.repartition("pool", F.pmod(F.xxhash64("name"), F.lit(salts)))
+    dealt.select("pool", "line").write.mode("overwrite").partitionBy("pool").text(path)
+
+
 def write_drafts(rows: DataFrame, path: str) -> None:
     rows.select(draft_line(F.col("hap"), F.col("links"), F.col("n"))).write.mode("overwrite").text(path)
 

@@ -50,6 +50,7 @@ class Parameters:
     work_dir: str = ""
     output_dir: str = ""
     truth_dir: str = ""
+    weighted_gaps: bool = False  # gap support over copies instead of rows; set by the caller of a run
 
 
 def parse(text: str) -> Parameters:
