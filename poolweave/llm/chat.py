@@ -8,7 +8,7 @@ are distinct first, so a turn that starts a third of all conversations is one ro
 throughout keep the smallest conv_id. DataFrame functions only.
 
 Defined results: turns are taken by (turn, role, text), so ties and repeated rows have one order; null role or text is
-empty; rows of a null conv_id form one conversation; an empty table gives no rows; extra columns are ignored.
+empty; rows of a null conv_id form one conversation; a conversation is one row of the result, so its text has to stay below 2 GB; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import read, table
+from .shared import read, scratch, table
 
 ORDER = ("turn", "role", "text")
 
@@ -56,10 +56,11 @@ def render(rows: DataFrame) -> DataFrame:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, copies, text of every maximal conversation."""
-    hashed = table(prefix_hashes(turns), "turns")
-    kept = maximal(hashed).select(F.col("conv_id").alias("kept_id"), "copies")
-    rows = hashed.select("conv_id", "pos", "role", "text").join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
-    return render(rows.drop("kept_id"))
+    with scratch(turns.sparkSession) as work:
+        hashed = table(prefix_hashes(turns), "turns")
+        kept = maximal(hashed).select(F.col("conv_id").alias("kept_id"), "copies")
+        rows = hashed.select("conv_id", "pos", "role", "text").join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
+        return work.result(render(rows.drop("kept_id")), "chats")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

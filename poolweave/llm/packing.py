@@ -1,7 +1,7 @@
 """Packing by concatenating and cutting.
 
 Pass 1 encodes each document where it lies and writes its ids with its place: part (the task) and the ids of that part
-before it. Pass 2 adds the ids of all parts before (one total for each part, the only thing the driver sees), which
+before it. Pass 2 adds the ids of all parts before (one total for each part, summed up on Spark), which
 gives a global position, and cuts at every multiple of the sequence length. A piece that a cut ends carries on at
 offset 0 of the next sequence. No text and no id is shuffled; sequences have no padding but the last one's.
 
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import read, scratch, table
+from .token_files import file_starts
 from .tokens import default_path, encoder, groups
 
 LENGTH = 2048
@@ -45,25 +46,21 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END_ID, key: str = "doc_
     return table(rows.mapInArrow(run, "doc_id long, part long, before long, n long, ids binary"), "encoded")
 
 
-def part_starts(ids: DataFrame) -> dict[int, int]:
-    """Global position of each part's first id: prefix sums over one row per part."""
-    rows = ids.groupBy("part").agg(F.sum("n").alias("n")).collect()
-    out, at = {}, 0
-    for part, n in sorted((r["part"], r["n"]) for r in rows):
-        out[part] = at
-        at += n
-    return out
+def part_starts(ids: DataFrame) -> DataFrame:
+    """part, base: the global position of each part's first id, by prefix sums on Spark. A row for each task that encoded."""
+    rows = ids.groupBy("part").agg(F.sum("n").alias("n_tokens")).select("part", F.col("part").alias("file"), "n_tokens", F.lit(0).alias("n_docs"))
+    return table(file_starts(rows).select("part", "base"), "starts")
 
 
 def pieces(ids: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The pieces of all documents: see PIECES."""
-    starts = ids.sparkSession.sparkContext.broadcast(part_starts(ids))  # one number for each part
+    """The pieces of all documents: see PIECES. Starts are a written table, whose size Spark knows: it is broadcast where it is
+    small, and joined otherwise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc, part, before, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at, width = starts.value[part] + before, len(data) // n
+            for doc, base, before, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at, width = base + before, len(data) // n
                 values = np.frombuffer(data, f"<u{width}").astype("<u4")
                 done = 0
                 while done < n:
@@ -74,7 +71,7 @@ def pieces(ids: DataFrame, length: int = LENGTH) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return ids.select("doc_id", "part", "before", "n", "ids").mapInArrow(run, PIECES)
+    return ids.join(part_starts(ids), "part").select("doc_id", "base", "before", "n", "ids").mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END_ID) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from llm_samples import edited, prose
 
-from poolweave.llm import chunks, language_model, ngram_join, packing, quality_rules, shared, suffix_dedup, token_files, tokens
+from poolweave.llm import chat, chunks, language_model, ngram_join, packing, quality_rules, shared, suffix_dedup, token_files, tokens
 from poolweave.llm.shared import new_path
 
 
@@ -313,6 +313,9 @@ def test_nothing_is_left_but_the_result(spark, docs, tmp_path, monkeypatch):
     names = {t.name for t in spark.catalog.listTables()}
     for k, f in enumerate((ngram_join.join_classes, suffix_dedup.dedup, suffix_dedup.cut, language_model.score, packing.pack)):
         assert f(docs).count() and len(list((tmp_path / "own").iterdir())) == k + 1
+    turns = spark.createDataFrame([(1, 0, "user", "a", 5, True), (1, 1, "bot", "b", 6, False), (2, 0, "user", "a", 7, None)], "conv_id long, turn long, role string, text string, copies int, last boolean")
+    assert [tuple(r) for r in chat.format_chats(turns).collect()] == [(1, 2, 1, "<|user|>\na\n<|end|>\n<|bot|>\nb\n<|end|>\n")]
+    assert len(list((tmp_path / "own").iterdir())) == k + 2
     assert {t.name for t in spark.catalog.listTables()} == names
 
 
