@@ -510,6 +510,28 @@ def inter_matrix(spark: SparkSession, d: str) -> DataFrame:
     return files.inter_lines(rows.select("hap_id", "hap", micro(F.col("m")).alias("value")), sites)
 
 
+@query(f"""WITH {GRID_SQL}, {ID_SQL}, g AS (SELECT hap_id, hap, CAST(CAST(round(mean_freq * 1e6, 0) AS BIGINT) AS VARCHAR) AS v FROM names JOIN ids USING (hap)),
+cells AS (SELECT CAST(-2 AS BIGINT) AS ord, 'Hap_ID' AS key, hap_id AS col, CAST(hap_id AS VARCHAR) AS value FROM g UNION ALL SELECT -1, 'Freq', hap_id, v FROM g
+  UNION ALL SELECT s, CAST(s AS VARCHAR), hap_id, CASE WHEN substr(hap, CAST(s + 1 AS INTEGER), 1) = '1' THEN '1.0' ELSE '0.0' END FROM g, range(12) t(s))
+SELECT ord, col // 100 AS block, CASE WHEN ord = -2 AND col // 100 = 0 THEN 'Hap_ID' || chr(9) ELSE '' END || string_agg(value, chr(9) ORDER BY col) ||
+  CASE WHEN ord < 11 AND col // 100 = (SELECT max(hap_id) // 100 FROM g) THEN chr(10) || CASE WHEN ord = -2 THEN 'Freq' ELSE CAST(ord + 1 AS VARCHAR) END ELSE '' END AS piece FROM cells GROUP BY ord, col // 100""")
+def inter_coded(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix with alleles as numbers, in pieces of a hundred haplotypes."""
+    rows = grid(spark, d).groupBy("hap").agg(F.max("mean_freq").alias("m")).join(haplotypes.first_seen(bridge.drafts(spark, d)), "hap")
+    return files.matrix_pieces(files.inter_cells(rows.select("hap_id", "hap", micro(F.col("m")).alias("value")), coded=True), 100)
+
+
+@query("""WITH c AS (SELECT CAST(l_orderkey % 8 AS BIGINT) AS pool, l_orderkey AS read_id, CAST(l_suppkey % 3 AS VARCHAR) AS chr, l_partkey AS pos, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS allele FROM lineitem),
+s AS (SELECT CAST(t.c AS VARCHAR) AS chr, p_partkey AS pos, row_number() OVER (ORDER BY t.c, p_partkey) - 1 AS site FROM part, range(2) t(c) WHERE p_size < 25 AND (p_partkey + t.c) % 3 <> 0)
+SELECT pool, CAST(site AS BIGINT) AS site, count(*) AS n, CAST(sum(allele) AS BIGINT) AS alternate FROM c JOIN s USING (chr, pos) GROUP BY pool, site""")
+def site_join_chromosomes(spark: SparkSession, d: str) -> DataFrame:
+    """Calls on three chromosomes, sites on two of them that share positions."""
+    calls = bridge.raw_calls(spark, d).select("pool", "read_id", (F.col("l_suppkey") % 3).cast("string").alias("chr"), F.col("l_partkey").alias("pos"), "allele")
+    parts = bridge.table(spark, d, "part").where("p_size < 25").select("p_partkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).where("(p_partkey + c) % 3 <> 0")
+    sites = reads.numbered(parts.select(F.col("c").cast("string").alias("chr"), F.col("p_partkey").alias("pos")))
+    return reads.site_calls(calls, sites).groupBy("pool", "site").agg(F.count(F.lit(1)).alias("n"), F.sum("allele").alias("alternate"))
+
+
 @query("""WITH c AS (SELECT CAST(l_orderkey % 8 AS BIGINT) AS pool, l_orderkey AS read_id, 7 * l_partkey AS pos, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS allele FROM lineitem),
 s AS (SELECT 7 * p_partkey AS pos, row_number() OVER (ORDER BY p_partkey) - 1 AS site FROM part WHERE p_size < 25)
 SELECT pool, CAST(site AS BIGINT) AS site, count(*) AS n, CAST(sum(allele) AS BIGINT) AS alternate FROM c JOIN s USING (pos) GROUP BY pool, site""")
@@ -546,6 +568,23 @@ def base_calls(spark: SparkSession, d: str) -> DataFrame:
     return reads.base_calls(sam, variants).groupBy("pool", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("allele").alias("alternate"))
 
 
+@query("""WITH a AS (SELECT CAST(l_orderkey % 8 AS BIGINT) AS pool, l_partkey AS start, CAST(l_quantity AS BIGINT) % 6 + 2 AS m, CAST(l_quantity AS BIGINT) % 4 + 1 AS gap, CAST(l_quantity AS BIGINT) % 2 + 1 AS more, substr('ACGT', CAST(l_suppkey % 4 + 1 AS INTEGER), 1) AS base FROM lineitem),
+v AS (SELECT p_partkey AS pos, repeat(substr('ACGT', CAST(p_size % 4 + 1 AS INTEGER), 1), CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END) AS alt FROM part)
+SELECT pool, pos, count(*) AS n, CAST(sum(CASE WHEN NOT (pos - start >= 2 * m AND pos - start < 2 * m + gap) AND alt = repeat(base, CASE WHEN pos - start = m - 1 THEN 1 + more ELSE 1 END) THEN 1 ELSE 0 END) AS BIGINT) AS alternate
+FROM a JOIN v ON pos BETWEEN start AND start + 3 * m + gap - 1 GROUP BY pool, pos""")
+def base_calls_indels(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments with clipped ends, an insertion and a deletion; some variants are insertions."""
+    q = F.col("l_quantity").cast("long")
+    m, gap, more, clip = q % 6 + 2, q % 4 + 1, q % 2 + 1, q % 3 + 1
+    base = F.substring(F.lit("ACGT"), (F.col("l_suppkey") % 4 + 1).cast("int"), F.lit(1))
+    cigar = F.concat(*(x for n, op in ((clip, "S"), (m, "M"), (more, "I"), (m, "M"), (gap, "D"), (m, "M"), (clip, "H")) for x in (n.cast("string"), F.lit(op))))
+    seq = F.concat(F.repeat(F.lit("N"), clip.cast("int")), F.repeat(base, (3 * m + more).cast("int")))
+    sam = bridge.table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("read_id"), (F.col("l_orderkey") % POOLS).alias("pool"), F.lit(99).alias("flag"), F.col("l_partkey").alias("pos"), cigar.alias("cigar"), seq.alias("seq"))
+    alt = F.repeat(F.substring(F.lit("ACGT"), (F.col("p_size") % 4 + 1).cast("int"), F.lit(1)), F.when(F.col("p_size") % 3 == 0, 2).otherwise(1))
+    variants = bridge.table(spark, d, "part").select(F.col("p_partkey").alias("pos"), alt.alias("alt"), F.lit(1).alias("code"))
+    return reads.base_calls(sam, variants).groupBy("pool", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("allele").alias("alternate"))
+
+
 @query(f"""WITH {CALLS_SQL}, ids AS (SELECT DISTINCT pool, read_id FROM calls)
 SELECT i.pool, i.read_id, string_agg(coalesce(CAST(c.allele AS VARCHAR), '*'), '' ORDER BY s) AS hap, round(count(c.allele) / 12, 9) AS known
 FROM ids i CROSS JOIN range(12) t(s) LEFT JOIN calls c ON c.read_id = i.read_id AND c.site = s GROUP BY i.pool, i.read_id""")

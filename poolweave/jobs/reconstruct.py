@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import colouring, em, frequency, haplotypes, linkage, regions, regression
@@ -29,25 +27,29 @@ def region_haplotypes(calls: DataFrame, drafts: DataFrame, plan: DataFrame, p: P
     failed = solved.groupBy("level", "region").agg(F.max(F.isnan("freq").cast("int")).alias("bad")).where("bad = 1").drop("bad").join(plan, ["level", "region"])
     good = solved.join(failed.select("level", "region"), ["level", "region"], "left_anti")
     good = haplotypes.adaptive(good, p.regional_freq_min, p.min_keep, p.max_keep, p.top_ties, p.random_picks, by=("level", "region"))
-    broken = failed.orderBy("level", "region").collect()  # regions are few
-    return good.unionByName(regional_lasso(calls, drafts, broken, p)) if broken else good
+    failed = kept(failed.select("level", "region", "first_site", "last_site"))
+    return good.unionByName(regional_lasso(calls, drafts, failed, p)) if failed.limit(1).count() else good
 
 
-def regional_lasso(calls: DataFrame, drafts: DataFrame, broken: list[Row], p: Parameters) -> DataFrame:
+def regional_lasso(calls: DataFrame, drafts: DataFrame, broken: DataFrame, p: Parameters) -> DataFrame:
     """level, region, hap, freq: drafts' slices regressed on frequencies and linkage, both means over pools, by the same
-    ladder as a pool's; pruned by the rule for regional regressions (K2). A pair of sites needs a pool that covers it."""
-    spark, out = calls.sparkSession, []
-    everywhere = F.lit(0).cast("long").alias("pool")
-    freq = kept(frequency.site_frequency(calls).groupBy("site").agg(F.avg("freq").alias("freq")).select(everywhere, "site", "freq"))
-    pairs = kept(linkage.pooled_linkage(linkage.pair_linkage(calls)).select(everywhere, "l1", "l2", "p11"))
-    for r in broken:
-        a, b = int(r["first_site"]), int(r["last_site"])
-        haps = kept(drafts.select(F.substring("hap", a + 1, b - a + 1).alias("hap")).distinct())
-        inside = freq.where(F.col("site").between(a, b)).withColumn("site", F.col("site") - a)
-        linked = pairs.where(F.col("l1").between(a, b) & F.col("l2").between(a, b)).withColumns({"l1": F.col("l1") - a, "l2": F.col("l2") - a})
-        found = fitted(haps, inside, linked, p)
-        out.append(found.select(F.lit(r["level"]).cast("long").alias("level"), F.lit(r["region"]).cast("long").alias("region"), "hap", "freq"))
-    rows = haplotypes.renormalised(reduce(DataFrame.unionByName, out), "level", "region")
+    ladder as a pool's; pruned by the rule for regional regressions (K2). A pair of sites needs a pool that covers it.
+
+    broken: level, region, first_site, last_site. All regions are fitted in one pass, each as a pool of its own with its own
+    haplotypes, over sites counted from its first.
+    """
+    own = (F.col("level") * (1 << 32) + F.col("region")).alias("pool")
+    ranges = kept(broken.select(own, "first_site", "last_site"))
+    mean = frequency.site_frequency(calls).groupBy("site").agg(F.avg("freq").alias("freq"))
+    pairs = linkage.pooled_linkage(linkage.pair_linkage(calls)).select("l1", "l2", "p11")
+    at = lambda c: (F.col(c) - F.col("first_site")).alias(c)
+    inside = lambda c: F.col(c).between(F.col("first_site"), F.col("last_site"))
+    freq = kept(mean.join(ranges, inside("site")).select("pool", at("site"), "freq"))
+    linked = kept(pairs.join(ranges, inside("l1") & inside("l2")).select("pool", at("l1"), at("l2"), "p11"))
+    cut = F.substring("hap", (F.col("first_site") + 1).cast("int"), (F.col("last_site") - F.col("first_site") + 1).cast("int"))
+    haps = kept(drafts.select("hap").distinct().crossJoin(ranges).select("pool", cut.alias("hap")).distinct())  # a slice of each draft for each region
+    found = fitted(haps, freq, linked, p).select(F.floor(F.col("pool") / (1 << 32)).alias("level"), (F.col("pool") % (1 << 32)).alias("region"), "hap", "freq")
+    rows = haplotypes.renormalised(found, "level", "region")
     return haplotypes.adaptive(rows, p.regional_freq_min, p.min_keep, p.max_keep, p.top_ties, None, p.random_share, by=("level", "region"))
 
 

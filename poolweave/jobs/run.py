@@ -40,14 +40,25 @@ def with_pool(spark: SparkSession, rows: DataFrame, files_of: DataFrame | None,
     return rows.withColumn("file", files.plain_path(F.col("file"))).join(files_of, "file")
 
 
+def several_chromosomes(sites: DataFrame) -> list[str]:
+    """The chromosomes of sites in order, if there are several; they are few."""
+    names = sorted(r["chr"] for r in sites.select("chr").distinct().collect())
+    return names if len(names) > 1 else []
+
+
 def calls_of_files(spark: SparkSession, folder: str, prefix: str, sites: DataFrame, paths: str | None = None) -> DataFrame:
     """pool, read_id, site, allele from read text, at known sites; the first of repeated calls of a read counts."""
     own = f"{folder}/{prefix}_reads"
     found, named = files.listed(spark, paths) if paths else (own if files.exists(spark, own) else f"{folder}/{prefix}_p*.vef", None)
     rows = with_pool(spark, files.reads(spark, found), named, ".vef").select("pool", "read_id", F.posexplode("calls").alias("ord", "c"))
+    if several_chromosomes(sites):
+        rows = rows.withColumn("chr", F.split("read_id", r"\|")[0])  # as reads_of_alignments names them
+    else:
+        sites = sites.drop("chr")
+    at = reads.place(rows)[:-1]
     # names of reads are only told apart within their pool
-    calls = rows.select("pool", F.concat_ws(":", "pool", "read_id").alias("read_id"), "ord", F.col("c.pos").alias("pos"), F.col("c.allele").try_cast("long").alias("allele")).where("allele IS NOT NULL")
-    return reads.site_calls(calls.groupBy("pool", "read_id", "pos").agg(F.min_by("allele", "ord").alias("allele")), sites)
+    calls = rows.select("pool", *at, F.concat_ws(":", "pool", "read_id").alias("read_id"), "ord", F.col("c.pos").alias("pos"), F.col("c.allele").try_cast("long").alias("allele")).where("allele IS NOT NULL")
+    return reads.site_calls(calls.groupBy("pool", *at, "read_id", "pos").agg(F.min_by("allele", "ord").alias("allele")), sites)
 
 
 def haplotypes_of_files(spark: SparkSession, p: params.Parameters, prefix: str, paths: str | None = None) -> DataFrame:
@@ -63,7 +74,7 @@ def haplotypes_of_files(spark: SparkSession, p: params.Parameters, prefix: str,
     text = F.col("freq").cast("string").alias("value")
     ids = haplotypes.first_seen(candidates.select(F.lit(0).alias("pool"), "hap"))
     if len(one) > 1:
-        files.write_lines(files.inter_lines(candidates.join(ids, "hap").select("hap_id", "hap", text), sites), f"{out}/{prefix}_gc.inter_freq_vars.txt")
+        files.write_matrix(files.inter_cells(candidates.join(ids, "hap").select("hap_id", "hap", text), sites), f"{out}/{prefix}_gc.inter_freq_vars.txt")
     shares = whole.kept(whole.pool_lasso(candidates, calls, p))
     found = haplotypes.merged_pools(shares, calls.select("pool").distinct())
     found = whole.kept(found.join(haplotypes.first_seen(shares.where("freq > 0")), "hap"))
@@ -73,15 +84,18 @@ def haplotypes_of_files(spark: SparkSession, p: params.Parameters, prefix: str,
 
 def known_sites(spark: SparkSession, variants: DataFrame, truth: str) -> DataFrame:
     """variants at the sites that a file of site frequencies has above 0 in every pool."""
-    given = files.site_frequencies(spark, truth).select(F.col("at.start").cast("long").alias("site"), "freq")
-    return variants.join(frequency.fixed_sites(given).withColumnRenamed("site", "pos"), "pos", "left_semi")
+    at = reads.place(variants)
+    key = F.struct(*(F.col("at.chr").cast("string").alias("chr") if c == "chr" else F.col("at.start").cast("long").alias("pos") for c in at))
+    given = files.site_frequencies(spark, truth).select(key.alias("site"), "freq")
+    return variants.join(frequency.fixed_sites(given).select(*(f"site.{c}" for c in at)), at, "left_semi")
 
 
 def depth_frequencies(cells: DataFrame, variants: DataFrame, places: DataFrame) -> DataFrame:
     """pool, site, freq from the allele depths of the record that counts at each position."""
-    first = cells.join(variants.select("pos", "record").withColumnRenamed("record", "first"), "pos").where("record = first")
+    at = reads.place(cells, variants)
+    first = cells.join(variants.select(*at, F.col("record").alias("first")), at).where("record = first")
     freq = frequency.depth_frequency(F.col("ref_depth"), F.col("alt_depth"))
-    return first.join(places.select("site", "pos"), "pos").select(F.col("pool").cast("long").alias("pool"), "site", freq.cast("double").alias("freq"))
+    return first.join(places.select("site", *at), at).select(F.col("pool").cast("long").alias("pool"), "site", freq.cast("double").alias("freq"))
 
 
 def reads_of_alignments(spark: SparkSession, p: params.Parameters, prefix: str, frequencies: str = "reads", truth: str | None = None, paths: str | None = None) -> DataFrame:
@@ -91,12 +105,20 @@ def reads_of_alignments(spark: SparkSession, p: params.Parameters, prefix: str,
         raise ValueError(f"frequencies of {frequencies}: they come from reads or depths")
     source, work = (p.input_dir or p.work_dir).rstrip("/"), p.work_dir.rstrip("/")
     cells = whole.kept(files.variants(spark, f"{source}/{prefix}.vcf"))
+    names = several_chromosomes(cells)
+    if names:  # keys number chromosomes from 0, in order
+        number = F.create_map(*(F.lit(x) for k, c in enumerate(names) for x in (c, str(k))))
+        cells = cells.withColumn("chr", number[F.col("chr")])
+    else:
+        cells = cells.drop("chr")
     variants = reads.first_variants(cells, "record")
     variants = whole.kept(known_sites(spark, variants, truth) if truth else variants)
     found, named = files.listed(spark, paths) if paths else (f"{source}/{prefix}_p*.srt.sam", None)
     sam = with_pool(spark, files.alignments(spark, found), named, ".srt.sam")
+    # a read of several chromosomes is one in each: its name begins with the chromosome's number
+    sam = sam.withColumn("chr", number[F.col("chr")]).where("chr IS NOT NULL").withColumn("read_id", F.concat_ws("|", "chr", "read_id")) if names else sam.drop("chr")
     calls = whole.kept(reads.base_calls(sam, variants, "record"))
-    sites = variants.select("pos", F.concat(F.lit("0;"), F.col("pos"), F.lit(";"), F.col("pos"), F.lit(";0:1")).alias("locus"))
+    sites = variants.select(*reads.place(variants), F.concat(F.col("chr") if names else F.lit("0"), F.lit(";"), F.col("pos"), F.lit(";"), F.col("pos"), F.lit(";0:1")).alias("locus"))
     places = reads.numbered(sites)
     linked = reads.linked_mates(calls.withColumn("ord", F.col("pos")))
     line = reads.read_line(F.col("read_id"), F.col("calls"), F.col("spans"))

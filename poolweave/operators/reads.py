@@ -38,11 +38,19 @@ def walked(ops: Column) -> Column:
     return F.aggregate(ops, start, step, lambda s: s["out"])
 
 
+def place(*tables: DataFrame) -> list[str]:
+    """What tells a position: chr and pos, where all tables name chromosomes, or else pos alone."""
+    return ["chr", "pos"] if all("chr" in t.columns for t in tables) else ["pos"]
+
+
 def inside(spans: DataFrame, sites: DataFrame) -> DataFrame:
     """spans (start, end and anything else) with each site (pos and anything else) inside them: a range join by blocks of
-    BLOCK positions. A read lies in one or two; Spark broadcasts the sites where they are few."""
+    BLOCK positions (of a chromosome, where both have chr). A read lies in one or two; Spark broadcasts the sites where they
+    are few."""
+    by = place(spans, sites)[:-1]
+    sites = sites if by else sites.drop("chr")
     blocks = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))))
-    return blocks.join(sites.withColumn("block", F.floor(F.col("pos") / BLOCK)), "block").where(F.col("pos").between(F.col("start"), F.col("end"))).drop("block")
+    return blocks.join(sites.withColumn("block", F.floor(F.col("pos") / BLOCK)), [*by, "block"]).where(F.col("pos").between(F.col("start"), F.col("end"))).drop("block")
 
 
 def sites_in_span(spans: DataFrame, sites: DataFrame) -> DataFrame:
@@ -58,12 +66,14 @@ def emitted(covered: DataFrame, calls: DataFrame) -> DataFrame:
 def base_calls(sam: DataFrame, variants: DataFrame, *keep: str) -> DataFrame:
     """pool, read_id, pos, allele, start and end of the alignment, and columns to keep, for every variant site in its span.
 
-    sam: pool, read_id, flag, pos, cigar, seq; variants: pos, alt, code. Only sites are exploded, never bases: for each
+    sam: pool, read_id, flag, pos, cigar, seq; variants: pos, alt, code; chr, where both have it, comes back too. Only sites are exploded, never bases: for each
     site the operation that covers it is picked, the base (or inserted or deleted string) is cut out and looked up.
     """
     rows = usable(sam).withColumn("walk", walked(cigar_ops(F.col("cigar")))).where(F.col("walk").isNotNull())
+    at_ = place(sam, variants)
+    keep = (*keep, *at_[:-1])
     spans = rows.select("pool", "read_id", *keep, "walk", "seq", F.col("pos").alias("start"), (F.col("pos") + F.aggregate("walk", F.lit(0).cast("long"), lambda s, o: s + F.when(o["op"].isin("M", "D"), o["len"]).otherwise(0)) - 1).alias("end"))
-    at = inside(spans, variants.select("pos").distinct())
+    at = inside(spans, variants.select(*at_).distinct())
     offset = F.col("pos") - F.col("start")
     matched = F.get(F.filter("walk", lambda o: (o["op"] == "M") & (offset >= o["ref"]) & (offset < o["ref"] + o["len"])), 0)
     # an insertion or deletion hangs on the base before it
@@ -72,19 +82,21 @@ def base_calls(sam: DataFrame, variants: DataFrame, *keep: str) -> DataFrame:
     base = F.substring(F.col("seq"), (matched["query"] + offset - matched["ref"] + 1).cast("int"), F.lit(1))
     extra = F.when(F.size(inserted) > 0, F.substring(F.col("seq"), (F.get(inserted, 0)["query"] + 1).cast("int"), F.get(inserted, 0)["len"].cast("int"))).otherwise("")
     seen = at.select("pool", "read_id", *keep, "start", "end", "pos", F.when(matched.isNotNull(), F.concat(base, extra)).alias("seen"), (F.size(deleted) > 0).alias("gap"))
-    codes = variants.select("pos", "alt", F.col("code").cast("long").alias("code"))
-    hit = seen.join(codes, (seen["pos"] == codes["pos"]) & (seen["seen"] == codes["alt"]), "left").select("pool", "read_id", *keep, "start", "end", seen["pos"].alias("pos"), F.coalesce("code", F.lit(0).cast("long")).alias("allele"))
-    return hit
+    codes = variants.select(*at_, F.col("alt").alias("seen"), F.col("code").cast("long").alias("code"))
+    hit = seen.join(codes, [*at_, "seen"], "left")
+    return hit.select("pool", "read_id", *keep, "start", "end", "pos", F.coalesce("code", F.lit(0).cast("long")).alias("allele"))
 
 
 def numbered(sites: DataFrame) -> DataFrame:
-    """sites (pos and anything else) with site: their number by position. Sites, few beside reads, meet in one window."""
-    return sites.withColumn("site", (F.row_number().over(Window.orderBy("pos")) - 1).cast("long"))
+    """sites (pos, chr where there are several, and anything else) with site: their number by position. Sites, few beside
+    reads, meet in one window."""
+    return sites.withColumn("site", (F.row_number().over(Window.orderBy(*place(sites))) - 1).cast("long"))
 
 
 def site_calls(calls: DataFrame, sites: DataFrame) -> DataFrame:
-    """calls (pool, read_id, pos, allele) at known sites (site, pos), by number of site; calls elsewhere go."""
-    return calls.join(sites.select("site", "pos"), "pos").select("pool", "read_id", "site", "allele")
+    """calls (pool, read_id, pos, allele) at known sites (site, pos), by number of site; calls elsewhere go. Both may have chr."""
+    at = place(calls, sites)
+    return calls.join(sites.select("site", *at), at).select("pool", "read_id", "site", "allele")
 
 
 def linked_mates(records: DataFrame) -> DataFrame:
@@ -119,9 +131,9 @@ def parsed_line(line: Column) -> Column:
 
 
 def first_variants(vcf: DataFrame, *keep: str) -> DataFrame:
-    """pos, alt, code of the first alternative at each position, and columns of its record to keep; others count as the
-    reference. Where several records have a position, the first in the file counts (column record, where there is one), or
-    else the least text."""
+    """pos (and chr, where there is one), alt, code of the first alternative at each position, and columns of its record to
+    keep; others count as the reference. Where several records have a position, the first in the file counts (column record,
+    where there is one), or else the least text."""
     alt = F.get(F.split(F.regexp_replace("alt", '"', ""), ","), 0)
     order = F.struct(*(F.col(c) for c in ("record",) if c in vcf.columns), alt.alias("alt"))
-    return vcf.groupBy("pos").agg(F.min(order).alias("x")).select("pos", "x.alt", F.lit(1).cast("long").alias("code"), *(f"x.{c}" for c in keep))
+    return vcf.groupBy(*place(vcf)).agg(F.min(order).alias("x")).select(*place(vcf), "x.alt", F.lit(1).cast("long").alias("code"), *(f"x.{c}" for c in keep))

@@ -31,15 +31,17 @@ class Ladder:
 def design(haps: DataFrame, freq: DataFrame, linkage: DataFrame, weights: Weights = Weights()) -> DataFrame:
     """pool, block (0 one, 1 site, 2 pair), l1, l2, label, features (array over haps in the order of their string).
 
-    haps: hap; freq: pool, site, freq; linkage: pool, l1, l2, p11 (uncovered pairs have no row). Haplotypes of one
+    haps: hap, or pool, hap where each pool has its own; freq: pool, site, freq; linkage: pool, l1, l2, p11 (uncovered pairs have no row). Haplotypes of one
     configuration are one row, from which each site or pair reads its features; how it travels is left to Spark, by its size.
     """
-    every = haps.agg(F.array_sort(F.collect_set("hap")).alias("haps"))
+    by = [c for c in ("pool",) if c in haps.columns]
+    every = haps.groupBy(*by).agg(F.array_sort(F.collect_set("hap")).alias("haps"))
     bit = lambda h, l: F.substring(h, (l + 1).cast("int"), F.lit(1)).cast("double")
     ones = freq.select("pool").distinct().select("pool", F.lit(0).alias("block"), F.lit(None).cast("long").alias("l1"), F.lit(None).cast("long").alias("l2"), F.lit(1.0).alias("label"))
     sites = freq.select("pool", F.lit(1).alias("block"), F.col("site").alias("l1"), F.lit(None).cast("long").alias("l2"), F.col("freq").alias("label"))
     pairs = linkage.where(F.col("p11").isNotNull()).select("pool", F.lit(2).alias("block"), "l1", "l2", F.col("p11").alias("label"))
-    rows = ones.unionByName(sites).unionByName(pairs).crossJoin(every)
+    rows = ones.unionByName(sites).unionByName(pairs)
+    rows = rows.join(every, by) if by else rows.crossJoin(every)
     weight = F.when(F.col("block") == 0, weights.one).when(F.col("block") == 1, weights.site).otherwise(weights.pair)
     value = F.transform("haps", lambda h: F.when(F.col("block") == 0, 1.0).when(F.col("block") == 1, bit(h, F.col("l1"))).otherwise(bit(h, F.col("l1")) * bit(h, F.col("l2"))) * weight)
     return rows.select("pool", "block", "l1", "l2", (F.col("label") * weight).alias("label"), value.alias("features"))
@@ -173,7 +175,7 @@ def design_moments(rows: DataFrame) -> DataFrame:
 
 def pool_frequencies(rows: DataFrame, haps: DataFrame, ladder: Ladder = Ladder()) -> DataFrame:
     """pool, hap, freq, r2, penalty, converged: a fit for each pool, all pools at once, from the moments of its design (features by
-    features, whatever its rows). haps: hap, the haplotypes that the features are in order of.
+    features, whatever its rows). haps: as in design, the haplotypes that the features are in order of.
 
     A pool of which even the fit without penalty says nothing has all haplotypes alike.
     """
@@ -185,6 +187,7 @@ def pool_frequencies(rows: DataFrame, haps: DataFrame, ladder: Ladder = Ladder()
         freq = found.weights if said else np.ones(many)
         return pa.table({"pool": pa.array([t.column("pool")[0].as_py()] * many, pa.int64()), "place": pa.array(range(many), pa.int32()), "freq": pa.array(freq), "r2": pa.array([found.r2] * many, pa.float64()), "penalty": pa.array([float(penalty)] * many), "converged": pa.array([found.converged] * many)})
 
-    names = haps.agg(F.array_sort(F.collect_set("hap")).alias("h")).select(F.posexplode("h").alias("place", "hap"))
+    by = [c for c in ("pool",) if c in haps.columns]
+    names = haps.groupBy(*by).agg(F.array_sort(F.collect_set("hap")).alias("h")).select(*by, F.posexplode("h").alias("place", "hap"))
     fits = design_moments(rows).groupBy("pool").applyInArrow(run, "pool long, place int, freq double, r2 double, penalty double, converged boolean")
-    return fits.join(names, "place").select("pool", "hap", "freq", "r2", "penalty", "converged")
+    return fits.join(names, [*by, "place"]).select("pool", "hap", "freq", "r2", "penalty", "converged")

@@ -55,11 +55,11 @@ def matrix(spark: SparkSession, path: Path) -> DataFrame:
 
 
 def site_index(spark: SparkSession, path: Path) -> DataFrame:
-    """site (numbered from 0 in the order of the lines), pos, locus of a file of site frequencies. Sites, few beside reads,
+    """site (numbered from 0 in the order of the lines), chr, pos, locus of a file of site frequencies. Sites, few beside reads,
     are numbered in one window."""
     rows = lines(spark, path).where(~F.col("line").startswith("#") & ~F.col("line").startswith("Pool_ID") & (F.col("line") != ""))
     rows = rows.select("ord", F.get(F.split("line", "\t"), 0).alias("locus"))
-    return rows.select((F.row_number().over(Window.orderBy("ord")) - 1).cast("long").alias("site"), F.get(F.split("locus", ";"), 1).cast("long").alias("pos"), "locus")
+    return rows.select((F.row_number().over(Window.orderBy("ord")) - 1).cast("long").alias("site"), F.get(F.split("locus", ";"), 0).alias("chr"), F.get(F.split("locus", ";"), 1).cast("long").alias("pos"), "locus")
 
 
 def site_frequencies(spark: SparkSession, path: str) -> DataFrame:
@@ -94,12 +94,12 @@ def drafts(spark: SparkSession, path: Path) -> DataFrame:
 
 
 def variants(spark: SparkSession, path: Path) -> DataFrame:
-    """record (orders the lines), pos, ref, alt, pool, ref_depth, alt_depth from variant text: samples are named by pool in
+    """record (orders the lines), chr, pos, ref, alt, pool, ref_depth, alt_depth from variant text: samples are named by pool in
     the header line of their file."""
     rows = lines(spark, path)
     header = rows.where(F.col("line").startswith("#CHROM")).select("file", F.posexplode(F.split("line", "\t")).alias("i", "pool")).where("i >= 9")
     body = rows.where(~F.col("line").startswith("#") & (F.col("line") != "")).select("file", "ord", F.split("line", "\t").alias("c"))
-    cells = body.select("file", F.col("ord").alias("record"), F.get("c", 1).cast("long").alias("pos"), F.get("c", 3).alias("ref"), F.get("c", 4).alias("alt"), F.get("c", 8).alias("format"), F.posexplode("c").alias("i", "cell")).where("i >= 9")
+    cells = body.select("file", F.col("ord").alias("record"), F.get("c", 0).alias("chr"), F.get("c", 1).cast("long").alias("pos"), F.get("c", 3).alias("ref"), F.get("c", 4).alias("alt"), F.get("c", 8).alias("format"), F.posexplode("c").alias("i", "cell")).where("i >= 9")
     return depths(cells.join(header, ["file", "i"]))
 
 
@@ -107,14 +107,14 @@ def depths(cells: DataFrame) -> DataFrame:
     """Allele depths (the AD field) of sample cells: pos, ref, alt, format, pool, cell."""
     place = F.array_position(F.split("format", ":"), "AD").cast("int")
     ad = F.split(F.get(F.split("cell", ":"), place - 1), ",")
-    return cells.select(*(c for c in ("record",) if c in cells.columns), "pos", "ref", "alt", "pool", F.coalesce(F.get(ad, 0).try_cast("long"), F.lit(0).cast("long")).alias("ref_depth"), F.coalesce(F.get(ad, 1).try_cast("long"), F.lit(0).cast("long")).alias("alt_depth"))
+    return cells.select(*(c for c in ("record", "chr") if c in cells.columns), "pos", "ref", "alt", "pool", F.coalesce(F.get(ad, 0).try_cast("long"), F.lit(0).cast("long")).alias("ref_depth"), F.coalesce(F.get(ad, 1).try_cast("long"), F.lit(0).cast("long")).alias("alt_depth"))
 
 
 def alignments(spark: SparkSession, path: Path) -> DataFrame:
-    """file, record (orders the lines), read_id, flag, pos, cigar, seq; header lines start with @."""
+    """file, record (orders the lines), read_id, flag, chr, pos, cigar, seq; header lines start with @."""
     part = F.split("line", "\t")
     rows = lines(spark, path).where(~F.col("line").startswith("@") & (F.size(part) >= 11))
-    return rows.select("file", F.col("ord").alias("record"), F.translate(F.get(part, 0), ":", "").alias("read_id"), F.get(part, 1).cast("int").alias("flag"), F.get(part, 3).cast("long").alias("pos"), F.get(part, 5).alias("cigar"), F.get(part, 9).alias("seq"))
+    return rows.select("file", F.col("ord").alias("record"), F.translate(F.get(part, 0), ":", "").alias("read_id"), F.get(part, 1).cast("int").alias("flag"), F.get(part, 2).alias("chr"), F.get(part, 3).cast("long").alias("pos"), F.get(part, 5).alias("cigar"), F.get(part, 9).alias("seq"))
 
 
 def row_line(key: Column, ordered: Column) -> Column:
@@ -153,11 +153,49 @@ def freq_lines(freq: DataFrame, sites: DataFrame) -> DataFrame:
     return header.unionAll(rows.select(F.col("site").alias("ord"), F.concat_ws("\t", "locus", F.array_join(values, "\t")).alias("line")))
 
 
+#: Values of a line of a matrix that one row holds.
+PIECE = 4096
+
+
+def inter_cells(haps: DataFrame, sites: DataFrame | None = None, coded: bool = False) -> DataFrame:
+    """ord, key, col, value: the cells of the lines that inter_lines makes; with coded, alleles are numbers (0.0, 1.0)."""
+    top = haps.select(F.explode(F.array(F.struct(F.lit(-2).cast("long").alias("ord"), F.lit("Hap_ID").alias("key"), F.col("hap_id").cast("string").alias("value")), F.struct(F.lit(-1).cast("long").alias("ord"), F.lit("Freq").alias("key"), F.col("value")))).alias("x"), F.col("hap_id").alias("col"))
+    allele = F.col("allele").cast("double").cast("string") if coded else F.col("allele")
+    cells = haps.select("hap_id", F.posexplode(F.filter(F.split("hap", ""), lambda a: a != "")).alias("site", "allele")).select(F.col("site").cast("long").alias("ord"), F.col("hap_id").alias("col"), allele.alias("value"))
+    keys = cells.withColumn("key", F.col("ord").cast("string")) if sites is None else cells.join(sites.select(F.col("site").alias("ord"), F.col("locus").alias("key")), "ord")
+    return top.select("x.ord", "x.key", "col", "x.value").unionByName(keys)
+
+
+def intra_cells(shares: DataFrame) -> DataFrame:
+    """ord, key, col, value: the cells of the lines that intra_lines makes."""
+    header = shares.select("hap_id").distinct().select(F.lit(-1).cast("long").alias("ord"), F.lit("Hap_ID").alias("key"), F.col("hap_id").alias("col"), F.col("hap_id").cast("string").alias("value"))
+    return header.unionByName(shares.select(F.col("pool").cast("long").alias("ord"), F.col("pool").cast("string").alias("key"), F.col("hap_id").alias("col"), "value"))
+
+
+def matrix_pieces(cells: DataFrame, size: int = PIECE) -> DataFrame:
+    """ord, block, piece: a matrix as pieces of at most size columns of a line. Pieces joined by tabs are the text: the last one
+    of a line also holds its end and the key of the next line, so that every border lies between two values."""
+    at = F.floor(F.col("col") / size).alias("block")
+    text = cells.groupBy("ord", at).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda c: c["value"]), "\t").alias("text"))
+    # lines are as many as sites or pools: their keys meet in one window
+    lines_ = cells.groupBy("ord", "key").agg(F.floor(F.max("col") / size).alias("last"), F.floor(F.min("col") / size).alias("first"))
+    every = Window.orderBy("ord")
+    lines_ = lines_.select("ord", "first", "last", F.when(F.row_number().over(every) == 1, F.col("key")).alias("own"), F.lead("key").over(every).alias("next"))
+    own = F.when(F.col("own").isNotNull() & (F.col("block") == F.col("first")), F.concat("own", F.lit("\t"))).otherwise("")
+    following = F.when(F.col("next").isNotNull() & (F.col("block") == F.col("last")), F.concat(F.lit("\n"), "next")).otherwise("")
+    return text.join(lines_, "ord").select("ord", "block", F.concat(own, "text", following).alias("piece"))
+
+
+def write_matrix(cells: DataFrame, path: str, size: int = PIECE) -> None:
+    """One text file; no row is longer than a piece. A tab follows the last value, as readers allow."""
+    matrix_pieces(cells, size).orderBy("ord", "block").select("piece").coalesce(1).write.mode("overwrite").option("lineSep", "\t").text(path)
+
+
 def write_haplotypes(found: DataFrame, sites: DataFrame, inter: str, intra: str) -> None:
     """Both files of a haplotype set. found: hap_id, hap, pool, freq, mean_freq, every haplotype in every pool."""
     text = lambda c: F.col(c).cast("string").alias("value")
-    write_lines(inter_lines(found.select("hap_id", "hap", "mean_freq").distinct().select("hap_id", "hap", text("mean_freq")), sites), inter)
-    write_lines(intra_lines(found.select("pool", "hap_id", text("freq"))), intra)
+    write_matrix(inter_cells(found.select("hap_id", "hap", "mean_freq").distinct().select("hap_id", "hap", text("mean_freq")), sites), inter)
+    write_matrix(intra_cells(found.select("pool", "hap_id", text("freq"))), intra)
 
 
 def write_lines(rows: DataFrame, path: str) -> None:

@@ -380,8 +380,8 @@ def test_a_run_from_files_to_files(spark, tmp_path):
                     seq[pos[s] - start] = "T" if h[s] else "A"
                 lines.append(f"r{i}\t{99 if mate == 0 else 147}\tc\t{start}\t60\t{size}M\t=\t1\t1\t{''.join(seq)}\t{'I' * size}\n")
         (tmp_path / f"x_p{p}.srt.sam").write_text("".join(lines))
-    (tmp_path / "PHX").write_text(f"Intermediate_Dir = {tmp_path}/\nOutput_Dir = {tmp_path}/out/\nLambda_Penalty = 0.02\n")
-    p = params.load(str(tmp_path / "PHX"))
+    (tmp_path / "run.properties").write_text(f"Intermediate_Dir = {tmp_path}/\nOutput_Dir = {tmp_path}/out/\nLambda_Penalty = 0.02\n")
+    p = params.load(str(tmp_path / "run.properties"))
     freq = run.reads_of_alignments(spark, p, "x")
     table = {(int(x["pool"]), x["at"]["start"]): x.freq for x in files.site_frequencies(spark, f"{tmp_path}/x_vars.intra_freq.txt").collect()}
     assert table == {(x.pool, pos[x.site]): x.freq for x in freq.collect()} and len(table) == 4 * SITES

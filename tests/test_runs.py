@@ -126,3 +126,36 @@ def test_subsets_by_lot(spark, capsys):
     assert len(other & {r.hap for r in some.where("pool = 0").collect()}) < 15
     some.explain()
     assert "WindowGroupLimit" in capsys.readouterr().out
+
+
+def test_matrices_in_pieces_are_the_lines(spark, tmp_path):
+    """Whatever the width of a piece, the file is what whole lines make."""
+    haps = spark.createDataFrame([(k, format(k * 7 % 32, "05b"), f"0.{k}") for k in range(23)], "hap_id long, hap string, value string")
+    sites = spark.createDataFrame([(s, f"0;{s};{s};0:1") for s in range(5)], "site long, locus string")
+    shares = spark.createDataFrame([(p, k, f"{p}.{k}") for p in (2, 10) for k in range(23)], "pool long, hap_id long, value string")
+    for cells, rows in ((files.inter_cells(haps, sites), files.inter_lines(haps, sites)), (files.intra_cells(shares), files.intra_lines(shares))):
+        want = "\n".join(r.line for r in rows.orderBy("ord").collect())
+        for size in (1, 4, 23, 100):
+            pieces = files.matrix_pieces(cells, size).orderBy("ord", "block").collect()
+            assert "\t".join(p.piece for p in pieces) == want
+            assert max(p.piece.count("\t") for p in pieces) <= size
+        files.write_matrix(cells, str(tmp_path / "m"), 4)
+        assert [x.line.rstrip("\t") for x in files.lines(spark, str(tmp_path / "m")).orderBy("ord").collect()] == want.split("\n")
+    coded = {(r["ord"], r["col"]): r["value"] for r in files.inter_cells(haps, coded=True).where("ord >= 0").collect()}
+    assert coded == {(s, k): f"{c}.0" for k in range(23) for s, c in enumerate(format(k * 7 % 32, "05b"))}
+
+
+def test_two_chromosomes_share_positions(spark, tmp_path):
+    """Reads and variants of two chromosomes at the same positions are kept apart from the alignments to the frequencies."""
+    (tmp_path / "x.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t0\nchr1\t100\t.\tA\tT\t.\t.\t.\tGT:AD\t0:3,1\nchr1\t103\t.\tA\tT\t.\t.\t.\tGT:AD\t0:1,1\nchr2\t100\t.\tA\tC\t.\t.\t.\tGT:AD\t0:1,3\n")
+    sam = [f"r{i}\t99\tchr{c}\t98\t60\t8M\t=\t1\t1\tAA{b}AAAAA\t{'I' * 8}\n" for c, b, n in (("1", "T", 3), ("1", "A", 1), ("2", "C", 2), ("2", "T", 2), ("9", "T", 5)) for i in range(n)]
+    (tmp_path / "x_p0.srt.sam").write_text("".join(f"{k}{line}" for k, line in enumerate(sam)))
+    p = params.Parameters(work_dir=str(tmp_path), output_dir=f"{tmp_path}/out")
+    freq = {r.site: r.freq for r in run.reads_of_alignments(spark, p, "x").collect()}
+    assert freq == {0: 0.75, 1: 0.0, 2: 0.5}
+    sites = files.site_index(spark, f"{tmp_path}/x_vars.intra_freq.txt")
+    assert [(r.site, r.chr, r.pos) for r in sites.orderBy("site").collect()] == [(0, "0", 100), (1, "0", 103), (2, "1", 100)]
+    calls = run.calls_of_files(spark, str(tmp_path), "x", sites).groupBy("site").agg(F.avg("allele").alias("f"), F.count("*").alias("n")).collect()
+    assert {r.site: (r.f, r.n) for r in calls} == {0: (0.75, 4), 1: (0.0, 4), 2: (0.5, 4)}
+    depths = {r.site: r.freq for r in run.reads_of_alignments(spark, p, "x", "depths").collect()}
+    assert depths == {0: 0.25, 1: 0.5, 2: 0.75}
