@@ -592,6 +592,14 @@ def wildcard_merge(spark: SparkSession, d: str) -> DataFrame:
     return haplotypes.wildcard(bridge.calls(spark, d), SITES).withColumn("known", r9("known"))
 
 
+@query(f"""WITH {CALLS_SQL} SELECT CAST(-1 AS BIGINT) AS ord, 'Hap_ID' || chr(9) || 'Prop_Recon' AS line
+UNION ALL SELECT read_id, read_id || chr(9) || CAST(round(count(*) / 12 * 1e6, 0) AS BIGINT) FROM calls GROUP BY read_id""")
+def proportion_lines(spark: SparkSession, d: str) -> DataFrame:
+    """What share of its sites each read says, as text."""
+    rows = haplotypes.wildcard(bridge.calls(spark, d), SITES)
+    return files.proportion_lines(rows.select(F.col("read_id").alias("hap_id"), micro(F.col("known")).alias("value")))
+
+
 CIGAR_SQL = """q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
 ops AS (SELECT q.*, i, op, len FROM q, LATERAL (VALUES (0, 'S', q % 5 + 1), (1, 'M', q % 7 + 3), (2, 'I', q % 3 + 1), (3, 'M', q % 11 + 4), (4, 'D', q % 4 + 1), (5, 'M', q % 6 + 2)) t(i, op, len))"""
 

@@ -41,7 +41,9 @@ def with_pool(spark: SparkSession, rows: DataFrame, files_of: DataFrame | None,
 
 
 def several_chromosomes(sites: DataFrame) -> list[str]:
-    """The chromosomes of sites in order, if there are several; they are few."""
+    """The chromosomes of sites in order, if there are several; they are few. Sites may name none."""
+    if "chr" not in sites.columns:
+        return []
     names = sorted(r["chr"] for r in sites.select("chr").distinct().collect())
     return names if len(names) > 1 else []
 

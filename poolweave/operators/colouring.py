@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.steps import kept
+from ..sources.steps import Steps, kept
 from .frequency import WORD, has_bit, neighbours
 
 COLOURS = "pool long, genotype string, mask array<long>, bits array<long>, colour long"
@@ -50,7 +50,11 @@ def degrees(fragments: DataFrame) -> DataFrame:
     sites, and their number is a count of bits. Edges are neither written nor held. Nodes stay where their hash puts them, so
     a pool is as many tasks as there are; lists are a bit for each site of a node, and join as Spark sees fit for their size.
     """
-    nodes = kept(fragments.select("pool", "genotype", "mask", "bits"))
+    with Steps(fragments.sparkSession) as steps:
+        return steps.result(counted_conflicts(kept(fragments.select("pool", "genotype", "mask", "bits"))))
+
+
+def counted_conflicts(nodes: DataFrame) -> DataFrame:
     sizes = nodes.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / (60 * WORDS)).alias("blocks"))
     cells = site_alleles(nodes, "pool", "genotype")
     places = nodes.select("pool", "genotype").join(sizes, "pool").withColumn("block", F.pmod(F.xxhash64("genotype"), F.col("blocks")))
@@ -184,7 +188,12 @@ def coloured_nodes(mask: np.ndarray, bits: np.ndarray, copies: np.ndarray) -> li
 def colour_ranges(fragments: DataFrame) -> DataFrame:
     """See RANGES. Two ranges of a pool are the same or have no colour in common. Nodes are taken in the order of their
     genotype, so results repeat; that of one component does not depend on others."""
-    nodes = kept(with_component(kept(fragments)))
+    with Steps(fragments.sparkSession) as steps:
+        return steps.result(component_ranges(kept(with_component(kept(fragments)))))
+
+
+def component_ranges(nodes: DataFrame) -> DataFrame:
+    """RANGES of nodes with their component."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("genotype", kind="stable").reset_index(drop=True)

@@ -203,6 +203,17 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.orderBy("ord").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
+def proportion_lines(rows: DataFrame) -> DataFrame:
+    """ord, line: header, then a line for each haplotype. rows: hap_id, value (text of the share of its sites that is known)."""
+    header = rows.sparkSession.createDataFrame([(-1, "Hap_ID\tProp_Recon")], "ord long, line string")
+    return header.unionAll(rows.select(F.col("hap_id").cast("long").alias("ord"), F.concat_ws("\t", F.col("hap_id").cast("string"), "value").alias("line")))
+
+
+def write_proportions(rows: DataFrame, path: str) -> None:
+    """One line for each haplotype of a read, so as many files as that takes, in order."""
+    proportion_lines(rows).orderBy("ord").select("line").write.mode("overwrite").text(path)
+
+
 def write_reads(rows: DataFrame, path: str) -> None:
     """read_id, calls, spans, as many files as partitions."""
     rows.select(read_line(F.col("read_id"), F.col("calls"), F.col("spans"))).write.mode("overwrite").text(path)

@@ -159,3 +159,21 @@ def test_two_chromosomes_share_positions(spark, tmp_path):
     assert {r.site: (r.f, r.n) for r in calls} == {0: (0.75, 4), 1: (0.0, 4), 2: (0.5, 4)}
     depths = {r.site: r.freq for r in run.reads_of_alignments(spark, p, "x", "depths").collect()}
     assert depths == {0: 0.25, 1: 0.5, 2: 0.75}
+
+
+def test_proportions_of_reads(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"0.{k}") for k in range(12)], "hap_id long, value string").repartition(4)
+    files.write_proportions(rows, str(tmp_path / "p"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "p").glob("part-*")))
+    assert text == "Hap_ID\tProp_Recon\n" + "".join(f"{k}\t0.{k}\n" for k in range(12))
+
+
+def test_the_command_line(spark, made):
+    _, folder, _ = made
+    (folder / "run.properties").write_text(f"Intermediate_Dir = {folder}/\nOutput_Dir = {folder}/out/\nLambda_Penalty = 0.02\n")
+    run.main(["reads", f"{folder}/run.properties", "x", "--frequencies", "depths", "--truth", f"{folder}/known.txt", "--list", f"{folder}/list"])
+    assert files.site_index(spark, f"{folder}/x_vars.intra_freq.txt").count() == 8
+    run.main(["haplotypes", f"{folder}/run.properties", "x", "--weighted-gaps"])
+    assert {r.pool for r in files.haplotype_set(spark, f"{folder}/out/x.inter_freq_vars.txt", f"{folder}/out/x.intra_freq.txt").select("pool").distinct().collect()} == {"0", "1", "2"}
+    with pytest.raises(SystemExit):
+        run.main(["nothing", "x", "y"])

@@ -71,7 +71,7 @@ def test_degrees_by_posting_lists(spark, islands, monkeypatch):
 
 
 def test_degrees_have_no_python(spark, islands, capsys):
-    colouring.degrees(frequency.fragments(islands)).explain()
+    colouring.counted_conflicts(kept(frequency.fragments(islands))).explain()
     assert "Python" not in (plan := capsys.readouterr().out) and "Pandas" not in plan
 
 
