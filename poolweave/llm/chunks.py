@@ -99,6 +99,12 @@ def bits_for(n: int) -> int:
     return max(1, (n - 1).bit_length())
 
 
+def count_bits(parts: int) -> int:
+    """Bits of keys of which only counts matter: 256 places for each byte of the corpus, so that few keys that occur once
+    share theirs with another, however large the corpus is."""
+    return min(64, max(44, bits_for(parts) + (CHUNK - 1).bit_length() + 8))
+
+
 def low_bits(parts: int, bits: int) -> int:
     """A part (block) is a value of the bits above these."""
     return bits - bits_for(min(parts, FAN))

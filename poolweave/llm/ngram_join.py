@@ -30,13 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import answers, chunked, counted
+from .chunks import answers, chunked, count_bits, counted
 from .graph import components
 from .shared import distinct, lower_ascii, mix, read, scratch, table, utf8
 
 N = 5
 PERCENT = 80
-BITS = 44
 ORDERS = 3
 HUB_ROUNDS = 2
 #: Documents of different components on the list of one token, beyond which they meet by two tokens of two orders.
@@ -65,24 +64,24 @@ def tokens(texts: list[str | None], n: int = N) -> list[np.ndarray]:
     return out
 
 
-def short(x: np.ndarray) -> np.ndarray:
+def short(x: np.ndarray, bits: int) -> np.ndarray:
     """What is counted over the corpus: the upper bits of a token."""
-    return x >> np.uint64(64 - BITS)
+    return x >> np.uint64(64 - bits)
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def count_keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def count_keys(rows: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
     each = tokens(rows.column("text").to_pylist())
-    return np.unique(np.concatenate([short(x) for x in each]), return_counts=True)
+    return np.unique(np.concatenate([short(x, bits) for x in each]), return_counts=True)
 
 
 DOCS = "doc_id long, n_shingles long, h1 long, h2 long, weight double, skipped long, prefix array<long>, second array<long>, others binary, tokens binary"
 
 
-def documents(rows: pa.Table, found: pa.Table) -> pa.Table:
+def documents(rows: pa.Table, found: pa.Table, bits: int) -> pa.Table:
     """A row per document. prefix, others and tokens are empty where the prefix holds no token of another document.
 
     skipped: tokens that order 1 puts before prefix; weight: how common the document's tokens are (mean log count).
@@ -90,14 +89,14 @@ def documents(rows: pa.Table, found: pa.Table) -> pa.Table:
     out: list[tuple] = []
     ids, each = rows.column("doc_id").to_pylist(), tokens(rows.column("text").to_pylist())
     if each:
-        keys, df = distinct(np.concatenate([short(x) for x in each])), answers(found)
+        keys, df = distinct(np.concatenate([short(x, bits) for x in each])), answers(found)
     for doc, x in zip(ids, each, strict=True):
         n = len(x)
         if not n:
             out.append((doc, 0, 0, 0, 0.0, 0, [], [], b"", b""))
             continue
         h1, h2 = (int(np.add.reduce(mix(x ^ s)).astype(np.int64)) for s in (np.uint64(0), SALT))
-        count = df[np.searchsorted(keys, short(x))]
+        count = df[np.searchsorted(keys, short(x, bits))]
         shared = x[count > 1]
         left = prefix_size(n) - (n - len(shared))  # places of the prefix that tokens of one document leave
         if left <= 0 or doc is None:
@@ -217,8 +216,9 @@ def join_classes(rows: DataFrame, long: int = LONG) -> DataFrame:
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with scratch(rows.sparkSession) as work:
         dealt, n = chunked(rows)
-        found = counted(dealt, n, count_keys, BITS)
-        docs = table(dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(documents, DOCS), "sets")
+        bits = count_bits(n)
+        found = counted(dealt, n, lambda part: count_keys(part, bits), bits)
+        docs = table(dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda a, b: documents(a, b, bits), DOCS), "sets")
         members, reps = classes(docs)
         members = table(members, "members")
         found = links(table(reps, "representatives"), long)

@@ -119,9 +119,10 @@ def brute_suffixes(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
-def test_suffix_dedup(docs, rows, hot):
-    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs, hot).collect()}
+@pytest.mark.parametrize(("hot", "width"), [(suffix_dedup.HOT, 64), (2, 64), (suffix_dedup.HOT, 6), (2, 6)])
+def test_suffix_dedup(docs, rows, hot, width):
+    """Keys of 6 bits stand for several contexts and strings each: what they leave open is told by bytes."""
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs, hot, width).collect()}
     assert out == brute_suffixes(rows)
 
 
