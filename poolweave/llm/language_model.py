@@ -6,8 +6,9 @@ count for each of their words how often which class stands beside it, counts of
 chooses, and the word's class goes back to the chunks that hold it. Class bigrams, of fixed size, are all that is
 gathered on the driver and sent to every task. Clustering goes from coarse to fine: the CLASSES most frequent words
 start as a class each; every sweep takes in GROWTH times as many words, down to those seen once; then sweeps go on over
-all words until those that move hold less than SETTLED of the tokens, at most LAST times. In a sweep, half of the words
-that have a class may move, so that words which attract each other do not change places for ever.
+all words until a sweep adds less than GAIN to what a class says about the next one (nats a token: the likelihood, but for
+a constant); it is bounded, so this ends without a limit on sweeps, and a sweep that would lower it is not taken. In a
+sweep, half of the words that have a class may move, so that words which attract each other do not change places for ever.
 
 The probability of a word is that of its class after the class before, interpolated with the class alone, times that of
 the word in its class, smoothed as the base model is: each class keeps DELTA for a word it has not seen. An unknown
@@ -40,7 +41,7 @@ DELTA = 0.1
 CLASSES = 64
 #: Weight of the class bigram against the class alone.
 BIGRAM = 0.95
-GROWTH, SETTLED, LAST = 12, 0.05, 3
+GROWTH, GAIN = 12, 0.01
 END = b"\n"  # no word can be this; the end token
 #: A key of a sweep is a word's hash and a slot: a class to its left, a class to its right, or the class it has now.
 WIDTH = np.uint64(8)
@@ -348,17 +349,40 @@ def sweep(chunks: DataFrame, n: int, before: DataFrame | None, least_before: int
     return out.where("chunk >= 0"), added_up(out.where("chunk = -1").select(F.col("answer").alias("v"), F.col("block").alias("part")), 2 + 2 * CLASSES)
 
 
-def clustered(chunks: DataFrame, n: int, words: Vocabulary) -> tuple[DataFrame, np.ndarray]:
-    """Answers with every training word's class, and the mass and number of words of each class."""
-    steps = words.steps()
-    found, sums, last = None, None, 0
-    while len(steps) > last:
-        least, before = steps[last], steps[max(last - 1, 0)]
-        found, sums = sweep(chunks, n, found, before, least, last, words.anchors)
-        last += 1
-        if last == len(steps) and sums[0] >= SETTLED * sums[1] and steps.count(1) <= LAST:
-            steps.append(1)
-    return found, sums[2:]
+def information(both: np.ndarray) -> float:
+    """What a class says about the next one: mutual information in nats a token."""
+    pairs = both.reshape(CLASSES, CLASSES).astype(float)
+    ends = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    total = pairs.sum()
+    return (ends(pairs) - ends(pairs.sum(axis=0)) - ends(pairs.sum(axis=1)) + ends(total)) / max(1.0, total)
+
+
+def bigrams(chunks: DataFrame, found: DataFrame) -> np.ndarray:
+    """How often class follows class, in all training texts."""
+
+    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = Chunk(left.to_pylist()[0])
+        cls, (x, before) = c.classes(right, 1), c.training()
+        return pa.table({"v": pa.array([pack(class_pairs(cls[before], cls[x]))], pa.binary()), "part": pa.array([c.chunk], pa.int64())})
+
+    return added_up(chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(pairs, "v binary, part long"), CLASSES * CLASSES)
+
+
+def clustered(chunks: DataFrame, n: int, words: Vocabulary, gain: float = GAIN) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Answers with every training word's class, the mass and number of words of each class, and the class bigrams."""
+    found, sums, before, turn = None, None, 1, 0
+    for least in words.steps():
+        found, sums = sweep(chunks, n, found, before, least, turn, words.anchors)
+        before, turn = least, turn + 1
+    both, rises = bigrams(chunks, found), True
+    while rises:
+        again, sums_again = sweep(chunks, n, found, 1, 1, turn, words.anchors)
+        both_again = bigrams(chunks, again)
+        more = information(both_again) - information(both)
+        rises, turn = more >= gain, turn + 1
+        if more > 0:
+            found, sums, both = again, sums_again, both_again
+    return found, sums[2:], both
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -368,23 +392,17 @@ def score(docs: DataFrame) -> DataFrame:
     with scratch(spark) as work:
         chunks, words, n = counted_chunks(rows)
         if words.words:
-            found, sums = clustered(chunks, n, words)
+            found, sums, both = clustered(chunks, n, words)
         else:
             found, sums = spark.createDataFrame([], "chunk long, block long, n long, answer binary"), np.zeros(2 * CLASSES, np.int64)
-
-        def bigrams(left: pa.Table, right: pa.Table) -> pa.Table:
-            c = Chunk(left.to_pylist()[0])
-            cls, (x, before) = c.classes(right, 1), c.training()
-            return pa.table({"v": pa.array([pack(class_pairs(cls[before], cls[x]))], pa.binary()), "part": pa.array([c.chunk], pa.int64())})
-
-        met = chunks.groupBy("chunk").cogroup(found.groupBy("chunk"))
-        both = added_up(met.applyInArrow(bigrams, "v binary, part long"), CLASSES * CLASSES)
+            both = np.zeros(CLASSES * CLASSES, np.int64)
         model = model_of(both, sums[:CLASSES], sums[CLASSES:], words.tokens, words.words)  # of fixed size
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             c = Chunk(left.to_pylist()[0])
             return score_chunk(c, c.classes(right, 1), model)
 
+        met = chunks.groupBy("chunk").cogroup(found.groupBy("chunk"))
         return work.result(met.applyInArrow(run, SCHEMA), "scores")
 
 
