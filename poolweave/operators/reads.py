@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_FLAG = 163
-#: Positions in one block of a range join.
-BLOCK = 10_000
+CIGAR = r"^(\d+[MIDSH])+$"
+#: Blocks of a range join: bits of the least size, bits from one size to the next, and how many there are (16 to 2^31).
+LADDER = (4, 3, 10)
 
 
 def usable(sam: DataFrame) -> DataFrame:
@@ -18,8 +19,8 @@ def usable(sam: DataFrame) -> DataFrame:
 def cigar_ops(cigar: Column) -> Column:
     """array<struct(len, op)>; null if the text holds anything but the operations M, I, D, S, H."""
     parts = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDSH])"), F.lit(1))
-    ops = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^\d+", 0).cast("long").alias("len"), F.right(p, F.lit(1)).alias("op")))
-    return F.when(cigar.rlike(r"^(\d+[MIDSH])+$"), ops)
+    ops = F.transform(parts, lambda p: F.struct(F.left(p, F.length(p) - 1).cast("long").alias("len"), F.right(p, F.lit(1)).alias("op")))
+    return F.when(cigar.rlike(CIGAR), ops)
 
 
 def walked(ops: Column) -> Column:
@@ -44,13 +45,26 @@ def place(*tables: DataFrame) -> list[str]:
 
 
 def inside(spans: DataFrame, sites: DataFrame) -> DataFrame:
-    """spans (start, end and anything else) with each site (pos and anything else) inside them: a range join by blocks of
-    BLOCK positions (of a chromosome, where both have chr). A read lies in one or two; Spark broadcasts the sites where they
-    are few."""
+    """spans (start, end and anything else) with each site (pos and anything else) inside them."""
+    return near(spans, sites).where(F.col("pos").between(F.col("start"), F.col("end")))
+
+
+def near(spans: DataFrame, sites: DataFrame) -> DataFrame:
+    """spans with each site in their blocks of positions (of a chromosome, where both have chr), once. A span meets blocks of the least size of LADDER that is not below its
+    length, so it lies in one or two and what it is compared with grows with its own length, however dense the sites are.
+    A site is a row for each size; Spark broadcasts them where they are few."""
     by = place(spans, sites)[:-1]
     sites = sites if by else sites.drop("chr")
-    blocks = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))))
-    return blocks.join(sites.withColumn("block", F.floor(F.col("pos") / BLOCK)), [*by, "block"]).where(F.col("pos").between(F.col("start"), F.col("end"))).drop("block")
+    first, step, sizes = LADDER
+    spark = spans.sparkSession
+    # bits of the length, up to the next size; beyond the largest a span lies in more than two
+    bits = F.length(F.bin(F.greatest(F.col("end") - F.col("start"), F.lit((1 << first) - 1))))
+    size = F.least(F.ceil((bits - first) / step) * step + first, F.lit(first + step * (sizes - 1))).cast("int")
+    block = lambda c: F.call_function("shiftright", F.col(c).cast("long"), F.col("size"))
+    blocks = spans.withColumn("size", size).withColumn("block", F.explode(F.sequence(block("start"), block("end"))))
+    ladder = spark.range(sizes).select((F.col("id") * step + first).cast("int").alias("size"))
+    places = sites.crossJoin(F.broadcast(ladder)).withColumn("block", block("pos"))
+    return blocks.join(places, [*by, "size", "block"]).drop("size", "block")
 
 
 def sites_in_span(spans: DataFrame, sites: DataFrame) -> DataFrame:
@@ -66,25 +80,29 @@ def emitted(covered: DataFrame, calls: DataFrame) -> DataFrame:
 def base_calls(sam: DataFrame, variants: DataFrame, *keep: str) -> DataFrame:
     """pool, read_id, pos, allele, start and end of the alignment, and columns to keep, for every variant site in its span.
 
-    sam: pool, read_id, flag, pos, cigar, seq; variants: pos, alt, code; chr, where both have it, comes back too. Only sites are exploded, never bases: for each
-    site the operation that covers it is picked, the base (or inserted or deleted string) is cut out and looked up.
+    sam: pool, read_id, flag, pos, cigar, seq; variants: pos, alt, code; chr, where both have it, comes back too. Only sites are exploded, never bases: an
+    alignment is walked once, into a text with a letter for each reference position ('-' where it is deleted) and the few
+    insertions; for each site the letter (and what is inserted behind it) is cut out and looked up among the site's variants.
     """
-    rows = usable(sam).withColumn("walk", walked(cigar_ops(F.col("cigar")))).where(F.col("walk").isNotNull())
     at_ = place(sam, variants)
     keep = (*keep, *at_[:-1])
-    spans = rows.select("pool", "read_id", *keep, "walk", "seq", F.col("pos").alias("start"), (F.col("pos") + F.aggregate("walk", F.lit(0).cast("long"), lambda s, o: s + F.when(o["op"].isin("M", "D"), o["len"]).otherwise(0)) - 1).alias("end"))
-    at = inside(spans, variants.select(*at_).distinct())
+    rows = usable(sam).where(F.col("cigar").rlike(CIGAR)).withColumn("walk", walked(cigar_ops(F.col("cigar"))))
+    part = lambda o: F.substring(F.col("seq"), (o["query"] + 1).cast("int"), o["len"].cast("int"))
+    # a sequence that ends too early leaves blanks, which are no bases
+    letters = F.transform("walk", lambda o: F.when(o["op"] == "M", F.rpad(part(o), o["len"].cast("int"), F.lit(" "))).when(o["op"] == "D", F.repeat(F.lit("-"), o["len"].cast("int"))).otherwise(""))
+    # an insertion hangs on the base before it
+    inserts = F.transform(F.filter("walk", lambda o: o["op"] == "I"), lambda o: F.struct((o["ref"] - 1).alias("at"), part(o).alias("text")))
+    ref = F.aggregate("walk", F.lit(0).cast("long"), lambda s, o: s + F.when(o["op"].isin("M", "D"), o["len"]).otherwise(0))
+    # exploded, as what a generator yields is worked out once for an alignment and not again behind the join, for each site
+    once = F.explode(F.array(F.struct(F.array_join(letters, "").alias("letters"), inserts.alias("inserts"), (F.col("pos") + ref - 1).alias("end"))))
+    spans = rows.select("pool", "read_id", *keep, F.col("pos").alias("start"), once.alias("x")).select("pool", "read_id", *keep, "start", "x.end", "x.letters", "x.inserts")
+    sites = variants.groupBy(*at_).agg(F.collect_list(F.struct(F.col("alt").alias("seen"), F.col("code").cast("long").alias("code"))).alias("alts"))
     offset = F.col("pos") - F.col("start")
-    matched = F.get(F.filter("walk", lambda o: (o["op"] == "M") & (offset >= o["ref"]) & (offset < o["ref"] + o["len"])), 0)
-    # an insertion or deletion hangs on the base before it
-    inserted = F.filter("walk", lambda o: (o["op"] == "I") & (o["ref"] == offset + 1))
-    deleted = F.filter("walk", lambda o: (o["op"] == "D") & (o["ref"] == offset + 1))
-    base = F.substring(F.col("seq"), (matched["query"] + offset - matched["ref"] + 1).cast("int"), F.lit(1))
-    extra = F.when(F.size(inserted) > 0, F.substring(F.col("seq"), (F.get(inserted, 0)["query"] + 1).cast("int"), F.get(inserted, 0)["len"].cast("int"))).otherwise("")
-    seen = at.select("pool", "read_id", *keep, "start", "end", "pos", F.when(matched.isNotNull(), F.concat(base, extra)).alias("seen"), (F.size(deleted) > 0).alias("gap"))
-    codes = variants.select(*at_, F.col("alt").alias("seen"), F.col("code").cast("long").alias("code"))
-    hit = seen.join(codes, [*at_, "seen"], "left")
-    return hit.select("pool", "read_id", *keep, "start", "end", "pos", F.coalesce("code", F.lit(0).cast("long")).alias("allele"))
+    letter = F.substring("letters", (offset + 1).cast("int"), F.lit(1))
+    extra = F.when(F.size("inserts") > 0, F.coalesce(F.get(F.filter("inserts", lambda x: x["at"] == offset), 0)["text"], F.lit(""))).otherwise("")
+    seen = inside(spans, sites).select("pool", "read_id", *keep, "start", "end", "pos", F.when(letter != "-", F.concat(F.rtrim(letter), extra)).alias("seen"), "alts")
+    hit = seen.withColumn("hit", F.explode_outer(F.filter("alts", lambda a: a["seen"] == F.col("seen"))))
+    return hit.select("pool", "read_id", *keep, "start", "end", "pos", F.coalesce("hit.code", F.lit(0).cast("long")).alias("allele"))
 
 
 def numbered(sites: DataFrame) -> DataFrame:

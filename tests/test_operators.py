@@ -179,6 +179,24 @@ def test_range_join_by_blocks(spark):
     assert {tuple(r) for r in reads.sites_in_span(spans, sites).collect()} == {(0, 1, 5), (0, 1, 9_999), (0, 1, 20_500), (0, 2, 30_001)}
 
 
+def test_range_join_compares_spans_with_near_sites_only(spark):
+    """Sites at every position: what spans are compared with follows from their length, not from the number of sites."""
+    sites = spark.range(20_000).select(F.col("id").alias("pos"))
+    for add, most in ((0, 2 * 128), (5_000, 2 * 8_192), (19_000, 20_000)):
+        end = F.col("id") * 97 + F.col("id") % 20 + add
+        spans = spark.range(100).select(F.lit(0).cast("long").alias("pool"), F.col("id").alias("read_id"), (F.col("id") * 97).alias("start"), end.alias("end"))
+        assert reads.inside(spans, sites).count() == sum(min(97 * k + k % 20 + add, 19_999) - 97 * k + 1 for k in range(100))
+        assert reads.near(spans, sites).count() <= 100 * most
+
+
+def test_base_calls_with_several_alternatives(spark):
+    """Several variants of a site, insertions behind one base, a deletion, a sequence that ends early, and none at all."""
+    sam = spark.createDataFrame([(0, "a", 99, 10, "2M1I1M2D2M", "ACTGA"), (0, "b", 99, 12, "3M", "*"), (0, "c", 99, 11, "1M2I1I1M", "CGGTA")], "pool long, read_id string, flag int, pos long, cigar string, seq string")
+    variants = spark.createDataFrame([(11, "CT", 1), (11, "CGG", 2), (12, "G", 1), (12, "A", 2), (13, "-", 1), (15, "A", 1), (16, "A", 1)], "pos long, alt string, code int")
+    got = sorted((r.read_id, r.pos, r.allele) for r in reads.base_calls(sam, variants).collect())
+    assert got == [("a", 11, 1), ("a", 12, 1), ("a", 13, 0), ("a", 15, 1), ("a", 16, 0), ("b", 12, 0), ("b", 13, 0), ("c", 11, 2), ("c", 12, 2)]
+
+
 def test_matrix_with_trailing_tab(spark, tmp_path):
     (tmp_path / "f.txt").write_text("Pool_ID\t0\t1\t\n0;100;100;0:1\t0.5\t0.25\n0;200;210;0:1:2\t0\t1")
     out = files.site_frequencies(spark, str(tmp_path / "f.txt")).collect()
