@@ -70,6 +70,25 @@ def test_degrees_by_posting_lists(spark, islands, monkeypatch):
     assert len(got) == found.count()
 
 
+def test_degrees_by_subsets_and_by_posting_lists_agree(spark, islands, monkeypatch):
+    found = kept(frequency.fragments(islands))
+    got = []
+    for most in (0, 2, 63):  # posting lists alone, both, subsets wherever they are few
+        monkeypatch.setattr(colouring, "SHORT", most)
+        got.append({(r.pool, r.genotype): r.degree for r in colouring.degrees(found).collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) == found.count() and max(got[0].values()) > 0
+
+
+def test_subsets_grow_with_the_nodes(spark, capsys):
+    """Nodes do not meet each other's lists or blocks: one join, by what they hold."""
+    rows = [(0, f"{a}{b}", [(1 << a) | (1 << b)], [(1 << a) if (a + b) % 3 else 0]) for a in range(6) for b in range(a + 1, 7)]
+    nodes = spark.createDataFrame(rows, "pool long, genotype string, mask array<long>, bits array<long>")
+    conflict = lambda x, y: x[2][0] & y[2][0] & (x[3][0] ^ y[3][0])
+    assert {r.genotype: r.degree for r in colouring.degrees(nodes).collect()} == {x[1]: sum(bool(conflict(x, y)) for y in rows) for x in rows}
+    colouring.subset_conflicts(nodes).explain()
+    assert (plan := capsys.readouterr().out).count("Join") == 1 and "block" not in plan and "Python" not in plan
+
+
 def test_degrees_have_no_python(spark, islands, capsys):
     colouring.counted_conflicts(kept(frequency.fragments(islands))).explain()
     assert "Python" not in (plan := capsys.readouterr().out) and "Pandas" not in plan
