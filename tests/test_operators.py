@@ -1,6 +1,7 @@
 """Operators on small inputs with known answers, planted truth, text formats, streaming."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -86,6 +87,19 @@ def test_a_region_without_em_is_regressed(spark, monkeypatch):
         assert all(abs(got[h[6 * k : 6 * k + 6]] - share) < 0.02 for h, share in zip(names, (0.3, 0.3, 0.4), strict=True))
 
 
+def test_colouring_memory_grows_with_nodes_and_ranges():
+    """No bits of nodes by ranges, and no object for each range of a node."""
+    r = np.random.default_rng(3)
+    nodes = np.unique([(m, int(r.integers(0, 4096)) & m) for m in r.integers(1, 4096, 1_500).tolist()], axis=0)
+    copies = (1 + r.pareto(1.0, len(nodes)) * 10).astype(np.int64).clip(1, 32_877)
+    tracemalloc.start()
+    found = colouring.coloured_ranges(nodes[:, :1].copy(), nodes[:, 1:].copy(), copies)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ranges = sum(len(a) for a, _ in found)
+    assert sum(int(size.sum()) for _, size in found) == copies.sum() and peak < 48 * ranges + 1_000 * len(nodes)
+
+
 def test_colouring_is_valid_and_counts_copies():
     r = np.random.default_rng(1)
     mask, bits = r.integers(1, 64, (60, 2)), r.integers(0, 64, (60, 2))
