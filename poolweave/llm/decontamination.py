@@ -39,6 +39,8 @@ MIN_SCORE = 0.35
 MARKS = "\"'`.,;:!?()[]{}<>*#%&$|-_=+/\\~^«»„“”‘’…–—"
 #: Bits of the filter of benchmark words; entries of each of the two filters of seeds; salts of a seed.
 WORD_BITS, SEED_BITS, SALTS = 24, 22, 16
+#: Pieces of a filter that are added up each by a task of its own.
+SLICES = 64
 CACHE_WORDS = 500_000
 
 
@@ -109,19 +111,28 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def merged_filters(parts: DataFrame, join: np.ufunc) -> np.ndarray:
-    """One array of bytes out of many (column f, of one fixed size): eight of them at most reach the driver."""
+def slices(filled: np.ndarray) -> pa.RecordBatch:
+    """An array of bytes as the SLICES pieces of it that hold anything: columns slice and f."""
+    each = filled.reshape(SLICES, -1)
+    some = np.flatnonzero(each.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(some), pa.array([each[k].tobytes() for k in some.tolist()], pa.binary())], names=["slice", "f"])
+
+
+def merged_filters(parts: DataFrame, join: np.ufunc, size: int) -> np.ndarray:
+    """One array of size bytes out of many that came in slices: a task adds up one slice, and each slice reaches the driver
+    once, so `size` bytes at most, into however many parts the benchmark was cut."""
 
     def add(rows: pa.Table) -> pa.Table:
         out = None
         for x in rows.column("f"):
             own = np.frombuffer(x.as_py(), np.uint8)
             out = own.copy() if out is None else join(out, own)
-        return pa.table({"f": pa.array([] if out is None else [out.tobytes()], pa.binary())})
+        return pa.table({"slice": rows.column("slice")[:1], "f": pa.array([out.tobytes()], pa.binary())})
 
-    rows = parts.withColumn("salt", F.spark_partition_id() % 8).groupBy("salt").applyInArrow(add, "f binary").collect()
-    found = [np.frombuffer(bytes(r["f"]), np.uint8) for r in rows]
-    return join.reduce(found) if found else np.empty(0, np.uint8)
+    found = np.zeros((SLICES, size // SLICES), np.uint8)
+    for r in parts.groupBy("slice").applyInArrow(add, "slice long, f binary").collect():
+        found[r["slice"]] = np.frombuffer(r["f"], np.uint8)
+    return found.ravel()
 
 
 def benchmark_items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
@@ -149,10 +160,10 @@ def word_counts(texts: DataFrame, items: DataFrame) -> DataFrame:
         out = np.zeros(8 * size, bool)
         for b in batches:
             out[b.column(0).flatten().to_numpy().view(np.uint64) >> shift] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], names=["f"])
+        yield slices(np.packbits(out))
 
-    found = merged_filters(items.select("words").mapInArrow(bits, "f binary"), np.bitwise_or)
-    held = texts.sparkSession.sparkContext.broadcast(found if len(found) else np.zeros(size, np.uint8))  # 2 MB, whatever the benchmark
+    found = merged_filters(items.select("words").mapInArrow(bits, "slice long, f binary"), np.bitwise_or, size)
+    held = texts.sparkSession.sparkContext.broadcast(found)  # 2 MB, whatever the benchmark
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, words, total = np.unpackbits(held.value).astype(bool), Words(), 0
@@ -208,10 +219,9 @@ def seed_filter(items: DataFrame) -> np.ndarray:
             for codes, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for at in slots(np.array(codes, np.int64).view(np.uint64)):
                     out[at] = np.maximum(out[at], len(words).bit_length())
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["f"])
+        yield slices(out)
 
-    found = merged_filters(items.select("codes", "words").mapInArrow(run, "f binary"), np.maximum)
-    return found if len(found) else np.zeros(2 << SEED_BITS, np.uint8)
+    return merged_filters(items.select("codes", "words").mapInArrow(run, "slice long, f binary"), np.maximum, 2 << SEED_BITS)
 
 
 PASSAGES = "passage long, row long, key array<long>, begin long, words array<long>, codes array<long>, at array<long>"

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from llm_samples import edited, prose
 
@@ -294,3 +295,25 @@ def test_deep_nesting_is_linear():
 def test_extra_columns_of_the_results_names(spark):
     rows = spark.createDataFrame([(1, "u", "<article><p>A short text of some words.</p></article>", "clash", 7)], "page_id long, url string, html string, text string, n_chars int")
     assert [tuple(r) for r in html_text.extract(rows).collect()] == [(1, "u", "A short text of some words.", 27)]
+
+
+def test_filters_come_to_the_driver_once(spark, monkeypatch):
+    """A filter made in many parts is added up slice by slice on Spark: what reaches the driver is one filter."""
+    size, seen = 1 << 12, []
+    kind = type(spark.range(1))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: (seen.extend(rows := collect(self)), rows)[1])
+
+    def part(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                out = np.zeros(size, np.uint8)
+                out[[x, size - 1]] = x + 1, 7
+                yield decontamination.slices(out)
+
+    found = decontamination.merged_filters(spark.range(0, 40, 1, 20).mapInArrow(part, "slice long, f binary"), np.maximum, size)
+    want = np.zeros(size, np.uint8)
+    want[:40], want[-1] = np.arange(1, 41), 7
+    assert (found == want).all() and sum(len(r["f"]) for r in seen) == 2 * size // decontamination.SLICES
+    none = spark.range(0).mapInArrow(part, "slice long, f binary")
+    assert not decontamination.merged_filters(none, np.maximum, size).any()
