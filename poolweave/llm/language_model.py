@@ -8,7 +8,8 @@ gathered on the driver and sent to every task. Clustering goes from coarse to fi
 start as a class each; every sweep takes in GROWTH times as many words, down to those seen once; then sweeps go on over
 all words until a sweep adds less than GAIN to what a class says about the next one (nats a token: the likelihood, but for
 a constant); it is bounded, so this ends without a limit on sweeps, and a sweep that would lower it is not taken. In a
-sweep, half of the words that have a class may move, so that words which attract each other do not change places for ever.
+sweep, half of the words that have a class may move, so that words which attract each other do not change places for ever;
+of the other half, chunks send the class alone, as what stands beside them decides nothing.
 
 The probability of a word is that of its class after the class before, interpolated with the class alone, times that of
 the word in its class, smoothed as the base model is: each class keeps DELTA for a word it has not seen. An unknown
@@ -24,7 +25,7 @@ remainder is undefined, so they train like others; extra columns are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,19 +135,26 @@ def class_pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.bincount(left[ok] * CLASSES + right[ok], minlength=CLASSES * CLASSES)
 
 
-def neighbours(c: Chunk, cls: np.ndarray, least: int, low: int) -> pa.Table:
-    """SENT: for each word of `least` occurrences how often which class stands beside it, and its own class; and, in block
-    -1, the chunk's class bigrams."""
+def may_move(words: np.ndarray, turn: int) -> np.ndarray:
+    """Which words that have a class may move in this sweep. words: hashes less WIDTH bits."""
+    return ((words >> np.uint64(13)) ^ np.uint64(turn)) & np.uint64(1) == 0
+
+
+def neighbours(c: Chunk, cls: np.ndarray, least: int, low: int, turn: int) -> pa.Table:
+    """SENT: for each word of `least` occurrences its own class, and of those that may move (or have none) how often which
+    class stands beside them."""
     some, words, at = c.words(least)
+    state = np.zeros(len(words), np.int64)
+    state[at] = cls[some] + 1
+    asks = may_move(words, turn) | (state == 0)
     place = np.full(len(c.keys), -1, np.int64)
-    place[some] = at
+    place[some] = np.where(asks[at], at, -1)
     x, before = c.training()
     keys = []
     for word, other, side in ((x, before, 0), (before, x, CLASSES)):
-        ok = (place[word] >= 0) & (cls[other] >= 0)
-        keys.append(place[word[ok]] * SLOTS + side + cls[other[ok]])
-    state = np.zeros(len(words), np.int64)
-    state[at] = cls[some] + 1
+        own, beside = place[word], cls[other]
+        ok = (own >= 0) & (beside >= 0)
+        keys.append(own[ok] * SLOTS + side + beside[ok])
     keys.append(np.arange(len(words)) * SLOTS + SIDES + state)
     every = np.concatenate(keys)
     if len(words) * SLOTS < 1 << 24:
@@ -155,9 +163,7 @@ def neighbours(c: Chunk, cls: np.ndarray, least: int, low: int) -> pa.Table:
         counts = counts[pairs]
     else:
         pairs, counts = np.unique(every, return_counts=True)
-    sent = message(c.chunk, (words[pairs // SLOTS] << WIDTH) | (pairs % SLOTS).astype(np.uint64), counts, low)
-    bigrams = pack(class_pairs(cls[before], cls[x]))
-    return pa.concat_tables([sent, pa.table({"block": pa.array([-1], pa.int64()), "chunk": pa.array([c.chunk], pa.int64()), "n": pa.array([CLASSES * CLASSES], pa.int64()), "keys": pa.array([b""], pa.binary()), "counts": pa.array([bigrams], pa.binary()), "checks": pa.array([b""], pa.binary())})])
+    return message(c.chunk, (words[pairs // SLOTS] << WIDTH) | (pairs % SLOTS).astype(np.uint64), counts, low)
 
 
 def added_up(vectors: DataFrame, size: int) -> np.ndarray:
@@ -174,38 +180,40 @@ def added_up(vectors: DataFrame, size: int) -> np.ndarray:
 
 
 def chosen(keys: np.ndarray, counts: np.ndarray, both: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words of a block: class before (-1: none) and after, tokens, and which of keys tells a word's present class.
+    """Of the words of a block (keys are sorted): class before (-1: none) and after, tokens that tell of it, and which of keys
+    tells a word's present class.
 
     A move gains, to first order, the sum over neighbours of the logarithm of class pairs against what the two classes
     would give by chance; its own tokens do not speak for the class that a word is in.
     """
     word, slot = keys >> WIDTH, (keys & np.uint64((1 << int(WIDTH)) - 1)).astype(np.int64)
     state = slot >= SIDES
-    found, at = np.unique(word, return_inverse=True)
+    new_word = np.ones(len(word), bool)
+    new_word[1:] = word[1:] != word[:-1]
+    found, at = word[new_word], np.cumsum(new_word) - 1
     old = np.full(len(found), -1, np.int64)
     old[at[state]] = slot[state] - SIDES - 1
     from_, to = both.sum(axis=1), both.sum(axis=0)
     log, log_from, log_to = np.log(both + DELTA), np.log(from_ + DELTA * CLASSES), np.log(to + DELTA * CLASSES)
     new, mass = old.copy(), np.zeros(len(found), np.int64)
-    ends = np.searchsorted(at, np.arange(len(found) + 1))
-    for a in range(0, len(found), 4096):
-        b = min(a + 4096, len(found))
-        part = slice(ends[a], ends[b])
-        seen = np.zeros((b - a, SLOTS))
-        seen[at[part] - a, slot[part]] = counts[part]
-        left, right = seen[:, :CLASSES], seen[:, CLASSES:SIDES]
+    may = (old < 0) | may_move(found, turn)
+    which, some = np.flatnonzero(may), may[at] & ~state
+    row, slot, counts = (np.cumsum(may) - 1)[at[some]], slot[some], counts[some]
+    for a in range(0, len(which), 4096):
+        own = which[a : a + 4096]
+        part = slice(*np.searchsorted(row, [a, a + len(own)]))
+        seen = np.zeros((len(own), SIDES))
+        seen[row[part] - a, slot[part]] = counts[part]
+        left, right = seen[:, :CLASSES], seen[:, CLASSES:]
         n_left, n_right = left.sum(axis=1), right.sum(axis=1)
         gain = right @ log.T + left @ log - np.outer(n_right, log_from) - np.outer(n_left, log_to)
         gain[:, from_ + to == 0] = -np.inf
-        k = np.flatnonzero(old[a:b] >= 0)
-        o, r, l = old[a + k], right[k], left[k]  # noqa: E741
+        k = np.flatnonzero(old[own] >= 0)
+        o, r, l = old[own[k]], right[k], left[k]  # noqa: E741
         less = lambda x, y: np.log(np.maximum(x - y, 0) + DELTA)
         gain[k, o] = (r * less(both[o], r)).sum(axis=1) + (l * less(both[:, o].T, l)).sum(axis=1)
         gain[k, o] -= n_right[k] * np.log(np.maximum(from_[o] - n_right[k], 0) + DELTA * CLASSES) + n_left[k] * np.log(np.maximum(to[o] - n_left[k], 0) + DELTA * CLASSES)
-        own = old[a:b]
-        may = (own < 0) | (((found[a:b] >> np.uint64(13)) ^ np.uint64(turn)) & np.uint64(1) == 0)
-        new[a:b] = np.where(may, gain.argmax(axis=1), own)
-        mass[a:b] = n_left
+        new[own], mass[own] = gain.argmax(axis=1), n_left
     return old, new, mass, state
 
 
@@ -320,33 +328,36 @@ def counted_chunks(rows: DataFrame) -> tuple[DataFrame, Vocabulary, int]:
     return own.drop("counts").join(counts, "chunk"), vocabulary(sums), n
 
 
-def sweep(chunks: DataFrame, n: int, before: DataFrame | None, least_before: int, least: int, turn: int, anchors: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """One exchange sweep: classes as answers to the chunks, and [tokens moved, tokens, mass of each class, words of each]."""
-    low = low_bits(n, 64)
+def sweep(chunks: DataFrame, n: int, before: DataFrame | None, least_before: int, least: int, turn: int, anchors: np.ndarray, both: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """One exchange sweep: classes as answers to the chunks, and how many words each has. both: bigrams of the classes before."""
+    low, both = low_bits(n, 64), both.reshape(CLASSES, CLASSES).astype(float)
+
+    def final(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, bytes]:
+        _, new, _, state = chosen(keys, counts, both, turn)
+        out = np.zeros(len(keys), np.uint64)
+        out[state] = new + 1
+        return out, pack(np.bincount(new, minlength=CLASSES))
+
+    with scratch(chunks.sparkSession) as work:
+        sent = classed(chunks, before, least_before, anchors, lambda c, cls: neighbours(c, cls, least, low, turn), SENT)
+        out = work.result(totals(sent, n, 64, final=final, sparse=True), "classes")
+    return out.where("chunk >= 0"), added_up(out.where("chunk = -1").select(F.col("answer").alias("v"), F.col("block").alias("part")), CLASSES)
+
+
+def classed(chunks: DataFrame, found: DataFrame | None, least: int, anchors: np.ndarray, make: Callable[[Chunk, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """What make makes of each chunk and its words' classes: those of the answers found, or of anchors where there are none yet."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 c = Chunk(r)
-                yield from neighbours(c, c.anchored(anchors), least, low).to_batches()
+                yield from make(c, c.anchored(anchors)).to_batches()
 
     def later(left: pa.Table, right: pa.Table) -> pa.Table:
         c = Chunk(left.to_pylist()[0])
-        return neighbours(c, c.classes(right, least_before), least, low)
+        return make(c, c.classes(right, least))
 
-    with scratch(chunks.sparkSession) as work:
-        made = chunks.mapInArrow(first, SENT) if before is None else chunks.groupBy("chunk").cogroup(before.groupBy("chunk")).applyInArrow(later, SENT)
-        sent = table(made, "neighbours")
-        both = added_up(sent.where("block = -1").select(F.col("counts").alias("v"), F.col("chunk").alias("part")), CLASSES * CLASSES).reshape(CLASSES, CLASSES).astype(float)
-
-        def final(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, bytes]:
-            old, new, mass, state = chosen(keys, counts, both, turn)
-            out = np.zeros(len(keys), np.uint64)
-            out[state] = new + 1
-            return out, pack(np.concatenate([[mass[new != old].sum(), mass.sum()], np.bincount(new, mass, CLASSES), np.bincount(new, minlength=CLASSES)]))
-
-        out = work.result(totals(sent.where("block >= 0"), n, 64, final=final), "classes")
-    return out.where("chunk >= 0"), added_up(out.where("chunk = -1").select(F.col("answer").alias("v"), F.col("block").alias("part")), 2 + 2 * CLASSES)
+    return chunks.mapInArrow(first, schema) if found is None else chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(later, schema)
 
 
 def information(both: np.ndarray) -> float:
@@ -357,32 +368,33 @@ def information(both: np.ndarray) -> float:
     return (ends(pairs) - ends(pairs.sum(axis=0)) - ends(pairs.sum(axis=1)) + ends(total)) / max(1.0, total)
 
 
-def bigrams(chunks: DataFrame, found: DataFrame) -> np.ndarray:
+def bigrams(chunks: DataFrame, found: DataFrame | None, least: int, anchors: np.ndarray) -> np.ndarray:
     """How often class follows class, in all training texts."""
 
-    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = Chunk(left.to_pylist()[0])
-        cls, (x, before) = c.classes(right, 1), c.training()
+    def pairs(c: Chunk, cls: np.ndarray) -> pa.Table:
+        x, before = c.training()
         return pa.table({"v": pa.array([pack(class_pairs(cls[before], cls[x]))], pa.binary()), "part": pa.array([c.chunk], pa.int64())})
 
-    return added_up(chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(pairs, "v binary, part long"), CLASSES * CLASSES)
+    return added_up(classed(chunks, found, least, anchors, pairs, "v binary, part long"), CLASSES * CLASSES)
 
 
-def clustered(chunks: DataFrame, n: int, words: Vocabulary, gain: float = GAIN) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Answers with every training word's class, the mass and number of words of each class, and the class bigrams."""
-    found, sums, before, turn = None, None, 1, 0
+def clustered(chunks: DataFrame, n: int, words: Vocabulary, gain: float = GAIN) -> tuple[DataFrame, np.ndarray]:
+    """Answers with every training word's class, and the mass and number of words of each class."""
+    found, kinds, before, turn = None, None, 1, 0
+    both = bigrams(chunks, None, 1, words.anchors)
     for least in words.steps():
-        found, sums = sweep(chunks, n, found, before, least, turn, words.anchors)
+        found, kinds = sweep(chunks, n, found, before, least, turn, words.anchors, both)
+        both = bigrams(chunks, found, least, words.anchors)
         before, turn = least, turn + 1
-    both, rises = bigrams(chunks, found), True
+    rises = True
     while rises:
-        again, sums_again = sweep(chunks, n, found, 1, 1, turn, words.anchors)
-        both_again = bigrams(chunks, again)
+        again, kinds_again = sweep(chunks, n, found, 1, 1, turn, words.anchors, both)
+        both_again = bigrams(chunks, again, 1, words.anchors)
         more = information(both_again) - information(both)
         rises, turn = more >= gain, turn + 1
         if more > 0:
-            found, sums, both = again, sums_again, both_again
-    return found, sums[2:], both
+            found, kinds, both = again, kinds_again, both_again
+    return found, np.concatenate([both.reshape(CLASSES, CLASSES).sum(axis=0), kinds])  # each token follows one that has a class
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -392,7 +404,8 @@ def score(docs: DataFrame) -> DataFrame:
     with scratch(spark) as work:
         chunks, words, n = counted_chunks(rows)
         if words.words:
-            found, sums, both = clustered(chunks, n, words)
+            found, sums = clustered(chunks, n, words)
+            both = bigrams(chunks, found, 1, words.anchors)
         else:
             found, sums = spark.createDataFrame([], "chunk long, block long, n long, answer binary"), np.zeros(2 * CLASSES, np.int64)
             both = np.zeros(CLASSES * CLASSES, np.int64)

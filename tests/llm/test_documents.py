@@ -252,6 +252,28 @@ def test_no_move_gains_more_than_the_one_chosen():
             assert b == was
 
 
+def test_words_that_may_not_move_send_their_class_alone():
+    """What a chunk sends in a sweep, against counts in plain loops: neighbours only of words whose turn it is or without a class."""
+    lm, r = language_model, np.random.default_rng(8)
+    texts = [" ".join(f"w{int(k)}" for k in r.integers(0, 60, 40)) for _ in range(20)]
+    rows = lm.pa.table({"doc_id": list(range(20)), "text": texts, "held_out": [False] * 20, "chunk": [0] * 20})
+    c = lm.Chunk(lm.encoded(rows).to_pylist()[0])
+    cls = r.integers(-1, lm.CLASSES, len(c.keys))
+    x, before = (v.tolist() for v in c.training())
+    for turn in (0, 1):
+        want = Counter()
+        for k, key in enumerate(c.keys.tolist()):
+            want[key >> 8, 2 * lm.CLASSES + int(cls[k]) + 1] += 1
+        asks = [bool(lm.may_move(c.keys >> lm.WIDTH, turn)[k]) or cls[k] < 0 for k in range(len(c.keys))]
+        for word, other, side in ((x, before, 0), (before, x, lm.CLASSES)):
+            want.update((int(c.keys[a]) >> 8, side + int(cls[b])) for a, b in zip(word, other, strict=True) if asks[a] and cls[b] >= 0)
+        low, found = chunks.low_bits(4, 64), {}
+        for m in lm.neighbours(c, cls, 1, low, turn).to_pylist():
+            keys = (m["block"] << low) + np.cumsum(chunks.unpack(m["keys"], m["n"]).astype(object))
+            found.update(((int(k) >> 8, int(k) & 255), int(v)) for k, v in zip(keys, chunks.unpack(m["counts"], m["n"]), strict=True))
+        assert found == dict(want) and not all(asks)
+
+
 def test_held_out_text_is_likelier_than_by_the_base(spark):
     """Words alternate between two kinds: classes tell which kind comes next, also behind words seen a few times."""
     r = np.random.default_rng(2)
@@ -358,6 +380,21 @@ def test_encoder_equals_the_library():
     assert coder.encode(HOSTILE) == coder.ids(HOSTILE)
 
 
+def test_pieces_that_words_share_are_merged_once():
+    coder, calls = tokens.Encoder(tokens.default_path()), []
+    inner = coder.model
+
+    class Counting:
+        def tokenize(self, data):
+            calls.append(data)
+            return inner.tokenize(data)
+
+    coder.model = Counting()
+    text = " ".join(["start", *(f"unheard{m}" for m in ("", ",", ".", "...", "!!", ".\nUnheard", "\nUnheard;"))])
+    assert coder.encode([text]) == coder.ids([text])
+    assert len(calls) == len(set(calls)) and sum("unheard" in x for x in calls) == 1
+
+
 def reference_ids(rows, end):
     coder = tokens.Encoder(tokens.default_path())
     return [(k, np.append(np.frombuffer(coder.ids([t or ""])[0], coder.type), end).astype("<u4")) for k, t in rows]
