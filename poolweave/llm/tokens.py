@@ -9,7 +9,6 @@ one case where that does not hold: such texts are encoded whole. `tests/llm` com
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -19,8 +18,11 @@ from .shared import utf8
 
 #: Entries of the word cache of one Python worker; beyond, it starts afresh.
 CACHE_WORDS = 900_000
+#: Entries of its cache of pieces of words not met yet, many of which differ in their marks only.
+CACHE_PIECES = 200_000
 TYPE = np.dtype("<u2")
-_PLAIN = re.compile(r" ?([^\W\d_]+)[!-&(-/:-@\[-`{-~]*").fullmatch
+#: ASCII marks; an apostrophe may begin a piece of letters.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 def _letters() -> dict[int, int]:
@@ -63,8 +65,9 @@ class Encoder:
 
         self.inner = Tokenizer.from_file(path)
         self.type = TYPE if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.model, self.code = self.inner.model, "H" if self.type.itemsize == 2 else "I"
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.inner.model
+        self.bytes = [self.type.type(i).tobytes() for i in range(self.inner.get_vocab_size())]
+        self.pieces = Words(self.piece)
         self.seen = Words(self.word)
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -72,18 +75,22 @@ class Encoder:
 
     def piece(self, text: str) -> bytes:
         """Of a text that the split leaves in one piece."""
-        if (got := self.pieces.get(text)) is None:
-            data = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(LETTERS)
-            got = array(self.code, [t.id for t in self.model.tokenize(data)]).tobytes()
-            if len(text) < 4:
-                self.pieces[text] = got
-        return got
+        data = text.replace(" ", "\u0120") if text.isascii() and text != "\n" else text.encode().decode("latin-1").translate(LETTERS)
+        return b"".join([self.bytes[t.id] for t in self.model.tokenize(data)])
+
+    def plain(self, text: str) -> bytes | None:
+        """Letters (a space may lead them), and ASCII marks after them, are a piece each and need no splitting."""
+        letters = text.rstrip(_MARKS)
+        if not (letters[1:] if letters[:1] == " " else letters).isalpha():
+            return None
+        return self.pieces[letters] + self.pieces[text[len(letters) :]] if len(letters) < len(text) else self.pieces[letters]
 
     def word(self, text: str) -> bytes:
-        """Of one word with its leading space. Letters, and ASCII marks after them, are a piece each and need no splitting."""
-        if (m := _PLAIN(text)) and text[m.start(1) : m.end(1)].isalpha():
-            cut = m.end(1)
-            return self.piece(text[:cut]) + (self.piece(text[cut:]) if cut < len(text) else b"")
+        """Of one word with its leading space. A line break between two that are plain is a piece, too."""
+        if (got := self.plain(text)) is not None:
+            return got
+        if "\n" in text and None not in (parts := [self.plain(x) for x in text.split("\n")]):
+            return self.pieces["\n"].join(parts)
         return self.ids([text])[0]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -91,6 +98,8 @@ class Encoder:
         texts = ["" if t is None else t if t.isascii() else utf8(t).decode("utf-8", "replace") for t in texts]
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
         get, join, out = self.seen.__getitem__, b"".join, []
         for t in texts:
             if "\0" in t or "<|" in t or any(x in t for x in _PAIRS) and _ODD.search(t):
