@@ -139,6 +139,34 @@ def test_an_item_in_a_third_of_all_documents(spark):
     assert kept.columns == docs.columns and kept.count() == 200
 
 
+def test_texts_are_read_and_split_once(spark):
+    """Both passes after the first go by its words: rows of the corpus are made once."""
+    item, seen = prose(7000, 40, 10**6), spark.sparkContext.accumulator(0)
+
+    texts = [None if i % 9 == 0 else f"{prose(7100 + i, 30, 10**6)} -- {item if i % 3 == 0 else ''} " for i in range(60)]
+
+    def rows(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield decontamination.pa.RecordBatch.from_arrays([b.column(0), decontamination.pa.array([texts[i] for i in b.column(0).to_pylist()])], names=["doc_id", "text"])
+
+    docs = spark.range(0, 60, 1, 2).mapInArrow(rows, "doc_id long, text string")
+    found = decontamination.matches(docs, spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == {i for i in range(60) if i % 3 == 0 and i % 9} and seen.value == 60
+
+
+def test_coded_texts_are_their_words():
+    import numpy as np
+
+    texts = [None, "", " -- !! ", "Dog dog, DOG cat", *(prose(k, 50, 30).replace(" ", " ... " if k % 2 else " ") for k in range(9)), "\u00a0\u0130x\u03a3\x1cy ..."]
+    words, places, sizes = decontamination.coded_texts(texts, decontamination.Words())
+    each = np.split(words[places], np.cumsum(sizes)[:-1])
+    assert len(sizes) == len(texts) and [x.tolist() for x in each] == [decontamination.Words().of(t).tolist() for t in texts]
+    for none in ([], [None, "-"]):
+        words, places, sizes = decontamination.coded_texts(none, decontamination.Words())
+        assert len(places) == 0 and sizes.tolist() == [0] * len(none)
+
+
 def test_alignment_against_plain_table():
     import numpy as np
 
