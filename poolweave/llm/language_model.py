@@ -2,7 +2,7 @@
 
 Every word of the training part gets a class of its own by exchange: a word moves to the class that the classes beside
 it make most likely, with its own counts taken out of its present class. A sweep is one pass over the corpus: chunks
-count for each of their words how often which class stands beside it, counts of a word meet in one block, the block
+count how often class follows class, and for each of their words how often which class stands beside it, counts of a word meet in one block, the block
 chooses, and the word's class goes back to the chunks that hold it. Class bigrams, of fixed size, are all that is
 gathered on the driver and sent to every task. Clustering goes from coarse to fine: the CLASSES most frequent words
 start as a class each; every sweep takes in GROWTH times as many words, down to those seen once; then sweeps go on over
@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import SENT, answers, bucketed, dealt, low_bits, message, pack, totals, unpack
-from .shared import lower_ascii, read, scratch, table, utf8
+from .shared import Scratch, lower_ascii, read, scratch, table, utf8
 
 FOLDS = 10
 DELTA = 0.1
@@ -107,6 +108,14 @@ class Chunk:
         own = np.repeat(~self.held, self.sizes)
         return self.places[own], self.lefts()[own]
 
+    def trained(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a value for each of the chunk's words: those of the training texts' words, and of the words before them."""
+        own, x = np.repeat(~self.held, self.sizes), values[self.places]
+        before = np.empty_like(x)
+        before[1:] = x[:-1]
+        before[np.cumsum(self.sizes) - self.sizes] = values[np.searchsorted(self.keys, END_KEY)]
+        return x[own], before[own]
+
     def words(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which words occur `least` times in the corpus, their hashes (sorted, less WIDTH bits), and the place of each."""
         some = self.counts >= least
@@ -132,7 +141,7 @@ class Chunk:
 def class_pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How often class follows class, as one vector; words without a class count nowhere."""
     ok = (left >= 0) & (right >= 0)
-    return np.bincount(left[ok] * CLASSES + right[ok], minlength=CLASSES * CLASSES)
+    return np.bincount(left[ok].astype(np.int64) * CLASSES + right[ok], minlength=CLASSES * CLASSES)
 
 
 def may_move(words: np.ndarray, turn: int) -> np.ndarray:
@@ -147,15 +156,15 @@ def neighbours(c: Chunk, cls: np.ndarray, least: int, low: int, turn: int) -> pa
     state = np.zeros(len(words), np.int64)
     state[at] = cls[some] + 1
     asks = may_move(words, turn) | (state == 0)
-    place = np.full(len(c.keys), -1, np.int64)
-    place[some] = np.where(asks[at], at, -1)
-    x, before = c.training()
+    kind = np.int32 if len(words) * SLOTS < 1 << 31 else np.int64
+    place = np.full(len(c.keys), -1, kind)
+    place[some] = np.where(asks[at], at * SLOTS, -1)
+    (x, before), (class_x, class_before) = c.trained(place), c.trained(cls.astype(np.int8))
     keys = []
-    for word, other, side in ((x, before, 0), (before, x, CLASSES)):
-        own, beside = place[word], cls[other]
+    for own, beside, side in ((x, class_before, 0), (before, class_x, CLASSES)):
         ok = (own >= 0) & (beside >= 0)
-        keys.append(own[ok] * SLOTS + side + beside[ok])
-    keys.append(np.arange(len(words)) * SLOTS + SIDES + state)
+        keys.append(own[ok] + beside[ok] + kind(side))
+    keys.append((np.arange(len(words)) * SLOTS + SIDES + state).astype(kind))
     every = np.concatenate(keys)
     if len(words) * SLOTS < 1 << 24:
         counts = np.bincount(every, minlength=0)
@@ -163,7 +172,20 @@ def neighbours(c: Chunk, cls: np.ndarray, least: int, low: int, turn: int) -> pa
         counts = counts[pairs]
     else:
         pairs, counts = np.unique(every, return_counts=True)
-    return message(c.chunk, (words[pairs // SLOTS] << WIDTH) | (pairs % SLOTS).astype(np.uint64), counts, low)
+    word, slot = np.divmod(pairs, kind(SLOTS))
+    return message(c.chunk, (words[word] << WIDTH) | slot.astype(np.uint64), counts, low)
+
+
+#: What a chunk sends in a sweep, and in a row of its own how often class follows class in it.
+ASKED = f"{SENT}, bigrams binary"
+
+
+def asked(c: Chunk, cls: np.ndarray, least: int, low: int, turn: int) -> pa.Table:
+    """ASKED of a chunk, by the classes before the sweep."""
+    sent, (right, left) = neighbours(c, cls, least, low, turn), c.trained(cls.astype(np.int8))
+    sent = sent.append_column("bigrams", pa.nulls(sent.num_rows, pa.binary()))
+    own = {"block": -1, "chunk": c.chunk, "n": 0, "keys": b"", "counts": b"", "checks": b"", "bigrams": pack(class_pairs(left, right))}
+    return pa.concat_tables([sent, pa.Table.from_pylist([own], schema=sent.schema)])
 
 
 def added_up(vectors: DataFrame, size: int) -> np.ndarray:
@@ -311,7 +333,7 @@ def remainder(doc_id: Column) -> Column:
 def counted_chunks(rows: DataFrame) -> tuple[DataFrame, Vocabulary, int]:
     """The corpus as CHUNKS with counts over the corpus (two tables bucketed alike), its vocabulary, and the number of parts."""
     found, n, buckets = dealt(rows)
-    own = bucketed(found.repartition(buckets, "chunk").groupBy("chunk").applyInArrow(encoded, CHUNKS), buckets)
+    own = bucketed(found.repartition(buckets, "chunk").groupBy("chunk").applyInArrow(encoded, CHUNKS), buckets, there=True)
     low = low_bits(n, 64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,9 +350,10 @@ def counted_chunks(rows: DataFrame) -> tuple[DataFrame, Vocabulary, int]:
     return own.drop("counts").join(counts, "chunk"), vocabulary(sums), n
 
 
-def sweep(chunks: DataFrame, n: int, before: DataFrame | None, least_before: int, least: int, turn: int, anchors: np.ndarray, both: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """One exchange sweep: classes as answers to the chunks, and how many words each has. both: bigrams of the classes before."""
-    low, both = low_bits(n, 64), both.reshape(CLASSES, CLASSES).astype(float)
+def sweep(work: Scratch, sent: DataFrame, n: int, turn: int, both: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """One exchange sweep: classes as answers to what the chunks sent (SENT), as a result of work, and how many words each has.
+    both: bigrams of the classes before."""
+    both = both.reshape(CLASSES, CLASSES).astype(float)
 
     def final(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, bytes]:
         _, new, _, state = chosen(keys, counts, both, turn)
@@ -338,9 +361,7 @@ def sweep(chunks: DataFrame, n: int, before: DataFrame | None, least_before: int
         out[state] = new + 1
         return out, pack(np.bincount(new, minlength=CLASSES))
 
-    with scratch(chunks.sparkSession) as work:
-        sent = classed(chunks, before, least_before, anchors, lambda c, cls: neighbours(c, cls, least, low, turn), SENT)
-        out = work.result(totals(sent, n, 64, final=final, sparse=True), "classes")
+    out = work.result(totals(sent, n, 64, final=final, sparse=True), "classes")
     return out.where("chunk >= 0"), added_up(out.where("chunk = -1").select(F.col("answer").alias("v"), F.col("block").alias("part")), CLASSES)
 
 
@@ -372,28 +393,34 @@ def bigrams(chunks: DataFrame, found: DataFrame | None, least: int, anchors: np.
     """How often class follows class, in all training texts."""
 
     def pairs(c: Chunk, cls: np.ndarray) -> pa.Table:
-        x, before = c.training()
-        return pa.table({"v": pa.array([pack(class_pairs(cls[before], cls[x]))], pa.binary()), "part": pa.array([c.chunk], pa.int64())})
+        right, left = c.trained(cls.astype(np.int8))
+        return pa.table({"v": pa.array([pack(class_pairs(left, right))], pa.binary()), "part": pa.array([c.chunk], pa.int64())})
 
     return added_up(classed(chunks, found, least, anchors, pairs, "v binary, part long"), CLASSES * CLASSES)
 
 
 def clustered(chunks: DataFrame, n: int, words: Vocabulary, gain: float = GAIN) -> tuple[DataFrame, np.ndarray]:
-    """Answers with every training word's class, and the mass and number of words of each class."""
-    found, kinds, before, turn = None, None, 1, 0
-    both = bigrams(chunks, None, 1, words.anchors)
-    for least in words.steps():
-        found, kinds = sweep(chunks, n, found, before, least, turn, words.anchors, both)
-        both = bigrams(chunks, found, least, words.anchors)
-        before, turn = least, turn + 1
-    rises = True
-    while rises:
-        again, kinds_again = sweep(chunks, n, found, 1, 1, turn, words.anchors, both)
-        both_again = bigrams(chunks, again, 1, words.anchors)
-        more = information(both_again) - information(both)
-        rises, turn = more >= gain, turn + 1
-        if more > 0:
-            found, kinds, both = again, kinds_again, both_again
+    """Answers with every training word's class, and the mass and number of words of each class.
+
+    One pass over the chunks counts the bigrams of the classes that a sweep left and what chunks send in the next, which is
+    kept until its end; what they send after the last sweep is not used."""
+    steps, low = words.steps(), low_bits(n, 64)
+    found, kinds, before, best = None, None, 1, None
+    for turn in count():
+        least = steps[turn] if turn < len(steps) else 1
+        with scratch(chunks.sparkSession) as work:
+            make = lambda c, cls, least=least, turn=turn: asked(c, cls, least, low, turn)
+            sent = table(classed(chunks, found, before, words.anchors, make, ASKED), "asked")
+            both = added_up(sent.where("bigrams IS NOT NULL").select(F.col("bigrams").alias("v"), F.col("chunk").alias("part")), CLASSES * CLASSES)
+            if turn >= len(steps):  # every word has a class
+                more = np.inf if best is None else information(both) - information(best[2])
+                if more > 0:
+                    best = found, kinds, both
+                if more < gain:
+                    break
+            found, kinds = sweep(work, sent.where("bigrams IS NULL").drop("bigrams"), n, turn, both)
+        before = least
+    found, kinds, both = best
     return found, np.concatenate([both.reshape(CLASSES, CLASSES).sum(axis=0), kinds])  # each token follows one that has a class
 
 

@@ -274,6 +274,37 @@ def test_words_that_may_not_move_send_their_class_alone():
         assert found == dict(want) and not all(asks)
 
 
+def test_a_sweep_reads_the_corpus_once(docs, monkeypatch):
+    """Bigrams of the classes before come with what is sent; the chunks are read once more after the last sweep, and for the model."""
+    seen = {"read": 0, "sweeps": 0}
+
+    def counting(name, f):
+        def run(*args, **more):
+            seen[name] += 1
+            return f(*args, **more)
+
+        return run
+
+    monkeypatch.setattr(language_model, "classed", counting("read", language_model.classed))
+    monkeypatch.setattr(language_model, "sweep", counting("sweeps", language_model.sweep))
+    language_model.score(docs)
+    assert seen["sweeps"] > 1 and seen["read"] <= seen["sweeps"] + 2
+
+
+def test_numbers_packed_piece_by_piece():
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        each = [r.integers(0, 2 ** int(r.integers(1, 64)), int(r.integers(1, 40))).astype(np.uint64) >> r.integers(0, 64, 1).astype(np.uint64) for _ in range(9)]
+        each += [np.array([0], np.uint64), np.full(5, 2**63 + 9, np.uint64), np.array([2**64 - 1, *range(300)], np.uint64), np.array([2**63, *[5] * 60, 128, 127, 16384], np.uint64)]
+        ends = np.cumsum([len(x) for x in each])
+        data = chunks.pack_each(np.concatenate(each), ends - [len(x) for x in each], ends)
+        assert data == [chunks.pack(x) for x in each] and {0, 1, 8} <= {d[0] for d in data}
+        sizes = [len(x) for x in each]
+        for back in (chunks.unpack_each(data, sizes), [chunks.unpack(d, n) for d, n in zip(data, sizes, strict=True)]):
+            assert all((x == y).all() and len(x) == len(y) and y.dtype == np.uint64 for x, y in zip(each, back, strict=True))
+    assert chunks.unpack(chunks.pack(np.empty(0, np.uint64)), 0).tolist() == []
+
+
 def test_held_out_text_is_likelier_than_by_the_base(spark):
     """Words alternate between two kinds: classes tell which kind comes next, also behind words seen a few times."""
     r = np.random.default_rng(2)
