@@ -89,6 +89,23 @@ def test_subsets_grow_with_the_nodes(spark, capsys):
     assert (plan := capsys.readouterr().out).count("Join") == 1 and "block" not in plan and "Python" not in plan
 
 
+def test_joins_of_degrees_collect_nothing_on_the_driver(spark, islands, monkeypatch):
+    """A file of nodes is small, what they multiply to is not: no side of a join by subsets or lists is broadcast for its file's size."""
+    plans = []
+    monkeypatch.setattr(colouring, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    nodes = kept(frequency.fragments(islands))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in (subsets := plan(colouring.subset_conflicts(nodes))) and "SortMergeJoin" in subsets
+    got = []
+    for few, kind in ((1 << 15, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(colouring, "FEW", few)
+        got.append(colouring.counted_conflicts(nodes))
+        # the sizes of the pools alone go to all tasks, and the lists where they were counted to be few
+        assert kind in plan(got[-1]) and plan(got[-1]).count("BroadcastExchange") == 1 + (few > 0) and plans[-1].count("Join") == plans[-1].count("BroadcastExchange") == 1
+    a, b = ({(r.pool, r.genotype): r.degree for r in x.collect()} for x in got)
+    assert a == b == {(r.pool, r.genotype): r.degree for r in colouring.degrees(nodes).collect()}
+
+
 def test_degrees_have_no_python(spark, islands, capsys):
     colouring.counted_conflicts(kept(frequency.fragments(islands))).explain()
     assert "Python" not in (plan := capsys.readouterr().out) and "Pandas" not in plan
